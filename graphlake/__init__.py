@@ -1 +1,10 @@
-"""graphlake: a PySpark-native engine for graph preparation at scale."""
+"""graphlake: a PySpark-native engine for graph preparation at scale.
+
+Functions of this package travel to the executors by value, so these need no copy of it.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
