@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,7 @@ class LanguageFilters:
     """The fitted model: fixed in size by ``log2_bits`` and the number of languages, not by the corpus."""
 
     langs: tuple[str, ...]
-    words: np.ndarray  # (2**log2_bits, ceil(langs / 64)) uint64
+    words: np.ndarray | None  # (2**log2_bits, ceil(langs / 64)) uint64
     false_positive: np.ndarray  # of each language
     log2_bits: int
     hashes: int
@@ -153,12 +153,12 @@ def classify(model: LanguageFilters, text: str | None) -> tuple[str, float]:
 
 def predict(docs: DataFrame, model: LanguageFilters, text: str = "text") -> DataFrame:
     """docs with ``lang_pred`` and ``score``; the model goes out once to each executor, in a fixed size."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)
+    held, rest = docs.sparkSession.sparkContext.broadcast(model.words), replace(model, words=None)
 
     @F.pandas_udf(SCHEMA)
     def judge(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([classify(held.value, t) for t in texts], columns=["lang_pred", "score"])
+        filters = replace(rest, words=held.value)
+        return pd.DataFrame([classify(filters, t) for t in texts], columns=["lang_pred", "score"])
 
     return docs.withColumn("_gl_lang", judge(F.col(text))).select(*docs.columns, "_gl_lang.lang_pred", "_gl_lang.score")
 
