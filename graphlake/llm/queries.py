@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphlake.llm.decontaminate import op10_tiling
 from graphlake.llm.langid import op9_language_filters
 from graphlake.llm.neardup import op3_minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": op3_minhash,
     "op9_language_filters": op9_language_filters,
+    "op10_tiling": op10_tiling,
 }
 
 ORACLE_SQL: dict[str, str] = {}
