@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphlake.llm.decontaminate import op10_tiling
 from graphlake.llm.langid import op9_language_filters
+from graphlake.llm.mixing import op8_temperature
 from graphlake.llm.neardup import op3_minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": op3_minhash,
+    "op8_temperature": op8_temperature,
     "op9_language_filters": op9_language_filters,
     "op10_tiling": op10_tiling,
 }
