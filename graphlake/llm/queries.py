@@ -10,9 +10,11 @@ from graphlake.llm.decontaminate import op10_tiling
 from graphlake.llm.langid import op9_language_filters
 from graphlake.llm.mixing import op8_temperature
 from graphlake.llm.neardup import op3_minhash
+from graphlake.llm.pii import op5_disclosure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": op3_minhash,
+    "op5_disclosure": op5_disclosure,
     "op8_temperature": op8_temperature,
     "op9_language_filters": op9_language_filters,
     "op10_tiling": op10_tiling,
