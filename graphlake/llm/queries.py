@@ -6,18 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphlake.llm.chat import OP7_SQL, op7_typed_parts
 from graphlake.llm.decontaminate import op10_tiling
 from graphlake.llm.langid import op9_language_filters
 from graphlake.llm.mixing import op8_temperature
 from graphlake.llm.neardup import op3_minhash
 from graphlake.llm.pii import op5_disclosure
+from graphlake.llm.urlrules import OP4_SQL, op4_range_sweep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": op3_minhash,
+    "op4_range_sweep": op4_range_sweep,
     "op5_disclosure": op5_disclosure,
+    "op7_typed_parts": op7_typed_parts,
     "op8_temperature": op8_temperature,
     "op9_language_filters": op9_language_filters,
     "op10_tiling": op10_tiling,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_range_sweep": OP4_SQL,
+    "op7_typed_parts": OP7_SQL,
+}
