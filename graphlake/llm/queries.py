@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphlake.llm.ann import op1_one_bit
 from graphlake.llm.chat import OP7_SQL, op7_typed_parts
 from graphlake.llm.decontaminate import op10_tiling
 from graphlake.llm.langid import op9_language_filters
@@ -15,6 +16,7 @@ from graphlake.llm.pii import op5_disclosure
 from graphlake.llm.urlrules import OP4_SQL, op4_range_sweep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_one_bit": op1_one_bit,
     "op3_minhash": op3_minhash,
     "op4_range_sweep": op4_range_sweep,
     "op5_disclosure": op5_disclosure,
