@@ -8,11 +8,10 @@ left is verified on full shingle sets.
 Only components are wanted, so pairs that components already imply are not made:
 
 1. star: every member of a bucket against the bucket's smallest member;
-2. forest: in buckets whose members are still in several components, the surviving pairs between
-   components, best estimate first, as far as each joins two of the bucket's components;
-3. rest: all surviving pairs between components that are still apart.
+2. blocks: in buckets whose members are still in several components, the surviving pairs between components,
+   best estimate first, verified where they are found, so that a link at once saves the pairs it implies.
 
-A group of copies of any size ends after the first two, with a number of pairs in proportion to it.
+What leaves a block are links, fewer than its members, whatever the size of a group of copies.
 """
 
 from __future__ import annotations
@@ -34,7 +33,7 @@ MASK = (1 << 64) - 1
 
 @dataclass(frozen=True)
 class NearDup:
-    """words in a shingle; similarity as a share num / den; hashes = bands * rows; batch of hashes compared at a time; miss: the chance, at each batch, of dropping a pair at the threshold; block: rows of a bucket that one task compares at once."""
+    """words in a shingle; similarity as a share num / den; hashes = bands * rows; batch of hashes compared at a time; miss: the chance, at each batch, of dropping a pair at the threshold; block, bytes: members of a bucket, and bytes of their sets, that one task compares at once."""
 
     words: int = 5
     num: int = 75
@@ -44,6 +43,7 @@ class NearDup:
     batch: int = 32
     miss: float = 1e-6
     block: int = 2048
+    bytes: int = 32 << 20
 
     @property
     def hashes(self) -> int:
@@ -198,52 +198,52 @@ def _verify(p: NearDup):
     return run
 
 
-def _pairs_in_block(p: NearDup, forest: bool):
-    """Pairs between components within one block (or between two blocks) of one bucket, after the posterior test.
+def shared(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
+    """How many members each of the sets shares with one; none may be empty."""
+    x = np.concatenate(many)
+    at = np.minimum(np.searchsorted(one, x), one.size - 1)
+    return np.add.reduceat((one[at] == x).astype(np.int64), np.cumsum([0] + [y.size for y in many[:-1]]))
 
-    A pair counts in the first band in which both sit in one bucket.  forest: only pairs that join two
-    components of the block, best estimate first.
+
+def _links_in_block(p: NearDup):
+    """Links between components within one block, or between two blocks, of one bucket; they form a forest.
+
+    A pair is tried in the first band in which both sit in one bucket, and not with the bucket's leader, which
+    the star has tried.
     """
 
     def run(g: pa.Table) -> pa.Table:
-        g = g.sort_by("node")
-        node, comp, side, band, p1, p2 = (g.column(c).to_numpy() for c in ("node", "comp", "side", "band", "p1", "p2"))
-        leader, sig = g.column("leader").to_numpy(), _sig(g.column("sig").combine_chunks(), p)
-        xs: list[np.ndarray] = []
-        ys: list[np.ndarray] = []
-        es: list[np.ndarray] = []
-        same = p1[0] == p2[0]
+        g = g.sort_by("node").combine_chunks()
+        node, side, band, p1, p2 = (g.column(c).to_numpy() for c in ("node", "side", "band", "p1", "p2"))
+        comp, leader, sig = g.column("comp").to_numpy().copy(), g.column("leader").to_numpy()[0], _sig(g.column("sig"), p)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in g.column("set")]
+        size, same, bands = np.array([x.size for x in sets]), p1[0] == p2[0], sig.view(np.uint64).reshape(len(sig), -1)
+        a: list[int] = []
+        b: list[int] = []
         for i in range(len(node)):
-            if not same and side[i]:
+            if node[i] == leader or not same and side[i]:
                 continue
-            js = np.flatnonzero((comp != comp[i]) & (node != leader[0]) & ((np.arange(len(node)) > i) if same else (side > side[i])))
-            if node[i] == leader[0] or not js.size:
+            there = np.arange(len(node)) > i if same else side > 0
+            near = p.den * np.minimum(size, size[i]) >= p.num * np.maximum(size, size[i])
+            js = np.flatnonzero(there & near & (comp != comp[i]) & (node != leader))
+            if band[0] and js.size:
+                width = p.rows // 4 if p.rows % 4 == 0 else 0
+                if width:
+                    js = js[~(bands[js, : band[0] * width] == bands[i, : band[0] * width]).reshape(js.size, -1, width).all(2).any(1)]
+            if not js.size:
                 continue
             rows, seen = keeps(np.broadcast_to(sig[i], (js.size, p.hashes)), sig[js], p)
-            js = js[rows]
-            if js.size and band[0] and not forest:
-                shared = (sig[js].view(np.uint64) == sig[i].view(np.uint64))[:, : band[0]].any(1) if p.rows == 4 else np.zeros(js.size, bool)
-                js, seen = js[~shared], seen[~shared]
-            xs.append(np.full(js.size, i))
-            ys.append(js)
-            es.append(seen)
-        x, y, e = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (xs, ys, es))
-        if forest and x.size:
-            up: dict[int, int] = {}
-
-            def root(c: int) -> int:
-                while up.get(c, c) != c:
-                    c = up[c]
-                return c
-
-            take = []
-            for k in np.argsort(-e, kind="stable"):
-                r, s = root(int(comp[x[k]])), root(int(comp[y[k]]))
-                if r != s:
-                    up[max(r, s)] = min(r, s)
-                    take.append(k)
-            x, y = x[take], y[take]
-        a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+            js = js[rows][np.argsort(-seen, kind="stable")]
+            step = 4
+            while js.size:
+                part, js = js[:step], js[step:]
+                both = shared(sets[i], [sets[j] for j in part])
+                for j in part[p.den * both >= p.num * (size[i] + size[part] - both)]:
+                    if comp[j] != comp[i]:
+                        a.append(int(min(node[i], node[j])))
+                        b.append(int(max(node[i], node[j])))
+                        comp[comp == comp[j]] = comp[i]
+                js, step = js[comp[js] != comp[i]], min(4 * step, 256)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -297,19 +297,19 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
 
     star = rows.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = verify(scratch.write(prune(star), "star"), "links0")
-    for phase in ("forest", "rest"):
-        labels = connected_components(spark, links, scratch, phase)
-        named = rows.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
-        apart = named.groupBy("bk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bk")
-        apart = named.where("m > 2").join(apart, "bk", "left_semi").join(sig, "node")
-        # A bucket over the block size is cut into parts by a hash; every two parts meet in one task.
-        parts = F.ceil(F.col("m") / p.block).cast("int")
-        mine = F.pmod(F.xxhash64("node", "bk"), parts).cast("int")
-        apart = apart.withColumn("parts", parts).withColumn("mine", mine)
-        met = apart.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        met = met.select("bk", "band", "node", "comp", "leader", "sig", F.least("mine", "other").alias("p1"), F.greatest("mine", "other").alias("p2"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"))
-        found = met.groupBy("bk", "p1", "p2").applyInArrow(_pairs_in_block(p, phase == "forest"), "a bigint, b bigint").distinct()
-        links = scratch.write(links.union(verify(scratch.write(found, phase), f"new-{phase}")).distinct(), f"links-{phase}")
+    labels = connected_components(spark, links, scratch, "stars")
+    named = rows.where("m > 2").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+    named = scratch.write(named, "named")
+    apart = named.groupBy("bk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bk")
+    apart = named.join(apart, "bk", "left_semi").join(full.join(sig, "node").select("node", "sig", "set", "n_shingles"), "node")
+    # A bucket over the block size, in members or in bytes, is cut into parts by a hash; every two parts meet in one task.
+    apart = scratch.write(apart, "apart")
+    weigh = apart.groupBy("bk").agg(F.greatest(F.ceil(F.count(F.lit(1)) / p.block), F.ceil(F.sum("n_shingles") / (p.bytes / 8))).cast("int").alias("parts"))
+    apart = apart.join(weigh, "bk").withColumn("mine", F.pmod(F.xxhash64("node", "bk"), F.col("parts")).cast("int"))
+    met = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("bk", "band", "node", "comp", "leader", "sig", "set", F.least("mine", "other").alias("p1"), F.greatest("mine", "other").alias("p2"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"))
+    found = scratch.write(met.groupBy("bk", "p1", "p2").applyInArrow(_links_in_block(p), "a bigint, b bigint").distinct(), "found")
+    links = links.union(found)
     labels = connected_components(spark, links, scratch, "last")
     out = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("label", "rep", "doc_id")
