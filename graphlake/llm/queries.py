@@ -14,12 +14,14 @@ from graphlake.llm.mixing import op8_temperature
 from graphlake.llm.neardup import op3_minhash
 from graphlake.llm.pii import op5_disclosure
 from graphlake.llm.urlrules import OP4_SQL, op4_range_sweep
+from graphlake.llm.warc import OP6_SQL, op6_zip_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_one_bit": op1_one_bit,
     "op3_minhash": op3_minhash,
     "op4_range_sweep": op4_range_sweep,
     "op5_disclosure": op5_disclosure,
+    "op6_zip_archives": op6_zip_archives,
     "op7_typed_parts": op7_typed_parts,
     "op8_temperature": op8_temperature,
     "op9_language_filters": op9_language_filters,
@@ -28,5 +30,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_range_sweep": OP4_SQL,
+    "op6_zip_archives": OP6_SQL,
     "op7_typed_parts": OP7_SQL,
 }
