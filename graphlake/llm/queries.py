@@ -13,11 +13,13 @@ from graphlake.llm.langid import op9_language_filters
 from graphlake.llm.mixing import op8_temperature
 from graphlake.llm.neardup import op3_minhash
 from graphlake.llm.pii import op5_disclosure
+from graphlake.llm.quality import op2_resampling
 from graphlake.llm.urlrules import OP4_SQL, op4_range_sweep
 from graphlake.llm.warc import OP6_SQL, op6_zip_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_one_bit": op1_one_bit,
+    "op2_resampling": op2_resampling,
     "op3_minhash": op3_minhash,
     "op4_range_sweep": op4_range_sweep,
     "op5_disclosure": op5_disclosure,
