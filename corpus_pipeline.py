@@ -1,21 +1,75 @@
-"""The corpus pipeline: stages that each write a table the next one reads."""
+"""The corpus pipeline: five stages over documents, each written as a table that the next one reads.
 
-from __future__ import annotations
+Every stage takes (spark, docs, sf_dir).  Nulls in any column, repeated rows and further columns pass through;
+an empty table stays empty.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphlake.llm import decontaminate, langid, mixing, neardup, pii
+from graphlake.llm.common import Scratch, table
+
+#: Share of a text's n-grams that its language must hold; texts of clean prose hold nine tenths.
+LEAST_SCORE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that are in no learned language: null or letterless texts, and n-grams that none holds.
+
+    Where no row has a language label nothing can be learned, and only null and letterless texts go.
+    """
+    model = langid.fit(docs)
+    if not model.langs:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    named = docs.toDF(*(f"_gl_{c}" for c in docs.columns))
+    kept = langid.predict(named, model, "_gl_text").where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*(F.col(f"_gl_{c}").alias(c) for c in docs.columns))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest doc_id of each group; of equal rows one stays.  Rows with a null doc_id stay."""
+    gone = neardup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gl_id")).distinct()
+    kept = docs.withColumn("_gl_id", F.col("doc_id").cast("bigint")).join(gone, "_gl_id", "left_anti")
+    return kept.withColumn("_gl_body", F.xxhash64("text")).dropDuplicates(["_gl_id", "_gl_body"]).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold half or more of a benchmark item.  Rows with a null doc_id stay."""
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark", ["item_id", "text"]))
+    gone = found.select(F.col("doc_id").alias("_gl_id")).distinct()
+    return docs.withColumn("_gl_id", F.col("doc_id").cast("bigint")).join(gone, "_gl_id", "left_anti").select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Redacts personal data and the terms that disclose it; n_chars follows the text.  All rows stay."""
+    clean = pii.sanitise(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training order: doc_id, source, tokens, epoch, block, slot; every document comes once or more."""
+    return mixing.mix(docs)
+
 
-from graphlake.llm.common import Scratch
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("mixture", mixture),
+]
 
-STAGES: list = []
+#: Hash-based sketches, tiling and redaction have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies STAGES to documents; every stage's rows are written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    scratch = Scratch(spark, f"pipeline-{uuid.uuid4().hex[:8]}")
+    docs = table(spark, sf_dir, "documents")
+    scratch = Scratch(spark, "pipeline")
     for name, stage in STAGES:
         docs = scratch.write(stage(spark, docs, sf_dir), name)
     return docs
