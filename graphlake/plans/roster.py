@@ -1,10 +1,8 @@
-"""Every registered query of the graph engine, by name, with its SQL."""
+"""Every registered query of the graph engine, by name, with its SQL where SQL expresses it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from graphlake.plans.queries import ALL as QUERIES
+from graphlake.plans.sql import SQL as ORACLE_SQL
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
