@@ -166,7 +166,7 @@ def streaming_partition(nodes: DataFrame, edges: DataFrame, p: Fennel = Fennel()
             alphas = alphas * p.beta
         return pa.table({"id": pa.array(ids, pa.int64()), "part": pa.array(part, pa.int32())})
 
-    return rows.groupBy(F.lit(0)).applyInArrow(run, "id bigint, part int")
+    return rows.withColumn("_all", F.lit(True)).groupBy("_all").applyInArrow(run, "id bigint, part int")
 
 
 def superstep_partition(nodes: DataFrame, edges: DataFrame, p: Fennel = Fennel(), steps: int = 4, start: DataFrame | None = None) -> DataFrame:
