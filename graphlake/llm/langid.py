@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlake.llm.common import table
+from graphlake.llm.common import release_memory, table
 
 SIZES = (3, 4)
 SCHEMA = "lang_pred string, score double"
@@ -81,15 +81,24 @@ def ngrams(text: str | None) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, gram, n) of each batch: counted here, before anything is shuffled."""
+    """(lang, gram, n) of a task's rows: a few hundred texts at a time are counted and merged, before anything is shuffled."""
+    total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for b in batches:
-        by: dict[str, list[np.ndarray]] = {}
-        for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
-            by.setdefault(lang, []).append(ngrams(text))
-        for lang, parts in by.items():
-            g, n = np.unique(np.concatenate(parts), return_counts=True)
-            if g.size:
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * g.size, pa.string()), pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            by: dict[str, list[np.ndarray]] = {}
+            for text, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist(), strict=True):
+                by.setdefault(lang, []).append(ngrams(text))
+            for lang, parts in by.items():
+                g, n = np.unique(np.concatenate(parts), return_counts=True)
+                if lang in total:
+                    g, where = np.unique(np.concatenate((total[lang][0], g)), return_inverse=True)
+                    n = np.bincount(where, np.concatenate((total[lang][1], n)), g.size).astype(np.int64)
+                total[lang] = g, n
+    for lang, (g, n) in total.items():
+        if g.size:
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * g.size, pa.string()), pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+    release_memory()
 
 
 def training_rows(docs: DataFrame, train_rows: int) -> DataFrame:
@@ -156,9 +165,11 @@ def predict(docs: DataFrame, model: LanguageFilters, text: str = "text") -> Data
     held, rest = docs.sparkSession.sparkContext.broadcast(model.words), replace(model, words=None)
 
     @F.pandas_udf(SCHEMA)
-    def judge(texts: pd.Series) -> pd.DataFrame:
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         filters = replace(rest, words=held.value)
-        return pd.DataFrame([classify(filters, t) for t in texts], columns=["lang_pred", "score"])
+        for texts in batches:
+            yield pd.DataFrame([classify(filters, t) for t in texts], columns=["lang_pred", "score"])
+        release_memory()
 
     return docs.withColumn("_gl_lang", judge(F.col(text))).select(*docs.columns, "_gl_lang.lang_pred", "_gl_lang.score")
 

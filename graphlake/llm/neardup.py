@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlake.llm.common import Scratch, connected_components, table
+from graphlake.llm.common import Scratch, connected_components, release_memory, table
 
 MASK = (1 << 64) - 1
 
@@ -152,6 +152,7 @@ def _sets(p: NearDup):
                     [part.column("doc_id").cast(pa.int64()), pa.array([s.size for s in sets], pa.int64()), pa.array([x for x, _ in d], pa.int64()), pa.array([y for _, y in d], pa.int64()), pa.array(sig, pa.binary())],
                     ["doc_id", "n_shingles", "d1", "d2", "sig"],
                 )
+        release_memory()
 
     return run
 
@@ -161,6 +162,7 @@ def _full(p: NearDup):
         for b in batches:
             sets = [shingles(t, p.words) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([digest(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "d1", "set"])
+        release_memory()
 
     return run
 
@@ -194,6 +196,7 @@ def _verify(p: NearDup):
                     last = raw, np.frombuffer(raw, np.uint64)
                 ok.append(linked(last[1], np.frombuffer(y.as_buffer(), np.uint64), p))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        release_memory()
 
     return run
 
