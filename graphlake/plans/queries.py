@@ -132,7 +132,7 @@ def split_sequential(c):
 @query
 def features_lookup(c):
     total = F.aggregate("x", F.lit(0.0), lambda s, v: s + v.cast("double"))
-    return c.g.features.select("id", F.round(F.get("x", F.lit(0)).cast("double"), 6).alias("x0"), F.round(total, 6).alias("total"))
+    return c.g.features.select("id", (F.round(F.get("x", F.lit(0)).cast("double"), 6) + 0.0).alias("x0"), (F.round(total, 6) + 0.0).alias("total"))
 
 
 # Layout
@@ -454,7 +454,7 @@ def _influence(c):
 
 @query
 def seed_topk_influence(c):
-    return _influence(c).select("seed", "id", F.round("s", 9).alias("s"), "rank")
+    return _influence(c).select("seed", "id", F.round("s", 11).alias("s"), "rank")
 
 
 @query
@@ -667,7 +667,7 @@ def mfg_trimmed(c):
 def mfg_features_sum(c):
     nodes, _ = _sampled(c, [5, 3])
     rows = sampling.gather(nodes, c.g.features).withColumn("x0", F.get("x", F.lit(0)).cast("double"))
-    return rows.groupBy("batch").agg(F.count(F.lit(1)).cast("bigint").alias("n"), F.round(F.sum("x0"), 6).alias("total"))
+    return rows.groupBy("batch").agg(F.count(F.lit(1)).cast("bigint").alias("n"), (F.round(F.sum("x0"), 6) + 0.0).alias("total"))
 
 
 @query
@@ -709,13 +709,13 @@ def batch_influence(c):
 @query
 def neighbor_sum(c):
     s = aggregate.neighbour_sums(c.edges, c.g.features)
-    return s.select("id", F.posexplode("sums").alias("pos", "v")).select("id", "pos", F.round("v", 6).alias("v"))
+    return s.select("id", F.posexplode("sums").alias("pos", "v")).select("id", "pos", (F.round("v", 6) + 0.0).alias("v"))
 
 
 @query
 def neighbor_mean(c):
     s = aggregate.neighbour_mean(c.edges, c.g.features)
-    return s.select("id", F.posexplode("x").alias("pos", "v")).select("id", "pos", F.round("v", 6).alias("v"))
+    return s.select("id", F.posexplode("x").alias("pos", "v")).select("id", "pos", (F.round("v", 6) + 0.0).alias("v"))
 
 
 def _flagged(c):
@@ -885,7 +885,7 @@ def bsp_invariants(c):
 
 @query
 def ppr_push(c):
-    out = scoring.ppr(c.nodes, c.edges, c.train, 0.25, 0.01)
+    out = scoring.ppr(c.nodes, c.edges, c.train, 0.25, 1e-4)
     return out.select("seed", "id", F.round("p", 9).alias("p"))
 
 

@@ -155,7 +155,7 @@ r AS (
     "split_ids_train": _q("SELECT id FROM train"),
     "split_resampled": _q("SELECT id, CASE WHEN h < 20 THEN 'train' WHEN h < 60 THEN 'valid' ELSE 'test' END AS split FROM (SELECT id, ((id % 2147483648) * 2654435761) % 4294967296 // 65536 % 100 AS h FROM nodes)"),
     "split_sequential": _q("SELECT id, CASE WHEN id < CAST(floor(n * 0.6::DOUBLE) AS BIGINT) THEN 'train' WHEN id < CAST(floor(n * 0.8::DOUBLE) AS BIGINT) THEN 'valid' WHEN id < n THEN 'test' END AS split FROM nodes CROSS JOIN nc"),
-    "features_lookup": _q("SELECT id, round(CAST(x[1] AS DOUBLE), 6) AS x0, round(list_sum(list_transform(x, lambda v: CAST(v AS DOUBLE))), 6) AS total FROM feat"),
+    "features_lookup": _q("SELECT id, round(CAST(x[1] AS DOUBLE), 6) + 0.0::DOUBLE AS x0, round(list_sum(list_transform(x, lambda v: CAST(v AS DOUBLE))), 6) + 0.0::DOUBLE AS total FROM feat"),
     "degree": _q("SELECT id, deg FROM indeg"),
     "degree_histogram": _q("SELECT deg, count(*) AS n FROM indeg GROUP BY deg"),
     "degree_order": _q("SELECT id, deg, row_number() OVER (ORDER BY deg DESC, id) - 1 AS pos FROM indeg"),
@@ -208,7 +208,7 @@ r AS (
     "popular_nodes": _q("SELECT id FROM popular"),
     "pivot_inter_edges": _q("SELECT src, dst FROM edges WHERE dst IN (SELECT id FROM pvt)"),
     "pivot_intra_edges": _q("SELECT src, dst FROM edges WHERE dst IN (SELECT id FROM pvt) AND src IN (SELECT id FROM pvt)"),
-    "seed_topk_influence": _q("SELECT seed, id, round(s, 9) AS s, CAST(rank AS INTEGER) AS rank FROM inf", _INFLUENCE),
+    "seed_topk_influence": _q("SELECT seed, id, round(s, 11) AS s, CAST(rank AS INTEGER) AS rank FROM inf", _INFLUENCE),
     "coverage": _q(
         """
 SELECT h.part, round(coalesce(g.got, 0) / h.n, 9) AS covered, round(coalesce(b.best, 0) / h.n, 9) AS best
@@ -282,7 +282,7 @@ eb AS (SELECT ez.part, batch, p.s, coalesce(sum(p.e - p.s) OVER (PARTITION BY ba
     "sample_nodes": _q("SELECT CAST(batch AS BIGINT) AS batch, hop, id FROM sn", _SAMPLE),
     "mfg_hop_counts": _q("SELECT CAST(n.batch AS BIGINT) AS batch, n.hop, n.c AS nodes, coalesce(e.c, 0) AS edges FROM (SELECT batch, hop, count(*) AS c FROM sn GROUP BY 1, 2) n LEFT JOIN (SELECT batch, hop + 1 AS hop, count(*) AS c FROM se GROUP BY 1, 2) e ON e.batch = n.batch AND e.hop = n.hop", _SAMPLE),
     "mfg_trimmed": _q("SELECT CAST(batch AS BIGINT) AS batch, hop, count(*) AS n FROM se WHERE hop < 1 GROUP BY 1, 2", _SAMPLE),
-    "mfg_features_sum": _q("SELECT CAST(batch AS BIGINT) AS batch, count(*) AS n, round(sum(CAST(x[1] AS DOUBLE)), 6) AS total FROM sn JOIN feat ON feat.id = sn.id GROUP BY batch", _SAMPLE),
+    "mfg_features_sum": _q("SELECT CAST(batch AS BIGINT) AS batch, count(*) AS n, round(sum(CAST(x[1] AS DOUBLE)), 6) + 0.0::DOUBLE AS total FROM sn JOIN feat ON feat.id = sn.id GROUP BY batch", _SAMPLE),
     "drop_random_alive": _q("SELECT CAST(batch AS BIGINT) AS batch, hop, id FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY md5(concat_ws(',', batch, id, 4))) AS k, count(*) OVER (PARTITION BY batch) AS n FROM sn WHERE hop > 0) WHERE k > floor(n * 0.3::DOUBLE) UNION ALL SELECT batch, hop, id FROM sn WHERE hop = 0", _SAMPLE),
     "drop_influence_alive": _q("SELECT CAST(batch AS BIGINT) AS batch, hop, id FROM (SELECT sn.*, row_number() OVER (PARTITION BY batch ORDER BY deg, sn.id DESC) AS k, count(*) OVER (PARTITION BY batch) AS n FROM sn JOIN indeg ON indeg.id = sn.id WHERE hop > 0) WHERE k > floor(n * 0.3::DOUBLE) UNION ALL SELECT batch, hop, id FROM sn WHERE hop = 0", _SAMPLE),
     "drop_hop_alive": _q("SELECT CAST(batch AS BIGINT) AS batch, hop, id FROM sn WHERE hop <= 1", _SAMPLE),
@@ -295,8 +295,8 @@ b0 AS (SELECT id, CASE WHEN id IN (SELECT id FROM train) THEN 1.0::DOUBLE ELSE 0
 b1 AS (SELECT bk.dst AS id, sum(b0.s / bd.deg) AS s FROM bk JOIN b0 ON b0.id = bk.src JOIN bd ON bd.id = bk.src GROUP BY bk.dst),
 b2 AS (SELECT bk.dst AS id, sum(b1.s / bd.deg) AS s FROM bk JOIN b1 ON b1.id = bk.src JOIN bd ON bd.id = bk.src GROUP BY bk.dst)""",
     ),
-    "neighbor_sum": _q("SELECT id, CAST(pos - 1 AS INTEGER) AS pos, round(sum(v), 6) AS v FROM ex GROUP BY id, pos", " ex AS (SELECT e.dst AS id, unnest(range(1, 65)) AS pos, unnest(list_transform(x, lambda v: CAST(v AS DOUBLE))) AS v FROM edges e JOIN feat f ON f.id = e.src)"),
-    "neighbor_mean": _q("SELECT id, CAST(pos - 1 AS INTEGER) AS pos, round(avg(v), 6) AS v FROM ex GROUP BY id, pos", " ex AS (SELECT e.dst AS id, unnest(range(1, 65)) AS pos, unnest(list_transform(x, lambda v: CAST(v AS DOUBLE))) AS v FROM edges e JOIN feat f ON f.id = e.src)"),
+    "neighbor_sum": _q("SELECT id, CAST(pos - 1 AS INTEGER) AS pos, round(sum(v), 6) + 0.0::DOUBLE AS v FROM ex GROUP BY id, pos", " ex AS (SELECT e.dst AS id, unnest(range(1, 65)) AS pos, unnest(list_transform(x, lambda v: CAST(v AS DOUBLE))) AS v FROM edges e JOIN feat f ON f.id = e.src)"),
+    "neighbor_mean": _q("SELECT id, CAST(pos - 1 AS INTEGER) AS pos, round(avg(v), 6) + 0.0::DOUBLE AS v FROM ex GROUP BY id, pos", " ex AS (SELECT e.dst AS id, unnest(range(1, 65)) AS pos, unnest(list_transform(x, lambda v: CAST(v AS DOUBLE))) AS v FROM edges e JOIN feat f ON f.id = e.src)"),
     "edge_norm_weight": _q("SELECT src, dst, round(w * count(*) OVER (PARTITION BY dst) / sum(w) OVER (PARTITION BY dst), 9) AS w FROM (SELECT src, dst, CASE WHEN a.part <> b.part THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM edges JOIN assign a ON a.id = src JOIN assign b ON b.id = dst)"),
     "attention_softmax": _q("SELECT src, dst, round(exp(e) / sum(exp(e)) OVER (PARTITION BY dst), 9) AS a FROM (SELECT src, dst, ((src * 7 + dst * 3) % 11) / 5.0::DOUBLE AS e FROM edges)"),
     "scatter_add_labels": _q("SELECT e.dst AS id, CAST(sum(coalesce(n.label, 0)) AS BIGINT) AS total FROM edges e JOIN nodes n ON n.id = e.src GROUP BY e.dst"),
