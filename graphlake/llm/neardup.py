@@ -258,21 +258,27 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     class_id is the smallest doc_id with the same shingle set, component_id the smallest reachable over links.
     Null or empty text: no shingles, linked with nothing.  Null doc_id: it takes no part, its component is
     null and it is kept.  Repeated rows: each is judged by its own text, so equal ones share a class and
-    each carries the smallest id.  Other columns are not read.
+    each carries the smallest id; where an id repeats with several texts, copies of any of them are linked with
+    it, near copies with the one of the least digest.  Other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = scratch.write(docs.mapInArrow(_sets(p), SETS), "sets")
     # Equal sets are counted before the shuffle: a class of any size is one row from each task.
-    classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    full_rows = "n_shingles > 0 and doc_id is not null"
+    classes = sets.where(full_rows).groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("m"))
+    # Written, so that the join below has plain exchanges on both sides and a hot class can be split.
+    classes = scratch.write(classes.where("m > 1").select("d1", "d2", "first"), "classes")
+    rep = F.when(F.expr(full_rows), F.coalesce("first", "doc_id"))
     members = scratch.write(
-        sets.join(classes, ["d1", "d2"], "left").select("doc_id", "n_shingles", "rep", "d1", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")),
+        sets.join(classes, ["d1", "d2"], "left").withColumn("rep", rep).select("doc_id", "n_shingles", "rep", "d1", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")),
         "members",
     )
     scratch.drop("sets")
     reps = members.where("sig is not null").select(F.col("rep").alias("node"), "d1", "n_shingles", "sig")
-    reps = scratch.write(reps.dropDuplicates(["node"]), "reps")
+    reps = reps.groupBy("node").agg(F.min(F.struct("d1", "n_shingles", "sig")).alias("r")).select("node", "r.d1", "r.n_shingles", "r.sig")
+    reps = scratch.write(reps, "reps")
     # A bucket: 4 values of 2 bytes at the band's place of the signature.
     width = 2 * p.rows
     banded = reps.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)), lambda i: F.substring(F.col("sig"), i * width + 1, F.lit(width)))).alias("band", "key"))
