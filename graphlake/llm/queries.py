@@ -11,7 +11,7 @@ from graphlake.llm.chat import OP7_SQL, op7_typed_parts
 from graphlake.llm.decontaminate import op10_tiling
 from graphlake.llm.langid import op9_language_filters
 from graphlake.llm.mixing import op8_temperature
-from graphlake.llm.neardup import op3_minhash
+from graphlake.llm.neardup import OP3_SQL, op3_minhash
 from graphlake.llm.pii import op5_disclosure
 from graphlake.llm.quality import op2_resampling
 from graphlake.llm.urlrules import OP4_SQL, op4_range_sweep
@@ -31,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_minhash": OP3_SQL,
     "op4_range_sweep": OP4_SQL,
     "op6_zip_archives": OP6_SQL,
     "op7_typed_parts": OP7_SQL,
