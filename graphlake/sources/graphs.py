@@ -120,6 +120,27 @@ def _range_split(spark: SparkSession, root: str) -> Graph:
     return Graph(split_by_range(g.nodes, 0 if labelled is None else labelled + 1), g.edges, g.features, g.attrs)
 
 
+def _hetero(spark: SparkSession, root: str) -> Graph:
+    """One id space from several node types.
+
+    root/types.parquet (type, n, seq): the types' sizes in the order of their ids; root/relations.parquet (a, b, src, dst): edges
+    between ids within types a and b; root/nodes.parquet (id, label, split): the last type's nodes, the only labelled ones.
+    """
+    types = spark.read.parquet(f"{root}/types.parquet")
+    rows = types.orderBy("seq").collect()  # a handful
+    shift, at = {}, 0
+    for t in rows:
+        shift[t["type"]], at = at, at + t["n"]
+    last = rows[-1]["type"]
+    shifts = F.create_map(*(x for k, v in shift.items() for x in (F.lit(k), F.lit(v))))
+    rel = spark.read.parquet(f"{root}/relations.parquet")
+    edges = rel.select((F.col("src") + F.element_at(shifts, F.col("a"))).alias("src"), (F.col("dst") + F.element_at(shifts, F.col("b"))).alias("dst"))
+    labels = spark.read.parquet(f"{root}/nodes.parquet").select((F.col("id") + shift[last]).alias("id"), F.when(F.isnan(F.col("label").cast("double")), None).otherwise(F.col("label")).cast("int").alias("label"), "split")
+    kind = sum(((F.col("id") >= v).cast("int") for v in list(shift.values())[1:]), F.lit(0))
+    nodes = spark.range(at).join(labels, "id", "left").select("id", kind.cast("int").alias("kind"), "label", "split")
+    return Graph(nodes, symmetrise(edges, dedup=False), None, {"is_directed": False, "is_hetero": False})
+
+
 #: Loader of each dataset name; each takes (spark, root).
 LOADERS: dict[str, Callable[[SparkSession, str], Graph]] = {
     "arxiv": _files,
@@ -129,8 +150,8 @@ LOADERS: dict[str, Callable[[SparkSession, str], Graph]] = {
     "papers100m-directed": lambda s, r: _files(s, r, directed=True),
     "reddit": lambda s, r: _files(s, r, directed=True, loops=True, is_directed=False),
     "flickr": _files,
-    "mag240m": _files,
-    "mag240m-f": _files,
+    "mag240m": _hetero,
+    "mag240m-f": _hetero,
     "mag240m-c": _multiset_with_test,
     "igb-large": _range_split,
     "igb260m": _range_split,

@@ -265,6 +265,16 @@ def test_graph_round_trip(g, assign, spark, tmp_path):
         graphs.load(spark, "other", "")
 
 
+def test_typed_graph(spark, tmp_path):
+    spark.createDataFrame([("author", 3, 0), ("place", 2, 1), ("paper", 4, 2)], "type string, n bigint, seq int").write.parquet(f"{tmp_path}/types.parquet")
+    spark.createDataFrame([("author", "place", 2, 1), ("author", "paper", 0, 3), ("paper", "paper", 1, 2)], "a string, b string, src bigint, dst bigint").write.parquet(f"{tmp_path}/relations.parquet")
+    spark.createDataFrame([(0, 7.0, "train"), (1, float("nan"), "test")], "id bigint, label double, split string").write.parquet(f"{tmp_path}/nodes.parquet")
+    t = graphs.load(spark, "mag240m", str(tmp_path))
+    assert sorted(map(tuple, t.edges.collect())) == [(0, 8), (2, 4), (4, 2), (6, 7), (7, 6), (8, 0)]
+    assert [tuple(r) for r in t.nodes.orderBy("id").collect()][4:7] == [(4, 1, None, None), (5, 2, 7, "train"), (6, 2, None, "test")]
+    assert t.nodes.count() == 9
+
+
 def test_run_log(spark, tmp_path):
     rows = [(0, "val/acc", 0, 0.5), (0, "val/acc", 1, 0.7), (0, "val/acc", 2, 0.7), (0, "test/acc", 1, 0.6), (1, "val/acc", 0, 0.9), (1, "test/acc", 0, 0.8)]
     log = spark.createDataFrame(rows, "run int, label string, iter int, value double")
