@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,16 @@ def shared_folder(spark: SparkSession) -> str:
     return (root or DEFAULT).rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:
+        return  # the session is gone, and its folder with it or left to the cluster
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, written once and read back; a lost executor loses nothing of it."""
+    """df, written once and read back; a lost executor loses nothing of it.  The table goes when the process ends."""
     path = f"{shared_folder(df.sparkSession)}/graphlake/{uuid.uuid4().hex}"
+    atexit.register(_delete, df.sparkSession, path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
