@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphlake.functions.store import cut
 from graphlake.model import PartitionedGraph, Pivots
 from graphlake.operators.layout import induced, scatter_append
 from graphlake.operators.scoring import pivot_edges
@@ -39,7 +40,8 @@ def batch_edges(g: PartitionedGraph, batches: DataFrame) -> DataFrame:
 def build_pivots(g: PartitionedGraph, ids: DataFrame, edges: DataFrame, assign: DataFrame) -> Pivots:
     """The pivot tables of ids(id) in old ids, edges(src, dst) in old ids.  Pivots are numbered by old id."""
     placed, _ = scatter_append(ids.select("id").withColumn("_all", F.lit(0)), "_all", "id", 1, "pvt")
-    numbered = placed.select("pvt", F.col("id").alias("old_id")).join(assign.select(F.col("id").alias("old_id"), "part"), "old_id")
+    numbered = cut(placed.select("pvt", F.col("id").alias("old_id")).join(assign.select(F.col("id").alias("old_id"), "part"), "old_id"))
+    ids = numbered.select(F.col("old_id").alias("id"))
     inter, intra = pivot_edges(edges, ids)
     new = g.nodes.select(F.col("old_id").alias("src"), "new_id", F.col("part").alias("sp"))
     to = numbered.select(F.col("old_id").alias("dst"), F.col("pvt").alias("to"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphlake.functions.store import cut
 from graphlake.model import Graph, PartitionedGraph
 
 CHUNK = 65_536
@@ -18,12 +19,12 @@ CHUNK = 65_536
 def prefix_sum(df: DataFrame, key: str, value: str, out: str, by: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
     """df with ``out``: the sum of ``value`` over rows of smaller ``key`` (unique within ``by``)."""
     by = by or []
-    cut = df.withColumn("_chunk", F.floor(F.col(key) / chunk))
-    sums = cut.groupBy(*by, "_chunk").agg(F.sum(value).alias("_sum"))
+    parts = df.withColumn("_chunk", F.floor(F.col(key) / chunk))
+    sums = parts.groupBy(*by, "_chunk").agg(F.sum(value).alias("_sum"))
     before = F.sum("_sum").over((Window.partitionBy(*by) if by else Window).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select(*by, "_chunk", F.coalesce(before, F.lit(0)).alias("_before"))
     inside = F.sum(value).over(Window.partitionBy(*by, "_chunk").orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
-    return cut.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(sums, [*by, "_chunk"]).withColumn(out, F.col("_before") + F.col("_inside")).drop("_chunk", "_inside", "_before")
+    return parts.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(sums, [*by, "_chunk"]).withColumn(out, F.col("_before") + F.col("_inside")).drop("_chunk", "_inside", "_before")
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
@@ -59,7 +60,7 @@ def gather(df: DataFrame, index: str, table: DataFrame, key: str = "id") -> Data
 def partition_graph(g: Graph, assign: DataFrame, k: int) -> PartitionedGraph:
     """Relabels nodes so that each part's ids are contiguous, and sorts edges into k * k blocks, source part first."""
     placed, off = scatter_append(assign.select("id", "part"), "part", "id", k, "new_id")
-    node_map = placed.select(F.col("id").alias("old_id"), "new_id", "part")
+    node_map = cut(placed.select(F.col("id").alias("old_id"), "new_id", "part"))  # both ends of the edges, nodes and features read it
     nodes = g.nodes.join(node_map, F.col("id") == F.col("old_id")).select("new_id", "old_id", "part", "label", "split")
     at = lambda c, p: node_map.select(F.col("old_id").alias(c), F.col("new_id").alias(f"_{c}"), F.col("part").alias(p))
     rest = [c for c in g.edges.columns if c not in ("src", "dst")]

@@ -6,6 +6,7 @@ K parts, the batch of parts and the seeds are parameters of the queries; none of
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 from functools import wraps
 
 import numpy as np
@@ -71,6 +72,20 @@ def query(f):
     return run
 
 
+def heavy(f):
+    """A query that reads the edges many times: they are derived and written once."""
+
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c = Context(spark, sf_dir)
+        c.edges = cut(c.edges)
+        c.g = replace(c.g, edges=c.edges)
+        return f(c)
+
+    ALL[f.__name__] = run
+    return run
+
+
 def _long(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("bigint") for c in cols})
 
@@ -396,7 +411,7 @@ def lazy_rw_k1(c):
     return _score(scoring.lazy_walk(c.nodes, c.edges, scoring.seeds(c.nodes, c.train, 1.0), 1)[-1])
 
 
-@query
+@heavy
 def lazy_rw_k3(c):
     return _score(scoring.lazy_walk(c.nodes, c.edges, scoring.seeds(c.nodes, c.train, 1.0), 3)[-1])
 
@@ -411,24 +426,24 @@ def node_importance_k1(c):
     return _score(scoring.node_importance(c.nodes, c.edges, c.train, 1))
 
 
-@query
+@heavy
 def node_importance_k2(c):
     return _score(scoring.node_importance(c.nodes, c.edges, c.train, 2))
 
 
-@query
+@heavy
 def edge_importance_k3(c):
     return scoring.edge_importance(c.nodes, c.edges, c.train, 3).select("src", "dst", F.round("w", 9).alias("w"))
 
 
-@query
+@heavy
 def walk_sum_influence(c):
     """Scores of all steps of a walk, added."""
     steps = scoring.lazy_walk(c.nodes, c.edges, scoring.seeds(c.nodes, c.train, 1.0), 2)
     return _score(scoring._add([(s, 1.0) for s in steps[1:]]))
 
 
-@query
+@heavy
 def pivots_topk(c):
     return c.pivot_ids.select("id", F.round("s", 9).alias("s"))
 
@@ -438,12 +453,12 @@ def popular_nodes(c):
     return collate.popular_nodes(c.nodes, c.edges, 0.1)
 
 
-@query
+@heavy
 def pivot_inter_edges(c):
     return scoring.pivot_edges(c.edges, c.pivot_ids)[0]
 
 
-@query
+@heavy
 def pivot_intra_edges(c):
     return scoring.pivot_edges(c.edges, c.pivot_ids)[1]
 
@@ -452,18 +467,18 @@ def _influence(c):
     return scoring.seed_influence(c.edges, c.nodes, c.train, 2, 100)
 
 
-@query
+@heavy
 def seed_topk_influence(c):
     return _influence(c).select("seed", "id", F.round("s", 11).alias("s"), "rank")
 
 
-@query
+@heavy
 def coverage(c):
     out = scoring.coverage(_influence(c), c.assign, c.train, c.pivot_ids)
     return out.select("part", F.round("covered", 9).alias("covered"), F.round("best", 9).alias("best"))
 
 
-@query
+@heavy
 def revisit_probability(c):
     deg = layout.degree(c.nodes, c.edges).where("deg > 0")
     back = scoring.spmv(c.edges, deg.select("id", (1 / F.col("deg")).alias("s")))
@@ -493,25 +508,25 @@ def _pivots(c):
     return g, collate.build_pivots(g, c.pivot_ids, c.edges, c.assign)
 
 
-@query
+@heavy
 def pivot_tables(c):
     _, p = _pivots(c)
     return p.pivots.select(F.col("pvt").cast("bigint").alias("pvt"), "old_id", "part")
 
 
-@query
+@heavy
 def collate_pivot_nodes(c):
     nodes, _ = collate.collate_with_pivots(*_pivots(c), c.batch)
     return _long(nodes.select("batch", "local_id", "old_id", "label", "is_target"), "local_id")
 
 
-@query
+@heavy
 def collate_pivot_edges(c):
     _, edges = collate.collate_with_pivots(*_pivots(c), c.batch)
     return _long(edges, "src", "dst")
 
 
-@query
+@heavy
 def layout_check(c):
     return _long(collate.check_layout(c.parted, c.edges, c.assign), "bad")
 
@@ -521,12 +536,12 @@ def cluster_batch_nodes(c):
     return collate.cluster_batch(c.nodes, c.edges, c.assign, BATCH, 0.05)[0]
 
 
-@query
+@heavy
 def cluster_batch_edges(c):
     return collate.cluster_batch(c.nodes, c.edges, c.assign, BATCH, 0.05)[1]
 
 
-@query
+@heavy
 def cached_batch_edges(c):
     g = c.parted
     cache = collate.popular_nodes(c.nodes, c.edges, 0.05).join(g.nodes.select(F.col("old_id").alias("id"), "new_id"), "id").select("new_id")
@@ -642,7 +657,7 @@ def sample_hop1(c):
     return _sampled(c, [5])[1]
 
 
-@query
+@heavy
 def sample_hop2(c):
     return _sampled(c, [5, 3])[1]
 
@@ -680,7 +695,7 @@ def _deg_scores(c, nodes):
     return nodes.select("batch", "id").join(d, "id")
 
 
-@query
+@heavy
 def drop_influence_alive(c):
     nodes, _ = _sampled(c, [5, 3])
     return sampling.drop_weak(nodes, _deg_scores(c, nodes), 0.3)
@@ -691,13 +706,13 @@ def drop_hop_alive(c):
     return sampling.drop_far(_sampled(c, [5, 3])[0], 1)
 
 
-@query
+@heavy
 def lossy_edges(c):
     nodes, edges = _sampled(c, [5, 3])
     return sampling.alive_edges(edges, sampling.drop_far(nodes, 1)).select("batch", "hop", "src", "dst")
 
 
-@query
+@heavy
 def batch_influence(c):
     _, edges = _sampled(c, [5, 3])
     return _score(sampling.batch_influence(edges, c.train, 2))
@@ -747,23 +762,23 @@ def _sums(df):
     return df.select("id", F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
 
 
-@query
+@heavy
 def sage_forward(c):
     w = _weights(64, 8)
     return _sums(aggregate.sage(c.edges, c.g.features, [(w, w, np.zeros(8)), (_weights(8, 4), _weights(8, 4), np.zeros(4))]))
 
 
-@query
+@heavy
 def gcn_forward(c):
     return _sums(aggregate.gcn(c.edges, c.g.features, [(_weights(64, 8), np.zeros(8)), (_weights(8, 4), np.zeros(4))]))
 
 
-@query
+@heavy
 def gin_forward(c):
     return _sums(aggregate.gin(c.edges, c.g.features, [(0.1, _weights(64, 8), np.zeros(8))]))
 
 
-@query
+@heavy
 def gat_forward(c):
     return _sums(aggregate.gat(c.edges, c.g.features, [(_weights(64, 8), list(_weights(8)), list(_weights(8)))]))
 
@@ -849,18 +864,18 @@ def fennel_restream(c):
     return _fennel(c, runs=3)
 
 
-@query
+@heavy
 def fennel_weighted(c):
     e = scoring.edge_importance(c.nodes, c.edges, c.train, 2)
     return parting.streaming_partition(c.nodes, e, parting.Fennel(k=K))
 
 
-@query
+@heavy
 def fennel_strata_balance(c):
     return parting.partition(c.nodes, c.edges, "fennel-wlb", K, 2)
 
 
-@query
+@heavy
 def bsp_partition(c):
     return parting.superstep_partition(c.nodes, c.edges, parting.Fennel(k=K))
 
@@ -878,12 +893,12 @@ def fennel_invariants(c):
     return _sound(c, _fennel(c))
 
 
-@query
+@heavy
 def bsp_invariants(c):
     return _sound(c, parting.superstep_partition(c.nodes, c.edges, parting.Fennel(k=K), start=parting.hash_partition(c.nodes, K), steps=2))
 
 
-@query
+@heavy
 def ppr_push(c):
     out = scoring.ppr(c.nodes, c.edges, c.train, 0.25, 1e-4)
     return out.select("seed", "id", F.round("p", 9).alias("p"))
