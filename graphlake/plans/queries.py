@@ -17,6 +17,7 @@ from graphlake.functions.store import cut
 from graphlake.model import PartitionedGraph
 from graphlake.operators import aggregate, batching, collate, layout, metrics, runlog, sampling, scoring
 from graphlake.operators import partition as parting
+from graphlake.plans import loaders
 from graphlake.sources import graphs
 from graphlake.streaming import events as streams
 
@@ -783,6 +784,33 @@ def gat_forward(c):
     return _sums(aggregate.gat(c.edges, c.g.features, [(_weights(64, 8), list(_weights(8)), list(_weights(8)))]))
 
 
+@heavy
+def sage_ri_forward(c):
+    w = _weights(64, 8)
+    layers = [(w, w, np.zeros(8), (w, np.zeros(8))), (_weights(8, 8), _weights(8, 8), np.zeros(8), None)]
+    return _sums(aggregate.sage_ri(c.edges, c.g.features, layers, [(_weights(80, 8), None), (_weights(8, 4), np.zeros(4))]))
+
+
+# Loaders
+
+
+@heavy
+def node_loader_edges(c):
+    return loaders.node_loader(c.g, [5, 3], 100, epoch=0, seed=3).edges
+
+
+@heavy
+def hier_loader_edges(c):
+    e = loaders.hierarchical_loader(c.g, c.assign, 4, [5, 3], 50, epoch=1, seed=2).edges
+    return e.select(F.shiftright("batch", 32).alias("superblock"), F.col("batch").bitwiseAND(F.lit((1 << 32) - 1)).alias("batch"), "hop", "src", "dst")
+
+
+@query
+def partition_loader_nodes(c):
+    nodes = loaders.partition_loader(c.parted, 5, epoch=1, seed=9).nodes
+    return _long(nodes.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_target").cast("int")).alias("targets"), F.max("local_id").alias("last")), "batch", "n", "targets", "last")
+
+
 # Run logs
 
 

@@ -68,23 +68,26 @@ seq AS (SELECT id, row_number() OVER (ORDER BY md5(concat_ws(',', id, 0, 3)), id
 gb AS (SELECT id, pos, {even} AS batch FROM seq)
 """.format(even=_chunk("pos", "n", "100"))
 
-_SAMPLE = _SEEDS + """,
+#: Two hops from gb(batch, id), with fanouts 5 and 3; edges and the seed are put in.
+_HOPS = """
 f1 AS (
   SELECT batch, src, dst FROM (
-    SELECT g.batch, e.src, e.dst, row_number() OVER (PARTITION BY g.batch, e.dst ORDER BY md5(concat_ws(',', e.src, e.dst, 0, 17)), e.src) AS r
-    FROM gb g JOIN edges e ON e.dst = g.id) WHERE r <= 5
+    SELECT g.batch, e.src, e.dst, row_number() OVER (PARTITION BY g.batch, e.dst ORDER BY md5(concat_ws(',', e.src, e.dst, 0, {seed})), e.src) AS r
+    FROM gb g JOIN {edges} e ON e.dst = g.id) WHERE r <= 5
 ),
 n1 AS (SELECT DISTINCT batch, src AS id FROM f1 EXCEPT SELECT batch, id FROM gb),
 f2 AS (
   SELECT batch, src, dst FROM (
-    SELECT g.batch, e.src, e.dst, row_number() OVER (PARTITION BY g.batch, e.dst ORDER BY md5(concat_ws(',', e.src, e.dst, 1, 17)), e.src) AS r
-    FROM n1 g JOIN edges e ON e.dst = g.id) WHERE r <= 3
+    SELECT g.batch, e.src, e.dst, row_number() OVER (PARTITION BY g.batch, e.dst ORDER BY md5(concat_ws(',', e.src, e.dst, 1, {seed})), e.src) AS r
+    FROM n1 g JOIN {edges} e ON e.dst = g.id) WHERE r <= 3
 ),
 n2 AS (SELECT DISTINCT batch, src AS id FROM f2 EXCEPT SELECT batch, id FROM gb EXCEPT SELECT batch, id FROM n1),
 sn AS (SELECT batch, 0 AS hop, id FROM gb UNION ALL SELECT batch, 1, id FROM n1 UNION ALL SELECT batch, 2, id FROM n2),
 se AS (SELECT batch, 0 AS hop, src, dst FROM f1 UNION ALL SELECT batch, 1, src, dst FROM f2)
 """
 
+_SAMPLE = _SEEDS + "," + _HOPS.format(edges="edges", seed=17)
+
 _SUPER = """
 so AS (SELECT part, (row_number() OVER (ORDER BY md5(concat_ws(',', part, 1, 2)), part) - 1) // 4 AS superblock FROM (SELECT DISTINCT part FROM {source}))
 """
@@ -258,6 +261,20 @@ FROM ep JOIN eb a ON a.part = sp JOIN eb b ON b.part = dp AND a.batch = b.batch
 ez AS (SELECT part, seq, CAST({_chunk("seq", "n", "5")} AS BIGINT) AS batch FROM eq),
 eb AS (SELECT ez.part, batch, p.s, coalesce(sum(p.e - p.s) OVER (PARTITION BY batch ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM ez JOIN parts p ON p.part = ez.part)""",
     ),
+    "partition_loader_nodes": _q(
+        "SELECT ez.batch, count(*) AS n, count(*) FILTER (n.split = 'train') AS targets, count(*) - 1 AS last FROM ez JOIN assign a ON a.part = ez.part JOIN nodes n ON n.id = a.id GROUP BY ez.batch",
+        f""" eq AS (SELECT CAST(range AS INTEGER) AS part, row_number() OVER (ORDER BY md5(concat_ws(',', range, 1, 9))) - 1 AS seq, 16 AS n FROM range(16)),
+ez AS (SELECT part, seq, CAST({_chunk("seq", "n", "5")} AS BIGINT) AS batch FROM eq)""",
+    ),
+    "node_loader_edges": _q("SELECT CAST(batch AS BIGINT) AS batch, hop, src, dst FROM se", _SEEDS, _HOPS.format(edges="edges", seed=3)),
+    "hier_loader_edges": _q(
+        "SELECT batch // 4294967296 AS superblock, batch % 4294967296 AS batch, hop, src, dst FROM se",
+        _SUPER.format(source="assign"),
+        " hs AS (SELECT so.superblock, a.id, row_number() OVER (PARTITION BY so.superblock ORDER BY md5(concat_ws(',', a.id, 1, 2))) - 1 AS pos, count(*) OVER (PARTITION BY so.superblock) AS n FROM assign a SEMI JOIN train t ON a.id = t.id JOIN so ON so.part = a.part)",
+        f" gb AS (SELECT superblock * 4294967296 + CAST({_chunk('pos', 'n', '50')} AS BIGINT) AS batch, id FROM hs)",
+        " ie AS (SELECT src, dst FROM edges JOIN assign a ON a.id = src JOIN assign b ON b.id = dst JOIN so x ON x.part = a.part JOIN so y ON y.part = b.part AND x.superblock = y.superblock)",
+        _HOPS.format(edges="ie", seed=2),
+    ),
     "shuffled_seeds": _q("SELECT id, row_number() OVER (ORDER BY md5(concat_ws(',', id, 2, 5))) - 1 AS pos FROM train"),
     "split_chunks": _q("SELECT id, pos, CASE WHEN pos // 64 = n // 64 AND n % 64 < 32 THEN NULL ELSE pos // 64 END AS chunk FROM (SELECT id, row_number() OVER (ORDER BY md5(concat_ws(',', id, 2, 5))) - 1 AS pos, count(*) OVER () AS n FROM train)"),
     "even_split_chunks": _q(f"SELECT id, pos, CAST({_chunk('pos', 'n', '64')} AS BIGINT) AS chunk FROM (SELECT id, row_number() OVER (ORDER BY md5(concat_ws(',', id, 2, 5))) - 1 AS pos, count(*) OVER () AS n FROM train)"),

@@ -8,6 +8,7 @@ from graphlake.functions import config
 from graphlake.model import Graph
 from graphlake.operators import aggregate, batching, collate, layout, metrics, runlog, sampling, scoring
 from graphlake.operators import partition as parting
+from graphlake.plans import loaders
 from graphlake.sources import graphs
 
 UND = [(0, 1), (0, 2), (1, 2), (2, 3), (3, 4), (4, 5)]
@@ -249,6 +250,42 @@ def test_aggregation_and_models(g):
     near(np.array(col(aggregate.gat(g.edges, g.features, [(w1, [1, 0, 0.5], [0.2, 1, 0])]), "x")), a / a.sum(1, keepdims=True) @ h)
 
 
+def test_residual_inception(g):
+    x = np.array([[i, 1.0] for i in range(6)])
+    adj = np.zeros((6, 6))
+    for a, b in UND:
+        adj[a, b] = adj[b, a] = 1
+    mean = adj / adj.sum(1)[:, None]
+    r = np.random.default_rng(3)
+    w = lambda *shape: r.standard_normal(shape) / 4
+    one, skip = (w(2, 3), w(2, 3), w(3)), (w(2, 3), w(3))
+    stats = (w(3), np.abs(w(3)) + 0.5, w(3), w(3))
+    two = (w(3, 3), w(3, 3), np.zeros(3))
+    (own, near_w), bias = aggregate.fold_norm([two[0], two[1]], two[2], *stats)
+    head = [(w(8, 4), None), (w(4, 2), w(2))]
+    leaky = lambda v: np.where(v > 0, v, 0.01 * v)
+    y1 = leaky(x @ one[0] + mean @ x @ one[1] + one[2])
+    x1 = y1 + x @ skip[0] + skip[1]
+    raw = x1 @ two[0] + mean @ x1 @ two[1]
+    y2 = leaky((raw - stats[0]) / np.sqrt(stats[1] + 1e-5) * stats[2] + stats[3])
+    z = np.hstack((x, y1, y2)) @ head[0][0] @ head[1][0] + head[1][1]
+    got = aggregate.sage_ri(g.edges, g.features, [(*one, skip), (own, near_w, bias, None)], head)
+    near(np.array(col(got, "x")), z - np.log(np.exp(z).sum(1, keepdims=True)))
+
+
+def test_loaders(g, assign):
+    e = loaders.node_loader(g, [-1, -1], 1)
+    assert {(r["id"], r["hop"]) for r in e.nodes.where("hop < 2").collect()} >= {(0, 0), (5, 0), (1, 1), (2, 1), (4, 1)}
+    assert e.features.count() == e.nodes.count()
+    h = loaders.hierarchical_loader(g, assign, 1, [-1], 1)
+    home = dict(enumerate(ASSIGN))
+    took = [(r["src"], r["dst"]) for r in h.edges.collect()]
+    assert sorted(took) == [(2, 0), (4, 5)] and all(home[a] == home[b] for a, b in took)
+    pg = layout.partition_graph(g, assign, 3)
+    p = loaders.partition_loader(pg, 3)
+    assert p.nodes.count() == 6 and p.edges.count() == 12 and p.features.count() == 6
+
+
 def test_graph_round_trip(g, assign, spark, tmp_path):
     graphs.write_graph(g, f"{tmp_path}/g")
     back = graphs.read_graph(spark, f"{tmp_path}/g", ("coo", "csc"))

@@ -9,7 +9,7 @@ from graphlake.plans import roster
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = ["graph_nodes", "cut_matrix", "relabelled_edges", "block_offsets", "lazy_rw_k3", "node_importance_k2", "collate_edges", "collate_pivot_edges", "even_split_chunks", "hier_batches", "sample_hop2", "neighbor_mean", "label_emd_per_batch", "best_epoch", "stream_assign", "layout_check"]
+QUICK = ["graph_nodes", "cut_matrix", "relabelled_edges", "block_offsets", "lazy_rw_k3", "node_importance_k2", "collate_edges", "collate_pivot_edges", "even_split_chunks", "hier_batches", "sample_hop2", "neighbor_mean", "label_emd_per_batch", "best_epoch", "stream_assign", "layout_check", "hier_loader_edges", "partition_loader_nodes"]
 
 
 def rows_of(result):
