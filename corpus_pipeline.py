@@ -30,7 +30,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group; of equal rows one stays.  Rows with a null doc_id stay."""
+    """Keeps the document of the smallest doc_id of each group; of equal rows one stays.
+
+    Rows with a null doc_id stay.  Where an id repeats with several texts, all its rows go if one of them is a copy of a smaller id's.
+    """
     gone = neardup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gl_id")).distinct()
     kept = docs.withColumn("_gl_id", F.col("doc_id").cast("bigint")).join(gone, "_gl_id", "left_anti")
     return kept.withColumn("_gl_body", F.xxhash64("text")).dropDuplicates(["_gl_id", "_gl_body"]).select(*docs.columns)

@@ -71,6 +71,12 @@ def test_odd_rows_pass(spark):
     assert n["language_id"] >= 30 and n["near_duplicates"] <= 32
 
 
+def test_repeated_ids_with_several_texts(spark):
+    one, two = (" ".join(f"{w}{i}" for i in range(20)) for w in "ab")
+    docs = spark.createDataFrame([(1, one), (2, one), (2, two), (3, two), (3, two)], "doc_id bigint, text string")
+    assert ids(pipeline.near_duplicates(spark, docs, SF)) == [1]
+
+
 def test_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
