@@ -5,6 +5,9 @@ how many documents an entity occurs, in how many a term occurs, and in how many
 stands near the entity.  The pointwise mutual information of the two, as a share of the entity's information
 content, says how much of the entity the term discloses: 1 where the term never occurs without it.  A
 term over the threshold is generalised, over a higher one removed, in the documents that hold both.
+
+Every pair is judged, also of an entity in one document.  What few documents cannot tell is left to a
+bound on chance: how likely the two would meet so often if they were independent.
 """
 
 from __future__ import annotations
@@ -36,10 +39,10 @@ LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 
 @dataclass(frozen=True)
 class Sanitising:
-    """window: words on either side of an entity that count as near; support: least number of documents with the pair; generalise, remove: disclosed shares from which a term is replaced or deleted; log2_bits: size of the term filter."""
+    """window: words on either side of an entity that count as near; chance: the greatest probability of as many documents with the pair if the two were independent; generalise, remove: disclosed shares from which a term is replaced or deleted; log2_bits: size of the term filter."""
 
     window: int = 8
-    support: int = 3
+    chance: float = 0.01
     generalise: float = 0.8
     remove: float = 0.95
     log2_bits: int = 24
@@ -165,6 +168,16 @@ def _document_counts(p: Sanitising, held):
     return run
 
 
+def _chance(n: int):
+    """Chernoff's bound on the probability that n_both or more of the n_e documents hold a term that n_t of all n hold.
+
+    Exact where all of them do: an entity and a term that only one document holds meet with probability 1 / n.
+    """
+    both, e, q = F.col("n_both"), F.col("n_e"), F.col("n_t") / F.lit(float(n))
+    apart = F.when(both < e, (e - both) * F.log((1 - both / e) / (1 - q))).otherwise(0.0)
+    return F.exp(-(both * F.log(both / e / q) + apart))
+
+
 def find_spans(docs: DataFrame, p: Sanitising = Sanitising()) -> DataFrame:
     """One row per row of docs(doc_id, text): rid, doc_id, n_email, n_ip, n_card, n_phone, base, terms.
 
@@ -178,7 +191,7 @@ def find_spans(docs: DataFrame, p: Sanitising = Sanitising()) -> DataFrame:
     docs = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = scratch.write(docs.mapInArrow(_find(p), FOUND), "found")
     near = found.select("rid", F.explode("near").alias("c")).select("rid", "c.e", "c.t", "c.at")
-    pairs = scratch.write(near.groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_both")).where(f"n_both >= {p.support}"), "pairs")
+    pairs = scratch.write(near.groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_both")), "pairs")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -196,7 +209,7 @@ def find_spans(docs: DataFrame, p: Sanitising = Sanitising()) -> DataFrame:
     known = pairs.join(n_term, "t").join(n_entity, "e")
     # An entity in every document has no information to disclose.
     share = F.log(F.lit(float(n)) * F.col("n_both") / (F.col("n_e") * F.col("n_t"))) / F.log(F.lit(float(n)) / F.col("n_e"))
-    telling = known.where(F.col("n_e") < n).withColumn("share", share).where(F.col("share") >= p.generalise).select("e", "t", "share")
+    telling = known.where(F.col("n_e") < n).withColumn("share", share).where((F.col("share") >= p.generalise) & (_chance(n) <= p.chance)).select("e", "t", "share")
     told = near.join(telling, ["e", "t"]).select("rid", F.explode("at").alias("at"), "share").groupBy("rid", "at").agg(F.max("share").alias("share"))
     terms = told.groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("at.s", "at.x", (F.col("share") >= p.remove).alias("gone")))).alias("terms"))
     return found.drop("near").join(terms, "rid", "left")

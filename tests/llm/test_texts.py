@@ -71,6 +71,26 @@ def test_disclosing_terms(spark):
     assert share >= pii.Sanitising().remove
 
 
+def rare_rows():
+    """300 documents: one address in one document, one in two, each beside a name; the other words are common."""
+    r = random.Random(8)
+    fill = lambda: " ".join(f"w{chr(97 + r.randrange(12))}" for _ in range(20))
+    rows = [(i, fill()) for i in range(300)]
+    rows[7] = (7, f"{fill()} Quillon a.b@mail.example.com {fill()}")
+    for i in (11, 12):
+        rows[i] = (i, f"{fill()} Yarrow c.d@mail.example.com {fill()}")
+    return rows
+
+
+def test_entities_of_one_and_two_documents(spark):
+    rows = rare_rows()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {s.doc_id: [rows[s.doc_id][1][t.s : t.x] for t in s.terms] for s in pii.find_spans(df).collect() if s.terms}
+    assert found == {7: ["Quillon"], 11: ["Yarrow"], 12: ["Yarrow"]}
+    few = pii.find_spans(df.where("doc_id between 7 and 60")).where("doc_id = 7").first()
+    assert few.terms is None  # 1 in 54 is no proof
+
+
 def test_pii_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in pii.op5_disclosure(spark, SF).collect():
