@@ -1,8 +1,8 @@
 """Personal data: base spans by pattern, and information-theoretic sanitisation around them.
 
 The protected entities are the values that the patterns find.  Over the whole corpus it is counted in
-how many documents an entity occurs, in how many a term occurs, and in how many the term
-stands near the entity.  The pointwise mutual information of the two, as a share of the entity's information
+how many documents an entity occurs, in how many a term occurs, and in how many both do,
+for terms that stand near the entity somewhere.  The pointwise mutual information of the two, as a share of the entity's information
 content, says how much of the entity the term discloses: 1 where the term never occurs without it.  A
 term over the threshold is generalised, over a higher one removed, in the documents that hold both.
 
@@ -98,50 +98,57 @@ def term(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def contexts(text: str, spans: dict[str, list[tuple[int, int]]], window: int) -> dict[tuple[int, str], list[tuple[int, int]]]:
-    """(entity, term): all places of the term in the text, for terms near the entity and outside of all spans."""
-    if not any(spans.values()):
-        return {}
+def outside(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[tuple[int, int, str]]:
+    """(start, end, word) of all words outside of all spans, in lower case."""
     taken = sorted(s for k in KINDS for s in spans[k])
     reach: list[int] = []
     for _, e in taken:
         reach.append(max(e, reach[-1] if reach else 0))
     starts = [s for s, _ in taken]
-    words, places = [], {}
+    words = []
     for m in WORD.finditer(text):
         k = bisect_right(starts, m.end() - 1)
-        if k and reach[k - 1] > m.start():
-            continue
-        w = m[0].lower()
-        words.append((m.start(), w))
-        places.setdefault(w, []).append(m.span())
-    at = [s for s, _ in words]
-    out = {}
+        if not k or reach[k - 1] <= m.start():
+            words.append((m.start(), m.end(), m[0].lower()))
+    return words
+
+
+def entities(text: str, spans: dict[str, list[tuple[int, int]]]) -> set[int]:
+    return {entity(k, text[s:e]) for k in KINDS for s, e in spans[k]}
+
+
+def contexts(text: str, spans: dict[str, list[tuple[int, int]]], window: int) -> set[tuple[int, str]]:
+    """(entity, term) of terms near the entity and outside of all spans."""
+    if not any(spans.values()):
+        return set()
+    words = outside(text, spans)
+    at = [s for s, *_ in words]
+    out = set()
     for kind in KINDS:
         for s, e in spans[kind]:
             c = entity(kind, text[s:e])
             lo, hi = bisect_right(at, s), bisect_right(at, e - 1)
-            for _, w in words[max(0, lo - window) : hi + window]:
-                out[c, w] = places[w]
+            out.update((c, w) for *_, w in words[max(0, lo - window) : hi + window])
     return out
 
 
-CONTEXT = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("at", pa.list_(pa.struct([("s", pa.int32()), ("x", pa.int32())])))]))
-FOUND = "rid bigint, doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, near array<struct<e: bigint, t: bigint, at: array<struct<s: int, x: int>>>>"
+CONTEXT = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64())]))
+FOUND = "rid bigint, doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, who array<bigint>, near array<struct<e: bigint, t: bigint>>"
 
 
 def _find(p: Sanitising):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts: list[list[int]] = [[] for _ in KINDS]
-            base, near = [], []
+            base, who, near = [], [], []
             for text in b.column("text").to_pylist():
                 spans = base_spans(text or "")
                 for n, k in zip(counts, KINDS, strict=True):
                     n.append(len(spans[k]))
                 base.append(",".join(f"{k}:{s}:{e}" for k in KINDS for s, e in spans[k]))
-                near.append([{"e": c, "t": term(w), "at": [{"s": s, "x": e} for s, e in at]} for (c, w), at in contexts(text or "", spans, p.window).items()])
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), *(pa.array(n, pa.int64()) for n in counts), pa.array(base, pa.string()), pa.array(near, CONTEXT)], ["rid", "doc_id", *(f"n_{k}" for k in KINDS), "base", "near"])
+                who.append(sorted(entities(text or "", spans)))
+                near.append([{"e": c, "t": term(w)} for c, w in contexts(text or "", spans, p.window)])
+            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), *(pa.array(n, pa.int64()) for n in counts), pa.array(base, pa.string()), pa.array(who, pa.list_(pa.int64())), pa.array(near, CONTEXT)], ["rid", "doc_id", *(f"n_{k}" for k in KINDS), "base", "who", "near"])
 
     return run
 
@@ -150,6 +157,49 @@ def _places(t: np.ndarray, log2_bits: int) -> np.ndarray:
     return (t.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - log2_bits)
 
 
+def _pair(e: int | np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Key of (entity, term) in a filter that holds the entities themselves, too."""
+    return ((np.asarray(e, np.int64).view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) ^ t.view(np.uint64)).view(np.int64)
+
+
+def _filter(keys: DataFrame, p: Sanitising, pairs: bool) -> np.ndarray:
+    """2**log2_bits bits, whatever the corpus: those of the terms of keys(t), or of the entities and pairs of keys(e, t)."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = b.column("t").to_numpy(zero_copy_only=False)
+            if pairs:
+                e = b.column("e").to_numpy(zero_copy_only=False)
+                t = np.concatenate((e, _pair(e, t)))
+            at = np.unique(_places(t, p.log2_bits)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["word", "bits"])
+
+    words = keys.mapInArrow(places, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(1 << (p.log2_bits - 6), np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return bits.view(np.uint8)
+
+
+def _held(bits: np.ndarray, keys: np.ndarray, log2_bits: int) -> np.ndarray:
+    at = _places(keys, log2_bits).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7) & 1).astype(bool)
+
+
+def _together(text: str, bits: np.ndarray, log2_bits: int) -> tuple[list[tuple[int, str]], dict[str, list[tuple[int, int]]]]:
+    """The (entity, term) of the whole text that a filter holds, with a few false ones, and the places of all terms outside of the spans."""
+    spans = base_spans(text)
+    who = np.fromiter(sorted(entities(text, spans)), np.int64)
+    who = who[_held(bits, who, log2_bits)]
+    places: dict[str, list[tuple[int, int]]] = {}
+    if not who.size:
+        return [], places
+    for s, e, w in outside(text, spans):
+        places.setdefault(w, []).append((s, e))
+    words = list(places)
+    t = np.fromiter(map(term, words), np.int64, len(words))
+    return [(int(e), words[i]) for e in who for i in np.flatnonzero(_held(bits, _pair(e, t), log2_bits))], places
+
+
 def _document_counts(p: Sanitising, held):
     """(t, n): of terms in the filter, the documents of each batch that hold them; counted before the shuffle."""
 
@@ -161,13 +211,40 @@ def _document_counts(p: Sanitising, held):
                 seen.update({w.lower() for w in set(WORD.findall(text))} if text else ())
             t = np.fromiter(map(term, seen), np.int64, len(seen))
             n = np.fromiter(seen.values(), np.int64, len(seen))
-            at = _places(t, p.log2_bits).astype(np.int64)
-            ok = (bits[at >> 3] >> (at & 7) & 1).astype(bool)
+            ok = _held(bits, t, p.log2_bits)
             yield pa.RecordBatch.from_arrays([pa.array(t[ok]), pa.array(n[ok])], ["t", "n"])
 
     return run
 
 
+def _pair_counts(p: Sanitising, held):
+    """(e, t, n): of pairs in the filter, the documents of each batch that hold both, anywhere; counted before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: Counter[tuple[int, str]] = Counter()
+            for text in b.column("text").to_pylist():
+                seen.update(_together(text, held.value, p.log2_bits)[0] if text else ())
+            yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in seen], pa.int64()), pa.array([term(w) for _, w in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["e", "t", "n"])
+
+    return run
+
+
+def _occurrences(p: Sanitising, held):
+    """(rid, e, t, s, x): all places of the terms of pairs in the filter, in the documents that hold both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for rid, text in zip(b.column("rid").to_pylist(), b.column("text").to_pylist(), strict=True):
+                pairs, places = _together(text, held.value, p.log2_bits) if text else ([], {})
+                rows += [(rid, e, term(w), s, x) for e, w in pairs for s, x in places[w]]
+            cols = zip(*rows, strict=True) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["rid", "e", "t", "s", "x"])
+
+    return run
+
+
 def _chance(n: int):
     """Chernoff's bound on the probability that n_both or more of the n_e documents hold a term that n_t of all n hold.
 
@@ -190,29 +267,26 @@ def find_spans(docs: DataFrame, p: Sanitising = Sanitising()) -> DataFrame:
     scratch = Scratch(spark, "pii")
     docs = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = scratch.write(docs.mapInArrow(_find(p), FOUND), "found")
-    near = found.select("rid", F.explode("near").alias("c")).select("rid", "c.e", "c.t", "c.at")
-    pairs = scratch.write(near.groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_both")), "pairs")
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.unique(_places(b.column("t").to_numpy(zero_copy_only=False), p.log2_bits)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["word", "bits"])
-
-    words = pairs.select("t").mapInArrow(places, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros(1 << (p.log2_bits - 6), np.int64)
-    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    held = spark.sparkContext.broadcast(bits.view(np.uint8))  # 2**log2_bits bits, whatever the corpus
+    near = found.select(F.explode("near").alias("c")).select("c.e", "c.t").distinct()
+    n_entity = found.select(F.explode("who").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
+    pairs = scratch.write(near.join(n_entity, "e"), "pairs")
+    send = spark.sparkContext.broadcast
+    held = send(_filter(pairs.select("t"), p, False))
     n_term = docs.select("text").mapInArrow(_document_counts(p, held), "t bigint, n bigint").groupBy("t").agg(F.sum("n").alias("n_t"))
-    # An entity counts once in each document, as its nearest words name it once each.
-    n_entity = found.select(F.explode(F.array_distinct(F.transform("near", lambda c: c["e"]))).alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
+    # An entity of one document meets all its near terms there and nowhere else.
+    several = send(_filter(pairs.where("n_e > 1"), p, True))
+    n_both = docs.select("text").mapInArrow(_pair_counts(p, several), "e bigint, t bigint, n bigint") if several.value.any() else spark.createDataFrame([], "e bigint, t bigint, n bigint")
+    n_both = n_both.groupBy("e", "t").agg(F.sum("n").alias("n_both"))
     n = found.count()
-    known = pairs.join(n_term, "t").join(n_entity, "e")
+    known = pairs.join(n_both, ["e", "t"], "left").withColumn("n_both", F.coalesce("n_both", F.lit(1))).join(n_term, "t")
     # An entity in every document has no information to disclose.
     share = F.log(F.lit(float(n)) * F.col("n_both") / (F.col("n_e") * F.col("n_t"))) / F.log(F.lit(float(n)) / F.col("n_e"))
     telling = known.where(F.col("n_e") < n).withColumn("share", share).where((F.col("share") >= p.generalise) & (_chance(n) <= p.chance)).select("e", "t", "share")
-    told = near.join(telling, ["e", "t"]).select("rid", F.explode("at").alias("at"), "share").groupBy("rid", "at").agg(F.max("share").alias("share"))
-    terms = told.groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("at.s", "at.x", (F.col("share") >= p.remove).alias("gone")))).alias("terms"))
-    return found.drop("near").join(terms, "rid", "left")
+    telling = scratch.write(telling, "telling")
+    told = docs.select("rid", "text").mapInArrow(_occurrences(p, send(_filter(telling, p, True))), "rid bigint, e bigint, t bigint, s int, x int")
+    told = told.join(telling, ["e", "t"]).groupBy("rid", "s", "x").agg(F.max("share").alias("share"))
+    terms = told.groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("s", "x", (F.col("share") >= p.remove).alias("gone")))).alias("terms"))
+    return found.drop("who", "near").join(terms, "rid", "left")
 
 
 def redact(text: str | None, base: str, terms: list | None) -> str | None:
@@ -227,7 +301,10 @@ def redact(text: str | None, base: str, terms: list | None) -> str | None:
         if s >= end:
             out += [text[end:s], put]
         end = max(end, e)
-    return "".join([*out, text[end:]])
+    text = "".join([*out, text[end:]])
+    # What a removed term stood between may now read as personal data.
+    joined = base_spans(text) if terms is not None and len(terms) else {}
+    return redact(text, ",".join(f"{k}:{s}:{e}" for k, v in joined.items() for s, e in v), None)
 
 
 def sanitise(docs: DataFrame, p: Sanitising = Sanitising()) -> DataFrame:

@@ -91,6 +91,24 @@ def test_entities_of_one_and_two_documents(spark):
     assert few.terms is None  # 1 in 54 is no proof
 
 
+def test_terms_far_from_their_entity(spark):
+    """A telling term goes from every document that holds both, however far apart; all such documents count."""
+    rows = rare_rows()
+    far = rows[11][1].replace("Yarrow", rows[50][1])
+    rows[13] = (13, f"Yarrow {far}")
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {s.doc_id: [rows[s.doc_id][1][t.s : t.x] for t in s.terms] for s in pii.find_spans(df).collect() if s.terms}
+    assert found == {7: ["Quillon"], 11: ["Yarrow"], 12: ["Yarrow"], 13: ["Yarrow"]}
+    # Near in one document of three, in the foot of the others: the share is that of three documents.
+    rows[12] = (12, f"Yarrow {far}")
+    found = pii.find_spans(spark.createDataFrame(rows, df.schema)).where("doc_id in (11, 12, 13)").collect()
+    assert all([(rows[s.doc_id][1][t.s : t.x], t.gone) for t in s.terms] == [("Yarrow", True)] for s in found)
+
+
+def test_removal_joins_no_number():
+    assert pii.redact("a@b.cc 4111abc111111111111", "email:0:6", [{"s": 11, "x": 14, "gone": True}]) == "[EMAIL] [CARD]"
+
+
 def test_pii_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in pii.op5_disclosure(spark, SF).collect():
