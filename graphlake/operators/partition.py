@@ -169,15 +169,37 @@ def streaming_partition(nodes: DataFrame, edges: DataFrame, p: Fennel = Fennel()
     return rows.withColumn("_all", F.lit(True)).groupBy("_all").applyInArrow(run, "id bigint, part int")
 
 
-def superstep_partition(nodes: DataFrame, edges: DataFrame, p: Fennel = Fennel(), steps: int = 4, start: DataFrame | None = None) -> DataFrame:
+def _even(now: DataFrame, caps: DataFrame, k: int) -> DataFrame:
+    """now(id, part, b) with what a part holds of a class beyond caps(b, cap) moved to the parts with room for it."""
+    held = now.groupBy("b", "part").agg(F.count(F.lit(1)).alias("held"))
+    parts = now.sparkSession.range(k).select(F.col("id").cast("int").alias("part"))
+    fill = caps.crossJoin(parts).join(held, ["b", "part"], "left").select("b", "part", "cap", (F.coalesce("held", F.lit(0)) - F.col("cap")).alias("over"))
+    before = Window.partitionBy("b").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    sums = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    surplus, room = F.greatest("over", F.lit(0)), F.greatest(-F.col("over"), F.lit(0))
+    fill = cut(fill.select("b", "part", "cap", sums(surplus).alias("first"), sums(room).alias("lo"), (sums(room) + room).alias("hi")))
+    order = Window.partitionBy("b", "part").orderBy("id")
+    out = now.withColumn("rank", F.row_number().over(order)).join(fill.select("b", "part", "cap", "first"), ["b", "part"]).where("rank > cap")
+    out = out.select("id", "b", (F.col("first") + F.col("rank") - F.col("cap") - 1).alias("slot"))
+    slots = fill.where("hi > lo").select("b", F.col("part").alias("to"), "lo", "hi")
+    moved = out.join(slots, "b").where("slot >= lo and slot < hi").select("id", "to")
+    return now.join(moved, "id", "left").select("id", F.coalesce("to", "part").cast("int").alias("part"))
+
+
+def superstep_partition(nodes: DataFrame, edges: DataFrame, p: Fennel = Fennel(), steps: int = 4, start: DataFrame | None = None, balance: str | None = None) -> DataFrame:
     """(id, part) by supersteps from a hash partition: votes of neighbours plus the size penalty propose a move, the largest gains
-    are admitted as far as the target has room.  All steps are joins and aggregates; each is written and read back."""
+    are admitted as far as the target has room.  All steps are joins and aggregates; each is written and read back.
+    balance names an integer column of nodes: no part takes more of any of these classes than its share times the slack."""
     n, m, k = nodes.count(), edges.count(), p.k
     alpha = p.alpha if p.alpha is not None else default_alpha(max(n, 1), m, k, p.gamma)
     cap = int(n / k * p.slack)
     w = F.col("w") if "w" in edges.columns else F.lit(1.0)
     now = start if start is not None else hash_partition(nodes, k)
     now = cut(now.select("id", "part"))
+    if balance:
+        kinds = cut(nodes.select("id", F.coalesce(F.col(balance).cast("int"), F.lit(0)).alias("b")))
+        caps = cut(kinds.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / k * p.slack).alias("cap")))
+        now = cut(_even(now.join(kinds, "id"), caps, k))
     for step in range(steps):
         sizes = now.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
         sizes = sizes.withColumn("score", -alpha * p.gamma * F.pow(F.col("size").cast("double"), F.lit(p.gamma - 1)))
@@ -187,6 +209,11 @@ def superstep_partition(nodes: DataFrame, edges: DataFrame, p: Fennel = Fennel()
         stay = now.join(total, ["id", "part"], "left").join(sizes.select("part", "score"), "part").select("id", "part", F.coalesce("total", "score").alias("held"))
         # Half of the nodes may move in a step, by a hash, so that neighbours do not swap for ever.
         moves = stay.join(best, "id").where((F.col("to") != F.col("part")) & (F.col("total") > F.col("held"))).where(bucket(F.col("id") * 31 + step, 2) == 0)
+        if balance:
+            held = now.join(kinds, "id").groupBy(F.col("part").alias("to"), "b").agg(F.count(F.lit(1)).alias("n"))
+            among = Window.partitionBy("to", "b").orderBy(F.desc(F.round(F.col("total") - F.col("held"), 9)), "id")
+            moves = moves.join(kinds, "id").withColumn("rank", F.row_number().over(among)).join(caps, "b").join(held, ["to", "b"], "left")
+            moves = moves.where(F.col("rank") <= F.col("cap") - F.coalesce("n", F.lit(0))).drop("b", "rank", "cap", "n")
         room = sizes.select(F.col("part").alias("to"), (F.lit(cap) - F.col("size")).alias("room"))
         order = Window.partitionBy("to").orderBy(F.desc(F.round(F.col("total") - F.col("held"), 9)), "id")
         moves = moves.withColumn("rank", F.row_number().over(order)).join(room, "to").where("rank <= room").select("id", "to")
@@ -212,8 +239,8 @@ def partition(nodes: DataFrame, edges: DataFrame, method: str, k: int, runs: int
     if method.endswith(("-w", "-wtb", "-wlb")):
         edges = edge_importance(nodes, edges, nodes.where("split = 'train'").select("id"), 2)
     if method.startswith("metis"):
-        out = superstep_partition(nodes, edges, p)
-        return out
+        marked = nodes.withColumn("_b", F.coalesce(F.col("split") == "train", F.lit(False)).cast("int"))
+        return superstep_partition(marked, edges, p, balance="_b" if method.endswith("tb") else None)
     if method.endswith("lb"):
         top = nodes.agg(F.coalesce(F.max("label"), F.lit(-1))).first()[0] + 1
         train = F.coalesce(F.col("split") == "train", F.lit(False))

@@ -212,6 +212,24 @@ def test_stream_respects_caps():
     assert cut(part) < cut(r.integers(0, k, n))
 
 
+def test_training_nodes_are_balanced(spark):
+    """All training nodes are one clique of two, which a partitioner of few cuts puts into one part."""
+    nodes = spark.createDataFrame([(i, 0, "train" if i < 40 else None) for i in range(120)], "id bigint, label int, split string")
+    pairs = [(i, j) for i in range(120) for j in range(120) if i != j and (i < 40) == (j < 40)]
+    edges = spark.createDataFrame(pairs, "src bigint, dst bigint")
+
+    def most(parts):
+        return parts.join(nodes.where("split = 'train'"), "id").groupBy("part").count().agg(F.max("count")).first()[0]
+
+    for m in ("metis-tb", "metis-wtb"):
+        out = parting.partition(nodes, edges, m, 4)
+        assert out.count() == 120 and most(out) <= 11, m
+    skew = nodes.select("id", F.when(F.col("id") < 40, 0).otherwise(F.col("id") % 4).cast("int").alias("part"))
+    marked = nodes.withColumn("b", F.coalesce(F.col("split") == "train", F.lit(False)).cast("int"))
+    out = parting.superstep_partition(marked, edges, parting.Fennel(k=4), 2, skew, balance="b")
+    assert most(out) <= 11 and out.groupBy("part").count().agg(F.max("count")).first()[0] <= 34
+
+
 def test_superstep_improves_and_keeps_room(g, spark):
     first = parting.hash_partition(g.nodes, 2)
     out = parting.superstep_partition(g.nodes, g.edges, parting.Fennel(k=2, slack=1.4), 3, first)
