@@ -17,8 +17,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from graphlake.llm.common import release_memory, table
+from graphlake.llm.common import Scratch, release_memory, table
 
 SIZES = (3, 4)
 SCHEMA = "lang_pred string, score double"
@@ -104,44 +105,53 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def training_rows(docs: DataFrame, train_rows: int) -> DataFrame:
     """(text, lang) of the labelled rows outside the held-out fold, or a sample of about ``train_rows`` of them.
 
-    The fold is crc32(doc_id as text) mod 4 = 2.  The sample takes the rows whose id hashes below a
-    share of the hash range, so it is the same on every run.
+    The fold is crc32(doc_id as text) mod 4 = 2.  The rows are shared out evenly over the languages: of one
+    with fewer than its part all are taken, and what it leaves goes to the others.  The sample takes the rows whose
+    id hashes below their language's share of the hash range, so it is the same on every run.
     """
     labelled = docs.where("lang is not null and text is not null and pmod(crc32(cast(cast(doc_id as string) as binary)), 4) <> 2")
-    n = labelled.count()
-    if n > train_rows:
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(train_rows / n * (1 << 20)) + 1)
+    sizes = sorted((r["count"], r["lang"]) for r in labelled.groupBy("lang").count().collect())
+    if sum(n for n, _ in sizes) > train_rows:
+        bounds, left = [], train_rows
+        for i, (n, lang) in enumerate(sizes):
+            take = min(n, max(1, left // (len(sizes) - i)))
+            bounds.append((lang, int(take / n * (1 << 40)) + 1))
+            left -= take
+        bound = docs.sparkSession.createDataFrame(bounds, "lang string, bound bigint")
+        labelled = labelled.join(bound, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.col("bound"))
     return labelled.select("text", "lang")
 
 
-def fit(docs: DataFrame, *, train_rows: int = 20_000, log2_bits: int = 20, hashes: int = 2, share: float = 0.5, least: int = 3, most_grams: int = 400_000) -> LanguageFilters:
+def fit(docs: DataFrame, *, train_rows: int = 20_000, log2_bits: int = 20, hashes: int = 2, share: float = 0.5, least: int = 3) -> LanguageFilters:
     """Learns from a documented bound of ``train_rows`` labelled rows of docs(doc_id, text, lang).
 
     A language contains an n-gram if it uses it at least ``least`` times and at least ``share`` times as
-    often, per n-gram of its text, as the language that uses it most.  ``most_grams`` bounds what
-    the filter takes (the most frequent go first), and so what reaches the driver.
+    often, per n-gram of its text, as the language that uses it most.  The filter is built in tasks; its
+    words reach the driver, which are fixed in number.
     No labelled row gives a model without languages, which answers ``und``.
     """
+    scratch = Scratch(docs.sparkSession, "langid")
     counts = training_rows(docs, train_rows).mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = counts.where(f"n >= {least}")
-    rows = counts.orderBy(F.desc("n"), "lang", "gram").limit(most_grams).toArrow()
-    lang, gram, n = (rows.column(c).combine_chunks() for c in ("lang", "gram", "n"))
-    langs = tuple(sorted(set(lang.to_pylist())))
+    counts = scratch.write(counts.where(f"n >= {least}"), "counts")
+    totals = sorted((r.lang, r.total) for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).collect())
+    langs = tuple(lang for lang, _ in totals)
     width = max(1, -(-len(langs) // 64))
     words = np.zeros((1 << log2_bits, width), np.uint64)
     if not langs:
         return LanguageFilters((), words, np.zeros(0), log2_bits, hashes)
-    code = np.searchsorted(np.array(langs), np.array(lang.to_pylist()))
-    g, c = gram.to_numpy().view(np.uint64), n.to_numpy().astype(float)
-    rate = c / np.bincount(code, c, len(langs))[code]
-    kinds, at = np.unique(g, return_inverse=True)
-    top = np.zeros(kinds.size)
-    np.maximum.at(top, at, rate)
-    held = rate >= share * top[at]
-    g, code = g[held], code[held]
-    bit = np.uint64(1) << (code % 64).astype(np.uint64)
-    for at in _positions(g, hashes, log2_bits):
-        np.bitwise_or.at(words, (at, code // 64), bit)
+    codes = docs.sparkSession.createDataFrame([(lang, i, float(n)) for i, (lang, n) in enumerate(totals)], "lang string, code bigint, total double")
+    rated = counts.join(codes, "lang").select("code", "gram", (F.col("n") / F.col("total")).alias("rate"))
+    rated = rated.withColumn("top", F.max("rate").over(Window.partitionBy("gram"))).where(F.col("rate") >= share * F.col("top"))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            code, gram = (b.column(c).to_numpy(zero_copy_only=False) for c in ("code", "gram"))
+            bit = (np.uint64(1) << (code % 64).astype(np.uint64)).view(np.int64)
+            for at in _positions(gram.view(np.uint64), hashes, log2_bits):
+                yield pa.RecordBatch.from_arrays([pa.array(at * width + code // 64), pa.array(bit)], ["cell", "bits"])
+
+    cells = rated.select("code", "gram").mapInArrow(mark, "cell bigint, bits bigint").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words.reshape(-1)[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy().view(np.uint64)
     fill = np.array([((words[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(langs))])
     return LanguageFilters(langs, words, fill**hashes, log2_bits, hashes)
 

@@ -280,6 +280,20 @@ def test_languages(spark):
     assert langid.predict(odd.limit(0), model).count() == 0
 
 
+def test_rare_language(spark):
+    """Two rows of 20,000, with fewer uses of each n-gram than nearly all n-grams of the language beside it."""
+    r = random.Random(6)
+    rows = [(i, "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=170)), "xx") for i in range(20_000)]
+    greek = "η γρήγορη αλεπού πηδάει πάνω από τον τεμπέλη σκύλο"
+    for i in [i for i in range(20_000) if not langid.held_out(i)][:2]:
+        rows[i] = (i, f"{greek} {greek}", "el")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(8)
+    for n in (20_000, 2_000):  # all rows, and a sample
+        lang, score = langid.classify(langid.fit(docs, train_rows=n), greek)
+        assert lang == "el" and score > 0.8
+    assert 1_800 < langid.training_rows(docs, 2_000).count() < 2_200
+
+
 def test_filters_answer_for_all_languages():
     """The looked-up word is the set of all languages that hold an n-gram, but for false positives."""
     grams = langid.ngrams("abcdefgh")
