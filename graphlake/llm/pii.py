@@ -1,7 +1,7 @@
 """Personal data: base spans by pattern, and information-theoretic sanitisation around them.
 
 The protected entities are the values that the patterns find.  Over the whole corpus it is counted in
-how many documents an entity occurs, in how many a term occurs, and in how many both do,
+how many documents an entity occurs, in how many a term occurs outside of the patterns' spans, and in how many both do,
 for terms that stand near the entity somewhere.  The pointwise mutual information of the two, as a share of the entity's information
 content, says how much of the entity the term discloses: 1 where the term never occurs without it.  A
 term over the threshold is generalised, over a higher one removed, in the documents that hold both.
@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlake.llm.common import Scratch, table
@@ -34,6 +34,8 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\W\d_]+")
+#: A text without these holds nothing that a pattern could find.
+MAY_HOLD = re.compile(r"@|[0-9][\x20.-]?[0-9]|\+[0-9]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -74,9 +76,11 @@ def luhn(digits: str) -> bool:
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """The spans of each kind; a match that fails its condition is dropped and not tried again shorter."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
+    if not MAY_HOLD.search(text):
+        return out
     out["email"] = emails(text)
     for m in IP.finditer(text):
-        if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+        if all(len(x) <= 3 and int(x or "0") <= 255 for x in (part.lstrip("0") for part in m[0].split("."))):
             out["ip"].append(m.span())
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -133,7 +137,7 @@ def contexts(text: str, spans: dict[str, list[tuple[int, int]]], window: int) ->
 
 
 CONTEXT = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64())]))
-FOUND = "rid bigint, doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, who array<bigint>, near array<struct<e: bigint, t: bigint>>"
+FOUND = "rid string, doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, who array<bigint>, near array<struct<e: bigint, t: bigint>>"
 
 
 def _find(p: Sanitising):
@@ -158,19 +162,19 @@ def _places(t: np.ndarray, log2_bits: int) -> np.ndarray:
 
 
 def _pair(e: int | np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Key of (entity, term) in a filter that holds the entities themselves, too."""
+    """Key of (entity, term) in a filter that holds the entities and, as their complements, the terms, too."""
     return ((np.asarray(e, np.int64).view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) ^ t.view(np.uint64)).view(np.int64)
 
 
 def _filter(keys: DataFrame, p: Sanitising, pairs: bool) -> np.ndarray:
-    """2**log2_bits bits, whatever the corpus: those of the terms of keys(t), or of the entities and pairs of keys(e, t)."""
+    """2**log2_bits bits, whatever the corpus: those of the terms of keys(t), or of the entities, terms and pairs of keys(e, t)."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t = b.column("t").to_numpy(zero_copy_only=False)
             if pairs:
                 e = b.column("e").to_numpy(zero_copy_only=False)
-                t = np.concatenate((e, _pair(e, t)))
+                t = np.concatenate((e, ~t, _pair(e, t)))
             at = np.unique(_places(t, p.log2_bits)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["word", "bits"])
 
@@ -185,19 +189,24 @@ def _held(bits: np.ndarray, keys: np.ndarray, log2_bits: int) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7) & 1).astype(bool)
 
 
-def _together(text: str, bits: np.ndarray, log2_bits: int) -> tuple[list[tuple[int, str]], dict[str, list[tuple[int, int]]]]:
-    """The (entity, term) of the whole text that a filter holds, with a few false ones, and the places of all terms outside of the spans."""
+def _together(text: str, bits: np.ndarray, log2_bits: int) -> tuple[dict[str, list[int]], dict[str, list[tuple[int, int]]]]:
+    """Of the whole text, for each term the entities with which a filter holds it, with a few false ones, and its places outside of the spans."""
     spans = base_spans(text)
     who = np.fromiter(sorted(entities(text, spans)), np.int64)
     who = who[_held(bits, who, log2_bits)]
     places: dict[str, list[tuple[int, int]]] = {}
     if not who.size:
-        return [], places
+        return {}, places
     for s, e, w in outside(text, spans):
         places.setdefault(w, []).append((s, e))
     words = list(places)
     t = np.fromiter(map(term, words), np.int64, len(words))
-    return [(int(e), words[i]) for e in who for i in np.flatnonzero(_held(bits, _pair(e, t), log2_bits))], places
+    some = np.flatnonzero(_held(bits, ~t, log2_bits))
+    met: dict[str, list[int]] = {}
+    for e in who:
+        for i in some[_held(bits, _pair(e, t[some]), log2_bits)]:
+            met.setdefault(words[i], []).append(int(e))
+    return met, places
 
 
 def _document_counts(p: Sanitising, held):
@@ -208,7 +217,9 @@ def _document_counts(p: Sanitising, held):
         for b in batches:
             seen: Counter[str] = Counter()
             for text in b.column("text").to_pylist():
-                seen.update({w.lower() for w in set(WORD.findall(text))} if text else ())
+                if text:
+                    spans = base_spans(text)
+                    seen.update({w for *_, w in outside(text, spans)} if any(spans.values()) else {w.lower() for w in set(WORD.findall(text))})
             t = np.fromiter(map(term, seen), np.int64, len(seen))
             n = np.fromiter(seen.values(), np.int64, len(seen))
             ok = _held(bits, t, p.log2_bits)
@@ -224,23 +235,31 @@ def _pair_counts(p: Sanitising, held):
         for b in batches:
             seen: Counter[tuple[int, str]] = Counter()
             for text in b.column("text").to_pylist():
-                seen.update(_together(text, held.value, p.log2_bits)[0] if text else ())
+                met = _together(text, held.value, p.log2_bits)[0] if text else {}
+                seen.update((e, w) for w, es in met.items() for e in es)
             yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in seen], pa.int64()), pa.array([term(w) for _, w in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["e", "t", "n"])
 
     return run
 
 
-def _occurrences(p: Sanitising, held):
-    """(rid, e, t, s, x): all places of the terms of pairs in the filter, in the documents that hold both."""
+SPOTS = "rid string, t bigint, who array<bigint>, at array<struct<s: int, x: int>>"
+
+
+def _spots(p: Sanitising, held):
+    """(rid, t, who, at): the terms of pairs in the filter, with their entities and, once, their places, in the documents that hold both."""
+    at_type = pa.list_(pa.struct([("s", pa.int32()), ("x", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for rid, text in zip(b.column("rid").to_pylist(), b.column("text").to_pylist(), strict=True):
-                pairs, places = _together(text, held.value, p.log2_bits) if text else ([], {})
-                rows += [(rid, e, term(w), s, x) for e, w in pairs for s, x in places[w]]
-            cols = zip(*rows, strict=True) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["rid", "e", "t", "s", "x"])
+            rid, t, who, at = [], [], [], []
+            for i, text in zip(b.column("rid").to_pylist(), b.column("text").to_pylist(), strict=True):
+                met, places = _together(text, held.value, p.log2_bits) if text else ({}, {})
+                for w, es in met.items():
+                    rid.append(i)
+                    t.append(term(w))
+                    who.append(es)
+                    at.append([{"s": s, "x": x} for s, x in places[w]])
+            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.string()), pa.array(t, pa.int64()), pa.array(who, pa.list_(pa.int64())), pa.array(at, at_type)], ["rid", "t", "who", "at"])
 
     return run
 
@@ -255,6 +274,11 @@ def _chance(n: int):
     return F.exp(-(both * F.log(both / e / q) + apart))
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A key of 256 bits that rows share only if they have one doc_id and one text (null and empty texts, which hold nothing, count as one)."""
+    return F.sha2(F.concat(F.coalesce(doc_id.cast("bigint").cast("string"), F.lit("")), F.lit(":"), F.coalesce(text.cast("string"), F.lit(""))), 256)
+
+
 def find_spans(docs: DataFrame, p: Sanitising = Sanitising()) -> DataFrame:
     """One row per row of docs(doc_id, text): rid, doc_id, n_email, n_ip, n_card, n_phone, base, terms.
 
@@ -265,7 +289,7 @@ def find_spans(docs: DataFrame, p: Sanitising = Sanitising()) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pii")
-    docs = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = scratch.write(docs.mapInArrow(_find(p), FOUND), "found")
     near = found.select(F.explode("near").alias("c")).select("c.e", "c.t").distinct()
     n_entity = found.select(F.explode("who").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
@@ -283,9 +307,13 @@ def find_spans(docs: DataFrame, p: Sanitising = Sanitising()) -> DataFrame:
     share = F.log(F.lit(float(n)) * F.col("n_both") / (F.col("n_e") * F.col("n_t"))) / F.log(F.lit(float(n)) / F.col("n_e"))
     telling = known.where(F.col("n_e") < n).withColumn("share", share).where((F.col("share") >= p.generalise) & (_chance(n) <= p.chance)).select("e", "t", "share")
     telling = scratch.write(telling, "telling")
-    told = docs.select("rid", "text").mapInArrow(_occurrences(p, send(_filter(telling, p, True))), "rid bigint, e bigint, t bigint, s int, x int")
-    told = told.join(telling, ["e", "t"]).groupBy("rid", "s", "x").agg(F.max("share").alias("share"))
-    terms = told.groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("s", "x", (F.col("share") >= p.remove).alias("gone")))).alias("terms"))
+    # Repeated rows have the same terms.
+    once = docs.select("rid", "text").mapInArrow(_spots(p, send(_filter(telling, p, True))), SPOTS).dropDuplicates(["rid", "t"])
+    spots = scratch.write(once, "spots")
+    told = spots.select("rid", "t", F.explode("who").alias("e")).join(telling, ["e", "t"]).groupBy("rid", "t").agg(F.max("share").alias("share"))
+    gone = F.col("share") >= p.remove
+    marks = spots.join(told, ["rid", "t"]).select("rid", F.transform("at", lambda a: F.struct(a["s"].alias("s"), a["x"].alias("x"), gone.alias("gone"))).alias("at"))
+    terms = marks.groupBy("rid").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("terms"))
     return found.drop("who", "near").join(terms, "rid", "left")
 
 
@@ -315,7 +343,7 @@ def sanitise(docs: DataFrame, p: Sanitising = Sanitising()) -> DataFrame:
     def put(text: pd.Series, base: pd.Series, terms: pd.Series) -> pd.Series:
         return pd.Series([redact(t, b or "", x) for t, b, x in zip(text, base, terms, strict=True)], dtype=object)
 
-    keyed = docs.withColumn("_gl_rid", F.xxhash64(F.col("doc_id"), F.col("text"))).join(spans, "_gl_rid", "left")
+    keyed = docs.withColumn("_gl_rid", row_key(F.col("doc_id"), F.col("text"))).join(spans, "_gl_rid", "left")
     return keyed.withColumn("text", put("text", "_gl_base", "_gl_terms")).select(*docs.columns)
 
 

@@ -31,12 +31,14 @@ def naive_spans(t):
 def test_base_spans_equal_the_patterns():
     r = random.Random(4)
     texts = ["".join(r.choice("a.@-+1299 ()b_%Aé") for _ in range(r.randint(0, 40))) for _ in range(20_000)]
-    texts += ["x@y.zz@w.vv", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "+1 (23) 45-67890", "٣@٣.٣", "1" * 5000, "a" * 5000 + "@"]
+    texts += ["0" * 3000 + "7.1.1.1", "x@y.zz@w.vv", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "+1 (23) 45-67890", "٣@٣.٣", "1" * 5000, "a" * 5000 + "@"]
     for t in texts:
         assert pii.base_spans(t) == naive_spans(t), t
 
 
 def test_long_texts_take_linear_time():
+    assert pii.base_spans("0" * 5000 + ".1.1.1")["ip"] == [(0, 5006)]
+    assert pii.base_spans("9" * 5000 + ".1.1.1")["ip"] == []
     for t in ("a" * 2_000_000 + " x@y.zz", "1" * 2_000_000, "1." * 500_000, "+1" * 500_000):
         pii.base_spans(t)
 
@@ -105,6 +107,82 @@ def test_terms_far_from_their_entity(spark):
     assert all([(rows[s.doc_id][1][t.s : t.x], t.gone) for t in s.terms] == [("Yarrow", True)] for s in found)
 
 
+def words_outside(text):
+    taken = {i for spans in naive_spans(text).values() for s, e in spans for i in range(s, e)}
+    return [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]+", text) if not taken & set(range(*m.span()))]
+
+
+def naive_terms(texts, p):
+    """The marked terms of every text, from the definitions: counts over all pairs of entity and term."""
+    holds = [({(k, t[s:e].lower() if k == "email" else t[s:e] if k == "ip" else re.sub("[^0-9]", "", t[s:e])) for k, v in naive_spans(t).items() for s, e in v}, words_outside(t)) for t in texts]
+    near = set()
+    for t, (_, words) in zip(texts, holds, strict=True):
+        for k, v in naive_spans(t).items():
+            for s, e in v:
+                key = (k, t[s:e].lower() if k == "email" else t[s:e] if k == "ip" else re.sub("[^0-9]", "", t[s:e]))
+                before, after = [w for a, _, w in words if a <= s], [w for a, _, w in words if a >= e]
+                near |= {(key, w) for w in before[-p.window :] + after[: p.window]}
+    n = len(texts)
+    share = {}
+    for e, w in near:
+        n_e = sum(e in es for es, _ in holds)
+        n_t = sum(w in {x for *_, x in ws} for _, ws in holds)
+        both = sum(e in es and w in {x for *_, x in ws} for es, ws in holds)
+        if n_e == n:
+            continue
+        got = math.log(n * both / (n_e * n_t)) / math.log(n / n_e)
+        q, m = n_t / n, both / n_e
+        bound = math.exp(-n_e * (m * math.log(m / q) + ((1 - m) * math.log((1 - m) / (1 - q)) if m < 1 else 0)))
+        if got >= p.generalise and bound <= p.chance:
+            share[e, w] = got
+    return [sorted((s, x, max(share[e, w] for e in es if (e, w) in share) >= p.remove) for s, x, w in ws if any((e, w) in share for e in es)) for es, ws in holds]
+
+
+def test_terms_equal_brute_force(spark):
+    """Random corpora in which terms stand with and without their entities, in spans and repeatedly."""
+    found = 0
+    for seed in range(3):
+        r = random.Random(seed)
+        names, mails = [f"Name{chr(97 + i)}" for i in range(12)], [f"name{chr(97 + i)}.x@mail{i}.com" for i in range(12)]
+        texts = []
+        for i in range(150):
+            t = [f"w{chr(97 + r.randrange(15))}" for _ in range(r.randrange(1, 30))]
+            for _ in range(r.choice([0, 0, 1, 1, 2])):
+                k = r.randrange(12)
+                t.insert(r.randrange(len(t) + 1), r.choice([mails[k], mails[k].upper(), "call +1 234 567 8901"]))
+                if r.random() < 0.8:
+                    t.insert(r.randrange(len(t) + 1), names[k])
+                if r.random() < 0.2:
+                    t.insert(r.randrange(len(t) + 1), names[k].lower())
+            if r.random() < 0.05:
+                t.append(names[r.randrange(12)])
+            texts.append(" ".join(t))
+        p = pii.Sanitising(generalise=0.6, chance=0.05)
+        got = {x.doc_id: [tuple(t) for t in x.terms or []] for x in pii.find_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), p).collect()}
+        want = naive_terms(texts, p)
+        assert [got[i] for i in range(len(texts))] == want, seed
+        found += sum(map(len, want))
+    assert found > 30
+
+
+def test_share_counts_all_documents_of_an_entity(spark):
+    """53 documents hold the address, 3 of them with the word, 1 more the word alone: a share below 0.8."""
+    rows = [(i, "12 a.b@mail.example.com 34" if i >= 3 else "Zanzibar a.b@mail.example.com") for i in range(53)] + [(53, "Zanzibar")] + [(i, "w") for i in range(54, 500)]
+    got = pii.find_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).where("terms is not null").count()
+    assert got == 0
+
+
+def test_many_addresses_in_one_text(spark):
+    """Terms are placed once a text, not once for every entity: no row grows with the square of the text."""
+    text = " ".join(f"alpha u{i}@mail.example.com beta" for i in range(1000))
+    bits = np.full(1 << 18, 255, np.uint8)  # a filter that holds everything
+    met, places = pii._together(text, bits, 21)
+    assert set(met) == {"alpha", "beta"} and all(len(v) == 1000 for v in places.values())
+    rows = [(0, text)] + [(i, f"word{i % 7}") for i in range(1, 300)]
+    one = pii.find_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).where("doc_id = 0").first()
+    assert len(one.terms) == 2000 and one.n_email == 1000
+
+
 def test_removal_joins_no_number():
     assert pii.redact("a@b.cc 4111abc111111111111", "email:0:6", [{"s": 11, "x": 14, "gone": True}]) == "[EMAIL] [CARD]"
 
