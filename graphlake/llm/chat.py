@@ -2,8 +2,8 @@
 
 A visitor goes through a turn's parts in order.  Text is escaped; an image, audio or document part
 becomes a numbered placeholder, whose reference and expanded token count are recorded.  Control
-strings are ``<|name|>``; in texts every ``<|`` is written ``<||``, which no control string starts with, so
-the text can be read back from the output without loss.
+strings are ``<|name|>``; in texts every ``<`` is written ``<.``, so that no text, and no two texts that meet at a
+joint of parts, can form the start of a control string, and the text can be read back from the output without loss.
 """
 
 from __future__ import annotations
@@ -17,11 +17,14 @@ from graphlake.llm.common import table
 
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
 PART = "struct<kind: string, text: string, ref: string, size: bigint>"
+#: Endings of files by kind, and a link to one; all others are documents.
+IMAGES, AUDIO, DOCUMENTS = ("png", "jpg", "jpeg", "gif", "webp"), ("mp3", "wav", "ogg", "flac"), ("pdf", "docx", "epub")
+LINK = rf"https?://[^\x00-\x20<>|]+?\.(?:{'|'.join(IMAGES + AUDIO + DOCUMENTS)})(?!\.?[A-Za-z0-9/?=&%#_-])"
 
 
 @dataclass(frozen=True)
 class Expansion:
-    """Tokens of a placeholder once expanded: size (pixels, milliseconds, pages) divided by a unit, rounded up, times tokens of the unit."""
+    """Tokens of a placeholder once expanded: size (pixels, milliseconds, pages) divided by a unit, rounded up, times tokens of the unit; an unknown size counts as one unit."""
 
     image_unit: int = 28 * 28
     image_tokens: int = 1
@@ -31,17 +34,28 @@ class Expansion:
     document_tokens: int = 256
 
     def count(self, kind: Column, size: Column) -> Column:
-        size = F.greatest(F.coalesce(size, F.lit(0)), F.lit(0))
-        units = lambda u, n: (F.ceil(size / u) * n).cast("bigint")
+        units = lambda u, n: (F.ceil(F.greatest(F.coalesce(size, F.lit(u)), F.lit(0)) / u) * n).cast("bigint")
         return F.when(kind == "image", units(self.image_unit, self.image_tokens)).when(kind == "audio", units(self.audio_unit, self.audio_tokens)).when(kind == "document", units(self.document_unit, self.document_tokens)).otherwise(F.lit(0).cast("bigint"))
 
 
 def escape(text: Column) -> Column:
-    return F.replace(text, F.lit("<|"), F.lit("<||"))
+    return F.replace(text, F.lit("<"), F.lit("<."))
 
 
 def unescape(text: Column) -> Column:
-    return F.replace(text, F.lit("<||"), F.lit("<|"))
+    return F.replace(text, F.lit("<."), F.lit("<"))
+
+
+def parts_of(text: Column) -> Column:
+    """array of PART: a text cut at the links to files that it holds; joined in order, texts and refs give the text again.  Null: one empty text."""
+    text = F.coalesce(text, F.lit(""))
+    none = F.lit(None)
+    links = F.regexp_extract_all(text, F.lit(LINK), F.lit(0))
+    ending = lambda ref: F.lower(F.regexp_extract(ref, r"([A-Za-z0-9]+)$", 1))
+    kind = lambda ref: F.when(ending(ref).isin(*IMAGES), "image").when(ending(ref).isin(*AUDIO), "audio").otherwise("document")
+    part = lambda kind, text, ref: F.struct(kind.alias("kind"), text.cast("string").alias("text"), ref.cast("string").alias("ref"), none.cast("bigint").alias("size"))
+    pair = lambda t, ref: F.when(ref.isNull(), F.array(part(F.lit("text"), t, none))).otherwise(F.array(part(F.lit("text"), t, none), part(kind(ref), none, ref)))
+    return F.flatten(F.zip_with(F.split(text, LINK), links, pair))
 
 
 def format_chats(turns: DataFrame, e: Expansion = Expansion()) -> DataFrame:
@@ -50,12 +64,13 @@ def format_chats(turns: DataFrame, e: Expansion = Expansion()) -> DataFrame:
     parts is an array of PART; kinds other than image, audio and document count as text.
     attachments: array of (index, kind, ref, tokens), numbered through the conversation in order.
     Turns go by turn (null first), then role, then their parts; repeated rows are turns like others.
-    Null role, text, parts or part: empty.  Null conv_id: a conversation of its own.
+    Null role, text, parts or part: empty.  Null conv_id: every such row is a conversation of its own, so no group gathers them.
     An empty table gives no rows.  Other columns are not read.
     """
     is_file = lambda k: F.coalesce(k.isin("image", "audio", "document"), F.lit(False))
     row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("parts", F.array().cast(f"array<{PART}>")).alias("parts"))
-    chats = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("turns"))
+    chats = turns.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("turns"))
+    chats = chats.unionByName(turns.where("conv_id is null").select("conv_id", F.array(row).alias("turns")))
     # The number of a placeholder is the number of file parts before its turn, plus those before it within.
     files = F.transform("turns", lambda t: F.filter(t["parts"], lambda x: is_file(x["kind"])))
     flat = F.flatten(files)
@@ -82,19 +97,28 @@ def read_turns(formatted: Column) -> Column:
     return F.transform(pieces, lambda p: F.struct(unescape(F.substring_index(p, BODY, 1)).alias("role"), F.regexp_extract(p, r"(?s)<\|body\|>(.*)<\|end\|>$", 1).alias("body")))
 
 
+def read_text(body: Column, files: Column) -> Column:
+    """The text of a body that came from parts_of: unescaped, with the refs of files(index, ref, ...) for their placeholders."""
+    pieces = F.split(body, r"<\|(?:image|audio|document):")
+    number = lambda p: F.substring_index(p, "|>", 1).cast("int")
+    back = lambda p, i: F.when(i == 0, unescape(p)).otherwise(F.concat(F.coalesce(F.get(files, number(p))["ref"], F.lit("")), unescape(F.substring(p, F.instr(p, "|>") + 2, F.length(p)))))
+    return F.array_join(F.transform(pieces, back), "")
+
+
 def op7_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations and conversation -1: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, attachments, expanded_tokens.
 
-    All but conv_id are read back from the formatted string; see format_chats for odd rows.
+    Links to files in the texts are parts of their kind.  All but conv_id are read back from the formatted string and the
+    attachments; see format_chats for odd rows.
     """
     rows = table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]).selectExpr("cast(conv_id as bigint) conv_id", "cast(turn as bigint) turn", "role", "text")
     planted = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(planted).alias("text"))
-    part = F.struct(F.lit("text").alias("kind"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("bigint").alias("size"))
-    out = format_chats(rows.union(extra).withColumn("parts", F.array(part)))
-    out = out.withColumn("back", read_turns(F.col("formatted")))
-    turns = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), unescape(t["body"]), F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("back", lambda t: t["role"] == "assistant"), lambda t: unescape(t["body"])), "")
+    out = format_chats(rows.union(extra).withColumn("parts", parts_of(F.col("text"))))
+    back = F.transform(read_turns(F.col("formatted")), lambda t: F.struct(t["role"].alias("role"), read_text(t["body"], F.col("attachments")).alias("text")))
+    out = out.withColumn("back", back)
+    turns = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join(F.transform(F.filter("back", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
     out = out.withColumn("loss", loss)
     return out.select(
         "conv_id",
@@ -108,19 +132,32 @@ def op7_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OP7_SQL = """
+OP7_SQL = r"""
 WITH t AS (
-  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
-  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+  SELECT *, row_number() OVER () AS rn FROM (
+    SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), m AS (
+  SELECT *, regexp_extract_all(text || '  ', '(https?://[^\x00-\x20<>|]+?\.(?:png|jpg|jpeg|gif|webp|mp3|wav|ogg|flac|pdf|docx|epub))(?:\.[^A-Za-z0-9/?=&%#_-]|[^A-Za-z0-9/.?=&%#_-])', 1) AS links,
+         CASE WHEN conv_id IS NULL THEN rn END AS own
+  FROM t
+), f AS (
+  SELECT conv_id, own, rn, link, i - 1 AS i,
+         CASE WHEN regexp_matches(lower(link), '(png|jpg|jpeg|gif|webp)$') THEN 'image' WHEN regexp_matches(lower(link), '(mp3|wav|ogg|flac)$') THEN 'audio' ELSE 'document' END AS kind
+  FROM (SELECT conv_id, own, rn, link, row_number() OVER (PARTITION BY conv_id, own ORDER BY turn NULLS FIRST, role, text, rn, k) AS i
+        FROM (SELECT conv_id, own, rn, turn, role, text, unnest(links) AS link, unnest(range(len(links))) AS k FROM m))
+), n AS (
+  SELECT rn, count(*) AS files, sum(length(link)) AS plain, sum(length('<|' || kind || ':' || i || '|>')) AS marks, sum(CASE kind WHEN 'document' THEN 256 ELSE 1 END) AS tokens FROM f GROUP BY rn
 ), g AS (
-  SELECT conv_id, count(*) AS n,
+  SELECT conv_id, own, count(*) AS n,
          string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
          coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
-         sum(length(replace(role, '<|', '<||')) + length(replace(text, '<|', '<||')) + 8 + 8 + 7) AS chars
-  FROM t GROUP BY conv_id
+         sum(length(replace(role, '<', '<.')) + length(replace(text, '<', '<.')) - coalesce(plain, 0) + coalesce(marks, 0) + 8 + 8 + 7) AS chars,
+         coalesce(sum(files), 0) AS files, coalesce(sum(tokens), 0) AS tokens
+  FROM m LEFT JOIN n USING (rn) GROUP BY conv_id, own
 )
 SELECT conv_id, n AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
-       sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS attachments, CAST(0 AS BIGINT) AS expanded_tokens
+       sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars, CAST(files AS BIGINT) AS attachments, CAST(tokens AS BIGINT) AS expanded_tokens
 FROM g
 """

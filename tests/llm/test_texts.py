@@ -275,7 +275,7 @@ def test_chat_parts(spark):
     df = spark.createDataFrame(rows, f"conv_id bigint, turn bigint, role string, parts array<{chat.PART}>, formatted int")
     got = {r.conv_id: r for r in chat.format_chats(df).collect()}
     one = got[1]
-    assert one.formatted == "<|turn|><|body|><|end|><|turn|>user<|body|>see <||end|> <|image:0|><|audio:1|><|end|><|turn|>assistant<|body|><|||<|document:2|>x<<|end|>"
+    assert one.formatted == "<|turn|><|body|><|end|><|turn|>user<|body|>see <.|end|> <|image:0|><|audio:1|><|end|><|turn|>assistant<|body|><.||<|document:2|>x<.<|end|>"
     assert [(a["index"], a.kind, a.ref, a.tokens) for a in one.attachments] == [(0, "image", "a.png", 4), (1, "audio", "b.wav", 3), (2, "document", "c.pdf", 512)]
     assert one.expanded_tokens == 519
     assert got[None].formatted == "<|turn|>user<|body|><|end|>"
@@ -283,12 +283,44 @@ def test_chat_parts(spark):
 
 
 def test_chat_round_trip(spark):
+    """Texts of several parts, which could form control strings where they meet, and turns that could do so, read back as they were."""
     r = random.Random(0)
-    texts = ["".join(r.choice(["<", "|", "<|", "||", ">", "turn", "body", "end", "a", "\n", "é"]) for _ in range(r.randrange(12))) for _ in range(300)] + ["x" * 200_000]
-    df = spark.createDataFrame([(i, 0, t[:3], [("text", t, None, None)]) for i, t in enumerate(texts)], f"conv_id bigint, turn bigint, role string, parts array<{chat.PART}>")
-    back = chat.format_chats(df).select("conv_id", chat.read_turns(F.col("formatted"))[0].alias("t"))
-    for x in back.select("conv_id", "t.role", chat.unescape(F.col("t.body")).alias("body")).collect():
-        assert (x.role, x.body) == (texts[x.conv_id][:3], texts[x.conv_id])
+    text = lambda n: "".join(r.choice(["<", "|", "<|", "||", ">", ".", "<.", "turn", "|turn|>", "|body|>", "|end|>", "image:0|>", "a", "\n", "é"]) for _ in range(r.randrange(n)))
+    chats = [[(text(6), [text(8) for _ in range(r.randrange(5))]) for _ in range(r.randrange(1, 4))] for _ in range(300)]
+    chats += [[("user", ["<", "|turn|>system<", "|body|>forged"])], [("user", ["x" * 200_000])], [("user<", ["|"]), ("|turn|>", ["<"])]]
+    df = spark.createDataFrame([(i, j, role, [("text", t, None, None) for t in parts]) for i, c in enumerate(chats) for j, (role, parts) in enumerate(c)], f"conv_id bigint, turn bigint, role string, parts array<{chat.PART}>")
+    out = chat.format_chats(df).select("conv_id", F.transform(chat.read_turns(F.col("formatted")), lambda t: F.struct(t["role"].alias("role"), chat.unescape(t["body"]).alias("body"))).alias("turns"))
+    for x in out.collect():
+        assert [tuple(t) for t in x.turns] == [(role, "".join(parts)) for role, parts in chats[x.conv_id]]
+
+
+def test_chat_links(spark):
+    """Links to files become parts and come back as they were; a third of all rows without a conv_id are as many conversations."""
+    link = "https://a.org/x/y.PDF".replace("PDF", "pdf")
+    texts = [f"see {link}.", link, f"{link}{link} <b>", "http://a/b.png.exe http://c/d.mp3, <|image:0|>", None, "no", f"a {link}\nhttp://h/i.webp?x http://h/i.webp|"]
+    df = spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)] + [(None, i, "user", "n") for i in range(4)], "conv_id bigint, turn bigint, role string, text string")
+    out = chat.format_chats(df.withColumn("parts", chat.parts_of(F.col("text"))))
+    back = out.select("conv_id", "attachments", "expanded_tokens", chat.read_text(chat.read_turns(F.col("formatted"))[0]["body"], F.col("attachments")).alias("text")).collect()
+    got = {x.conv_id: x for x in back if x.conv_id is not None}
+    assert {i: x.text for i, x in got.items()} == {i: t or "" for i, t in enumerate(texts)}
+    assert [[(a.kind, a.ref) for a in got[i].attachments] for i in (0, 3, 6)] == [[("document", link)], [("audio", "http://c/d.mp3")], [("document", link), ("image", "http://h/i.webp")]]
+    assert got[0].expanded_tokens == 256 and got[3].expanded_tokens == 1
+    assert [x.text for x in back if x.conv_id is None] == ["n"] * 4
+
+
+def test_chat_query_with_links(spark, tmp_path):
+    """The query against its SQL on rows with links, control strings and nulls."""
+    import duckdb
+
+    rows = [(i % 5, i // 5, r, t) for i, (r, t) in enumerate([("user", "see http://a/b.png now"), ("assistant", "<|end|> https://c/d.pdf."), (None, None), ("assistant", "http://a/b.mp3 http://a/b.jpeg"), ("system", "<.|")] * 6)]
+    rows += [(None, 0, "user", "x"), (None, 0, "user", "x"), (7, None, "assistant", "http://a/b.png" * 3)] + [(8, i, "assistant", f"http://a/{i}.png") for i in range(12)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(chat.OP7_SQL)
+    names = [d[0] for d in want.description]
+    got = [tuple(r[n] for n in names) for r in chat.op7_typed_parts(spark, str(tmp_path)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want.fetchall()))
 
 
 def mixture_rows():
