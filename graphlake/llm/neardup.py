@@ -134,7 +134,9 @@ def linked(a: np.ndarray, b: np.ndarray, p: NearDup) -> bool:
     return p.den * both >= p.num * (a.size + b.size - both)
 
 
-SETS = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sig binary"
+#: A class goes by its least row: the doc_id and a hash of the text, which tells texts of a repeated doc_id apart.
+NODE = "struct<id: bigint, body: bigint>"
+SETS = "doc_id bigint, body bigint, n_shingles bigint, d1 bigint, d2 bigint, sig binary"
 
 
 def _sets(p: NearDup):
@@ -149,8 +151,8 @@ def _sets(p: NearDup):
                     sig[i] = row.tobytes()
                 d = [digest(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array([s.size for s in sets], pa.int64()), pa.array([x for x, _ in d], pa.int64()), pa.array([y for _, y in d], pa.int64()), pa.array(sig, pa.binary())],
-                    ["doc_id", "n_shingles", "d1", "d2", "sig"],
+                    [part.column("doc_id"), part.column("body"), pa.array([s.size for s in sets], pa.int64()), pa.array([x for x, _ in d], pa.int64()), pa.array([y for _, y in d], pa.int64()), pa.array(sig, pa.binary())],
+                    ["doc_id", "body", "n_shingles", "d1", "d2", "sig"],
                 )
         release_memory()
 
@@ -161,7 +163,7 @@ def _full(p: NearDup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t, p.words) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([digest(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "d1", "set"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([s.size for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n_shingles", "set"])
         release_memory()
 
     return run
@@ -216,19 +218,20 @@ def _links_in_block(p: NearDup):
     """
 
     def run(g: pa.Table) -> pa.Table:
-        g = g.sort_by("node").combine_chunks()
-        node, side, band, p1, p2 = (g.column(c).to_numpy() for c in ("node", "side", "band", "p1", "p2"))
-        comp, leader, sig = g.column("comp").to_numpy().copy(), g.column("leader").to_numpy()[0], _sig(g.column("sig"), p)
+        g = g.sort_by([("id", "ascending"), ("body", "ascending")]).combine_chunks()
+        number = lambda *names: np.unique(np.stack([g.column(c).to_numpy() for c in names], 1), axis=0, return_inverse=True)[1].ravel()
+        side, band, p1, p2, lead = (g.column(c).to_numpy(zero_copy_only=False) for c in ("side", "band", "p1", "p2", "lead"))
+        comp, sig = number("comp_id", "comp_body"), _sig(g.column("sig"), p)
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in g.column("set")]
         size, same, bands = np.array([x.size for x in sets]), p1[0] == p2[0], sig.view(np.uint64).reshape(len(sig), -1)
         a: list[int] = []
         b: list[int] = []
-        for i in range(len(node)):
-            if node[i] == leader or not same and side[i]:
+        for i in range(len(sig)):
+            if lead[i] or not same and side[i]:
                 continue
-            there = np.arange(len(node)) > i if same else side > 0
+            there = np.arange(len(sig)) > i if same else side > 0
             near = p.den * np.minimum(size, size[i]) >= p.num * np.maximum(size, size[i])
-            js = np.flatnonzero(there & near & (comp != comp[i]) & (node != leader))
+            js = np.flatnonzero(there & near & (comp != comp[i]) & ~lead)
             if band[0] and js.size:
                 width = p.rows // 4 if p.rows % 4 == 0 else 0
                 if width:
@@ -243,42 +246,41 @@ def _links_in_block(p: NearDup):
                 both = shared(sets[i], [sets[j] for j in part])
                 for j in part[p.den * both >= p.num * (size[i] + size[part] - both)]:
                     if comp[j] != comp[i]:
-                        a.append(int(min(node[i], node[j])))
-                        b.append(int(max(node[i], node[j])))
+                        a.append(min(i, int(j)))
+                        b.append(max(i, int(j)))
                         comp[comp == comp[j]] = comp[i]
                 js, step = js[comp[js] != comp[i]], min(4 * step, 256)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        key = g.select(["id", "body"])
+        ends = (key.take(pa.array(x, pa.int64())).combine_chunks() for x in (a, b))
+        return pa.table({n: pa.StructArray.from_arrays([c.combine_chunks() for c in e.columns], ["id", "body"]) for n, e in zip("ab", ends, strict=True)})
 
     return run
 
 
-def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, n_shingles, class_id, component_id, kept.
+def body_of(text: F.Column) -> F.Column:
+    return F.xxhash64(text.cast("string"))
 
-    class_id is the smallest doc_id with the same shingle set, component_id the smallest reachable over links.
-    Null or empty text: no shingles, linked with nothing.  Null doc_id: it takes no part, its component is
-    null and it is kept.  Repeated rows: each is judged by its own text, so equal ones share a class and
-    each carries the smallest id; where an id repeats with several texts, copies of any of them are linked with
-    it, near copies with the one of the least digest.  Other columns are not read.
-    """
+
+def judged(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
+    """near_duplicates with ``body``, a hash of the row's text, and ``chosen``: whether the row is its component's least by doc_id and body (or in none)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), body_of(F.col("text")).alias("body"))
+    own = F.struct(F.col("doc_id").alias("id"), "body")
     sets = scratch.write(docs.mapInArrow(_sets(p), SETS), "sets")
     # Equal sets are counted before the shuffle: a class of any size is one row from each task.
     full_rows = "n_shingles > 0 and doc_id is not null"
-    classes = sets.where(full_rows).groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("m"))
+    classes = sets.where(full_rows).groupBy("d1", "d2").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("m"))
     # Written, so that the join below has plain exchanges on both sides and a hot class can be split.
     classes = scratch.write(classes.where("m > 1").select("d1", "d2", "first"), "classes")
-    rep = F.when(F.expr(full_rows), F.coalesce("first", "doc_id"))
+    rep = F.when(F.expr(full_rows), F.coalesce("first", own))
     members = scratch.write(
-        sets.join(classes, ["d1", "d2"], "left").withColumn("rep", rep).select("doc_id", "n_shingles", "rep", "d1", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")),
+        sets.join(classes, ["d1", "d2"], "left").withColumn("rep", rep).select("doc_id", "body", "n_shingles", "rep", F.when(own == F.col("rep"), F.col("sig")).alias("sig")),
         "members",
     )
     scratch.drop("sets")
-    reps = members.where("sig is not null").select(F.col("rep").alias("node"), "d1", "n_shingles", "sig")
-    reps = reps.groupBy("node").agg(F.min(F.struct("d1", "n_shingles", "sig")).alias("r")).select("node", "r.d1", "r.n_shingles", "r.sig")
-    reps = scratch.write(reps, "reps")
+    scratch.drop("classes")
+    reps = scratch.write(members.where("sig is not null").select(F.col("rep").alias("node"), "sig").dropDuplicates(["node"]), "reps")
     # A bucket: 4 values of 2 bytes at the band's place of the signature.
     width = 2 * p.rows
     banded = reps.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)), lambda i: F.substring(F.col("sig"), i * width + 1, F.lit(width)))).alias("band", "key"))
@@ -287,42 +289,73 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     rows = scratch.write(banded.join(buckets, "bk").select("bk", "band", "node", "leader", "m"), "rows")
     scratch.drop("banded")
     # The full sets of all that sit in some bucket, once.
-    wanted = rows.select(F.col("node").alias("doc_id")).distinct()
-
-    full = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_full(p), "node bigint, d1 bigint, set binary")
-    full = scratch.write(full, "full")
-    # A doc_id that repeats with another text: the set whose digest is the class's is taken.
-    full = full.join(reps.select("node", "d1", "n_shingles"), ["node", "d1"])
-    sig = reps.select("node", "sig")
+    wanted = rows.select("node").distinct()
+    full = docs.select(own.alias("node"), "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    full = scratch.write(full.mapInArrow(_full(p), f"node {NODE}, n_shingles bigint, set binary"), "full")
+    sig = reps
+    pair = f"a {NODE}, b {NODE}"
 
     def prune(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-        return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(p), "a bigint, b bigint")
+        return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(p), pair)
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         one, two = (full.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}"), F.col("n_shingles").alias(f"n_{c}")) for c in "ab")
         near = pairs.join(two, "b").join(one, "a").where(f"{p.den} * least(n_a, n_b) >= {p.num} * greatest(n_a, n_b)")
-        return scratch.write(near.select("a", "b", "set_a", "set_b").mapInArrow(_verify(p), "a bigint, b bigint").distinct(), name)
+        return scratch.write(near.select("a", "b", "set_a", "set_b").mapInArrow(_verify(p), pair).distinct(), name)
 
     star = rows.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = verify(scratch.write(prune(star), "star"), "links0")
+    scratch.drop("star")
     labels = connected_components(spark, links, scratch, "stars")
     named = rows.where("m > 2").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
     named = scratch.write(named, "named")
+    scratch.drop("rows")
     apart = named.groupBy("bk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bk")
     apart = named.join(apart, "bk", "left_semi").join(full.join(sig, "node").select("node", "sig", "set", "n_shingles"), "node")
     # A bucket over the block size, in members or in bytes, is cut into parts by a hash; every two parts meet in one task.
     apart = scratch.write(apart, "apart")
+    for table_name in ("named", "full", "reps"):
+        scratch.drop(table_name)
     weigh = apart.groupBy("bk").agg(F.greatest(F.ceil(F.count(F.lit(1)) / p.block), F.ceil(F.sum("n_shingles") / (p.bytes / 8))).cast("int").alias("parts"))
     apart = apart.join(weigh, "bk").withColumn("mine", F.pmod(F.xxhash64("node", "bk"), F.col("parts")).cast("int"))
     met = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("bk", "band", "node", "comp", "leader", "sig", "set", F.least("mine", "other").alias("p1"), F.greatest("mine", "other").alias("p2"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"))
-    found = scratch.write(met.groupBy("bk", "p1", "p2").applyInArrow(_links_in_block(p), "a bigint, b bigint").distinct(), "found")
-    links = links.union(found)
-    labels = connected_components(spark, links, scratch, "last")
-    out = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("label", "rep", "doc_id")
-    return out.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    met = met.select(
+        "bk", "band", "node.id", "node.body", F.col("comp.id").alias("comp_id"), F.col("comp.body").alias("comp_body"), (F.col("node") == F.col("leader")).alias("lead"), "sig", "set",
+        F.least("mine", "other").alias("p1"), F.greatest("mine", "other").alias("p2"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"),
+    )
+    found = scratch.write(met.groupBy("bk", "p1", "p2").applyInArrow(_links_in_block(p), pair).distinct(), "found")
+    scratch.drop("apart")
+    labels = connected_components(spark, links.union(found), scratch, "last")
+    out = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    component = F.coalesce("label.id", "doc_id")
+    return out.select(
+        "doc_id", "body", "n_shingles", F.coalesce("rep.id", "doc_id").alias("class_id"), component.alias("component_id"),
+        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.coalesce(own == F.col("label"), F.lit(True)).alias("chosen"),
+    )
+
+
+def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
+    """One row per row of docs(doc_id, text): doc_id, n_shingles, class_id, component_id, kept.
+
+    class_id is the smallest doc_id with the same shingle set, component_id the smallest reachable over links.
+    Null or empty text: no shingles, linked with nothing.  Null doc_id: it takes no part, its component is
+    null and it is kept.  Repeated rows: each is judged by its own text, so equal ones share a class and
+    each carries the smallest id; where an id repeats with several texts, each of them is linked with the copies of its
+    own, and the id links none.  Other columns are not read.
+    """
+    return judged(docs, p).select("doc_id", "n_shingles", "class_id", "component_id", "kept")
+
+
+def deduplicate(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
+    """docs with one row of each group of near duplicates: that of the smallest doc_id, and of several of its texts that of the least hash.
+
+    Of rows with one doc_id and one text one stays, also of those with a null doc_id or a null, empty or blank text, which are else
+    all kept.  Where an id repeats with several texts, no text goes but those whose copy stays.  All columns stay.
+    """
+    gone = judged(docs, p).where("not chosen").select(F.col("doc_id").alias("_gl_id"), F.col("body").alias("_gl_body")).distinct()
+    keyed = docs.withColumn("_gl_id", F.col("doc_id").cast("bigint")).withColumn("_gl_body", body_of(F.col("text")))
+    return keyed.join(gone, ["_gl_id", "_gl_body"], "left_anti").dropDuplicates(["_gl_id", "_gl_body"]).select(*docs.columns)
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

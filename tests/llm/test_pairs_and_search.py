@@ -78,6 +78,29 @@ def test_near_duplicates_odd_rows(spark):
     assert neardup.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Every text of an id is linked with the near copies of its own, and no text without a copy that stays is dropped."""
+    r = random.Random(4)
+    a, b, c = ([f"{x}{i}" for i in range(60)] for x in "abc")
+    near = lambda t, k: " ".join(t[:k] + ["new"] + t[k + 1 :])
+    rows = [(1, " ".join(a)), (2, near(a, 3)), (2, " ".join(b)), (3, near(b, 50)), (3, near(b, 50)), (4, near(b, 2)), (4, " ".join(c)), (5, " ".join(c).upper()), (5, near(c, 55)), (6, None), (6, ""), (None, " ".join(a)), (None, " ".join(a))]
+    r.shuffle(rows)
+    got = {(x.doc_id, x.body): x for x in neardup.judged(docs_of(spark, rows)).collect()}
+    ids = {(x.doc_id, x.text): x.body for x in docs_of(spark, rows).select("doc_id", "text", neardup.body_of(F.col("text")).alias("body")).collect()}
+    want = {1: [1], 2: [1, 2], 3: [2], 4: [2, 4], 5: [4]}
+    for i, comps in want.items():
+        assert sorted({got[i, ids[i, t]].component_id for j, t in rows if j == i}) == comps
+    kept = sorted(((x.doc_id or 0), x.text) for x in neardup.deduplicate(docs_of(spark, rows)).where("text <> ''").collect())
+    assert kept == [(0, " ".join(a)), (1, " ".join(a)), (2, " ".join(b)), (4, " ".join(c))]
+    assert neardup.deduplicate(docs_of(spark, rows)).count() == 6 and neardup.deduplicate(docs_of(spark, [])).count() == 0
+
+
+def test_deduplicate_near_copies_under_one_id(spark):
+    text = [f"a{i}" for i in range(60)]
+    rows = [(1, " ".join(text)), (1, " ".join(text[:-1])), (1, "  ".join(text)), (2, "b c")]
+    assert sorted(x.doc_id for x in neardup.deduplicate(docs_of(spark, rows)).collect()) == [1, 2]
+
+
 def test_posterior_bounds():
     """The least match counts follow the posterior, checked by integration."""
     p = neardup.NearDup(miss=1e-3)
