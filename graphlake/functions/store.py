@@ -7,15 +7,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Only for sessions on one machine (tests, a laptop).
 DEFAULT = "/tmp/graphlake-scratch"
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names.  Without one a local session gets a default; on a cluster, where executors do not see each other's folders, that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and spark.sparkContext.master.split("[")[0] not in ("local", "local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (root or DEFAULT).rstrip("/")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is None:
         return  # the session is gone, and its folder with it or left to the cluster
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -25,6 +29,6 @@ def _delete(spark: SparkSession, path: str) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """df, written once and read back; a lost executor loses nothing of it.  The table goes when the process ends."""
     path = f"{shared_folder(df.sparkSession)}/graphlake/{uuid.uuid4().hex}"
-    atexit.register(_delete, df.sparkSession, path)
+    atexit.register(delete, df.sparkSession, path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlake.functions.hashing import bucket
-from graphlake.functions.store import shared_folder
+from graphlake.functions.store import delete, shared_folder
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
@@ -21,8 +23,9 @@ def assign_online(events: DataFrame, k: int) -> DataFrame:
 
 
 def run_to_end(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what its source holds now and returns what it wrote."""
+    """Runs a stream over what its source holds now and returns what it wrote.  Output and state go when the process ends."""
     root = f"{shared_folder(spark)}/graphlake/stream-{name}"
+    atexit.register(delete, spark, root)
     q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
