@@ -14,8 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 from pyspark.sql.window import Window
 
 from graphlake.llm.common import Scratch, table
@@ -49,8 +51,9 @@ def _rows(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _encode(turn: np.ndarray, mean: np.ndarray):
+def _encode(turn: np.ndarray, mean: np.ndarray, shards: int, kind: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() * 7919  # shards are dealt in turn, so equal rows spread, too
         for b in batches:
             if not b.num_rows:
                 continue
@@ -61,9 +64,10 @@ def _encode(turn: np.ndarray, mean: np.ndarray):
             signs = np.abs(u).sum(1) / np.sqrt(turn.shape[1])  # of the mean itself: 0
             codes = np.packbits(r > 0, axis=1)
             yield pa.RecordBatch.from_arrays(
-                [b.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm), pa.array(signs), pa.array([v.tobytes() for v in x], pa.binary())],
-                ["vec_id", "code", "norm", "signs", "raw"],
+                [b.column("vec_id"), pa.array((at + np.arange(len(x))) % shards), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm), pa.array(signs), pa.array([v.tobytes() for v in x.astype(kind)], pa.binary())],
+                ["vec_id", "shard", "code", "norm", "signs", "raw"],
             )
+            at += len(x)
 
     return run
 
@@ -78,40 +82,43 @@ def _best(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[n
 
 
 def scan(queries: np.ndarray, query_ids: np.ndarray, vec_ids: np.ndarray, raw: np.ndarray, codes: np.ndarray, norm: np.ndarray, signs: np.ndarray, turn: np.ndarray, mean: np.ndarray, k: int, p: OneBit) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(query row, vec_id, score) of each query's k best of a shard, and the number of vectors reranked."""
+    """(query row, vec_id, score) of each query's k best of a shard, and the number of vectors reranked.
+
+    The estimate is linear in the signs, so these are turned back once, to the vectors' own dimension, and estimates and
+    upper bounds of all pairs come from one product: of (query, along the mean, length) with (direction, 1, margin).
+    """
     n, bits = len(queries), turn.shape[1]
-    turned = (queries @ turn).astype(np.float32)
     along, length = queries @ mean, np.linalg.norm(queries, axis=1)
     spread = p.error * np.sqrt(np.maximum(0, 1 - signs**2)) / np.sqrt(bits - 1)
     safe = np.where(signs > 0, signs, 1)
     # In single precision; the margin takes in its rounding.
-    factor, margin = (norm / safe).astype(np.float32), (norm / safe * spread + 1e-5 * norm).astype(np.float32)
-    along, length = along.astype(np.float32), (length + 1e-5 * np.abs(along)).astype(np.float32)
+    factor, margin = norm / safe, norm / safe * spread + 1e-5 * norm
+    left = np.column_stack((queries, along, length + 1e-5 * np.abs(along))).astype(np.float32)
+    back = (turn.T / np.sqrt(bits)).astype(np.float32)
     held = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     floor = np.full(n, -np.inf)
     reranked = 0
     own = {int(v): i for i, v in enumerate(query_ids)}
     for s in range(0, len(vec_ids), p.step):
         cut = slice(s, s + p.step)
-        plus = np.unpackbits(codes[cut], axis=1, count=bits).astype(np.float32) * np.float32(2 / np.sqrt(bits)) - np.float32(1 / np.sqrt(bits))
-        estimate = turned @ plus.T
-        estimate *= factor[cut]
-        estimate += along[:, None]
-        for j, v in enumerate(vec_ids[cut].tolist()):
-            if v in own:
-                estimate[own[v], j] = -np.inf
-        error = length[:, None] * margin[cut]
-        if not s and len(vec_ids[cut]) > k:  # the k-th best lower bound of the first block is a floor, too
-            floor = np.partition(estimate - error, -k - 1, axis=1)[:, -k - 1].astype(np.float64)
-        estimate += error
-        qs, vs = np.nonzero(estimate >= floor[:, None].astype(np.float32) - np.float32(1e-6))
-        mine = estimate[qs, vs] > -np.inf
-        qs, vs = qs[mine], vs[mine]
+        plus = np.unpackbits(codes[cut], axis=1, count=bits).astype(np.float32) * 2 - 1
+        toward = (plus @ back) * factor[cut, None]
+        right = np.column_stack((toward, np.ones(len(toward)), margin[cut])).astype(np.float32)
+        mine = [(own[v], j) for j, v in enumerate(vec_ids[cut].tolist()) if v in own]
+        if not s and len(right) > k + len(mine):  # the k-th best lower bound of the first block is a floor, too
+            low = left * np.r_[np.ones(left.shape[1] - 1), -1].astype(np.float32) @ right.T
+            for i, j in mine:
+                low[i, j] = -np.inf
+            floor = np.partition(low, -k, axis=1)[:, -k].astype(np.float64)
+        upper = left @ right.T
+        for i, j in mine:
+            upper[i, j] = -np.inf
+        qs, vs = np.nonzero(upper >= np.maximum(floor, np.finfo(np.float32).min)[:, None].astype(np.float32) - np.float32(1e-6))
         reranked += qs.size
         scores = np.empty(qs.size)
         for at in range(0, qs.size, 50_000):
             part = slice(at, at + 50_000)
-            scores[part] = (queries[qs[part]] * raw[cut][vs[part]]).sum(1)
+            scores[part] = (queries[qs[part]] * raw[cut][vs[part]].astype(np.float64)).sum(1)
         held = _best(np.r_[held[0], qs], np.r_[held[1], vec_ids[cut][vs]], np.r_[held[2], scores], k)
         count = np.bincount(held[0], minlength=n)
         last = np.flatnonzero(np.r_[held[0][1:] != held[0][:-1], True]) if held[0].size else np.empty(0, np.int64)
@@ -126,19 +133,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, p: OneBit = OneB
     Nearness is the inner product in double precision, ties go to the smaller vec_id; fewer than k
     candidates are all returned.  Vectors null, zero or holding null or non-finite components
     take no part, nor do null ids, nor vectors of another length than the most common one (ties: the longer).
-    Of rows that repeat an id the least vector counts.  Empty tables give no rows.  Other columns are not read.
+    Every row is a candidate, also where an id repeats; of queries that repeat an id the least vector counts.  Empty tables give
+    no rows.  Other columns are not read.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
-    clean = lambda df, i: df.select(F.col(i).cast("bigint").alias(i), F.col("vector").cast("array<double>").alias("vector")).where(F.col(i).isNotNull() & valid(F.col("vector"))).groupBy(i).agg(F.min("vector").alias("vector"))
-    rows = scratch.write(clean(vectors, "vec_id"), "vectors")
+    kind = "float" if isinstance(vectors.schema["vector"].dataType.elementType, FloatType) else "double"
+    clean = lambda df, i, kind: df.select(F.col(i).cast("bigint").alias(i), F.col("vector").cast(f"array<{kind}>").alias("vector")).where(F.col(i).isNotNull() & valid(F.col("vector")))
+    rows = clean(vectors, "vec_id", kind)
     sizes = rows.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if sizes is None:
         return spark.createDataFrame([], schema)
     dim, n = sizes["dim"], sizes["n"]
     rows = rows.where(F.size("vector") == dim)
-    asked = scratch.write(clean(queries, "query_id").where(F.size("vector") == dim), "queries")
+    asked = scratch.write(clean(queries, "query_id", "double").where(F.size("vector") == dim).groupBy("query_id").agg(F.min("vector").alias("vector")), "queries")
     n_asked = asked.count()
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,10 +157,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, p: OneBit = OneB
 
     total = rows.select("vector").mapInArrow(sums, "i bigint, s double").groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").toArrow()
     mean, turn = total.column("s").to_numpy() / n, rotation(dim, p)
-    coded = scratch.write(rows.mapInArrow(_encode(turn, mean), "vec_id bigint, code binary, norm double, signs double, raw binary"), "coded")
     shards, blocks = max(1, -(-n // p.shard)), max(1, -(-n_asked // p.queries))
+    stored = np.float32 if kind == "float" else np.float64
+    coded = scratch.write(rows.mapInArrow(_encode(turn, mean, shards, stored), "vec_id bigint, shard bigint, code binary, norm double, signs double, raw binary"), "coded")
     # A shard of codes meets a block of queries in one task; both are bounded, whatever the tables' sizes.
-    left = coded.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    left = coded.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))))
 
     def meet(v: pa.Table, q: pa.Table) -> pa.Table:
@@ -160,7 +170,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, p: OneBit = OneB
         v = v.combine_chunks()
         blob = lambda c, t, w: np.frombuffer(b"".join(v.column(c).to_pylist()), t).reshape(-1, w)
         ids = q.column("query_id").to_numpy()
-        at, vec, score, _ = scan(np.array(q.column("vector").to_pylist()), ids, v.column("vec_id").to_numpy(), blob("raw", np.float64, dim), blob("code", np.uint8, -(-turn.shape[1] // 8)), v.column("norm").to_numpy(), v.column("signs").to_numpy(), turn, mean, k, p)
+        at, vec, score, _ = scan(np.array(q.column("vector").to_pylist()), ids, v.column("vec_id").to_numpy(), blob("raw", stored, dim), blob("code", np.uint8, -(-turn.shape[1] // 8)), v.column("norm").to_numpy(), v.column("signs").to_numpy(), turn, mean, k, p)
         return pa.table({"query_id": ids[at], "vec_id": vec, "score": score})
 
     met = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")

@@ -11,8 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder (tests, a laptop).
-DEFAULT_SCRATCH = "/tmp/graphlake-scratch"
+from graphlake.functions.store import delete, shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: Iterable[str] | None = None) -> DataFrame:
@@ -20,18 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: Iterable[str] |
     return df.select(*columns) if columns else df
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local default is set only where none is configured."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (root or DEFAULT_SCRATCH).rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 class Scratch:
     """A folder of written tables that cut lineage.
 
@@ -40,7 +27,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, what: str):
-        self.spark, self.path = spark, f"{scratch_root(spark)}/graphlake/{what}-{uuid.uuid4().hex}"
+        self.spark, self.path = spark, f"{shared_folder(spark)}/graphlake/{what}-{uuid.uuid4().hex}"
         atexit.register(self._close)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -50,14 +37,13 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        _delete(self.spark, f"{self.path}/{name}")
+        delete(self.spark, f"{self.path}/{name}")
 
     def _close(self) -> None:
-        if self.spark.sparkContext._jsc is not None:
-            try:
-                _delete(self.spark, self.path)
-            except Exception:  # noqa: BLE001  the session may be gone at exit; only clean-up is lost
-                pass
+        try:
+            delete(self.spark, self.path)
+        except Exception:  # noqa: BLE001  the session may be gone at exit; only clean-up is lost
+            pass
 
 
 def release_memory() -> None:

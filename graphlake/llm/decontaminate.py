@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from graphlake.llm.common import Scratch, table
 
-WORD = re.compile(r"[^\W_]+")
+#: Scripts written without blanks (kana, Han, Thai, Lao, Burmese, Khmer): each of their characters is a token.
+SOLID = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(rf"[{SOLID}]|[^\W_{SOLID}]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -36,7 +38,7 @@ class Tiling:
 
 
 def tokens(text: str | None) -> np.ndarray:
-    """uint64 hashes of the lower-cased runs of letters and digits of the whole text."""
+    """uint64 hashes of the lower-cased runs of letters and digits of the whole text, and of the single characters of scripts without blanks."""
     words = WORD.findall((text or "").lower())
     return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
 
@@ -79,10 +81,10 @@ def tile(p: np.ndarray, t: np.ndarray, least: int = 5, first: int = 20) -> list[
             ts = ts[np.argsort(th[ts], kind="stable")]
             keys = th[ts]
             for i in ps:
-                lo, hi = np.searchsorted(keys, ph[i], "left"), np.searchsorted(keys, ph[i], "right")
-                for j in ts[lo:hi]:
-                    if i and j and p[i - 1] == t[j - 1] and not pm[i - 1] and not tm[j - 1]:
-                        continue  # part of the match that starts before
+                js = ts[np.searchsorted(keys, ph[i], "left") : np.searchsorted(keys, ph[i], "right")]
+                if i and js.size and not pm[i - 1]:  # without what is part of a match that starts before
+                    js = js[(js == 0) | (p[i - 1] != t[js - 1]) | tm[js - 1]]
+                for j in js:
                     k = _extent(p, t, pm, tm, int(i), int(j))
                     if k >= s:
                         found.setdefault(k, []).append((int(i), int(j)))
@@ -144,7 +146,7 @@ def seed_filter(seeds: DataFrame, log2_bits: int) -> np.ndarray:
 
 
 def _hits(p: Tiling, held):
-    """Of rows (rid, doc_id, text), those with seeds in the filter: (rid, doc_id, hits, tokens)."""
+    """Of rows (rid, text), those with seeds in the filter: (rid, hits, tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
@@ -164,8 +166,7 @@ def _hits(p: Tiling, held):
                     hits.append(np.unique(h).view(np.int64))
                     toks.append(t.tobytes())
             if rows:
-                part = b.select(["rid", "doc_id"]).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(hits, pa.list_(pa.int64())), pa.array(toks, pa.binary())], ["rid", "doc_id", "hits", "tokens"])
+                yield pa.RecordBatch.from_arrays([b.column("rid").take(pa.array(rows)), pa.array(hits, pa.list_(pa.int64())), pa.array(toks, pa.binary())], ["rid", "hits", "tokens"])
 
     return run
 
@@ -176,20 +177,18 @@ def _tile(p: Tiling):
             got = [tile(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), p.least, p.first) for x, y in zip(b.column("item"), b.column("doc"), strict=True)]
             matched = [sum(k for *_, k in g) for g in got]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("item_id"), b.column("n"), pa.array(matched, pa.int64()), pa.array([len(g) for g in got], pa.int64()), pa.array([max((k for *_, k in g), default=0) for g in got], pa.int64())],
-                ["doc_id", "item_id", "item_tokens", "matched_tokens", "tiles", "longest_tile"],
+                [b.column("rid"), b.column("item_id"), b.column("n"), pa.array(matched, pa.int64()), pa.array([len(g) for g in got], pa.int64()), pa.array([max((k for *_, k in g), default=0) for g in got], pa.int64())],
+                ["rid", "item_id", "item_tokens", "matched_tokens", "tiles", "longest_tile"],
             )
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, p: Tiling = Tiling()) -> DataFrame:
-    """One row per contaminated pair: doc_id, item_id, item_tokens, matched_tokens, tiles, longest_tile, coverage.
+RID = "struct<doc_id: bigint, body: bigint>"
 
-    Null or empty texts and items of fewer than ``least`` tokens match nothing; a null doc_id or item_id
-    takes no part.  Repeated rows count once; where an id repeats with several texts its best pair
-    counts.  An empty table on either side gives no rows.  Other columns are not read.
-    """
+
+def matches(docs: DataFrame, benchmark: DataFrame, p: Tiling = Tiling()) -> DataFrame:
+    """One row per contaminated text and item: rid (doc_id and a hash of the text), item_id, item_tokens, matched_tokens, tiles, longest_tile, coverage."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "tiling")
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
@@ -197,18 +196,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Tiling = Tiling()) ->
     items = scratch.write(items.where(f"n >= {p.least}"), "items")
     seeds = scratch.write(items.select("iid", "n", F.posexplode("seeds").alias("pos", "h")), "seeds")
     held = spark.sparkContext.broadcast(seed_filter(seeds.select("h"), p.log2_bits))
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hit = rows.withColumn("rid", F.xxhash64("doc_id", "text")).mapInArrow(_hits(p, held), "rid bigint, doc_id bigint, hits array<bigint>, tokens binary")
+    rows = docs.where("doc_id is not null and text is not null").select(F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("body")).alias("rid"), F.col("text").cast("string").alias("text"))
+    hit = rows.mapInArrow(_hits(p, held), f"rid {RID}, hits array<bigint>, tokens binary").dropDuplicates(["rid"])
     hit = scratch.write(hit, "hit")
     # Where the seeds of a pair lie in the item bounds what tiles can cover.
     met = hit.select("rid", F.explode("hits").alias("h")).join(seeds, "h").groupBy("rid", "iid").agg(F.array_sort(F.collect_set("pos")).alias("at"), F.first("n").alias("n"))
     covered = F.expr(f"aggregate(at, named_struct('c', 0L, 'e', -1L), (x, q) -> named_struct('c', x.c + least({p.least}L, q + {p.least} - greatest(x.e, cast(q as bigint))), 'e', q + {p.least}L), x -> x.c)")
     pairs = met.where(covered >= F.lit(p.coverage) * F.col("n")).select("rid", "iid")
-    both = pairs.join(hit.select("rid", "doc_id", F.col("tokens").alias("doc")), "rid").join(items.select("iid", "item_id", "n", F.col("tokens").alias("item")), "iid")
-    tiled = both.select("doc_id", "item_id", "n", "doc", "item").mapInArrow(_tile(p), "doc_id bigint, item_id bigint, item_tokens bigint, matched_tokens bigint, tiles bigint, longest_tile bigint")
-    tiled = tiled.withColumn("coverage", F.col("matched_tokens") / F.col("item_tokens")).where(F.col("coverage") >= p.coverage)
+    both = pairs.join(hit.select("rid", F.col("tokens").alias("doc")), "rid").join(items.select("iid", "item_id", "n", F.col("tokens").alias("item")), "iid")
+    tiled = both.select("rid", "item_id", "n", "doc", "item").mapInArrow(_tile(p), f"rid {RID}, item_id bigint, item_tokens bigint, matched_tokens bigint, tiles bigint, longest_tile bigint")
+    return tiled.withColumn("coverage", F.col("matched_tokens") / F.col("item_tokens")).where(F.col("coverage") >= p.coverage)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, p: Tiling = Tiling()) -> DataFrame:
+    """One row per contaminated pair: doc_id, item_id, item_tokens, matched_tokens, tiles, longest_tile, coverage.
+
+    Null or empty texts and items of fewer than ``least`` tokens match nothing; a null doc_id or item_id
+    takes no part.  Repeated rows count once; where an id repeats with several texts its best pair
+    counts.  An empty table on either side gives no rows.  Other columns are not read.
+    """
     best = F.max(F.struct("coverage", "longest_tile", "matched_tokens", "item_tokens", F.negative("tiles").alias("less"))).alias("b")
-    return tiled.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.item_tokens", "b.matched_tokens", F.negative("b.less").alias("tiles"), "b.longest_tile", "b.coverage")
+    tiled = matches(docs, benchmark, p).groupBy(F.col("rid.doc_id").alias("doc_id"), "item_id").agg(best)
+    return tiled.select("doc_id", "item_id", "b.item_tokens", "b.matched_tokens", F.negative("b.less").alias("tiles"), "b.longest_tile", "b.coverage")
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, p: Tiling = Tiling()) -> DataFrame:
+    """docs without the rows whose own text is contaminated; rows with a null doc_id stay, and so do other texts of the same id."""
+    gone = matches(docs, benchmark, p).select(F.col("rid.doc_id").alias("_gl_id"), F.col("rid.body").alias("_gl_body")).distinct()
+    keyed = docs.withColumn("_gl_id", F.col("doc_id").cast("bigint")).withColumn("_gl_body", F.xxhash64(F.col("text").cast("string")))
+    return keyed.join(gone, ["_gl_id", "_gl_body"], "left_anti").select(*docs.columns)
 
 
 def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:

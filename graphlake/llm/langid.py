@@ -69,7 +69,8 @@ def ngrams(text: str | None) -> np.ndarray:
     a = np.where(letter, a, np.uint64(32))
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # of a run of blanks, the first
-    a = np.concatenate(([np.uint64(32)], a[keep], [np.uint64(32)]))
+    a = a[keep]
+    a = np.concatenate(([np.uint64(32)], a[:-1] if a[-1] == 32 else a, [np.uint64(32)]))
     out = []
     for n in SIZES:
         if a.size < n:

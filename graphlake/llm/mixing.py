@@ -20,7 +20,7 @@ from graphlake.llm.common import Scratch, table
 
 @dataclass(frozen=True)
 class Mixture:
-    """entropy: target as a share of the entropy of equal weights, or None; repeats: most epochs of one source for each of another (with budget None) or in all (with a budget); budget: tokens, or None for the least that sees every source whole; block: tokens of a block; grid, rounds: the bisection evaluates grid exponents in one pass, rounds times."""
+    """entropy: target as a share of the entropy of equal weights, or None; repeats: most epochs of one source for each of another (with budget None) or in all (with a budget); budget: tokens, or None for the least that sees every source whole; block: tokens of a block; grid, rounds: the bisection evaluates grid exponents in one pass, rounds times; bucket_docs: documents that are ordered together; copies: equal rows that are numbered together."""
 
     entropy: float | None = 0.9
     repeats: float = 4.0
@@ -30,6 +30,7 @@ class Mixture:
     grid: int = 16
     rounds: int = 6
     bucket_docs: int = 512
+    copies: int = 4096
 
 
 def count_tokens(text: Column) -> Column:
@@ -79,8 +80,8 @@ def find_exponent(totals: DataFrame, n_sources: int, m: Mixture) -> float:
     return max(by_entropy, by_repeats)
 
 
-def mix(docs: DataFrame, m: Mixture = Mixture(), tokens: Column | None = None) -> DataFrame:
-    """The mixture: doc_id, source, tokens, epoch, block, slot; a document appears once in each epoch that reaches it.
+def mix(docs: DataFrame, m: Mixture = Mixture(), tokens: Column | None = None, texts: bool = False) -> DataFrame:
+    """The mixture: doc_id, source, tokens, epoch, block, slot and, if asked for, text; a document appears once in each epoch that reaches it.
 
     Null source: a source of its own, named null.  Null or empty text: the row counts as one token
     in positions, so that no block gathers such rows without end, and its ``tokens`` is 0.  Repeated rows and null doc_ids
@@ -89,13 +90,15 @@ def mix(docs: DataFrame, m: Mixture = Mixture(), tokens: Column | None = None) -
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     base = docs.select("doc_id", F.col("source").cast("string").alias("source"), (count_tokens(F.col("text")) if tokens is None else tokens.cast("bigint")).alias("tokens"), F.xxhash64("text").alias("body"))
-    base = base.select("doc_id", "source", "tokens", "body", F.greatest("tokens", F.lit(1)).alias("size"))
+    # Equal rows are counted before the shuffle; each is told apart by its number.
+    base = base.groupBy("doc_id", "source", "tokens", "body").agg(F.count(F.lit(1)).alias("m")).withColumn("size", F.greatest("tokens", F.lit(1)))
     base = scratch.write(base, "base")
-    totals = base.groupBy("source").agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("docs"))
+    totals = base.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("tokens"), F.sum("m").alias("docs"))
     totals = scratch.write(totals, "totals")
     whole = totals.agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.max("docs").alias("docs")).first()
     if not whole["t"]:
-        return base.select("doc_id", "source", "tokens", F.lit(0).alias("epoch"), F.lit(0).cast("bigint").alias("block"), F.lit(0).alias("slot"))
+        none = base.select("doc_id", "source", "tokens", F.lit(0).alias("epoch"), F.lit(0).cast("bigint").alias("block"), F.lit(0).alias("slot"))
+        return none.withColumn("text", F.lit(None).cast("string")) if texts else none
     shares = totals.withColumn("p", F.col("tokens") / F.lit(float(whole["t"])))
     a = find_exponent(shares, whole["n"], m)
     z = shares.agg(F.sum(F.exp(F.log("p") * a)).alias("z"), F.min(F.exp(F.log("p") * (a - 1))).alias("least")).first()
@@ -104,21 +107,35 @@ def mix(docs: DataFrame, m: Mixture = Mixture(), tokens: Column | None = None) -
     weights = weights.withColumn("share", F.col("weight") * budget)
     # The source that needs the budget whole has just its own tokens; rounding must not cut its last document.
     weights = weights.withColumn("share", F.when(F.abs(F.col("share") / F.col("total") - F.round(F.col("share") / F.col("total"))) < 1e-9, F.round(F.col("share") / F.col("total")) * F.col("total")).otherwise(F.col("share")))
-    rows = base.withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
+    # Many copies of one row are numbered in several tasks.
+    last = lambda n: F.floor((n - 1) / m.copies)
+    many = base.where(F.col("m") > m.copies).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last(F.col("m"))))).repartition("doc_id", "body", "chunk")
+    rows = base.where(F.col("m") <= m.copies).withColumn("chunk", F.lit(0).cast("bigint")).unionByName(many)
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.col("chunk") * m.copies, F.least("m", (F.col("chunk") + 1) * m.copies) - 1))).drop("chunk", "m")
+    rows = rows.withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     weights = weights.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"), "total", "weight", "share")
     rows = rows.join(weights, "skey").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("share") / F.col("total")).cast("int") - 1, F.lit(0)))))
-    # Running sums in two levels, so that no source, however large, is ordered in one task.
+    # Running sums in three levels, so that no source, however large, is ordered in one task, nor are its buckets.
     bits = max(0, math.ceil(math.log2(max(1, whole["docs"] / m.bucket_docs))))
-    rows = rows.withColumn("h", F.xxhash64(F.lit(m.seed), "epoch", "doc_id", "body"))
+    rows = rows.withColumn("h", F.xxhash64(F.lit(m.seed), "epoch", "doc_id", "body", "copy"))
     rows = rows.withColumn("bucket", F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("bigint"))
-    buckets = rows.groupBy("skey", "epoch", "bucket").agg(F.sum("size").alias("in_bucket"))
-    before = F.sum("in_bucket").over(Window.partitionBy("skey", "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    buckets = buckets.select("skey", "epoch", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
-    inside = Window.partitionBy("skey", "epoch", "bucket").orderBy("h", "doc_id", "body").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = rows.groupBy("skey", "epoch", "bucket").agg(F.sum("size").alias("in_bucket")).withColumn("range", F.shiftright("bucket", bits - bits // 2))
+    ranges = buckets.groupBy("skey", "epoch", "range").agg(F.sum("in_bucket").alias("in_range"))
+    sum_before = lambda c, over, by: F.coalesce(F.sum(c).over(Window.partitionBy(*over).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.withColumn("far", sum_before("in_range", ["skey", "epoch"], "range")).drop("in_range")
+    buckets = buckets.withColumn("near", sum_before("in_bucket", ["skey", "epoch", "range"], "bucket")).join(ranges, ["skey", "epoch", "range"])
+    buckets = buckets.select("skey", "epoch", "bucket", (F.col("far") + F.col("near")).alias("before"))
+    inside = Window.partitionBy("skey", "epoch", "bucket").orderBy("h", "doc_id", "body", "copy").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.join(buckets, ["skey", "epoch", "bucket"]).withColumn("at", F.col("epoch") * F.col("total") + F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.where("at < share").withColumn("block", F.floor(F.col("at") / (F.col("weight") * m.block)).cast("bigint"))
-    order = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(m.seed + 1), "block", "epoch", "doc_id", "body"), "doc_id", "epoch", "body")
-    return placed.select("doc_id", "source", "tokens", "epoch", "block", (F.row_number().over(order) - 1).alias("slot"))
+    order = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(m.seed + 1), "block", "epoch", "doc_id", "body", "copy"), "doc_id", "epoch", "body", "copy")
+    out = ["doc_id", "source", "tokens", "epoch", "block", "slot"]
+    placed = placed.withColumn("slot", F.row_number().over(order) - 1)
+    if not texts:
+        return placed.select(*out)
+    placed = scratch.write(placed.select(*out, "body"), "placed")
+    held = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_body"), "text").groupBy("_id", "_body").agg(F.first("text").alias("text"))
+    return placed.join(held, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_body"))).select(*out, "text")
 
 
 def op8_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,7 +98,7 @@ def _sweep(otherwise: str):
     """Rows of one piece after the other, each sorted by key with rules before the URLs of the same key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack: list[tuple[str, list[tuple[str, str, str]]]] = []  # open intervals, outermost first, each with its rules
+        stack: list[tuple[str, dict[str, tuple[str, str]], list[int]]] = []  # open intervals, outermost first: rules by path, and the paths' lengths, longest first
         piece = None
         for b in batches:
             at, rules, verdicts = [], [], []
@@ -111,15 +111,20 @@ def _sweep(otherwise: str):
                     stack.pop()  # the sweep has left this interval
                 if not is_url:
                     if not stack or stack[-1][0] != key:
-                        stack.append((key, []))
-                    stack[-1][1].append((path, rule, verdict))
+                        stack.append((key, {}, []))
+                    _, held, lengths = stack[-1]
+                    if held.get(path, ("", ""))[1] != "block":  # block before allow
+                        held[path] = rule, verdict
+                    if len(path) not in lengths:
+                        lengths.append(len(path))
+                        lengths.sort(reverse=True)
                     continue
                 best = None
-                for _, held in stack:
-                    for p, r, v in held:
-                        # The longest rule; of equally long ones the inner host; then block before allow.
-                        if path.startswith(p) and (best is None or len(r) >= len(best[0]) and (len(r), v == "block") >= (len(best[0]), best[1] == "block")):
-                            best = (r, v)
+                for _, held, lengths in stack:
+                    own = next((held[path[:n]] for n in lengths if n <= len(path) and path[:n] in held), None)
+                    # The longest rule; of equally long ones the inner host's.
+                    if own and (best is None or len(own[0]) >= len(best[0])):
+                        best = own
                 at.append(i)
                 rules.append(best[0] if best else None)
                 verdicts.append(best[1] if best else otherwise)
@@ -141,12 +146,12 @@ def judge(pages: DataFrame, rules: DataFrame, p: Sweep = Sweep()) -> DataFrame:
     spark = pages.sparkSession
     scratch = Scratch(spark, "urls")
     url = F.col("url").cast("string")
-    urls = pages.select("id", host_of(url).alias("host"), path_of(url).alias("path"), F.hash("id", "url").alias("salt"))
+    urls = pages.select("id", host_of(url).alias("host"), path_of(url).alias("path"), F.hash(F.monotonically_increasing_id()).alias("salt"))
     urls = urls.withColumn("key", reversed_key(F.col("host"))).withColumn("salt", F.col("salt").cast("bigint") + 2**31)
     urls = scratch.write(urls, "urls")
     n = urls.count()
     rate = min(1.0, p.sampled / max(n, 1))
-    # The split points only balance the tasks.  With the salt behind the key, a host of any size is cut too.
+    # The split points only balance the tasks.  With the salt behind the key, a host of any size is cut too, and so are equal rows.
     picked = urls.where(F.pmod(F.xxhash64("key", "salt"), F.lit(1 << 30)) < int(rate * (1 << 30))).select("key", "salt").limit(2 * p.sampled).toArrow()
     sample = sorted(k.encode("utf-8", "surrogatepass") + b"\0" + s.to_bytes(4, "big") for k, s in zip(picked.column("key").to_pylist(), picked.column("salt").to_pylist(), strict=True))
     parts = max(1, min(p.parts, max(p.least_parts, -(-n // p.rows)), len(sample)))

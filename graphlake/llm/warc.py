@@ -14,6 +14,7 @@ import struct
 import uuid
 import zipfile
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import quote, unquote
@@ -33,12 +34,13 @@ STORED, DEFLATED = 0, 8
 
 @dataclass(frozen=True)
 class Packing:
-    """least: bytes from which equal payloads are stored once; archive: payload bytes after which a new file begins; level: of gzip; span: bytes of an archive that one reading task gets."""
+    """least: bytes from which equal payloads are stored once; archive: payload bytes after which a new file begins; level: of gzip; span: bytes of an archive that are read together; tasks: most reading tasks, which then read several spans."""
 
     least: int = 100
     archive: int = 64 << 20
     level: int = 1
-    span: int = 16 << 20
+    span: int = 4 << 20
+    tasks: int = 50_000
     date: str = "2024-01-01T00:00:00Z"
 
 
@@ -118,21 +120,49 @@ def content(f, m: Member) -> bytes:
     raise ValueError(f"{m.name}: compression method {m.method}")
 
 
+def _index_line(line: bytes, fields: list[str] | None) -> tuple[str, int, int | None]:
+    """(file name, offset, length or None) of a line with JSON, or of a classic one whose header names its fields: g, V and S."""
+    if fields is None:
+        if b"{" not in line:
+            raise ValueError(f"an index line without JSON and without a header before it: {line[:80]!r}")
+        x = json.loads(line[line.index(b"{") :])
+        return x["filename"], int(x["offset"]), int(x["length"])
+    values = dict(zip(fields, line.decode().split(), strict=False))
+    if len(values) < len(fields) or not {"g", "V"} <= values.keys():
+        raise ValueError(f"an index line that does not have the fields of its header: {line[:80]!r}")
+    return values["g"], int(values["V"]), int(values["S"]) if values.get("S", "-") != "-" else None
+
+
 def index_ranges(f, size: int) -> Iterator[tuple[int, int]]:
-    """(start, length) in the file of every record that an index names, in index order."""
+    """(start, length) in the file of every record that an index names, in index order.
+
+    Index lines hold JSON, or are classic ones below a `` CDX`` header; a classic line without a length ends where the next indexed
+    record of its file begins.  Empty lines and lines of comment (``!``) hold no record; any other line and a file without an index
+    are errors, so no record is left out in silence.
+    """
     members = {m.name: m for m in directory(f, size)}
-    for name, m in members.items():
-        if not (name.startswith("indexes/") and name.endswith((".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz"))):
-            continue
-        raw = content(f, m)
-        for line in (gzip.decompress(raw) if name.endswith(".gz") else raw).splitlines():
-            if b"{" not in line:
-                continue
-            x = json.loads(line[line.index(b"{") :])
-            to = members.get(x["filename"]) or members.get(f"archive/{x['filename']}")
+    indexes = [m for name, m in members.items() if name.startswith("indexes/") and name.endswith((".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz"))]
+    if not indexes:
+        raise ValueError("the archive has no index: no member indexes/*.cdx, *.cdxj or either with .gz")
+    for m in indexes:
+        raw, fields, found = content(f, m), None, []
+        for line in (gzip.decompress(raw) if m.name.endswith(".gz") else raw).splitlines():
+            if line.lstrip().startswith(b"CDX ") and (line[:1] == b" " or b"{" not in line):
+                fields = line.decode().split()[1:]
+            elif line.strip() and not line.startswith(b"!"):
+                found.append(_index_line(line, fields))
+        starts: dict[str, list[int]] = {}
+        for name, start, n in found:
+            starts.setdefault(name, []).append(start)
+        for at in starts.values():
+            at.sort()
+        for name, start, n in found:
+            to = members.get(name) or members.get(f"archive/{name}")
             if to is None or to.method != STORED:
-                raise ValueError(f"{x['filename']} is not a stored member")
-            start, n = int(x["offset"]), int(x["length"])
+                raise ValueError(f"{name} is not a stored member")
+            if n is None:
+                after = bisect_right(starts[name], start)
+                n = (starts[name][after] if after < len(starts[name]) else to.size) - start
             if start + n > to.size:
                 raise ValueError(f"an index range ends beyond {to.name}")
             yield to.start + start, n
@@ -259,7 +289,7 @@ RECORD = "page_id bigint, url string, record_type string, refers_to bigint, payl
 
 
 def read_records(ranges: DataFrame, p: Packing = Packing(), payloads: bool = True) -> DataFrame:
-    """The records at ranges(path, start, length), each read by its range; payloads: whether to return these."""
+    """The records at ranges(path, start, length), each read by its range; payloads: whether to return these.  The ranges are read twice, so a written table serves best."""
     names = [x.split()[0] for x in RECORD.split(", ")]
     names = names if payloads else names[:-1]
 
@@ -291,7 +321,10 @@ def read_records(ranges: DataFrame, p: Packing = Packing(), payloads: bool = Tru
         if f is not None:
             f.close()
 
-    spans = ranges.repartition(F.col("path"), F.floor(F.col("start") / p.span)).sortWithinPartitions("path", "start")
+    # By the bytes to be read, not by those of the ranges, which are few.
+    total = ranges.agg(F.sum("length")).first()[0] or 0
+    tasks = min(max(ranges.sparkSession.sparkContext.defaultParallelism, -(-total // p.span)), p.tasks)
+    spans = ranges.repartition(tasks, F.col("path"), F.floor(F.col("start") / p.span)).sortWithinPartitions("path", "start")
     return spans.mapInArrow(run, RECORD if payloads else RECORD.rpartition(",")[0])
 
 

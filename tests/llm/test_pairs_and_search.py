@@ -142,6 +142,17 @@ def test_tiles_equal_naive_tiling():
         assert all(p[i : i + k] == t[j : j + k] and k >= least for i, j, k in got)
 
 
+def test_tiling_of_long_repetitive_texts():
+    """One token, or a period of few, thousands of times on both sides: no walk over all pairs of places."""
+    for period in ([1], [1, 2], [1, 2, 3, 1, 2]):
+        p, t = (np.array((period * n)[:n], np.uint64) for n in (1000, 20_000))
+        assert sum(k for *_, k in decontaminate.tile(p, t)) == 1000
+
+
+def test_tokens_of_scripts_without_blanks():
+    assert decontaminate.tokens("日本語テスト abc").size == 7 and decontaminate.tokens("naïve über 12_x").size == 4
+
+
 def test_contamination(spark):
     r = random.Random(1)
     item = words(r, 40, 10_000)
@@ -189,6 +200,14 @@ def test_nearest(spark):
     assert ann.search(df.limit(0), asked, 7).count() == 0 and ann.search(df, asked.limit(0), 7).count() == 0
 
 
+def test_nearest_of_repeated_ids(spark):
+    """Every row is a candidate, whatever its id; a query's own id is none."""
+    rows = [(i // 2, [float(i), 1.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id bigint, vector array<float>")
+    got = ann.search(df, df.where("vec_id = 19").withColumnRenamed("vec_id", "query_id"), 5, ann.OneBit(bits=64, shard=8, queries=4, step=4)).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(i // 2, 38.0 * i + 1) for i in (37, 36, 35, 34, 33)]
+
+
 def test_one_bit_bounds_hold():
     """Estimates of inner products are within their bounds."""
     g = np.random.default_rng(0)

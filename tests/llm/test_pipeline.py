@@ -56,6 +56,8 @@ def test_stages(steps):
             assert r.text == before[r.doc_id].text
     assert redacted.columns == docs.columns
     assert set(ids(mixed)) == set(ids(redacted))
+    texts = {(r.doc_id, r.text) for r in redacted.collect()}
+    assert {(r.doc_id, r.text) for r in mixed.select("doc_id", "text").collect()} == texts
 
 
 def test_odd_rows_pass(spark):
@@ -72,9 +74,13 @@ def test_odd_rows_pass(spark):
 
 
 def test_repeated_ids_with_several_texts(spark):
-    one, two = (" ".join(f"{w}{i}" for i in range(20)) for w in "ab")
+    """Stages decide by row, so no text vanishes with another one of its id."""
+    one, two, three = (" ".join(f"{w}{i}" for i in range(20)) for w in "abc")
     docs = spark.createDataFrame([(1, one), (2, one), (2, two), (3, two), (3, two)], "doc_id bigint, text string")
-    assert ids(pipeline.near_duplicates(spark, docs, SF)) == [1]
+    assert sorted((r.doc_id, r.text) for r in pipeline.near_duplicates(spark, docs, SF).collect()) == [(1, one), (2, two)]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    docs = spark.createDataFrame([(1, one), (1, f"{two} {item}"), (1, three), (None, item)], "doc_id bigint, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in pipeline.decontamination(spark, docs, SF).collect()) == [(0, item), (1, one), (1, three)]
 
 
 def test_empty_table(spark):

@@ -256,6 +256,38 @@ def test_archives(spark):
     assert warc.read_records(warc.list_records(empty), p).count() == 0
 
 
+def zipped(index, name="indexes/index.cdx", records=3):
+    """A ZIP of an archive with some records and an index made by index(offsets, lengths)."""
+    raw, at, offsets, lengths = io.BytesIO(), 0, [], []
+    packed = [gzip.compress(warc.build_record("response", i, f"http://a/{i}", b"p%d" % i, hashlib.sha256(b"p%d" % i).hexdigest(), None, "d")) for i in range(records)]
+    for x in packed:
+        offsets.append(at)
+        lengths.append(len(x))
+        at += len(x)
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("archive/data.warc.gz", b"".join(packed))
+        if name:
+            z.writestr(name, index(offsets, lengths))
+    return raw, len(raw.getvalue())
+
+
+def test_classic_indexes():
+    """Lines without JSON are read under their header, with and without lengths; what cannot be read is an error, not a gap."""
+    full = lambda o, n: b" CDX N b a m s k r M S V g\n" + b"".join(b"a)/ 2024 http://a/ text/html 200 X - - %d %d data.warc.gz\n" % (n[i], o[i]) for i in (2, 0, 1))
+    short = lambda o, n: b" CDX N b a m s k r V g\n" + b"".join(b"a)/ 2024 http://a/ text/html 200 X - %d data.warc.gz\n" % x for x in o)
+    mixed = lambda o, n: b"!header\n\n" + b"".join(b'a 2024 {"filename": "data.warc.gz", "offset": %d, "length": "%d"}\n' % x for x in zip(o, n, strict=True))
+    for index, order in ((full, [2, 0, 1]), (short, [0, 1, 2]), (mixed, [0, 1, 2])):
+        raw, size = zipped(index)
+        got = [warc.parse_record(gzip.decompress(warc._at(raw, *r)))["page_id"] for r in warc.index_ranges(raw, size)]
+        assert got == order
+    raw, size = zipped(lambda o, n: gzip.compress(full(o, n)), "indexes/x.cdx.gz")
+    assert len(list(warc.index_ranges(raw, size))) == 3
+    for index, name in ((lambda o, n: b"a)/ 2024 http://a/ 0 data.warc.gz\n", "indexes/index.cdx"), (lambda o, n: b" CDX N b a\nx y z\n", "indexes/index.cdx"), (None, None)):
+        raw, size = zipped(index, name)
+        with pytest.raises(ValueError):
+            list(warc.index_ranges(raw, size))
+
+
 def test_damage_is_seen():
     raw = warc.build_record("response", 1, "u", b"payload", hashlib.sha256(b"payload").hexdigest(), None, "d")
     assert warc.parse_record(raw)["payload"] == b"payload"
@@ -368,6 +400,23 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0), m).count() == 0
 
 
+def test_mixing_many_copies(spark):
+    """A third of all rows are equal: they are numbered in pieces and dealt over buckets like others; texts come along on request."""
+    rows = [(7, "same words here", "big")] * 200 + [(i, f"t{i} " * (1 + i % 9), ("big", "small")[i % 7 == 0]) for i in range(100, 500)] + [(None, "x", None)] * 30 + [(None, None, None)] * 5
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    m = mixing.Mixture(block=300, bucket_docs=8, copies=16)
+    got = mixing.mix(df, m, texts=True).toPandas()
+    first = got[got.epoch == 0]
+    key = lambda i, t, s: repr((i, t, s))
+    have = sorted(key(None if i != i else int(i), t, s) for i, t, s in zip(first.doc_id, first.text, first.source, strict=True))
+    assert have == sorted(key(*r) for r in rows)
+    assert first[first.doc_id == 7].block.nunique() > 3
+    plain = mixing.mix(df.repartition(2), m).toPandas()
+    cols = ["source", "doc_id", "tokens", "epoch", "block", "slot"]
+    assert got[cols].sort_values(cols).reset_index(drop=True).equals(plain[cols].sort_values(cols).reset_index(drop=True))
+    assert mixing.mix(df.limit(0), m, texts=True).columns[-1] == "text"
+
+
 def test_repetition_limit(spark):
     df = spark.createDataFrame([(i, "a b c", "x" if i < 90 else "y") for i in range(100)], "doc_id bigint, text string, source string")
     got = mixing.mix(df, mixing.Mixture(entropy=1.0, repeats=2.0)).toPandas()
@@ -404,6 +453,40 @@ def test_rare_language(spark):
     assert 1_800 < langid.training_rows(docs, 2_000).count() < 2_200
 
 
+def test_scores_equal_exact_sets(spark):
+    """Predictions against sets of n-grams, counted without filters, for all held-out texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    counts = {}
+    for d in docs:
+        if d.lang is not None and d.text is not None and not langid.held_out(d.doc_id):
+            low = "".join(c if c.isalpha() else " " for c in d.text.lower())
+            words = " " + " ".join(low.split()) + " "
+            if words.strip():
+                by = counts.setdefault(d.lang, {})
+                for n in langid.SIZES:
+                    for i in range(len(words) - n + 1):
+                        by[words[i : i + n]] = by.get(words[i : i + n], 0) + 1
+    counts = {lang: {g: n for g, n in by.items() if n >= 3} for lang, by in counts.items()}
+    rate = {lang: {g: n / sum(by.values()) for g, n in by.items()} for lang, by in counts.items()}
+    top = {}
+    for by in rate.values():
+        for g, x in by.items():
+            top[g] = max(top.get(g, 0), x)
+    sets = {lang: {g for g, x in by.items() if x >= 0.5 * top[g]} for lang, by in rate.items()}
+    got = {r.doc_id: r for r in langid.op9_language_filters(spark, SF).collect()}
+    for d in docs:
+        words = " " + " ".join("".join(c if c.isalpha() else " " for c in (d.text or "").lower()).split()) + " "
+        grams = [words[i : i + n] for n in langid.SIZES for i in range(len(words) - n + 1)] if words.strip() else []
+        if not grams:
+            assert (got[d.doc_id].lang_pred, got[d.doc_id].score) == ("und", 0.0)
+            continue
+        share = {lang: sum(g in held for g in grams) / len(grams) for lang, held in sets.items()}
+        best = max(sorted(share), key=share.get)
+        assert abs(got[d.doc_id].score - share[best]) < 0.03 + 1 / len(grams)
+        if sorted(share.values())[-1] - sorted(share.values())[-2] > 0.06 + 2 / len(grams):
+            assert got[d.doc_id].lang_pred == best
+
+
 def test_filters_answer_for_all_languages():
     """The looked-up word is the set of all languages that hold an n-gram, but for false positives."""
     grams = langid.ngrams("abcdefgh")
@@ -433,9 +516,13 @@ def test_quality(spark):
     count = lambda ts: sum((np.bincount(quality.ngram_counts(t, 14), minlength=1 << 14) for t in ts), np.ones(1 << 14))
     raw, target = count([t for _, t in rows]), count([t for i, t in rows if i is not None and i < 80 and i % 2 == 0])
     ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    texts = {i: [t for j, t in rows if i == j] for i, _ in rows}
     for x in got:
-        if x.doc_id == 90:
-            assert abs(x.log_weight - ratio[quality.ngram_counts(dict(rows)[90], 14)].sum()) < 1e-9
+        if x.log_weight is not None:
+            assert min(abs(x.log_weight - ratio[quality.ngram_counts(t, 14)].sum()) for t in texts[x.doc_id]) < 1e-6
+    # The noise is Gumbel's: key less weight has its mean and spread.
+    noise = np.array([r.key - r.log_weight for r in quality.resample(spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the word "), F.col("id")).alias("text")), labels).collect()])
+    assert abs(noise.mean() - 0.5772) < 0.1 and abs(noise.std() - math.pi / 6**0.5) < 0.1
     assert quality.resample(df.limit(0), labels).count() == 0
     assert sum(x.kept for x in quality.resample(df, labels.limit(0)).collect()) == len(rows) - 2
 
