@@ -30,20 +30,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group; of equal rows one stays.
+    """Keeps the document of the smallest doc_id of each group; of rows with one doc_id and one text one stays.
 
-    Rows with a null doc_id stay.  Where an id repeats with several texts, all its rows go if one of them is a copy of a smaller id's.
+    Rows with a null doc_id stay.  Where an id repeats with several texts, each is judged for itself.
     """
-    gone = neardup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gl_id")).distinct()
-    kept = docs.withColumn("_gl_id", F.col("doc_id").cast("bigint")).join(gone, "_gl_id", "left_anti")
-    return kept.withColumn("_gl_body", F.xxhash64("text")).dropDuplicates(["_gl_id", "_gl_body"]).select(*docs.columns)
+    return neardup.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold half or more of a benchmark item.  Rows with a null doc_id stay."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark", ["item_id", "text"]))
-    gone = found.select(F.col("doc_id").alias("_gl_id")).distinct()
-    return docs.withColumn("_gl_id", F.col("doc_id").cast("bigint")).join(gone, "_gl_id", "left_anti").select(*docs.columns)
+    """Drops documents that hold half or more of a benchmark item.  Rows with a null doc_id stay, and so do other texts of the same id."""
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark", ["item_id", "text"]))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +49,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training order: doc_id, source, tokens, epoch, block, slot; every document comes once or more."""
-    return mixing.mix(docs)
+    """The training corpus in its order: doc_id, source, tokens, epoch, block, slot and the redacted text; every document comes once or more."""
+    return mixing.mix(docs, texts=True)
 
 
 STAGES = [
