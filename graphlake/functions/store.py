@@ -28,7 +28,13 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def cut(df: DataFrame) -> DataFrame:
     """df, written once and read back; a lost executor loses nothing of it.  The table goes when the process ends."""
-    path = f"{shared_folder(df.sparkSession)}/graphlake/{uuid.uuid4().hex}"
-    atexit.register(delete, df.sparkSession, path)
+    path = folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def folder(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes when the process ends."""
+    path = f"{shared_folder(spark)}/graphlake/{uuid.uuid4().hex}"
+    atexit.register(delete, spark, path)
+    return path

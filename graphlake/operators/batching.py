@@ -9,15 +9,30 @@ from pyspark.sql.window import Window
 from graphlake.functions.hashing import rank_key
 
 
-def number(df: DataFrame, key: Column, out: str = "pos", by: list[str] | None = None, digits: int = 2) -> DataFrame:
-    """df with its position in the order of a hexadecimal key; the key's first digits cut the order into ranges that are numbered apart."""
+def number(df: DataFrame, key: Column, out: str = "pos", by: list[str] | None = None, levels: tuple[int, ...] = (2, 4)) -> DataFrame:
+    """df with its position in the order of a hexadecimal key, within each group if ``by`` is given.
+
+    The key's prefixes of the given lengths cut the order into ranges of ranges, each numbered apart: rows are ordered among
+    those of one longest prefix only, and the counts of ranges among those of one shorter prefix.
+    """
     by = by or []
-    k = df.withColumn("_key", key).withColumn("_range", F.substring("_key", 1, digits))
-    counts = k.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over((Window.partitionBy(*by) if by else Window).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(*by, "_range", F.coalesce(before, F.lit(0)).alias("_before"))  # at most 16 ** digits rows for each group
-    inside = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_key")) - 1
-    return k.withColumn("_in", inside).join(counts, [*by, "_range"]).withColumn(out, (F.col("_before") + F.col("_in")).cast("bigint")).drop("_key", "_range", "_in", "_before")
+    names = [f"_r{i}" for i in range(len(levels))]
+    k = df.withColumn("_key", key).withColumns({n: F.substring(F.col("_key"), 1, d) for n, d in zip(names, levels, strict=True)})
+    counts = k.groupBy(*by, *names).agg(F.count(F.lit(1)).alias("_n"))
+    befores = []
+    for i in reversed(range(len(levels))):
+        groups = [*by, *names[:i]]
+        w = (Window.partitionBy(*groups) if groups else Window).orderBy(names[i]).rowsBetween(Window.unboundedPreceding, -1)
+        befores.insert(0, counts.select(*by, *names[: i + 1], F.coalesce(F.sum("_n").over(w), F.lit(0)).alias(f"_b{i}")))
+        if i:
+            counts = counts.groupBy(*by, *names[:i]).agg(F.sum("_n").alias("_n"))
+    before = befores[0]
+    for i, finer in enumerate(befores[1:]):
+        before = finer.join(before, [*by, *names[: i + 1]])
+    before = before.select(*by, *names, sum((F.col(f"_b{i}") for i in range(len(levels))), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*by, *names).orderBy("_key")) - 1
+    placed = k.withColumn("_in", inside).join(before, [*by, *names])
+    return placed.withColumn(out, (F.col("_before") + F.col("_in")).cast("bigint")).drop("_key", "_in", "_before", *names)
 
 
 def shuffle(df: DataFrame, key: str, epoch: int, seed: int, by: list[str] | None = None) -> DataFrame:
@@ -25,6 +40,22 @@ def shuffle(df: DataFrame, key: str, epoch: int, seed: int, by: list[str] | None
     return number(df, rank_key(F.col(key), epoch, seed), "pos", by)
 
 
+def hex_id(id_: Column, digits: int = 16) -> Column:
+    """Zero-padded hexadecimal of a number that is not negative: its order is the number's."""
+    return F.lpad(F.hex(id_.cast("bigint")), digits, "0")
+
+
+def degree_order(degrees: DataFrame) -> DataFrame:
+    """(id, deg, pos): positions by descending degree, ties by id.  Nodes of one degree are cut by their ids, so no degree is ordered in one task."""
+    key = F.concat(hex_id(F.lit(2**40) - F.col("deg")), hex_id(F.col("id")))
+    return number(degrees, key, "pos", levels=(16, 24, 28)).select("id", "deg", "pos")
+
+
+def edge_order(edges: DataFrame) -> DataFrame:
+    """edges with ``pos`` in the order of (dst, src); the list of one target, however long, is cut by its sources' ids."""
+    return number(edges, F.concat(hex_id(F.col("dst"), 12), hex_id(F.col("src"), 12)), "pos", levels=(8, 12, 20))
+
+
 def split_chunk(pos: Column, n: Column | int, size: int, keep: float = 0.0) -> Column:
     """The chunk of a position; null in a tail shorter than size * keep."""
     n = n if isinstance(n, Column) else F.lit(n)
@@ -95,8 +126,8 @@ def part_batches(k: int, size: int, spark, epoch: int = 0, seed: int = 0) -> Dat
 
 
 def repeats(df: DataFrame, n: int, out: str = "repeat") -> DataFrame:
-    """Every row n times."""
-    return df.withColumn(out, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    """Every row n times; 0: no rows."""
+    return df.withColumn(out, F.explode(F.array(*map(F.lit, range(n))).cast("array<int>")))
 
 
 def zip_rows(a: DataFrame, b: DataFrame, on: str = "pos") -> DataFrame:
@@ -120,5 +151,3 @@ def unbatch(df: DataFrame, column: str = "items", levels: int = 1) -> DataFrame:
 def flat_map(df: DataFrame, column: str, fn) -> DataFrame:
     """fn(column) makes an array; each element gets a row and a copy of the other fields."""
     return df.withColumn(column, F.explode(fn(F.col(column))))
-
-

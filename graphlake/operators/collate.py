@@ -53,6 +53,11 @@ def build_pivots(g: PartitionedGraph, ids: DataFrame, edges: DataFrame, assign:
     )
 
 
+def largest_parts(parts: DataFrame, batch: int) -> DataFrame:
+    """(part, size) of the 2 * batch largest parts, ties to the smaller number: what two buffers of a batch must hold at most."""
+    return parts.select("part", (F.col("end") - F.col("start")).alias("size")).orderBy(F.desc("size"), "part").limit(2 * batch)
+
+
 def batch_pivots(p: Pivots, batches: DataFrame) -> DataFrame:
     """(batch, pvt) of pivots whose part is in the batch: these are main nodes already."""
     return p.pivots.join(batches.select("batch", "part"), "part").select("batch", "pvt")
@@ -67,15 +72,20 @@ def collate_with_pivots(g: PartitionedGraph, p: Pivots, batches: DataFrame, spli
     order = batches.withColumn("seq", F.col("part"))
     main = batch_nodes(g, order, split)
     n_main = bases(order, g.parts).groupBy("batch").agg(F.sum("size").alias("n_main"))
-    extra = p.pivots.join(g.nodes.select("old_id", "new_id"), "old_id").withColumn("_k", F.lit(1)).join(n_main.withColumn("_k", F.lit(1)), "_k")
+    # Every batch gets every pivot; batches are at most as many as parts, so their sizes go into the plan.
+    sizes = F.array(*(F.struct(F.lit(r["batch"]).cast(batches.schema["batch"].dataType).alias("batch"), F.lit(r["n_main"]).cast("bigint").alias("n_main")) for r in n_main.collect())).cast(f"array<struct<batch: {batches.schema['batch'].dataType.simpleString()}, n_main: bigint>>")
+    each = lambda df: df.withColumn("_b", F.explode(sizes)).select(*df.columns, "_b.batch", "_b.n_main")
+    extra = each(p.pivots.join(g.nodes.select("old_id", "new_id"), "old_id"))
     nodes = main.unionByName(extra.select("batch", (F.col("n_main") + F.col("pvt")).alias("local_id"), "new_id", "old_id", F.lit(0).alias("label"), F.lit(False).alias("is_target")))
     redundant = batch_pivots(p, order)
     b = bases(order, g.parts).join(n_main, "batch")
     inter = p.inter.join(b.select("batch", F.col("part").alias("sp"), (F.col("base") - F.col("start")).alias("d"), "n_main"), "sp").join(redundant, ["batch", "pvt"], "left_anti")
     inter = inter.select("batch", (F.col("src") + F.col("d")).alias("src"), (F.col("pvt") + F.col("n_main")).alias("dst"))
-    intra = p.intra.withColumn("_k", F.lit(1)).join(n_main.withColumn("_k", F.lit(1)), "_k").join(order.select("batch", F.col("part").alias("sp")), ["batch", "sp"], "left_anti")
+    both = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    inter = inter.select("batch", both.alias("e")).select("batch", "e.src", "e.dst")
+    intra = each(p.intra).join(order.select("batch", F.col("part").alias("sp")), ["batch", "sp"], "left_anti")
     intra = intra.select("batch", (F.col("src") + F.col("n_main")).alias("src"), (F.col("dst") + F.col("n_main")).alias("dst"))
-    return nodes, batch_edges(g, order).union(inter).union(inter.select("batch", F.col("dst").alias("src"), F.col("src").alias("dst"))).union(intra)
+    return nodes, batch_edges(g, order).union(inter).union(intra)
 
 
 def check_layout(g: PartitionedGraph, edges: DataFrame, assign: DataFrame) -> DataFrame:
@@ -97,6 +107,24 @@ def check_layout(g: PartitionedGraph, edges: DataFrame, assign: DataFrame) -> Da
     return total
 
 
+def check_pivots(g: PartitionedGraph, p: Pivots, degrees: DataFrame) -> DataFrame:
+    """(check, bad): violations of a pivot layout; degrees(id, deg) are the in-degrees in the whole graph, by old id."""
+    part_of = g.nodes.select(F.col("new_id").alias("src"), "part")
+    got = p.inter.groupBy("pvt").agg(F.count(F.lit(1)).alias("got"))
+    want = p.pivots.join(degrees.select(F.col("id").alias("old_id"), "deg"), "old_id").join(got, "pvt", "left")
+    checks = [
+        ("edge into a pivot is in another part than its source", p.inter.join(part_of, "src").where("part <> sp")),
+        ("edge between pivots is in another part than its source", p.intra.join(p.pivots.select(F.col("pvt").alias("src"), "part"), "src").where("part <> sp")),
+        ("in-degree of a pivot differs from the graph's", want.where("deg <> coalesce(got, 0)")),
+        ("pivot number used twice", p.pivots.groupBy("pvt").count().where("count > 1")),
+    ]
+    out = None
+    for name, df in checks:
+        row = df.agg(F.lit(name).alias("check"), F.count(F.lit(1)).alias("bad"))
+        out = row if out is None else out.union(row)
+    return out
+
+
 def popular_nodes(nodes: DataFrame, edges: DataFrame, share: float) -> DataFrame:
     """(id): the given share of all nodes, by in-degree, ties to the smaller id."""
     deg = edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("deg"))

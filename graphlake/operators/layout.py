@@ -87,20 +87,32 @@ def row_pointers(nodes: DataFrame, edges: DataFrame, by: str = "dst") -> DataFra
     return prefix_sum(degree(nodes, edges, by), "id", "deg", "start").select("id", "start", F.col("deg").alias("len"))
 
 
-def ranges_gather(df: DataFrame, pos: str, ranges: DataFrame) -> DataFrame:
-    """Rows of df whose ``pos`` lies in ranges(seq, start, len), with ``out_pos``: slices follow each other by seq.
+def in_ranges(df: DataFrame, pos: str, ranges: DataFrame, how: str = "inner") -> DataFrame:
+    """df joined with the ranges(start, len, ...) that hold its ``pos``: both meet over the chunk of the position, so it is an equality join."""
+    last = F.floor((F.col("start") + F.col("len") - 1) / CHUNK)
+    r = ranges.where("len > 0").withColumn("_chunk", F.explode(F.sequence(F.floor(F.col("start") / CHUNK), last)))
+    d = df.withColumn("_chunk", F.floor(F.col(pos) / CHUNK)).alias("d")
+    r = r.alias("r")
+    on = (F.col("d._chunk") == F.col("r._chunk")) & (F.col(f"d.{pos}") >= F.col("r.start")) & (F.col(f"d.{pos}") < F.col("r.start") + F.col("r.len"))
+    return d.join(r, on, how).select(*(F.col(f"d.`{c}`") for c in df.columns), *(F.col(f"r.`{c}`") for c in ranges.columns))
 
-    Ranges are one row for each part of a batch; they are matched by the part's interval.
-    """
-    r = prefix_sum(ranges, "seq", "len", "base")
-    inside = (F.col(pos) >= F.col("start")) & (F.col(pos) < F.col("start") + F.col("len"))
-    return df.join(r, inside).withColumn("out_pos", F.col("base") + F.col(pos) - F.col("start")).drop("start", "len", "base")
+
+def ranges_gather(df: DataFrame, pos: str, ranges: DataFrame) -> DataFrame:
+    """Rows of df whose ``pos`` lies in ranges(seq, start, len), with ``out_pos``: slices follow each other by seq."""
+    r = prefix_sum(ranges.select("seq", "start", "len"), "seq", "len", "base")
+    return in_ranges(df, pos, r).withColumn("out_pos", F.col("base") + F.col(pos) - F.col("start")).drop("start", "len", "base")
 
 
 def ranges_add(df: DataFrame, pos: str, column: str, ranges: DataFrame) -> DataFrame:
     """df with value added to ``column`` where ``pos`` lies in one of ranges(start, len, value); others are unchanged."""
-    inside = (F.col(pos) >= F.col("start")) & (F.col(pos) < F.col("start") + F.col("len"))
-    return df.join(ranges.select("start", "len", "value"), inside, "left").withColumn(column, F.col(column) + F.coalesce("value", F.lit(0))).drop("start", "len", "value")
+    got = in_ranges(df, pos, ranges.select("start", "len", "value"), "left")
+    return got.withColumn(column, F.col(column) + F.coalesce("value", F.lit(0))).drop("start", "len", "value")
+
+
+def merge_ranges(fragments: list[DataFrame], pos: str, ranges: DataFrame) -> DataFrame:
+    """Grouped adjacency of slices of edge lists with positions: ranges(fragment, start, len) are cut from the fragment of that number; overlapping slices repeat their edges."""
+    cut_out = [in_ranges(f.select("src", "dst", pos), pos, ranges.where(F.col("fragment") == i).select("start", "len")) for i, f in enumerate(fragments)]
+    return merge_fragments(cut_out)
 
 
 def merge_fragments(fragments: list[DataFrame]) -> DataFrame:

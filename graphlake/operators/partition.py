@@ -1,8 +1,9 @@
-"""Balanced partitioning: by hash, by one-pass streaming with restreaming, and by supersteps.
+"""Balanced partitioning: by hash, by one-pass streaming with restreaming, in blocks of the stream, and by supersteps.
 
 Streaming assigns one node at a time and is sequential by definition: its kernel is one task over the
-adjacency, for graphs of up to ``EDGE_LIMIT`` edges.  The superstep variant has no such bound: every node proposes a
-move at once from stale part sizes, and parts admit what they have room for.
+adjacency, for graphs of up to ``EDGE_LIMIT`` edges.  The other two have no such bound.  Block streaming assigns a block of the
+stream at a time, all its nodes at once from what earlier blocks left; in a superstep every node proposes a
+move at once from stale part sizes.  In both, parts admit what they have room for, the greatest gains first.
 """
 
 from __future__ import annotations
@@ -11,13 +12,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphlake.functions.hashing import bucket, rank_key
 from graphlake.functions.store import cut
-from graphlake.operators.layout import adjacency, degree, normalise_weights
+from graphlake.operators.batching import degree_order, hex_id, number
+from graphlake.operators.layout import degree, normalise_weights
 from graphlake.operators.scoring import edge_importance
 
 EDGE_LIMIT = 50_000_000
@@ -59,9 +62,10 @@ def stream(ptr: np.ndarray, idx: np.ndarray, order: np.ndarray, p: Fennel, weigh
     with room.  If few parts are touched, only these and the least penalised part compete: touched ones in
     first-seen order, the fallback on a strictly greater score, of equal ones the highest number.
     strata: sizes and alphas count for each stratum (negative: not balanced); balance: a cap for each of these classes too.
+    A strict cap leaves room for every node: it is at least n / k, rounded up.
     """
     n, k = len(ptr) - 1, p.k
-    cap = int(n / k * p.slack)
+    cap = max(int(n / k * p.slack), -(-n // k)) if p.strict else int(n / k * p.slack)
     strata = np.zeros(n, np.int64) if strata is None else strata
     if alphas is None:
         m = weights.sum() if weights is not None else len(idx)
@@ -128,7 +132,7 @@ def streaming_partition(nodes: DataFrame, edges: DataFrame, p: Fennel = Fennel()
     """(id, part) by streaming.  order: 'degree' (descending, ties by id) or 'id'; edges may carry ``w``; strata and balance name
     integer columns of nodes (balance from 0, strata negative for none); start(id, part) is an assignment to begin from."""
     if edges.count() > EDGE_LIMIT:
-        raise ValueError(f"more than {EDGE_LIMIT} edges in one task: use superstep_partition")
+        raise ValueError(f"more than {EDGE_LIMIT} edges in one task: use block_streaming_partition or superstep_partition")
     weighted = "w" in edges.columns
     if weighted:
         edges = normalise_weights(edges)
@@ -144,7 +148,7 @@ def streaming_partition(nodes: DataFrame, edges: DataFrame, p: Fennel = Fennel()
         t = t.sort_by("id").combine_chunks()
         ids = t.column("id").to_numpy()
         lists = t.column("src").combine_chunks() if isinstance(t.column("src"), pa.ChunkedArray) else t.column("src")
-        lens = np.array([0 if x is None else len(x) for x in lists.to_pylist()])
+        lens = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
         ptr = np.concatenate(([0], np.cumsum(lens)))
         idx = np.searchsorted(ids, lists.flatten().to_numpy())
         w = t.column("w").combine_chunks().flatten().to_numpy() if weighted else None
@@ -169,37 +173,56 @@ def streaming_partition(nodes: DataFrame, edges: DataFrame, p: Fennel = Fennel()
     return rows.withColumn("_all", F.lit(True)).groupBy("_all").applyInArrow(run, "id bigint, part int")
 
 
+def _ranked(moves: DataFrame, gain, by: list[str]) -> DataFrame:
+    """moves with ``rank`` from 0 within each group: greatest gain first (in 65,536 steps of its logarithm), then by a hash of the id.  No group is ordered in one task."""
+    step = F.least(F.floor(F.log2(1 + F.greatest(gain, F.lit(0.0))) * 2048), F.lit(65535))
+    return number(moves, F.concat(hex_id(F.lit(65535) - step, 4), rank_key(F.col("id"))), "rank", by, (4, 6))
+
+
+def _fill(rows: DataFrame, room: DataFrame) -> DataFrame:
+    """(id, part) of rows(id, b), dealt in the order of a hash and evenly over the room(b, part, room) of their class."""
+    w = Window.partitionBy("b").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)  # a row for each part
+    slots = room.where("room > 0").withColumn("hi", F.sum("room").over(w))
+    slots = slots.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("hi", "part"))).alias("slots"), F.sum("room").alias("total"))
+    n = rows.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    placed = number(rows, rank_key(F.col("id")), "r", ["b"]).join(n, "b").join(slots, "b")
+    placed = placed.withColumn("slot", F.expr("cast(cast(r as decimal(19, 0)) * cast(total as decimal(18, 0)) div cast(n as decimal(18, 0)) as bigint)"))
+    index = F.size(F.filter("slots", lambda x: x["hi"] <= F.col("slot")))
+    return placed.select("id", F.element_at("slots", F.least(index + 1, F.size("slots")))["part"].cast("int").alias("part"))
+
+
+def _room(held: DataFrame, caps: DataFrame, k: int) -> DataFrame:
+    """(b, part, room): what caps(b, cap) leave beside the rows held(b, part); less than 0 where a part holds more."""
+    grid = caps.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    n = held.groupBy("b", "part").agg(F.count(F.lit(1)).alias("n"))
+    return grid.join(n, ["b", "part"], "left").select("b", "part", (F.col("cap") - F.coalesce("n", F.lit(0))).alias("room"))
+
+
 def _even(now: DataFrame, caps: DataFrame, k: int) -> DataFrame:
     """now(id, part, b) with what a part holds of a class beyond caps(b, cap) moved to the parts with room for it."""
-    held = now.groupBy("b", "part").agg(F.count(F.lit(1)).alias("held"))
-    parts = now.sparkSession.range(k).select(F.col("id").cast("int").alias("part"))
-    fill = caps.crossJoin(parts).join(held, ["b", "part"], "left").select("b", "part", "cap", (F.coalesce("held", F.lit(0)) - F.col("cap")).alias("over"))
-    before = Window.partitionBy("b").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
-    sums = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    surplus, room = F.greatest("over", F.lit(0)), F.greatest(-F.col("over"), F.lit(0))
-    fill = cut(fill.select("b", "part", "cap", sums(surplus).alias("first"), sums(room).alias("lo"), (sums(room) + room).alias("hi")))
-    order = Window.partitionBy("b", "part").orderBy("id")
-    out = now.withColumn("rank", F.row_number().over(order)).join(fill.select("b", "part", "cap", "first"), ["b", "part"]).where("rank > cap")
-    out = out.select("id", "b", (F.col("first") + F.col("rank") - F.col("cap") - 1).alias("slot"))
-    slots = fill.where("hi > lo").select("b", F.col("part").alias("to"), "lo", "hi")
-    moved = out.join(slots, "b").where("slot >= lo and slot < hi").select("id", "to")
+    room = cut(_room(now, caps, k))
+    over = number(now, rank_key(F.col("id")), "rank", ["b", "part"]).join(caps, "b").where("rank >= cap").select("id", "b")
+    moved = _fill(over, room).withColumnRenamed("part", "to")
     return now.join(moved, "id", "left").select("id", F.coalesce("to", "part").cast("int").alias("part"))
 
 
+def _caps(classes: DataFrame, k: int, slack: float) -> DataFrame:
+    """(b, cap): the room of a part for each class of classes(id, b), enough for all of it."""
+    n = F.count(F.lit(1))
+    return classes.groupBy("b").agg(F.greatest(F.floor(n / k * slack), F.ceil(n / k)).alias("cap"))
+
+
 def superstep_partition(nodes: DataFrame, edges: DataFrame, p: Fennel = Fennel(), steps: int = 4, start: DataFrame | None = None, balance: str | None = None) -> DataFrame:
     """(id, part) by supersteps from a hash partition: votes of neighbours plus the size penalty propose a move, the largest gains
     are admitted as far as the target has room.  All steps are joins and aggregates; each is written and read back.
-    balance names an integer column of nodes: no part takes more of any of these classes than its share times the slack."""
+    No part holds more than its share of the nodes times the slack, or with ``balance``, an integer column of nodes, of any of its classes."""
     n, m, k = nodes.count(), edges.count(), p.k
     alpha = p.alpha if p.alpha is not None else default_alpha(max(n, 1), m, k, p.gamma)
-    cap = int(n / k * p.slack)
     w = F.col("w") if "w" in edges.columns else F.lit(1.0)
-    now = start if start is not None else hash_partition(nodes, k)
-    now = cut(now.select("id", "part"))
-    if balance:
-        kinds = cut(nodes.select("id", F.coalesce(F.col(balance).cast("int"), F.lit(0)).alias("b")))
-        caps = cut(kinds.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / k * p.slack).alias("cap")))
-        now = cut(_even(now.join(kinds, "id"), caps, k))
+    kinds = cut(nodes.select("id", (F.coalesce(F.col(balance).cast("int"), F.lit(0)) if balance else F.lit(0)).alias("b")))
+    caps = cut(_caps(kinds, k, p.slack))
+    now = (start if start is not None else hash_partition(nodes, k)).select("id", "part")
+    now = cut(_even(now.join(kinds, "id"), caps, k))
     for step in range(steps):
         sizes = now.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
         sizes = sizes.withColumn("score", -alpha * p.gamma * F.pow(F.col("size").cast("double"), F.lit(p.gamma - 1)))
@@ -209,44 +232,94 @@ def superstep_partition(nodes: DataFrame, edges: DataFrame, p: Fennel = Fennel()
         stay = now.join(total, ["id", "part"], "left").join(sizes.select("part", "score"), "part").select("id", "part", F.coalesce("total", "score").alias("held"))
         # Half of the nodes may move in a step, by a hash, so that neighbours do not swap for ever.
         moves = stay.join(best, "id").where((F.col("to") != F.col("part")) & (F.col("total") > F.col("held"))).where(bucket(F.col("id") * 31 + step, 2) == 0)
-        if balance:
-            held = now.join(kinds, "id").groupBy(F.col("part").alias("to"), "b").agg(F.count(F.lit(1)).alias("n"))
-            among = Window.partitionBy("to", "b").orderBy(F.desc(F.round(F.col("total") - F.col("held"), 9)), "id")
-            moves = moves.join(kinds, "id").withColumn("rank", F.row_number().over(among)).join(caps, "b").join(held, ["to", "b"], "left")
-            moves = moves.where(F.col("rank") <= F.col("cap") - F.coalesce("n", F.lit(0))).drop("b", "rank", "cap", "n")
-        room = sizes.select(F.col("part").alias("to"), (F.lit(cap) - F.col("size")).alias("room"))
-        order = Window.partitionBy("to").orderBy(F.desc(F.round(F.col("total") - F.col("held"), 9)), "id")
-        moves = moves.withColumn("rank", F.row_number().over(order)).join(room, "to").where("rank <= room").select("id", "to")
+        moves = cut(moves.join(kinds, "id").select("id", "b", "to", (F.col("total") - F.col("held")).alias("gain")))
+        room = _room(now.join(kinds, "id"), caps, k).withColumnRenamed("part", "to")
+        moves = _ranked(moves, F.col("gain"), ["b", "to"]).join(room, ["b", "to"]).where("rank < room").select("id", "to")
         now = cut(now.join(moves, "id", "left").select("id", F.coalesce("to", "part").cast("int").alias("part")))
     return now
 
 
+def block_streaming_partition(nodes: DataFrame, edges: DataFrame, p: Fennel = Fennel(), blocks: int = 16, order: str = "degree", strata: str | None = None, balance: str | None = None, start: DataFrame | None = None) -> DataFrame:
+    """(id, part) by streaming blocks of nodes, for graphs of any size; parameters are those of streaming_partition.
+
+    The stream is cut into ``blocks`` of equal length.  All nodes of a block choose at once, each the part of the greatest (weight of
+    neighbours there) - penalty, from the assignments of all other blocks.  A part admits the greatest gains over the best penalty
+    alone, twice its fair share of the block at most and never beyond its capacity; the others fill what room is left.
+    More blocks come closer to one node at a time and take more passes; each pass reads the edges of its own block only.
+    """
+    n, k = nodes.count(), p.k
+    if "w" in edges.columns:
+        edges = normalise_weights(edges)
+    m = edges.count()
+    cols = nodes.select("id", (F.col(strata) if strata else F.lit(0)).cast("bigint").alias("s"), (F.col(balance) if balance else F.lit(0)).cast("bigint").alias("b"))
+    pos = degree_order(degree(nodes, edges)) if order == "degree" else number(nodes.select("id"), hex_id(F.col("id")), "pos", levels=(8, 12))
+    stream_ = cut(cols.join(pos.select("id", "pos"), "id").select("id", "s", "b", F.least(F.floor(F.col("pos") / max(n, 1) * blocks), F.lit(blocks - 1)).cast("int").alias("block")))
+    weighted = edges.select("src", "dst", (F.col("w") if "w" in edges.columns else F.lit(1.0)).alias("w"))
+    e = cut(weighted.join(stream_.select(F.col("id").alias("dst"), "block"), "dst").repartitionByRange("block", "dst").sortWithinPartitions("block"))
+    caps = cut(_caps(stream_, k, p.slack))
+    if strata:
+        alphas = strata_alphas(stream_.groupBy(F.col("s").alias("label")).agg(F.count(F.lit(1)).alias("n")).where("label >= 0"), m, k, p.gamma).withColumnRenamed("label", "s")
+        alphas = stream_.select("s").distinct().join(alphas, "s", "left").select("s", F.coalesce("alpha", F.lit(0.0)).alias("alpha"))
+    else:
+        alphas = stream_.select("s").distinct().withColumn("alpha", F.lit(float(p.alpha if p.alpha is not None else default_alpha(max(n, 1), m, k, p.gamma))))
+    alphas = cut(alphas)
+    all_parts = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    pieces: list[DataFrame] = []
+    for j in range(blocks):
+        mine = stream_.where(F.col("block") == j)
+        known = start.select("id", F.col("part").cast("int").alias("part")) if start is not None else mine.select("id").limit(0).withColumn("part", F.lit(0))
+        pieces.append(mine.join(known, "id").select("id", "s", "b", "part"))
+    for run in range(p.runs):
+        for j in range(blocks):
+            mine = stream_.where(F.col("block") == j)
+            rest = pieces[j].limit(0)
+            for i, x in enumerate(pieces):
+                rest = rest if i == j else rest.union(x)
+            size = rest.groupBy("s", "part").agg(F.count(F.lit(1)).cast("double").alias("size"))
+            score = alphas.withColumn("part", all_parts).join(size, ["s", "part"], "left")
+            score = cut(score.select("s", "part", (-F.col("alpha") * (p.beta**run * p.gamma) * F.pow(F.coalesce("size", F.lit(0.0)), F.lit(p.gamma - 1))).alias("score")))
+            room = cut(_room(rest, caps, k))
+            votes = e.where(F.col("block") == j).join(rest.select(F.col("id").alias("src"), "part"), "src").groupBy(F.col("dst").alias("id"), "part").agg(F.sum("w").alias("votes"))
+            total = votes.join(mine.select("id", "s", "b"), "id").join(score, ["s", "part"]).join(room.where("room > 0").select("b", "part"), ["b", "part"]).select("id", "s", "b", "part", (F.col("votes") + F.col("score")).alias("total"))
+            best = total.groupBy("id", "s", "b").agg(F.max_by(F.struct("part", "total"), F.struct(F.col("total"), -F.col("part"))).alias("x")).select("id", "s", "b", "x.part", "x.total")
+            fair = score.groupBy("s").agg(F.max("score").alias("fair"))
+            wish = cut(best.join(fair, "s").where("total >= fair").select("id", "b", "part", (F.col("total") - F.col("fair")).alias("gain")))
+            quota = mine.groupBy("b").agg(F.ceil(2 * F.count(F.lit(1)) / k).alias("quota"))
+            took = cut(_ranked(wish, F.col("gain"), ["b", "part"]).join(room, ["b", "part"]).join(quota, "b").where((F.col("rank") < F.col("room")) & (F.col("rank") < F.col("quota"))).select("id", "b", "part"))
+            free = room.join(took.groupBy("b", "part").agg(F.count(F.lit(1)).alias("n")), ["b", "part"], "left").select("b", "part", (F.col("room") - F.coalesce("n", F.lit(0))).alias("room"))
+            others = _fill(mine.select("id", "b").join(took.select("id"), "id", "left_anti"), free)
+            pieces[j] = cut(mine.select("id", "s", "b").join(took.select("id", "part").union(others), "id"))
+    out = pieces[0]
+    for x in pieces[1:]:
+        out = out.union(x)
+    return out.select("id", "part")
+
+
 METHODS = ("rand", "metis", "metis-tb", "metis-w", "metis-wtb", "fennel", "fennel-w", "fennel-lb", "fennel-wlb")
 
 
-def partition(nodes: DataFrame, edges: DataFrame, method: str, k: int, runs: int = 3, slack: float = 1.1) -> DataFrame:
+def partition(nodes: DataFrame, edges: DataFrame, method: str, k: int, runs: int = 3, slack: float = 1.1, blocks: int | None = None) -> DataFrame:
     """(id, part) by name.  nodes(id, label, split).
 
     ``metis*`` names give the superstep partitioner, which keeps the contract (an assignment, balance, few cut edges), not the
     library's output.  -w weighs edges by their importance to the training nodes; -tb and -lb balance the training nodes; -lb also
-    stratifies by training label, other nodes being a class of their own.
+    stratifies by training label, other nodes being a class of their own.  blocks: stream so many blocks of nodes (see
+    block_streaming_partition) in place of one node at a time, which one task can do for up to EDGE_LIMIT edges only; beyond these it is 64.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}; known: {', '.join(METHODS)}")
-    p = Fennel(k=k, runs=runs, slack=slack)
     if method == "rand":
         return hash_partition(nodes, k)
     if method.endswith(("-w", "-wtb", "-wlb")):
         edges = edge_importance(nodes, edges, nodes.where("split = 'train'").select("id"), 2)
+    train = F.coalesce(F.col("split") == "train", F.lit(False))
     if method.startswith("metis"):
-        marked = nodes.withColumn("_b", F.coalesce(F.col("split") == "train", F.lit(False)).cast("int"))
-        return superstep_partition(marked, edges, p, balance="_b" if method.endswith("tb") else None)
+        return superstep_partition(nodes.withColumn("_b", train.cast("int")), edges, Fennel(k=k, slack=slack), balance="_b" if method.endswith("tb") else None)
+    if blocks is None and edges.count() > EDGE_LIMIT:
+        blocks = 64
+    p, by = Fennel(k=k, runs=runs, slack=slack), {}
     if method.endswith("lb"):
         top = nodes.agg(F.coalesce(F.max("label"), F.lit(-1))).first()[0] + 1
-        train = F.coalesce(F.col("split") == "train", F.lit(False))
-        marked = nodes.withColumn("_s", F.when(train, F.coalesce("label", F.lit(top))).otherwise(top)).withColumn("_b", train.cast("int"))
-        return streaming_partition(marked, edges, Fennel(k=k, runs=runs, slack=slack, scan=1 / 4), strata="_s", balance="_b")
-    return streaming_partition(nodes, edges, p)
-
-
-__all__ = ["METHODS", "Fennel", "adjacency", "default_alpha", "degree", "hash_partition", "partition", "rank_key", "stream", "strata_alphas", "streaming_partition", "superstep_partition"]
+        nodes = nodes.withColumn("_s", F.when(train, F.coalesce("label", F.lit(top))).otherwise(top)).withColumn("_b", train.cast("int"))
+        p, by = Fennel(k=k, runs=runs, slack=slack, scan=1 / 4), {"strata": "_s", "balance": "_b"}
+    return block_streaming_partition(nodes, edges, p, blocks, **by) if blocks else streaming_partition(nodes, edges, p, **by)

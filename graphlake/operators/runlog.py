@@ -14,9 +14,9 @@ def series(log: DataFrame, run: int, label: str) -> DataFrame:
     return log.where((F.col("run") == run) & (F.col("label") == label)).select("iter", "value").orderBy("iter")
 
 
-def best_epoch(log: DataFrame, before: int | None = None) -> DataFrame:
-    """(run, iter, val, test): the first greatest validation accuracy of each run and the test accuracy at that epoch."""
-    rows = log if before is None else log.where(F.col("iter") < before)
+def best_epoch(log: DataFrame, upto: int | None = None) -> DataFrame:
+    """(run, iter, val, test): the first greatest validation accuracy of each run, of the epochs to ``upto`` and with it, and the test accuracy at that epoch."""
+    rows = log if upto is None else log.where(F.col("iter") <= upto)
     first = F.row_number().over(Window.partitionBy("run").orderBy(F.desc("value"), "iter"))
     val = rows.where("label = 'val/acc'").withColumn("_k", first).where("_k = 1").select("run", "iter", F.col("value").alias("val"))
     return val.join(rows.where("label = 'test/acc'").select("run", "iter", F.col("value").alias("test")), ["run", "iter"], "left")

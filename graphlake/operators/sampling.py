@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphlake.functions.hashing import rank_key
-from graphlake.operators.scoring import lazy_walk
+from graphlake.functions.store import cut
+from graphlake.operators.batching import number
 
 
 def sample(edges: DataFrame, seeds: DataFrame, fanouts: list[int], seed: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -16,19 +17,21 @@ def sample(edges: DataFrame, seeds: DataFrame, fanouts: list[int], seed: int = 0
     At hop h every node found at hop h - 1 takes at most fanouts[h] of its in-neighbours (-1: all); a node counts at the
     hop that finds it first.  A hub's neighbours are ranked in two stages: by pieces of its list first.
     """
-    frontier = seeds.select("batch", "id").distinct()
+    frontier = cut(seeds.select("batch", "id").distinct())
     nodes = frontier.select("batch", F.lit(0).alias("hop"), "id")
     seen, out = frontier, None
     for hop, n in enumerate(fanouts):
-        near = frontier.join(edges.select("src", F.col("dst").alias("id")), "id").select("batch", F.col("id").alias("dst"), "src")
+        # What a node takes does not depend on the batch, so it is chosen once for all of them.
+        near = edges.select("src", "dst").join(frontier.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi")
         if n >= 0:
             near = near.withColumn("key", rank_key(F.col("src"), F.col("dst"), hop, seed)).withColumn("piece", F.pmod(F.xxhash64("src"), F.lit(16)))
             order = [F.col("key"), F.col("src")]
-            near = near.withColumn("r", F.row_number().over(Window.partitionBy("batch", "dst", "piece").orderBy(*order))).where(F.col("r") <= n)
-            near = near.withColumn("r", F.row_number().over(Window.partitionBy("batch", "dst").orderBy(*order))).where(F.col("r") <= n)
-        took = near.select("batch", F.lit(hop).alias("hop"), "src", "dst")
+            near = near.withColumn("r", F.row_number().over(Window.partitionBy("dst", "piece").orderBy(*order))).where(F.col("r") <= n)
+            near = near.withColumn("r", F.row_number().over(Window.partitionBy("dst").orderBy(*order))).where(F.col("r") <= n)
+        took = cut(frontier.withColumnRenamed("id", "dst").join(near.select("src", "dst"), "dst").select("batch", F.lit(hop).alias("hop"), "src", "dst"))
         out = took if out is None else out.union(took)
         frontier = took.select("batch", F.col("src").alias("id")).distinct().join(seen, ["batch", "id"], "left_anti")
+        frontier = cut(frontier) if hop + 1 < len(fanouts) else frontier
         seen = seen.union(frontier)
         nodes = nodes.union(frontier.select("batch", F.lit(hop + 1).alias("hop"), "id"))
     return nodes, out
@@ -47,27 +50,39 @@ def trim(nodes: DataFrame, edges: DataFrame, layer: int, layers: int) -> tuple[D
     return nodes.where(F.col("hop") < left), edges.where(F.col("hop") < left)
 
 
+def _without(nodes: DataFrame, rest: DataFrame, key, share: float) -> DataFrame:
+    """nodes without the first floor(share) of each batch's ``rest`` in the order of a hexadecimal key."""
+    n = rest.groupBy("batch").agg(F.count(F.lit(1)).alias("_n"))
+    gone = number(rest, key, "_at", ["batch"]).join(n, "batch").where(F.col("_at") < F.floor(F.col("_n") * share))
+    return nodes.select("batch", "hop", "id").join(gone.select("batch", "id"), ["batch", "id"], "left_anti").select("batch", "hop", "id")
+
+
 def drop_random(nodes: DataFrame, share: float, seed: int = 0) -> DataFrame:
     """(batch, hop, id) without a share of the non-seed nodes, by rank of a hash within the batch."""
-    rest = nodes.where("hop > 0").withColumn("key", rank_key(F.col("batch"), F.col("id"), seed)).withColumn("piece", F.substring("key", 1, 2))
-    sizes = rest.groupBy("batch", "piece").agg(F.count(F.lit(1)).alias("m"))
-    w = Window.partitionBy("batch")
-    sizes = sizes.withColumn("before", F.coalesce(F.sum("m").over(w.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("m").over(w))
-    rest = rest.withColumn("r", F.row_number().over(Window.partitionBy("batch", "piece").orderBy("key"))).join(sizes, ["batch", "piece"])
-    alive = rest.where(F.col("before") + F.col("r") > F.floor(F.col("n") * share)).select("batch", "hop", "id")
-    return nodes.where("hop = 0").union(alive)
+    return _without(nodes, nodes.where("hop > 0"), rank_key(F.col("batch"), F.col("id"), seed), share)
 
 
 def drop_weak(nodes: DataFrame, scores: DataFrame, share: float) -> DataFrame:
-    """(batch, hop, id) without the share of the non-seed nodes of lowest scores(batch, id, s), ties to the larger id."""
+    """(batch, hop, id) without the share of the non-seed nodes of lowest scores(batch, id, s), ties to the larger id; no score: 0.  A batch is a mini-batch, small enough for one task."""
     w = Window.partitionBy("batch")
     rest = nodes.where("hop > 0").join(scores, ["batch", "id"], "left").withColumn("s", F.round(F.coalesce("s", F.lit(0.0)), 12))
     rest = rest.withColumn("r", F.row_number().over(w.orderBy(F.asc("s"), F.desc("id")))).withColumn("n", F.count(F.lit(1)).over(w))
     return nodes.where("hop = 0").union(rest.where(F.col("r") > F.floor(F.col("n") * share)).select("batch", "hop", "id"))
 
 
-def drop_far(nodes: DataFrame, hop: int) -> DataFrame:
-    return nodes.where(F.col("hop") <= hop).select("batch", "hop", "id")
+def drop_far(nodes: DataFrame, hop: int, share: float = 1.0, seed: int = 0) -> DataFrame:
+    """(batch, hop, id) without a share of the nodes beyond a hop, by rank of a hash within the batch; 1: without all of them."""
+    if share >= 1:
+        return nodes.where(F.col("hop") <= hop).select("batch", "hop", "id")
+    return _without(nodes, nodes.where(F.col("hop") > hop), rank_key(F.col("batch"), F.col("id"), seed), share)
+
+
+def retained(nodes: DataFrame, alive: DataFrame, scores: DataFrame) -> DataFrame:
+    """(batch, nodes, alive, score): counts, and the share of the batch's scores(batch, id, s) that its alive nodes hold; 1 if there is none to hold."""
+    held = nodes.select("batch", "id").join(alive.select("batch", "id").withColumn("_a", F.lit(1)), ["batch", "id"], "left").join(scores.select("batch", "id", "s"), ["batch", "id"], "left")
+    s = F.coalesce("s", F.lit(0.0))
+    got = held.groupBy("batch").agg(F.count(F.lit(1)).alias("nodes"), F.count("_a").alias("alive"), F.sum(s).alias("_all"), F.sum(F.when(F.col("_a").isNotNull(), s).otherwise(0.0)).alias("_held"))
+    return got.select("batch", "nodes", "alive", F.when(F.col("_all") > 0, F.col("_held") / F.col("_all")).otherwise(1.0).alias("score"))
 
 
 def alive_edges(edges: DataFrame, alive: DataFrame) -> DataFrame:
@@ -93,6 +108,3 @@ def batch_influence(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
         cur = back.join(sent, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("s").alias("s"))
         total = total.union(cur)
     return total.groupBy("id").agg(F.sum("s").alias("s"))
-
-
-__all__ = ["alive_edges", "batch_influence", "drop_far", "drop_random", "drop_weak", "gather", "hop_counts", "lazy_walk", "sample", "trim"]

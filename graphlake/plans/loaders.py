@@ -35,6 +35,16 @@ def node_loader(g: Graph, fanouts: list[int], size: int, split: str = "train", e
     return _sampled(g.edges, seeds, g.features, fanouts, seed)
 
 
+def seed_loader(g: Graph, fanouts: list[int], size: int, split: str = "train", epoch: int = 0, seed: int = 0) -> Epoch:
+    """Like node_loader, but only training seeds are shuffled; those of other splits go by id, so that evaluation sees them in order."""
+    if split == "train":
+        return node_loader(g, fanouts, size, split, epoch, seed)
+    ids = g.split(split)
+    placed = batching.number(ids, batching.hex_id(F.col("id")), "pos", levels=(8, 12))
+    seeds = placed.select(batching.even_chunk(F.col("pos"), ids.count(), size).alias("batch"), "id")
+    return _sampled(g.edges, seeds, g.features, fanouts, seed)
+
+
 def batch_key(superblock: Column, batch: Column) -> Column:
     """One number for a batch within a superblock."""
     return F.shiftleft(superblock.cast("bigint"), 32) + batch

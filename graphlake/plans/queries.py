@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlake.functions.store import cut
+from graphlake.functions.store import cut, folder
 from graphlake.model import PartitionedGraph
 from graphlake.operators import aggregate, batching, collate, layout, metrics, runlog, sampling, scoring
 from graphlake.operators import partition as parting
@@ -167,9 +167,7 @@ def degree_histogram(c):
 @query
 def degree_order(c):
     """Position of each node by descending degree, ties by id: the stream order of the partitioner."""
-    d = layout.degree(c.nodes, c.edges)
-    key = F.concat(F.lpad(F.hex(F.lit(2**40) - F.col("deg")), 16, "0"), F.lpad(F.hex("id"), 16, "0"))
-    return batching.number(d, key, "pos", digits=14).select("id", F.col("deg").cast("bigint").alias("deg"), "pos")
+    return _long(batching.degree_order(layout.degree(c.nodes, c.edges)), "deg")
 
 
 @query
@@ -317,8 +315,41 @@ def row_slice_edges(c):
 @query
 def edges_sorted(c):
     """Rank of each edge in (dst, src) order."""
-    keyed = c.edges.withColumn("key", F.concat(F.lpad(F.hex("dst"), 12, "0"), F.lpad(F.hex("src"), 12, "0")))
-    return batching.number(keyed, F.col("key"), "pos", digits=10).select("src", "dst", "pos")
+    return batching.edge_order(c.edges).select("src", "dst", "pos")
+
+
+@heavy
+def ranges_merge_degree(c):
+    """Slices of two fragments of the edges by position, one of them twice, merged."""
+    e = cut(batching.edge_order(c.edges))
+    n = e.count()
+    fragments = [e.where(F.col("src") % 2 == i).withColumn("pos", F.floor(F.col("pos") / 2)) for i in (0, 1)]
+    r = c.spark.createDataFrame([(0, 0, n // 8), (1, n // 8, n // 4), (0, 0, n // 16)], "fragment int, start bigint, len bigint")
+    m = layout.merge_ranges(fragments, "pos", r)
+    return m.select("dst", F.size("nbrs").cast("bigint").alias("n"), F.array_join(F.transform("nbrs", lambda x: x.cast("string")), ",").alias("nbrs"))
+
+
+@heavy
+def row_col_slice(c):
+    """Edges from training nodes into pivots, turned round."""
+    e = c.edges.join(c.train.select(F.col("id").alias("src")), "src", "left_semi").join(c.pivot_ids.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+@query
+def split_first(c):
+    """The first 100 training ids."""
+    return c.train.orderBy("id").limit(100)
+
+
+@query
+def split_test_is_valid(c):
+    return replace(c.g, attrs=c.g.attrs | {"test_is_valid": True}).split("test")
+
+
+@query
+def largest_parts(c):
+    return _long(collate.largest_parts(layout.offsets(c.assign, "part", K), 3), "size")
 
 
 # Partition quality
@@ -527,6 +558,31 @@ def collate_pivot_edges(c):
     return _long(edges, "src", "dst")
 
 
+@heavy
+def pivot_store_edges(c):
+    """Pivots written beside their partition, read again for the parts of the batch, and collated."""
+    g, p = _pivots(c)
+    path = graphs.partition_path(folder(c.spark), "rand", K, pivots=True)
+    graphs.write_pivots(p, path)
+    _, edges = collate.collate_with_pivots(g, graphs.read_pivots(c.spark, path, BATCH), c.batch)
+    return _long(edges, "src", "dst")
+
+
+@heavy
+def pivot_layout_check(c):
+    """Violations by stored pivots: sources outside their part, and in-degrees that differ from the whole graph's."""
+    g, p = _pivots(c)
+    path = graphs.partition_path(folder(c.spark), "rand", K, pivots=True)
+    graphs.write_pivots(p, path)
+    return _long(collate.check_pivots(g, graphs.read_pivots(c.spark, path), layout.degree(c.nodes, c.edges)), "bad")
+
+
+@heavy
+def popular_pivots(c):
+    """Pivots that are popular nodes as well."""
+    return c.pivot_ids.select("id").intersect(collate.popular_nodes(c.nodes, c.edges, 0.1).select("id"))
+
+
 @heavy
 def layout_check(c):
     return _long(collate.check_layout(c.parted, c.edges, c.assign), "bad")
@@ -702,6 +758,31 @@ def drop_influence_alive(c):
     return sampling.drop_weak(nodes, _deg_scores(c, nodes), 0.3)
 
 
+def _walk_scores(c, nodes):
+    s = scoring.lazy_walk(c.nodes, c.edges, scoring.seeds(c.nodes, c.train, 1.0), 1)[-1].select("id", F.round("s", 9).alias("s"))
+    return nodes.select("batch", "id").join(s, "id")
+
+
+@heavy
+def drop_walk_alive(c):
+    """Without the nodes that a walk from the training nodes reaches least."""
+    nodes, _ = _sampled(c, [5, 3])
+    return sampling.drop_weak(nodes, _walk_scores(c, nodes), 0.3)
+
+
+@heavy
+def retained_score(c):
+    """What is left of each batch's walk scores when half of the nodes beyond the first hop go."""
+    nodes, _ = _sampled(c, [5, 3])
+    kept = sampling.retained(nodes, sampling.drop_far(nodes, 1, 0.5, 6), _walk_scores(c, nodes))
+    return _long(kept.withColumn("score", F.round("score", 6)), "nodes", "alive")
+
+
+@query
+def drop_far_share_alive(c):
+    return sampling.drop_far(_sampled(c, [5, 3])[0], 1, 0.5, 6)
+
+
 @query
 def drop_hop_alive(c):
     return sampling.drop_far(_sampled(c, [5, 3])[0], 1)
@@ -755,40 +836,70 @@ def scatter_add_labels(c):
     return _long(e.groupBy(F.col("dst").alias("id")).agg(F.sum("label").alias("total")), "total")
 
 
-def _weights(*shape):
-    return np.random.default_rng(1).standard_normal(shape) / 8
+def _rule(rows, cols, shift=0):
+    """Weights by a rule that any engine can follow: ((7 (i + shift) + 3 j) mod 5 - 2) / 8."""
+    i, j = np.arange(rows)[:, None] + shift, np.arange(cols)
+    return ((7 * i + 3 * j) % 5 - 2) / 8
 
 
 def _sums(df):
-    return df.select("id", F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
+    return df.select("id", F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v), 5).alias("total"))
+
+
+def _sage_layers():
+    return [(_rule(64, 8), _rule(64, 8, 1), np.zeros(8)), (_rule(8, 4), _rule(8, 4, 1), np.zeros(4))]
+
+
+def _head(inputs, shift):
+    """Weight, left and right of an attention head."""
+    j = np.arange(8) + shift
+    return _rule(inputs, 8, shift), list((j % 3 - 1) / 4), list((j % 4 - 1) / 4)
 
 
 @heavy
 def sage_forward(c):
-    w = _weights(64, 8)
-    return _sums(aggregate.sage(c.edges, c.g.features, [(w, w, np.zeros(8)), (_weights(8, 4), _weights(8, 4), np.zeros(4))]))
+    return _sums(aggregate.sage(c.edges, c.g.features, _sage_layers()))
+
+
+@heavy
+def jk_forward(c):
+    return _sums(aggregate.jumping(c.edges, c.g.features, _sage_layers()))
+
+
+@heavy
+def weighted_sage_forward(c):
+    """Neighbour means over edges that weigh more where the partition cuts them."""
+    return _sums(aggregate.weighted_sage(aggregate.edge_norm(_flagged(c), "cut", 2.0), c.g.features, _sage_layers()[:1]))
 
 
 @heavy
 def gcn_forward(c):
-    return _sums(aggregate.gcn(c.edges, c.g.features, [(_weights(64, 8), np.zeros(8)), (_weights(8, 4), np.zeros(4))]))
+    return _sums(aggregate.gcn(c.edges, c.g.features, [(_rule(64, 8), np.zeros(8)), (_rule(8, 4), np.zeros(4))]))
 
 
 @heavy
 def gin_forward(c):
-    return _sums(aggregate.gin(c.edges, c.g.features, [(0.1, _weights(64, 8), np.zeros(8))]))
+    return _sums(aggregate.gin(c.edges, c.g.features, [(0.125, _rule(64, 8), np.zeros(8))]))
 
 
 @heavy
 def gat_forward(c):
-    return _sums(aggregate.gat(c.edges, c.g.features, [(_weights(64, 8), list(_weights(8)), list(_weights(8)))]))
+    """Two heads, averaged."""
+    return _sums(aggregate.gat(c.edges, c.g.features, [[_head(64, 0), _head(64, 1)]]))
+
+
+@heavy
+def rgat_forward(c):
+    """Two relations: from customers to parts, and back."""
+    e = c.edges.withColumn("rel", (F.col("src") > F.col("dst")).cast("int"))
+    return _sums(aggregate.rgat(e, c.g.features, [({0: _head(64, 0), 1: _head(64, 1)}, _rule(64, 8, 2), np.zeros(8))]))
 
 
 @heavy
 def sage_ri_forward(c):
-    w = _weights(64, 8)
-    layers = [(w, w, np.zeros(8), (w, np.zeros(8))), (_weights(8, 8), _weights(8, 8), np.zeros(8), None)]
-    return _sums(aggregate.sage_ri(c.edges, c.g.features, layers, [(_weights(80, 8), None), (_weights(8, 4), np.zeros(4))]))
+    w = _rule(64, 8)
+    layers = [(w, _rule(64, 8, 1), np.zeros(8), (w, np.zeros(8))), (_rule(8, 8), _rule(8, 8, 1), np.zeros(8), None)]
+    return _sums(aggregate.sage_ri(c.edges, c.g.features, layers, [(_rule(80, 8), None), (_rule(8, 4), np.zeros(4))]))
 
 
 # Loaders
@@ -799,6 +910,12 @@ def node_loader_edges(c):
     return loaders.node_loader(c.g, [5, 3], 100, epoch=0, seed=3).edges
 
 
+@heavy
+def seed_loader_edges(c):
+    """Validation seeds in the order of their ids."""
+    return loaders.seed_loader(c.g, [5, 3], 100, "valid", seed=17).edges
+
+
 @heavy
 def hier_loader_edges(c):
     e = loaders.hierarchical_loader(c.g, c.assign, 4, [5, 3], 50, epoch=1, seed=2).edges
@@ -837,6 +954,11 @@ def best_epoch(c):
     return runlog.best_epoch(c.runlog()).select("run", "iter", F.round("val", 9).alias("val"), F.round("test", 9).alias("test"))
 
 
+@query
+def best_epoch_upto(c):
+    return runlog.best_epoch(c.runlog(), 19).select("run", "iter", F.round("val", 9).alias("val"), F.round("test", 9).alias("test"))
+
+
 @query
 def run_stdmean(c):
     m = runlog.mean_and_std(runlog.best_epoch(c.runlog()))
@@ -908,28 +1030,82 @@ def bsp_partition(c):
     return parting.superstep_partition(c.nodes, c.edges, parting.Fennel(k=K))
 
 
+@heavy
+def block_streaming(c):
+    return parting.block_streaming_partition(c.nodes, c.edges, parting.Fennel(k=K), blocks=4)
+
+
 def _sound(c, assign):
-    """Nodes assigned once, parts in range, and no part over its capacity."""
+    """Counts that show an assignment to be one, its capacity and how many parts exceed it, its cuts and a hash partition's."""
     a = cut(assign)
-    h = layout.histogram(a, "part", K).agg(F.max("n").alias("most")).first()["most"]
-    cap = int(c.nodes.count() / K * 1.1)
-    return a.agg(F.count(F.lit(1)).cast("bigint").alias("rows"), F.count_distinct("id").cast("bigint").alias("nodes"), ((F.min("part") >= 0) & (F.max("part") < K)).alias("in_range"), F.lit(h <= cap + 1).alias("within_cap"))
+    n = c.nodes.count()
+    cap = max(int(n / K * 1.1), -(-n // K))
+    over = layout.histogram(a, "part", K).where(F.col("n") > cap).count()
+    mine, other = (metrics.edge_cuts(c.edges, x).first()["cuts"] for x in (a, c.assign))
+    wide = lambda x: F.lit(x).cast("bigint")
+    known = a.join(c.nodes.select("id"), "id")
+    return known.agg(
+        F.count(F.lit(1)).cast("bigint").alias("rows"), F.count_distinct("id").cast("bigint").alias("nodes"), F.min("part").cast("int").alias("first"), F.max("part").cast("int").alias("last"),
+        wide(cap).alias("cap"), wide(over).alias("over"), wide(other).alias("hash_cuts"), F.lit(mine < other).alias("fewer_cuts"),
+    )
 
 
-@query
+@heavy
 def fennel_invariants(c):
     return _sound(c, _fennel(c))
 
 
+@heavy
+def restream_invariants(c):
+    return _sound(c, _fennel(c, runs=3))
+
+
 @heavy
 def bsp_invariants(c):
-    return _sound(c, parting.superstep_partition(c.nodes, c.edges, parting.Fennel(k=K), start=parting.hash_partition(c.nodes, K), steps=2))
+    return _sound(c, parting.superstep_partition(c.nodes, c.edges, parting.Fennel(k=K)))
+
+
+@heavy
+def block_stream_invariants(c):
+    return _sound(c, parting.block_streaming_partition(c.nodes, c.edges, parting.Fennel(k=K), blocks=4))
+
+
+def _balanced(c, assign):
+    """For training nodes and others: how many there are, the most that a part may hold, and the parts that hold more."""
+    train = F.coalesce(F.col("split") == "train", F.lit(False)).cast("int").alias("train")
+    held = cut(assign).join(c.nodes.select("id", train), "id").groupBy("train", "part").agg(F.count(F.lit(1)).alias("n"))
+    sums = held.groupBy("train").agg(F.sum("n").alias("n"))
+    cap = F.greatest(F.floor(F.col("n") / K * 1.1), F.ceil(F.col("n") / K))
+    out = held.withColumnRenamed("n", "here").join(sums, "train").withColumn("cap", cap)
+    return out.groupBy("train", F.col("n").cast("bigint").alias("n"), F.col("cap").cast("bigint").alias("cap")).agg(F.sum((F.col("here") > F.col("cap")).cast("bigint")).alias("over"))
+
+
+@heavy
+def metis_tb_balance(c):
+    return _balanced(c, parting.partition(c.nodes, c.edges, "metis-tb", K))
+
+
+@heavy
+def fennel_lb_balance(c):
+    """The stratified and balanced stream, in blocks."""
+    return _balanced(c, parting.partition(c.nodes, c.edges, "fennel-lb", K, 1, blocks=4))
+
+
+def _pushed(c):
+    return scoring.ppr(c.nodes, c.edges, c.train, 0.25, 1e-4, left=True)
 
 
 @heavy
 def ppr_push(c):
-    out = scoring.ppr(c.nodes, c.edges, c.train, 0.25, 1e-4)
-    return out.select("seed", "id", F.round("p", 9).alias("p"))
+    return _pushed(c).where("p > 0").select("seed", "id", F.round("p", 9).alias("p"))
+
+
+@heavy
+def ppr_mass(c):
+    """Of each seed, what was kept and what is left, which add up to the start, and the residuals that are still due."""
+    d = layout.degree(c.nodes, c.edges, "src")
+    r = _pushed(c).join(d, "id").withColumn("due", (F.col("r") > 0) & (F.col("r") >= 0.25 * 1e-4 * F.col("deg")))
+    return r.groupBy("seed").agg(F.round(F.sum(F.col("p") * 0.25 + F.col("r")), 9).alias("mass"), F.sum(F.col("due").cast("bigint")).alias("due"))
 
 
 # Streams

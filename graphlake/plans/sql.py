@@ -138,6 +138,60 @@ emd AS (
 """
 
 
+#: Without half of the nodes beyond the first hop of sn.
+_FAR = """
+fs AS (SELECT batch, hop, id FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY md5(concat_ws(',', batch, id, 6))) AS k, count(*) OVER (PARTITION BY batch) AS n FROM sn WHERE hop > 1) WHERE k > floor(n * 0.5::DOUBLE)
+  UNION ALL SELECT batch, hop, id FROM sn WHERE hop <= 1)
+"""
+
+#: Features as (id, i, v).
+_X = " x AS MATERIALIZED (SELECT id, unnest(range(64)) AS i, unnest(list_transform(x, lambda v: CAST(v AS DOUBLE))) AS v FROM feat)"
+
+
+def _dense(name: str, own: str, near: str | None, width: int, shift: int = 0) -> str:
+    """name(id, i, v): own by the rule's weights and, if given, near by those of one row further."""
+    part = lambda table, s: f"SELECT id, j.range AS j, v * ((7 * (i + {s}) + 3 * j.range) % 5 - 2) / 8 AS v FROM {table} CROSS JOIN range({width}) j"
+    both = part(own, shift) + (f" UNION ALL {part(near, shift + 1)}" if near else "")
+    return f" {name} AS MATERIALIZED (SELECT id, j AS i, sum(v) AS v FROM ({both}) GROUP BY id, j)"
+
+
+_SAGE = [
+    " m1 AS MATERIALIZED (SELECT dst AS id, i, avg(v) AS v FROM edges JOIN x ON x.id = src GROUP BY dst, i)",
+    _dense("y1", "x", "m1", 8),
+    " r1 AS MATERIALIZED (SELECT id, i, greatest(v, 0) AS v FROM y1), m2 AS MATERIALIZED (SELECT dst AS id, i, avg(v) AS v FROM edges JOIN r1 ON r1.id = src GROUP BY dst, i)",
+    _dense("y2", "r1", "m2", 4),
+]
+
+
+def _attend(shift: int, edges: str) -> list[str]:
+    """o<shift>(id, v): what one head gives over some edges."""
+    k = shift
+    return [
+        _dense(f"h{k}", "x", None, 8, k),
+        f" lr{k} AS MATERIALIZED (SELECT id, sum(v * ((i + {k}) % 3 - 1) / 4) AS l, sum(v * ((i + {k}) % 4 - 1) / 4) AS r FROM h{k} GROUP BY id)",
+        f" s{k} AS (SELECT src, dst, CASE WHEN a.l + b.r > 0 THEN a.l + b.r ELSE (a.l + b.r) * 0.2::DOUBLE END AS e FROM {edges} JOIN lr{k} a ON a.id = src JOIN lr{k} b ON b.id = dst)",
+        f" a{k} AS MATERIALIZED (SELECT src, dst, exp(e) / sum(exp(e)) OVER (PARTITION BY dst) AS a FROM s{k})",
+        f" o{k} AS (SELECT dst AS id, sum(a * t.v) AS v FROM a{k} JOIN (SELECT id, sum(v) AS v FROM h{k} GROUP BY id) t ON t.id = src GROUP BY dst)",
+    ]
+
+
+def _pushes(steps: int) -> str:
+    """p<steps>(seed, id, p, r, due): so many supersteps of pushing, more than there is anything left to push."""
+    out = [" p0 AS (SELECT t.id AS seed, t.id, 0.0::DOUBLE AS p, 0.25::DOUBLE AS r, d.deg, true AS due FROM train t JOIN indeg d ON d.id = t.id)"]
+    for k in range(steps):
+        out.append(
+            f""" p{k + 1} AS MATERIALIZED (
+  SELECT g.seed, g.id, p, r, d.deg, r > 0 AND r >= 0.25::DOUBLE * 1e-4::DOUBLE * d.deg AS due FROM (
+    SELECT seed, id, sum(p) AS p, sum(r) AS r FROM (
+      SELECT seed, id, CASE WHEN due THEN p + r ELSE p END AS p, CASE WHEN due THEN 0 ELSE r END AS r FROM p{k}
+      UNION ALL SELECT seed, e.dst, 0, 0.75::DOUBLE * r / deg FROM p{k} JOIN edges e ON e.src = p{k}.id WHERE due) GROUP BY seed, id) g JOIN indeg d ON d.id = g.id)"""
+        )
+    return ",".join(out)
+
+
+_PUSH = _pushes(9)
+
+
 def _q(body: str, *more: str) -> str:
     return "WITH " + ",".join((_GRAPH, *more)) + body
 
@@ -192,7 +246,7 @@ r AS (
     "weighted_edge_cuts": _q("SELECT round(CAST(sum(CASE WHEN a.part <> b.part THEN 1 + (src + dst) % 5 ELSE 0 END) AS DOUBLE), 6) AS cuts, round(CAST(sum(1 + (src + dst) % 5) AS DOUBLE), 6) AS edges FROM edges JOIN assign a ON a.id = src JOIN assign b ON b.id = dst"),
     "cut_matrix": _q("SELECT dp, sp, count(*) AS n FROM ep GROUP BY dp, sp"),
     "train_cut_matrix": _q("SELECT b.part AS dp, a.part AS sp, count(*) AS n FROM edges JOIN assign a ON a.id = src JOIN assign b ON b.id = dst WHERE src IN (SELECT id FROM train) GROUP BY 1, 2"),
-    "cut_flags": _q("SELECT src, dst, a.part <> b.part AND src NOT IN (SELECT id FROM popular) AS cut FROM edges JOIN assign a ON a.id = src JOIN assign b ON b.id = dst"),
+    "cut_flags": _q("SELECT src, dst, a.part <> b.part AND pop.id IS NULL AS cut FROM edges JOIN assign a ON a.id = src JOIN assign b ON b.id = dst LEFT JOIN pop ON pop.id = src", " pop AS MATERIALIZED (SELECT id FROM popular)"),
     "load_ratio": _q("SELECT floor(max(n * 16 / t) * 1000) / 1000 AS most, floor(stddev_samp(n * 16 / t) * 1000) / 1000 AS spread FROM (SELECT n, sum(n) OVER () AS t FROM psize)"),
     "label_load_ratio": _q("SELECT label, floor(max(r) * 1000) / 1000 AS most, floor(stddev_samp(r) * 1000) / 1000 AS spread FROM (SELECT l.label, count(n.id) * 16 / sum(count(n.id)) OVER (PARTITION BY l.label) AS r FROM (SELECT DISTINCT label FROM nodes WHERE label IS NOT NULL) l CROSS JOIN ids16 i LEFT JOIN (SELECT nodes.id, label, part FROM nodes JOIN assign ON assign.id = nodes.id) n ON n.label = l.label AND n.part = i.part GROUP BY l.label, i.part) GROUP BY label"),
     "label_hist": _q("SELECT CAST(c.range AS INTEGER) AS class, round(count(n.id) / sum(count(n.id)) OVER (), 9) AS mass FROM range(5) c LEFT JOIN nodes n ON n.label = c.range GROUP BY c.range"),
@@ -243,12 +297,13 @@ SELECT 0 AS batch, CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst FROM (
     ),
     "layout_check": """SELECT * FROM (VALUES ('new id outside its part', CAST(0 AS BIGINT)), ('new id used twice', 0), ('id out of range', 0), ('part differs from the assignment', 0), ('block differs from its parts', 0), ('edge lost or changed', 0)) t("check", bad)""",
     "cluster_batch_nodes": _q("SELECT n.id, CASE WHEN split = 'train' THEN 'train' ELSE 'helper' END AS role FROM nodes n JOIN assign a ON a.id = n.id WHERE part IN (SELECT part FROM batch) UNION ALL SELECT p.id, 'cache' FROM popular5 p JOIN assign a ON a.id = p.id WHERE part NOT IN (SELECT part FROM batch)"),
-    "cluster_batch_edges": _q("SELECT src, dst FROM edges WHERE src IN (SELECT id FROM c) AND dst IN (SELECT id FROM c)", " c AS (SELECT id FROM assign WHERE part IN (SELECT part FROM batch) UNION SELECT id FROM popular5)"),
+    "cluster_batch_edges": _q("SELECT src, dst FROM edges SEMI JOIN c a ON a.id = src SEMI JOIN c b ON b.id = dst", " c AS MATERIALIZED (SELECT assign.id FROM assign SEMI JOIN batch ON batch.part = assign.part UNION SELECT id FROM popular5)"),
     "cached_batch_edges": _q(
         "SELECT a.lid AS src, b.lid AS dst FROM ep JOIN l a ON a.new_id = src JOIN l b ON b.new_id = dst",
-        """ l AS (SELECT new_id, row_number() OVER (ORDER BY side, new_id) - 1 AS lid FROM (
-  SELECT new_id, 0 AS side FROM node_map WHERE old_id IN (SELECT id FROM popular5)
-  UNION ALL SELECT new_id, 1 FROM node_map WHERE part IN (SELECT part FROM batch) AND old_id NOT IN (SELECT id FROM popular5)))""",
+        """ hot AS MATERIALIZED (SELECT id FROM popular5), nmap AS MATERIALIZED (SELECT * FROM node_map),
+l AS MATERIALIZED (SELECT new_id, row_number() OVER (ORDER BY side, new_id) - 1 AS lid FROM (
+  SELECT new_id, 0 AS side FROM nmap SEMI JOIN hot ON hot.id = old_id
+  UNION ALL SELECT new_id, 1 FROM nmap SEMI JOIN batch ON batch.part = nmap.part ANTI JOIN hot ON hot.id = old_id))""",
     ),
     "epoch_part_batches": f"""
 WITH q AS (SELECT CAST(range AS INTEGER) AS part, row_number() OVER (ORDER BY md5(concat_ws(',', range, 1, 9))) - 1 AS seq, 16 AS n FROM range(16))
@@ -325,8 +380,80 @@ b2 AS (SELECT bk.dst AS id, sum(b1.s / bd.deg) AS s FROM bk JOIN b1 ON b1.id = b
     "log_select": 'SELECT CAST(range AS INTEGER) AS run, range * 10 AS "at" FROM range(60) WHERE range % 4 = 1 AND range % 3 = 2 AND range * 10 >= 50 AND range * 10 < 500',
     "fennel_alpha_table": _q("SELECT label, round(m.n / k.k * sqrt(16.0::DOUBLE) / pow(c.n, 1.5::DOUBLE), 9) AS alpha FROM (SELECT CASE WHEN split = 'train' THEN coalesce(label, 5) ELSE 5 END AS label, count(*)::DOUBLE AS n FROM nodes GROUP BY 1) c CROSS JOIN (SELECT count(*)::DOUBLE AS n FROM edges) m CROSS JOIN (SELECT count(DISTINCT CASE WHEN split = 'train' THEN coalesce(label, 5) ELSE 5 END)::DOUBLE AS k FROM nodes) k"),
     "weight_rescale": _q("SELECT id, CAST(round((w - lo + step) / step) AS BIGINT) AS rescaled FROM (SELECT id, deg * 0.5::DOUBLE AS w, min(deg * 0.5::DOUBLE) OVER () AS lo FROM indeg) x CROSS JOIN (SELECT min(deg) * 0.5::DOUBLE - (SELECT min(deg) * 0.5::DOUBLE FROM indeg) AS step FROM indeg WHERE deg > (SELECT min(deg) FROM indeg)) y"),
-    "fennel_invariants": _q("SELECT count(*) AS rows, count(*) AS nodes, true AS in_range, true AS within_cap FROM nodes"),
-    "bsp_invariants": _q("SELECT count(*) AS rows, count(*) AS nodes, true AS in_range, true AS within_cap FROM nodes"),
+    **dict.fromkeys(
+        ("fennel_invariants", "restream_invariants", "bsp_invariants", "block_stream_invariants"),
+        _q(
+            """SELECT n AS rows, n AS nodes, 0 AS first, 15 AS last, greatest(CAST(floor(n / 16 * 1.1::DOUBLE) AS BIGINT), CAST(ceil(n / 16) AS BIGINT)) AS cap, CAST(0 AS BIGINT) AS over,
+ (SELECT count(*) FROM edges JOIN assign a ON a.id = src JOIN assign b ON b.id = dst WHERE a.part <> b.part) AS hash_cuts, true AS fewer_cuts FROM (SELECT count(*) AS n FROM nodes)"""
+        ),
+    ),
+    **dict.fromkeys(
+        ("metis_tb_balance", "fennel_lb_balance"),
+        _q("SELECT train, n, greatest(CAST(floor(n / 16 * 1.1::DOUBLE) AS BIGINT), CAST(ceil(n / 16) AS BIGINT)) AS cap, CAST(0 AS BIGINT) AS over FROM (SELECT CAST(coalesce(split = 'train', false) AS INTEGER) AS train, count(*) AS n FROM nodes GROUP BY 1)"),
+    ),
+    "ppr_push": _q("SELECT seed, id, round(p, 9) AS p FROM p9 WHERE p > 0", _PUSH),
+    "ppr_mass": _q("SELECT id AS seed, 0.25::DOUBLE AS mass, CAST(0 AS BIGINT) AS due FROM train"),
+    "ranges_merge_degree": _q(
+        """SELECT dst, count(*) AS n, string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) AS nbrs FROM (
+  SELECT src, dst FROM fr WHERE src % 2 = 0 AND pos < n // 8
+  UNION ALL SELECT src, dst FROM fr WHERE src % 2 = 1 AND pos >= n // 8 AND pos < n // 8 + n // 4
+  UNION ALL SELECT src, dst FROM fr WHERE src % 2 = 0 AND pos < n // 16) GROUP BY dst""",
+        " fr AS MATERIALIZED (SELECT src, dst, (row_number() OVER (ORDER BY dst, src) - 1) // 2 AS pos, count(*) OVER () AS n FROM edges)",
+    ),
+    "row_col_slice": _q("SELECT dst AS src, src AS dst FROM edges SEMI JOIN pop ON pop.id = dst SEMI JOIN train ON train.id = src", " pop AS MATERIALIZED (SELECT id FROM pvt)"),
+    "split_first": _q("SELECT id FROM train ORDER BY id LIMIT 100"),
+    "split_test_is_valid": _q("SELECT id FROM nodes WHERE split = 'valid'"),
+    "largest_parts": _q("SELECT part, n AS size FROM psize ORDER BY n DESC, part LIMIT 6"),
+    "popular_pivots": _q("SELECT id FROM pvt INTERSECT SELECT id FROM popular"),
+    "pivot_layout_check": """SELECT * FROM (VALUES ('edge into a pivot is in another part than its source', CAST(0 AS BIGINT)), ('edge between pivots is in another part than its source', 0), ('in-degree of a pivot differs from the graph''s', 0), ('pivot number used twice', 0)) t("check", bad)""",
+    "drop_walk_alive": _q("SELECT CAST(batch AS BIGINT) AS batch, hop, id FROM (SELECT sn.*, row_number() OVER (PARTITION BY batch ORDER BY round(s, 9), sn.id DESC) AS k, count(*) OVER (PARTITION BY batch) AS n FROM sn JOIN w1 ON w1.id = sn.id WHERE hop > 0) WHERE k > floor(n * 0.3::DOUBLE) UNION ALL SELECT batch, hop, id FROM sn WHERE hop = 0", _SAMPLE),
+    "drop_far_share_alive": _q("SELECT CAST(batch AS BIGINT) AS batch, hop, id FROM fs", _SAMPLE, _FAR),
+    "retained_score": _q(
+        "SELECT CAST(sn.batch AS BIGINT) AS batch, count(*) AS nodes, count(fs.id) AS alive, round(sum(CASE WHEN fs.id IS NOT NULL THEN round(s, 9) ELSE 0 END) / sum(round(s, 9)), 6) AS score FROM sn JOIN w1 ON w1.id = sn.id LEFT JOIN fs ON fs.batch = sn.batch AND fs.id = sn.id GROUP BY sn.batch",
+        _SAMPLE,
+        _FAR,
+    ),
+    "seed_loader_edges": _q(
+        "SELECT CAST(batch AS BIGINT) AS batch, hop, src, dst FROM se",
+        f" vs AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE split = 'valid'), gb AS (SELECT id, {_chunk('pos', 'n', '100')} AS batch FROM vs)",
+        _HOPS.format(edges="edges", seed=17),
+    ),
+    "best_epoch_upto": f"WITH {_RUNS.replace('FROM rl)', 'FROM rl WHERE iter <= 19)')} SELECT run, iter, round(val, 9) AS val, round(test, 9) AS test FROM be",
+    "sage_forward": _q("SELECT id, round(sum(v), 5) AS total FROM y2 GROUP BY id", _X, *_SAGE),
+    "jk_forward": _q("SELECT id, round(sum(greatest(v, 0)), 5) AS total FROM (SELECT id, v FROM y1 UNION ALL SELECT id, v FROM y2) GROUP BY id", _X, *_SAGE),
+    "weighted_sage_forward": _q(
+        "SELECT id, round(sum(v), 5) AS total FROM y GROUP BY id",
+        _X,
+        " ew AS MATERIALIZED (SELECT src, dst, CASE WHEN a.part <> b.part THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM edges JOIN assign a ON a.id = src JOIN assign b ON b.id = dst)",
+        " m AS MATERIALIZED (SELECT dst AS id, i, sum(w * v) / sum(w) AS v FROM ew JOIN x ON x.id = src GROUP BY dst, i)",
+        _dense("y", "x", "m", 8),
+    ),
+    "gcn_forward": _q(
+        "SELECT id, round(sum(v), 5) AS total FROM y2 GROUP BY id",
+        _X,
+        " lp AS (SELECT src, dst FROM edges UNION ALL SELECT id, id FROM nodes), ld AS (SELECT dst AS id, count(*)::DOUBLE AS d FROM lp GROUP BY dst), lw AS MATERIALIZED (SELECT src, dst, 1 / sqrt(a.d * b.d) AS w FROM lp JOIN ld a ON a.id = src JOIN ld b ON b.id = dst)",
+        " m1 AS MATERIALIZED (SELECT dst AS id, i, sum(w * v) AS v FROM lw JOIN x ON x.id = src GROUP BY dst, i)",
+        _dense("y1", "m1", None, 8),
+        " r1 AS MATERIALIZED (SELECT id, i, greatest(v, 0) AS v FROM y1), m2 AS MATERIALIZED (SELECT dst AS id, i, sum(w * v) AS v FROM lw JOIN r1 ON r1.id = src GROUP BY dst, i)",
+        _dense("y2", "m2", None, 4),
+    ),
+    "gin_forward": _q(
+        "SELECT id, round(sum(v), 5) AS total FROM y GROUP BY id",
+        _X,
+        " m AS (SELECT dst AS id, i, sum(v) AS v FROM edges JOIN x ON x.id = src GROUP BY dst, i), s AS MATERIALIZED (SELECT x.id, x.i, 1.125::DOUBLE * x.v + coalesce(m.v, 0) AS v FROM x LEFT JOIN m ON m.id = x.id AND m.i = x.i)",
+        _dense("y", "s", None, 8),
+    ),
+    "gat_forward": _q("SELECT id, round(sum(v) / 2, 5) AS total FROM (SELECT * FROM o0 UNION ALL SELECT * FROM o1) GROUP BY id", _X, " lp AS (SELECT src, dst FROM edges UNION ALL SELECT id, id FROM nodes)", *_attend(0, "lp"), *_attend(1, "lp")),
+    "rgat_forward": _q(
+        "SELECT id, round(sum(v), 5) AS total FROM (SELECT * FROM o0 UNION ALL SELECT * FROM o1 UNION ALL SELECT id, v FROM y) GROUP BY id",
+        _X,
+        " e0 AS (SELECT src, dst FROM edges WHERE src <= dst), e1 AS (SELECT src, dst FROM edges WHERE src > dst)",
+        *_attend(0, "e0"),
+        *_attend(1, "e1"),
+        _dense("y", "x", None, 8, 2),
+    ),
     "stream_event_counts": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
     "stream_assign": "SELECT event_id, user_id, CAST(((user_id % 2147483648) * 2654435761) % 4294967296 // 65536 % 16 AS INTEGER) AS part FROM events",
 }
+
+SQL["pivot_store_edges"] = SQL["collate_pivot_edges"]

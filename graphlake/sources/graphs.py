@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphlake.functions.hashing import spread
-from graphlake.model import Graph, PartitionedGraph
+from graphlake.model import Graph, PartitionedGraph, Pivots
+from graphlake.operators.batching import edge_order
+from graphlake.operators.layout import adjacency, degree, row_pointers
 
 
 def symmetrise(edges: DataFrame, dedup: bool = True) -> DataFrame:
@@ -82,23 +84,39 @@ def star_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.col("o_custkey").alias("src"), (F.col("l_partkey") + nc).alias("dst"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _read(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """root/name.parquet, or root/name.csv with a header if there is no such."""
+    if not exists(spark, f"{root}/{name}.parquet") and exists(spark, f"{root}/{name}.csv"):
+        return spark.read.csv(f"{root}/{name}.csv", header=True, inferSchema=True)
+    return spark.read.parquet(f"{root}/{name}.parquet")
+
+
+def _features(spark: SparkSession, root: str) -> DataFrame | None:
+    """root/features (id, x), if there: arrays, or in CSV numbers between blanks."""
+    if not any(exists(spark, f"{root}/features.{kind}") for kind in ("parquet", "csv")):
+        return None
+    f = _read(spark, root, "features")
+    x = F.split(F.trim("x"), r"\s+") if f.schema["x"].dataType.typeName() == "string" else F.col("x")
+    return f.select(F.col("id").cast("bigint").alias("id"), x.cast("array<float>").alias("x"))
+
+
 def _files(spark: SparkSession, root: str, directed: bool = False, dedup: bool = True, loops: bool = False, **attrs) -> Graph:
-    """root/nodes.parquet (id[, label, split]), root/edges.parquet (src, dst) and, if there, root/features.parquet (id, x)."""
-    nodes, edges = spark.read.parquet(f"{root}/nodes.parquet"), spark.read.parquet(f"{root}/edges.parquet")
+    """root/nodes (id[, label, split]), root/edges (src, dst) and, if there, root/features (id, x), each .parquet or .csv."""
+    nodes, edges = _read(spark, root, "nodes"), _read(spark, root, "edges")
     for c, kind in (("kind", "int"), ("label", "int"), ("split", "string")):
         if c not in nodes.columns:
             nodes = nodes.withColumn(c, F.lit(None).cast(kind))
-    nodes = nodes.select("id", "kind", F.when(F.isnan(F.col("label").cast("double")), None).otherwise(F.col("label")).cast("int").alias("label"), "split")
-    edges = edges.select("src", "dst") if directed else symmetrise(edges, dedup)
+    nodes = nodes.select(F.col("id").cast("bigint").alias("id"), "kind", F.when(F.isnan(F.col("label").cast("double")), None).otherwise(F.col("label")).cast("int").alias("label"), "split")
+    edges = edges.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"))
+    edges = edges if directed else symmetrise(edges, dedup)
     if loops:
         edges = add_self_loops(edges, nodes)
-    try:
-        features = spark.read.parquet(f"{root}/features.parquet").select("id", F.col("x").cast("array<float>").alias("x"))
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        features = None
-    return Graph(nodes, edges, features, {"is_directed": directed} | attrs)
+    return Graph(nodes, edges, _features(spark, root), {"is_directed": directed} | attrs)
 
 
 def _resplit(split: Callable[[DataFrame], DataFrame]):
@@ -124,7 +142,8 @@ def _hetero(spark: SparkSession, root: str) -> Graph:
     """One id space from several node types.
 
     root/types.parquet (type, n, seq): the types' sizes in the order of their ids; root/relations.parquet (a, b, src, dst): edges
-    between ids within types a and b; root/nodes.parquet (id, label, split): the last type's nodes, the only labelled ones.
+    between ids within types a and b; root/nodes.parquet (id, label, split): the last type's nodes, the only labelled ones;
+    root/features.parquet ([type,] id, x), if there: with a type its ids are shifted like the edges', without one they are of the whole space.
     """
     types = spark.read.parquet(f"{root}/types.parquet")
     rows = types.orderBy("seq").collect()  # a handful
@@ -138,7 +157,10 @@ def _hetero(spark: SparkSession, root: str) -> Graph:
     labels = spark.read.parquet(f"{root}/nodes.parquet").select((F.col("id") + shift[last]).alias("id"), F.when(F.isnan(F.col("label").cast("double")), None).otherwise(F.col("label")).cast("int").alias("label"), "split")
     kind = sum(((F.col("id") >= v).cast("int") for v in list(shift.values())[1:]), F.lit(0))
     nodes = spark.range(at).join(labels, "id", "left").select("id", kind.cast("int").alias("kind"), "label", "split")
-    return Graph(nodes, symmetrise(edges, dedup=False), None, {"is_directed": False, "is_hetero": False})
+    features = _features(spark, root)
+    if features is not None and "type" in (raw := _read(spark, root, "features")).columns:
+        features = raw.select((F.col("id") + F.element_at(shifts, F.col("type"))).alias("id"), F.col("x").cast("array<float>").alias("x"))
+    return Graph(nodes, symmetrise(edges, dedup=False), features, {"is_directed": False, "is_hetero": False})
 
 
 #: Loader of each dataset name; each takes (spark, root).
@@ -165,25 +187,37 @@ def load(spark: SparkSession, name: str, root: str) -> Graph:
     return LOADERS[name](spark, root)
 
 
-def write_graph(g: Graph, path: str) -> None:
-    """nodes, edges sorted by (dst, src) within ranges of dst, features if any, and the attributes."""
+def write_graph(g: Graph, path: str, formats: tuple[str, ...] = ("coo",)) -> None:
+    """nodes, edges sorted by (dst, src) within ranges of dst, features if any, and the attributes; 'csc' and 'csr' store grouped adjacency, too."""
     spark = g.nodes.sparkSession
     g.nodes.write.parquet(f"{path}/nodes.parquet")
     g.edges.repartitionByRange("dst").sortWithinPartitions("dst", "src").write.parquet(f"{path}/edges.parquet")
+    for f in formats:
+        if f in GROUPED:
+            adjacency(g.edges, GROUPED[f]).repartitionByRange(GROUPED[f]).sortWithinPartitions(GROUPED[f]).write.parquet(f"{path}/{f}.parquet")
     if g.features is not None:
         g.features.write.parquet(f"{path}/features.parquet")
     spark.createDataFrame([(json.dumps(g.attrs),)], "value string").coalesce(1).write.text(f"{path}/_attrs")
 
 
+#: Formats of grouped adjacency and the end by which they group.
+GROUPED = {"csc": "dst", "csr": "src"}
+
+
 def read_graph(spark: SparkSession, path: str, formats: tuple[str, ...] = ("coo",)) -> Graph:
-    """The graph of a directory; formats 'csc' and 'csr' add grouped adjacency in attrs, built on demand."""
-    from graphlake.operators.layout import adjacency
+    """The graph of a directory; formats 'csc' and 'csr' add grouped adjacency in attrs: as stored, or made on demand.
 
+    An undirected graph's csr is its csc."""
     g = _files(spark, path, directed=True)
     attrs = json.loads(spark.read.text(f"{path}/_attrs").first()[0])
     for f in formats:
-        if f in ("csc", "csr"):
-            attrs[f] = adjacency(g.edges, by="dst" if f == "csc" else "src")
+        if f in GROUPED:
+            if exists(spark, f"{path}/{f}.parquet"):
+                attrs[f] = spark.read.parquet(f"{path}/{f}.parquet")
+            elif f == "csr" and attrs.get("is_directed") is False and exists(spark, f"{path}/csc.parquet"):
+                attrs[f] = spark.read.parquet(f"{path}/csc.parquet").withColumnRenamed("dst", "src")
+            else:
+                attrs[f] = adjacency(g.edges, by=GROUPED[f])
         elif f != "coo":
             raise ValueError(f"unknown format {f!r}")
     return Graph(g.nodes, g.edges, g.features, attrs)
@@ -215,10 +249,36 @@ def read_partitioned(spark: SparkSession, path: str, parts: list[int] | None = N
         nodes = nodes.where(F.col("part").isin(parts))
         edges = edges.where(F.col("sp").isin(parts) & F.col("dp").isin(parts))
     k = attrs.pop("k")
-    try:
-        features = spark.read.parquet(f"{path}/features.parquet")
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        features = None
+    features = spark.read.parquet(f"{path}/features.parquet") if exists(spark, f"{path}/features.parquet") else None
     return PartitionedGraph(nodes, edges, spark.read.parquet(f"{path}/parts.parquet"), k, features, attrs)
+
+
+def write_pivots(p: Pivots, path: str) -> None:
+    """The pivot tables; both kinds of edges cluster by the part of their source, as a batch wants those of its parts or of all others."""
+    p.pivots.repartitionByRange("part", "pvt").sortWithinPartitions("part", "pvt").write.parquet(f"{path}/pivots.parquet")
+    p.inter.repartitionByRange("sp", "pvt").sortWithinPartitions("sp", "pvt", "src").write.parquet(f"{path}/inter.parquet")
+    p.intra.repartitionByRange("sp", "dst").sortWithinPartitions("sp", "dst", "src").write.parquet(f"{path}/intra.parquet")
+
+
+def read_pivots(spark: SparkSession, path: str, parts: list[int] | None = None) -> Pivots:
+    """The pivot tables, or of the edges into pivots just those from some parts; the filter reaches the scan."""
+    inter = spark.read.parquet(f"{path}/inter.parquet")
+    return Pivots(spark.read.parquet(f"{path}/pivots.parquet"), inter if parts is None else inter.where(F.col("sp").isin(parts)), spark.read.parquet(f"{path}/intra.parquet"))
+
+
+def export_foreign(g: Graph, path: str) -> None:
+    """The layout of another system: indptr, indices (sorted by target and source), features, labels, split and conf, and each node's cache score.
+
+    score: out-degree over in-degree, both plus 1e-8.  Tables carry positions, so each can be dumped in order."""
+    pos = edge_order(g.edges.select("src", "dst"))
+    row_pointers(g.nodes, g.edges).select(F.col("id").alias("pos"), F.col("start").alias("indptr")).write.parquet(f"{path}/indptr.parquet")
+    pos.select("pos", F.col("src").alias("index")).write.parquet(f"{path}/indices.parquet")
+    g.nodes.select("id", "label").write.parquet(f"{path}/labels.parquet")
+    g.nodes.where("split is not null").select("id", "split").write.parquet(f"{path}/split.parquet")
+    d = degree(g.nodes, g.edges, "src").withColumnRenamed("deg", "o").join(degree(g.nodes, g.edges, "dst"), "id")
+    d.select("id", ((F.col("o") + 1e-8) / (F.col("deg") + 1e-8)).alias("score")).write.parquet(f"{path}/score.parquet")
+    if g.features is not None:
+        g.features.write.parquet(f"{path}/features.parquet")
+    conf = {"num_nodes": g.nodes.count(), "num_edges": g.edges.count()} | {k: v for k, v in g.attrs.items() if isinstance(v, (int, float, str, bool))}
+    spark = g.nodes.sparkSession
+    spark.createDataFrame([(json.dumps(conf),)], "value string").coalesce(1).write.text(f"{path}/conf")

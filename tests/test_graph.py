@@ -62,8 +62,22 @@ def test_importance(g):
 
 
 def test_push(g, spark):
-    p = {r.id: r.p for r in scoring.ppr(g.nodes, g.edges, spark.createDataFrame([(0,)], "id bigint")).collect()}
-    near([p[i] for i in range(6)], [0.38446, 0.200642, 0.245817, 0.07041, 0.02984, 0.01119])
+    """Nothing is lost, nothing is left to push, and scores come within eps * degree of exact ones."""
+    alpha, eps = 0.25, 0.01
+    adj = np.zeros((6, 6))
+    for a, b in UND:
+        adj[a, b] = adj[b, a] = 1
+    deg = adj.sum(1)
+    exact = np.linalg.solve(np.eye(6) - (1 - alpha) * adj / deg[None, :], alpha * np.eye(6))
+    for eps in (0.01, 1e-5):
+        rows = scoring.ppr(g.nodes, g.edges, g.nodes.select("id"), alpha, eps, left=True).collect()
+        p, r = np.zeros((6, 6)), np.zeros((6, 6))
+        for x in rows:
+            p[x.seed, x.id], r[x.seed, x.id] = x.p, x.r
+        assert np.allclose(alpha * p.sum(1) + r.sum(1), alpha) and (r < alpha * eps * deg).all()
+        assert (p <= exact.T + 1e-9).all() and (exact.T - p <= eps * deg[None, :] + 1e-9).all()
+    golden = [0.38446, 0.200642, 0.245817, 0.07041, 0.02984, 0.01119]  # pushed one at a time, eps 0.01
+    assert np.allclose(p[0], golden, atol=0.02)
 
 
 def test_partitioned_layout(g, assign):
@@ -137,15 +151,11 @@ def test_chunks(spark, n, size, even, split, half, tensor, quirk):
 
 def test_even_chunks_closed_form(spark):
     def listed(n, size):
-        if n < size:
-            return [n]
-        steps, rest = n // size, n % size
-        share, out = -(-rest // steps), []
-        for _ in range(steps):
-            extra = min(share, rest)
-            rest -= extra
-            out.append(size + extra)
-        return out
+        """As many chunks as whole ones fit; chunk c gets its share of the remainder, share after share from the front."""
+        k = max(n // size, 1)
+        rest = n - k * size if n >= size else 0
+        share = -(-rest // k)
+        return [(size if n >= size else n) + max(0, min(share, rest - c * share)) for c in range(k)]
 
     rows = [(n, z) for n in range(1, 90, 7) for z in range(1, 30, 3)]
     df = spark.createDataFrame(rows, "n bigint, z bigint").withColumn("pos", F.explode(F.expr("sequence(0L, n - 1)")))
@@ -230,11 +240,79 @@ def test_training_nodes_are_balanced(spark):
     assert most(out) <= 11 and out.groupBy("part").count().agg(F.max("count")).first()[0] <= 34
 
 
-def test_superstep_improves_and_keeps_room(g, spark):
-    first = parting.hash_partition(g.nodes, 2)
-    out = parting.superstep_partition(g.nodes, g.edges, parting.Fennel(k=2, slack=1.4), 3, first)
-    assert metrics.edge_cuts(g.edges, out).first().cuts <= metrics.edge_cuts(g.edges, first).first().cuts
-    assert out.count() == 6
+def clustered(spark, n=400, groups=4):
+    """A graph of dense groups whose ids are mixed."""
+    r = np.random.default_rng(1)
+    home = r.integers(0, groups, n)
+    a, b = r.integers(0, n, (2, 30_000))
+    keep = (a != b) & ((home[a] == home[b]) | (r.random(30_000) < 0.05))
+    edges = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a[keep], b[keep], strict=True)], "src bigint, dst bigint")
+    nodes = spark.createDataFrame([(i, int(home[i] % 3), "train" if i % 4 == 0 else None) for i in range(n)], "id bigint, label int, split string")
+    return nodes, graphs.symmetrise(edges)
+
+
+def test_superstep_improves_and_keeps_room(spark):
+    nodes, edges = clustered(spark)
+    first = parting.hash_partition(nodes, 4)
+    out = parting.superstep_partition(nodes, edges, parting.Fennel(k=4), 4)
+    assert metrics.edge_cuts(edges, out).first().cuts < 0.9 * metrics.edge_cuts(edges, first).first().cuts
+    assert out.count() == 400 and out.groupBy("part").count().agg(F.max("count")).first()[0] <= 110
+
+
+def test_block_streaming(spark):
+    """Blocks of the stream: every node once, no part over its capacity, nor over any class's, and fewer cuts than by hash."""
+    nodes, edges = clustered(spark)
+    first = metrics.edge_cuts(edges, parting.hash_partition(nodes, 4)).first().cuts
+    out = parting.block_streaming_partition(nodes, edges, parting.Fennel(k=4, runs=2), blocks=5)
+    parts = col(out, "part")
+    assert col(out, "id") == list(range(400)) and max(parts.count(p) for p in range(4)) <= 110 and set(parts) == set(range(4))
+    cuts = metrics.edge_cuts(edges, out).first().cuts
+    assert cuts < 0.8 * first
+    again = parting.block_streaming_partition(nodes, edges, parting.Fennel(k=4), blocks=3, order="id", start=out)
+    assert metrics.edge_cuts(edges, again).first().cuts <= 1.1 * cuts
+    lb = parting.partition(nodes, edges, "fennel-lb", 4, 1, blocks=3).join(nodes, "id")
+    assert lb.count() == 400 and lb.where("split = 'train'").groupBy("part").count().agg(F.max("count")).first()[0] <= 27
+
+
+def test_limits_name_the_way_out(g, monkeypatch):
+    monkeypatch.setattr(parting, "EDGE_LIMIT", 5)
+    with pytest.raises(ValueError, match="block_streaming"):
+        parting.streaming_partition(g.nodes, g.edges)
+    assert parting.partition(g.nodes, g.edges, "fennel", 2, 1, blocks=2).count() == 6
+
+
+def test_number_in_ranges(spark):
+    """Positions follow the key whatever the prefixes are, within groups and in all."""
+    df = spark.range(500).select("id", (F.col("id") * 7919 % 500).alias("k"), (F.col("id") % 3).alias("g"))
+    for levels in ((2, 4), (16,), (13, 14, 15)):
+        out = batching.number(df, batching.hex_id(F.col("k")), "pos", levels=levels).collect()
+        assert all(r.pos == r.k for r in out)
+        by = {}
+        for r in batching.number(df, batching.hex_id(F.col("k")), "pos", ["g"], levels).collect():
+            by.setdefault(r.g, []).append((r.k, r.pos))
+        assert all([p for _, p in sorted(v)] == list(range(len(v))) for v in by.values())
+
+
+def test_repeats(spark):
+    df = spark.range(3)
+    assert batching.repeats(df, 0).count() == 0 and batching.repeats(df, 2).count() == 6
+
+
+def test_ranges_without_loops(spark):
+    df = spark.range(300_000).select(F.col("id").alias("pos"))
+    r = spark.createDataFrame([(0, 10, 3), (1, 65_530, 20), (2, 5, 0), (3, 11, 1)], "seq int, start bigint, len bigint")
+    out = layout.ranges_gather(df, "pos", r)
+    assert [r.pos for r in out.orderBy("out_pos").collect()] == [10, 11, 12, *range(65_530, 65_550), 11]
+    assert "NestedLoop" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "Cartesian" not in plan
+
+
+def test_lossy_batches(spark):
+    nodes = spark.createDataFrame([(0, min(i // 10, 2), i) for i in range(60)], "batch int, hop int, id bigint")
+    kept = sampling.drop_far(nodes, 1, 0.25)
+    assert kept.count() == 50 and kept.where("hop < 2").count() == 20 and sampling.drop_far(nodes, 1).count() == 20
+    scores = spark.createDataFrame([(0, i, float(i < 20)) for i in range(60)], "batch int, id bigint, s double")
+    assert tuple(sampling.retained(nodes, sampling.drop_far(nodes, 1), scores).first()) == (0, 60, 20, 1.0)
+    assert tuple(sampling.retained(nodes, nodes.where("hop = 0"), scores).first()) == (0, 60, 10, 0.5)
 
 
 def test_sampling(g, spark):
@@ -265,7 +343,25 @@ def test_aggregation_and_models(g):
     e = (h @ [1, 0, 0.5])[None, :] + (h @ [0.2, 1, 0])[:, None]
     e = np.where(hat > 0, np.where(e > 0, e, 0.2 * e), -np.inf)
     a = np.exp(e - e.max(1, keepdims=True))
-    near(np.array(col(aggregate.gat(g.edges, g.features, [(w1, [1, 0, 0.5], [0.2, 1, 0])]), "x")), a / a.sum(1, keepdims=True) @ h)
+    one = a / a.sum(1, keepdims=True) @ h
+    near(np.array(col(aggregate.gat(g.edges, g.features, [(w1, [1, 0, 0.5], [0.2, 1, 0])]), "x")), one)
+    head = (w1, [1, 0, 0.5], [0.2, 1, 0])
+    near(np.array(col(aggregate.gat(g.edges, g.features, [[head, head]]), "x")), one)
+    wide = aggregate.gat(g.edges, g.features, [[head, head], (np.vstack((np.eye(3), np.zeros((3, 3)))), [0] * 3, [0] * 3)])
+    elu = np.where(one > 0, one, np.expm1(one))
+    near(np.array(col(wide, "x")), hat / hat.sum(1, keepdims=True) @ elu)
+    # Two relations; one target has no edge of the second.
+    rel = g.edges.withColumn("rel", (F.col("src") > F.col("dst")).cast("int"))
+    own, bias = w2, np.ones(3)
+    want = x @ own + bias
+    for k in (0, 1):
+        mask = np.array([[adj[v, u] * ((u > v) == bool(k)) for u in range(6)] for v in range(6)])
+        s = (h @ [1, 0, 0.5])[None, :] + (h @ [0.2, 1, 0])[:, None]
+        s = np.where(mask > 0, np.exp(np.where(s > 0, s, 0.2 * s)), 0)
+        want = want + np.divide(s, s.sum(1, keepdims=True), out=np.zeros_like(s), where=s.sum(1, keepdims=True) > 0) @ h
+    near(np.array(col(aggregate.rgat(rel, g.features, [({0: head, 1: head}, own, bias)]), "x")), want)
+    even = aggregate.edge_norm(g.edges.withColumn("cut", F.lit(False)))
+    near(np.array(col(aggregate.weighted_sage(even, g.features, [(w1, w2, b)]), "x")), x @ w1 + adj @ x / deg[:, None] @ w2 + b)
 
 
 def test_residual_inception(g):
@@ -304,6 +400,68 @@ def test_loaders(g, assign):
     assert p.nodes.count() == 6 and p.edges.count() == 12 and p.features.count() == 6
 
 
+def test_command_line(g, spark, tmp_path, capsys):
+    from graphlake.plans import cli
+
+    graphs.write_graph(g, f"{tmp_path}/raw")
+    path = f"{tmp_path}/g"
+    run = lambda *a: (cli.main(list(a), spark), __import__("json").loads(capsys.readouterr().out))
+    assert run("ingest", "arxiv", f"{tmp_path}/raw", path) == (0, {"nodes": 6, "edges": 12})
+    code, out = run("partition", path, "--method", "fennel", "--parts", "2", "--share", "0.4", "--steps", "1")
+    assert code == 0 and out["edges"] == 12 and out["pivots"] == 2 and out["most"] == 3
+    code, out = run("check", path, "--method", "fennel", "--parts", "2")
+    assert code == 0 and len(out) == 10
+    spark.createDataFrame([(i, [0.0, -9.0, -9.0]) for i in range(6)], "id bigint, logp array<double>").write.parquet(f"{tmp_path}/scores")
+    code, out = run("evaluate", path, f"{tmp_path}/scores")
+    assert out["train"] == {"n": 1, "acc": 1.0, "nll": 0.0} and out["test"]["n"] == 4
+
+
+def test_pivot_store(g, assign, spark, tmp_path):
+    p = layout.partition_graph(g, assign, 3)
+    pivots = collate.build_pivots(p, spark.createDataFrame([(2,), (3,)], "id bigint"), g.edges, assign)
+    path = graphs.partition_path(str(tmp_path), "rand", 3, pivots=True)
+    graphs.write_pivots(pivots, path)
+    back = graphs.read_pivots(spark, path)
+    for a, b in ((pivots.pivots, back.pivots), (pivots.inter, back.inter), (pivots.intra, back.intra)):
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    some = graphs.read_pivots(spark, path, [0])
+    assert {r.sp for r in some.inter.collect()} == {0}
+    assert "EqualTo(sp,0)" in some.inter._jdf.queryExecution().executedPlan().toString()
+    degrees = layout.degree(g.nodes, g.edges)
+    assert all(r.bad == 0 for r in collate.check_pivots(p, back, degrees).collect())
+    worse = type(back)(back.pivots, back.inter.where("src <> 0"), back.intra)
+    assert {r.check for r in collate.check_pivots(p, worse, degrees).where("bad > 0").collect()} == {"in-degree of a pivot differs from the graph's"}
+
+
+def test_csv_and_stored_adjacency(g, spark, tmp_path):
+    g.nodes.select("id", "label", "split").coalesce(1).write.csv(f"{tmp_path}/c/nodes.csv", header=True)
+    g.edges.coalesce(1).write.csv(f"{tmp_path}/c/edges.csv", header=True)
+    g.features.select("id", F.array_join("x", " ").alias("x")).coalesce(1).write.csv(f"{tmp_path}/c/features.csv", header=True)
+    c = graphs.load(spark, "products", f"{tmp_path}/c")
+    assert c.edges.exceptAll(g.edges).count() == 0 and c.features.exceptAll(g.features).count() == 0 and c.nodes.where("label is null").count() == 1
+    graphs.write_graph(g, f"{tmp_path}/g", ("coo", "csc"))
+    back = graphs.read_graph(spark, f"{tmp_path}/g", ("csc", "csr"))
+    want = layout.adjacency(g.edges)
+    assert back.attrs["csc"].exceptAll(want).count() == 0 and back.attrs["csr"].columns == ["src", "nbrs"]
+    assert "csc.parquet" in back.attrs["csr"].inputFiles()[0]  # undirected: the stored one serves for both
+    graphs.export_foreign(g, f"{tmp_path}/x")
+    ptr, idx = ([r[1] for r in spark.read.parquet(f"{tmp_path}/x/{n}.parquet").orderBy("pos").select("pos", v).collect()] for n, v in (("indptr", "indptr"), ("indices", "index")))
+    assert ptr == [0, 2, 4, 7, 9, 11] and idx == [1, 2, 0, 2, 0, 1, 3, 2, 4, 3, 5, 4]
+
+
+def test_scratch_is_shared(spark):
+    from types import SimpleNamespace
+
+    from graphlake.functions import store
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    ctx = SimpleNamespace(master="spark://host:7077", getConf=lambda: conf)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        store.shared_folder(SimpleNamespace(conf=conf, sparkContext=ctx))
+    ctx.master = "local[4]"
+    assert store.shared_folder(SimpleNamespace(conf=conf, sparkContext=ctx)) == store.DEFAULT
+
+
 def test_graph_round_trip(g, assign, spark, tmp_path):
     graphs.write_graph(g, f"{tmp_path}/g")
     back = graphs.read_graph(spark, f"{tmp_path}/g", ("coo", "csc"))
@@ -327,7 +485,16 @@ def test_typed_graph(spark, tmp_path):
     t = graphs.load(spark, "mag240m", str(tmp_path))
     assert sorted(map(tuple, t.edges.collect())) == [(0, 8), (2, 4), (4, 2), (6, 7), (7, 6), (8, 0)]
     assert [tuple(r) for r in t.nodes.orderBy("id").collect()][4:7] == [(4, 1, None, None), (5, 2, 7, "train"), (6, 2, None, "test")]
-    assert t.nodes.count() == 9
+    assert t.nodes.count() == 9 and t.features is None
+    spark.createDataFrame([("author", 2, [1.0]), ("paper", 1, [2.0])], "type string, id bigint, x array<float>").write.parquet(f"{tmp_path}/features.parquet")
+    assert sorted((r.id, r.x) for r in graphs.load(spark, "mag240m-f", str(tmp_path)).features.collect()) == [(2, [1.0]), (6, [2.0])]
+
+
+def test_validation_doubles_as_test(g):
+    from dataclasses import replace
+
+    assert col(g.split("test"), "id") == [1, 2, 3, 4]
+    assert g.split("valid").count() == 0 == replace(g, attrs={"test_is_valid": True}).split("test").count()
 
 
 def test_run_log(spark, tmp_path):
@@ -335,6 +502,7 @@ def test_run_log(spark, tmp_path):
     log = spark.createDataFrame(rows, "run int, label string, iter int, value double")
     best = runlog.best_epoch(log)
     assert sorted(map(tuple, best.collect())) == [(0, 1, 0.7, 0.6), (1, 0, 0.9, 0.8)]
+    assert runlog.best_epoch(log, 1).where("run = 0").first().iter == 1 and runlog.best_epoch(log, 0).where("run = 0").first().iter == 0
     m = runlog.mean_and_std(best).first()
     assert abs(m.val_mean - 80) < 1e-9 and abs(m.test_std - 14.142136) < 1e-6
     key = runlog.append(log, f"{tmp_path}/log", {"P": 4})
