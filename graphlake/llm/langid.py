@@ -118,8 +118,8 @@ def training_rows(docs: DataFrame, train_rows: int) -> DataFrame:
             take = min(n, max(1, left // (len(sizes) - i)))
             bounds.append((lang, int(take / n * (1 << 40)) + 1))
             left -= take
-        bound = docs.sparkSession.createDataFrame(bounds, "lang string, bound bigint")
-        labelled = labelled.join(bound, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.col("bound"))
+        bound = F.element_at(F.create_map(*(F.lit(x) for pair in bounds for x in pair)), F.col("lang"))  # an entry for each language
+        labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < bound)
     return labelled.select("text", "lang")
 
 
