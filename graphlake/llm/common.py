@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlake.functions.store import delete, shared_folder
@@ -46,6 +46,16 @@ class Scratch:
             pass
 
 
+#: Bytes up to which a written table is sent to every executor; a larger one meets the other side in a shuffle.
+SMALL = 16 << 20
+
+
+def if_small(written: DataFrame, size: Column | None = None, most: int = SMALL) -> DataFrame:
+    """A written table, marked for broadcast if its rows' sizes (16 bytes each, unless given) add up to ``most`` bytes at most."""
+    got = written.agg(F.sum(F.lit(16) if size is None else size)).first()[0] or 0
+    return F.broadcast(written) if got <= most else written
+
+
 def release_memory() -> None:
     """Gives a Python worker's freed memory back: it idles beside the executor until its next task."""
     pa.default_memory_pool().release_unused()

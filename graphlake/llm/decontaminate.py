@@ -18,11 +18,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlake.llm.common import Scratch, table
+from graphlake.llm.common import Scratch, if_small, release_memory, table
 
 #: Scripts written without blanks (kana, Han, Thai, Lao, Burmese, Khmer): each of their characters is a token.
 SOLID = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-WORD = re.compile(rf"[{SOLID}]|[^\W_{SOLID}]+")
+SOME_SOLID, MIXED, WORD = re.compile(f"[{SOLID}]"), re.compile(rf"[{SOLID}]|[^\W_{SOLID}]+"), re.compile(r"[^\W_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -39,7 +39,8 @@ class Tiling:
 
 def tokens(text: str | None) -> np.ndarray:
     """uint64 hashes of the lower-cased runs of letters and digits of the whole text, and of the single characters of scripts without blanks."""
-    words = WORD.findall((text or "").lower())
+    low = (text or "").lower()
+    words = (WORD if low.isascii() or not SOME_SOLID.search(low) else MIXED).findall(low)
     return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
 
 
@@ -167,6 +168,7 @@ def _hits(p: Tiling, held):
                     toks.append(t.tobytes())
             if rows:
                 yield pa.RecordBatch.from_arrays([b.column("rid").take(pa.array(rows)), pa.array(hits, pa.list_(pa.int64())), pa.array(toks, pa.binary())], ["rid", "hits", "tokens"])
+        release_memory()
 
     return run
 
@@ -180,6 +182,7 @@ def _tile(p: Tiling):
                 [b.column("rid"), b.column("item_id"), b.column("n"), pa.array(matched, pa.int64()), pa.array([len(g) for g in got], pa.int64()), pa.array([max((k for *_, k in g), default=0) for g in got], pa.int64())],
                 ["rid", "item_id", "item_tokens", "matched_tokens", "tiles", "longest_tile"],
             )
+        release_memory()
 
     return run
 
@@ -223,6 +226,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Tiling = Tiling()) ->
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, p: Tiling = Tiling()) -> DataFrame:
     """docs without the rows whose own text is contaminated; rows with a null doc_id stay, and so do other texts of the same id."""
     gone = matches(docs, benchmark, p).select(F.col("rid.doc_id").alias("_gl_id"), F.col("rid.body").alias("_gl_body")).distinct()
+    gone = if_small(Scratch(docs.sparkSession, "contaminated").write(gone, "gone"))
     keyed = docs.withColumn("_gl_id", F.col("doc_id").cast("bigint")).withColumn("_gl_body", F.xxhash64(F.col("text").cast("string")))
     return keyed.join(gone, ["_gl_id", "_gl_body"], "left_anti").select(*docs.columns)
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlake.llm.common import Scratch, connected_components, release_memory, table
+from graphlake.llm.common import Scratch, connected_components, if_small, release_memory, table
 
 MASK = (1 << 64) - 1
 
@@ -353,9 +353,18 @@ def deduplicate(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     Of rows with one doc_id and one text one stays, also of those with a null doc_id or a null, empty or blank text, which are else
     all kept.  Where an id repeats with several texts, no text goes but those whose copy stays.  All columns stay.
     """
-    gone = judged(docs, p).where("not chosen").select(F.col("doc_id").alias("_gl_id"), F.col("body").alias("_gl_body")).distinct()
+    scratch = Scratch(docs.sparkSession, "deduplicate")
+    key = [F.col("doc_id").alias("_gl_i"), F.col("body").alias("_gl_b")]
+    verdicts = scratch.write(judged(docs, p).select("doc_id", "body", "chosen"), "verdicts")
+    marks = verdicts.groupBy(*key).agg(F.min("chosen").alias("_gl_chosen"), (F.count(F.lit(1)) > 1).alias("_gl_again"))
+    marks = scratch.write(marks.where("not _gl_chosen or _gl_again"), "marks")
     keyed = docs.withColumn("_gl_id", F.col("doc_id").cast("bigint")).withColumn("_gl_body", body_of(F.col("text")))
-    return keyed.join(gone, ["_gl_id", "_gl_body"], "left_anti").dropDuplicates(["_gl_id", "_gl_body"]).select(*docs.columns)
+    marked = keyed.join(if_small(marks), F.col("_gl_id").eqNullSafe(F.col("_gl_i")) & (F.col("_gl_body") == F.col("_gl_b")), "left")
+    once = marked.where("_gl_chosen is null").select(*docs.columns)
+    if not marks.where("_gl_chosen").limit(1).count():
+        return once
+    # Only repeated rows are shuffled with their texts.
+    return once.union(marked.where("_gl_chosen").dropDuplicates(["_gl_id", "_gl_body"]).select(*docs.columns))
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlake.llm.common import Scratch, table
+from graphlake.llm.common import Scratch, if_small, release_memory, table
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -153,6 +153,7 @@ def _find(p: Sanitising):
                 who.append(sorted(entities(text or "", spans)))
                 near.append([{"e": c, "t": term(w)} for c, w in contexts(text or "", spans, p.window)])
             yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), *(pa.array(n, pa.int64()) for n in counts), pa.array(base, pa.string()), pa.array(who, pa.list_(pa.int64())), pa.array(near, CONTEXT)], ["rid", "doc_id", *(f"n_{k}" for k in KINDS), "base", "who", "near"])
+        release_memory()
 
     return run
 
@@ -224,6 +225,7 @@ def _document_counts(p: Sanitising, held):
             n = np.fromiter(seen.values(), np.int64, len(seen))
             ok = _held(bits, t, p.log2_bits)
             yield pa.RecordBatch.from_arrays([pa.array(t[ok]), pa.array(n[ok])], ["t", "n"])
+        release_memory()
 
     return run
 
@@ -238,6 +240,7 @@ def _pair_counts(p: Sanitising, held):
                 met = _together(text, held.value, p.log2_bits)[0] if text else {}
                 seen.update((e, w) for w, es in met.items() for e in es)
             yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in seen], pa.int64()), pa.array([term(w) for _, w in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["e", "t", "n"])
+        release_memory()
 
     return run
 
@@ -260,6 +263,7 @@ def _spots(p: Sanitising, held):
                     who.append(es)
                     at.append([{"s": s, "x": x} for s, x in places[w]])
             yield pa.RecordBatch.from_arrays([pa.array(rid, pa.string()), pa.array(t, pa.int64()), pa.array(who, pa.list_(pa.int64())), pa.array(at, at_type)], ["rid", "t", "who", "at"])
+        release_memory()
 
     return run
 
@@ -338,6 +342,8 @@ def redact(text: str | None, base: str, terms: list | None) -> str | None:
 def sanitise(docs: DataFrame, p: Sanitising = Sanitising()) -> DataFrame:
     """docs with their texts redacted; all other columns and rows stay as they are."""
     spans = find_spans(docs, p).where("base <> '' or terms is not null").select(F.col("rid").alias("_gl_rid"), F.col("base").alias("_gl_base"), F.col("terms").alias("_gl_terms")).dropDuplicates(["_gl_rid"])
+    spans = Scratch(docs.sparkSession, "sanitise").write(spans, "spans")
+    spans = if_small(spans, F.length("_gl_base") + 80 + 16 * F.greatest(F.size("_gl_terms"), F.lit(0)))
 
     @F.pandas_udf("string")
     def put(text: pd.Series, base: pd.Series, terms: pd.Series) -> pd.Series:
