@@ -27,11 +27,11 @@ from graphlake.llm.common import Scratch, table
 class OneBit:
     """bits of a code (a multiple of 8, at least the dimension); error: standard deviations in a bound; shard, queries: vectors and queries that meet in one task; step: codes estimated at once."""
 
-    bits: int = 512
+    bits: int = 1024
     error: float = 3.0
     seed: int = 11
     shard: int = 8192
-    queries: int = 4096
+    queries: int = 32_768
     step: int = 1024
 
 
@@ -84,10 +84,11 @@ def _best(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[n
 def scan(queries: np.ndarray, query_ids: np.ndarray, vec_ids: np.ndarray, raw: np.ndarray, codes: np.ndarray, norm: np.ndarray, signs: np.ndarray, turn: np.ndarray, mean: np.ndarray, k: int, p: OneBit) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(query row, vec_id, score) of each query's k best of a shard, and the number of vectors reranked.
 
-    The estimate is linear in the signs, so these are turned back once, to the vectors' own dimension, and estimates and
-    upper bounds of all pairs come from one product: of (query, along the mean, length) with (direction, 1, margin).
+    The estimate is linear in the signs, so these are turned back once, to the vectors' own dimension, and the upper
+    bounds of all pairs come from one product: of (query, along the mean, length) with (direction, 1, margin).  The k of
+    greatest bound are scored first; of the others only those whose bound reaches the least of these scores.
     """
-    n, bits = len(queries), turn.shape[1]
+    bits = turn.shape[1]
     along, length = queries @ mean, np.linalg.norm(queries, axis=1)
     spread = p.error * np.sqrt(np.maximum(0, 1 - signs**2)) / np.sqrt(bits - 1)
     safe = np.where(signs > 0, signs, 1)
@@ -95,36 +96,32 @@ def scan(queries: np.ndarray, query_ids: np.ndarray, vec_ids: np.ndarray, raw: n
     factor, margin = norm / safe, norm / safe * spread + 1e-5 * norm
     left = np.column_stack((queries, along, length + 1e-5 * np.abs(along))).astype(np.float32)
     back = (turn.T / np.sqrt(bits)).astype(np.float32)
-    held = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    floor = np.full(n, -np.inf)
-    reranked = 0
-    own = {int(v): i for i, v in enumerate(query_ids)}
+    right = np.empty((len(vec_ids), left.shape[1]), np.float32)
     for s in range(0, len(vec_ids), p.step):
         cut = slice(s, s + p.step)
         plus = np.unpackbits(codes[cut], axis=1, count=bits).astype(np.float32) * 2 - 1
-        toward = (plus @ back) * factor[cut, None]
-        right = np.column_stack((toward, np.ones(len(toward)), margin[cut])).astype(np.float32)
-        mine = [(own[v], j) for j, v in enumerate(vec_ids[cut].tolist()) if v in own]
-        if not s and len(right) > k + len(mine):  # the k-th best lower bound of the first block is a floor, too
-            low = left * np.r_[np.ones(left.shape[1] - 1), -1].astype(np.float32) @ right.T
-            for i, j in mine:
-                low[i, j] = -np.inf
-            floor = np.partition(low, -k, axis=1)[:, -k].astype(np.float64)
-        upper = left @ right.T
-        for i, j in mine:
-            upper[i, j] = -np.inf
-        qs, vs = np.nonzero(upper >= np.maximum(floor, np.finfo(np.float32).min)[:, None].astype(np.float32) - np.float32(1e-6))
+        right[cut] = np.column_stack(((plus @ back) * factor[cut, None], np.ones(len(plus)), margin[cut]))
+    order = np.argsort(vec_ids, kind="stable")
+    lo, hi = np.searchsorted(vec_ids[order], query_ids, "left"), np.searchsorted(vec_ids[order], query_ids, "right")
+    out, reranked, step = [], 0, max(1, (p.step << 11) // max(len(vec_ids), 1))
+    score = lambda q, v: (queries[q] * raw[v].astype(np.float64)).sum(1)
+    for s in range(0, len(queries), step):
+        upper = left[s : s + step] @ right.T
+        for i in range(len(upper)):
+            upper[i, order[lo[s + i] : hi[s + i]]] = -np.inf
+        if k < upper.shape[1]:
+            some = np.argpartition(upper, -k, axis=1)[:, -k:]
+            known = score(np.repeat(np.arange(s, s + len(upper)), k), some.ravel()).reshape(-1, k)
+            known[np.take_along_axis(upper, some, 1) == -np.inf] = -np.inf
+            floor = known.min(1)
+            floor = floor - 1e-6 * (1 + np.abs(floor))
+        else:
+            floor = np.full(len(upper), -np.inf)
+        qs, vs = np.nonzero(upper >= np.maximum(floor, np.finfo(np.float32).min).astype(np.float32)[:, None])
         reranked += qs.size
-        scores = np.empty(qs.size)
-        for at in range(0, qs.size, 50_000):
-            part = slice(at, at + 50_000)
-            scores[part] = (queries[qs[part]] * raw[cut][vs[part]].astype(np.float64)).sum(1)
-        held = _best(np.r_[held[0], qs], np.r_[held[1], vec_ids[cut][vs]], np.r_[held[2], scores], k)
-        count = np.bincount(held[0], minlength=n)
-        last = np.flatnonzero(np.r_[held[0][1:] != held[0][:-1], True]) if held[0].size else np.empty(0, np.int64)
-        full = last[count[held[0][last]] >= k]
-        floor[held[0][full]] = np.maximum(floor[held[0][full]], held[2][full])
-    return *held, reranked
+        q, ids, scores = _best(qs, vec_ids[vs], np.concatenate([score(qs[i : i + 50_000] + s, vs[i : i + 50_000]) for i in range(0, qs.size, 50_000)] or [np.empty(0)]), k)
+        out.append((q + s, ids, scores))
+    return *(np.concatenate(c) for c in zip(*out, strict=True)), reranked
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, p: OneBit = OneBit()) -> DataFrame:
@@ -170,7 +167,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, p: OneBit = OneB
         v = v.combine_chunks()
         blob = lambda c, t, w: np.frombuffer(b"".join(v.column(c).to_pylist()), t).reshape(-1, w)
         ids = q.column("query_id").to_numpy()
-        at, vec, score, _ = scan(np.array(q.column("vector").to_pylist()), ids, v.column("vec_id").to_numpy(), blob("raw", stored, dim), blob("code", np.uint8, -(-turn.shape[1] // 8)), v.column("norm").to_numpy(), v.column("signs").to_numpy(), turn, mean, k, p)
+        at, vec, score, _ = scan(_rows(q.column("vector").combine_chunks()), ids, v.column("vec_id").to_numpy(), blob("raw", stored, dim), blob("code", np.uint8, -(-turn.shape[1] // 8)), v.column("norm").to_numpy(), v.column("signs").to_numpy(), turn, mean, k, p)
         return pa.table({"query_id": ids[at], "vec_id": vec, "score": score})
 
     met = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
