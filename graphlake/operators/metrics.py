@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphlake.functions.hashing import spread
 from graphlake.operators.layout import histogram
 
 
@@ -67,6 +68,17 @@ def mass_distance(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
     return x.join(y, "r").groupBy(by).agg(F.avg(F.abs(F.col("mass") - F.col("other"))).alias("distance"))
 
 
+def simulated_batches(masses: DataFrame, n: int, size: int) -> DataFrame:
+    """(batch, label) of n labels drawn from masses(class, mass) by a hash of their number, ``size`` to a batch: what batches look like that are drawn, not dealt."""
+    ends = F.sum("mass").over(Window.orderBy("class"))  # one row a class
+    steps = [(r["class"], r["hi"]) for r in masses.select("class", ends.alias("hi")).orderBy("class").collect()]
+    u = spread(F.col("id")) / F.lit(4294967296.0)
+    label = F.lit(steps[-1][0])
+    for c, hi in reversed(steps[:-1]):
+        label = F.when(u < hi, F.lit(c)).otherwise(label)
+    return masses.sparkSession.range(n).select(F.floor(F.col("id") / size).alias("batch"), label.alias("label"))
+
+
 def divergence(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
     """(by, kl): sum of b * (ln b - ln a) over the classes, by their number; masses must be positive."""
     j = a.join(b.select("class", F.col("mass").alias("t")), "class")

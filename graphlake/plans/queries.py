@@ -426,6 +426,14 @@ def distance_summary(c):
     return metrics.mass_distance(b, t, "batch").agg(F.round(F.avg("distance"), 9).alias("mean"), F.round(F.stddev_samp("distance"), 9).alias("std"))
 
 
+@query
+def simulated_distance(c):
+    """Mean and deviation of the label distances of drawn batches, as many labels as there are training nodes times 10."""
+    t = metrics.label_masses(c.nodes.where("split = 'train'"), "label", 5)
+    drawn = metrics.simulated_batches(t, c.train.count() * 10, 100)
+    return metrics.mass_distance(metrics.label_masses(drawn, "label", 5, "batch"), t, "batch").agg(F.round(F.avg("distance"), 9).alias("mean"), F.round(F.stddev_samp("distance"), 9).alias("std"))
+
+
 @query
 def distinct_ends(c):
     return c.edges.agg(F.count_distinct("src").cast("bigint").alias("src"), F.count_distinct("dst").cast("bigint").alias("dst"), F.count(F.lit(1)).cast("bigint").alias("nnz"))
@@ -999,17 +1007,17 @@ def _fennel(c, **kw):
     return parting.streaming_partition(c.nodes, c.edges, parting.Fennel(k=K, **kw))
 
 
-@query
+@heavy
 def fennel_stream(c):
     return _fennel(c, scan=0.0)
 
 
-@query
+@heavy
 def fennel_pruned(c):
     return _fennel(c)
 
 
-@query
+@heavy
 def fennel_restream(c):
     return _fennel(c, runs=3)
 

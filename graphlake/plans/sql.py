@@ -253,6 +253,14 @@ r AS (
     "label_emd_per_batch": _q("SELECT batch, round(d, 9) AS distance FROM emd", _LABELS),
     "label_kl_per_batch": _q("SELECT b.batch, round(sum((t.mass + 1e-9::DOUBLE) * (ln(t.mass + 1e-9::DOUBLE) - ln(b.mass + 1e-9::DOUBLE))) / 5, 9) AS kl FROM bl b JOIN tl t ON t.class = b.class GROUP BY b.batch", _LABELS),
     "distance_summary": _q("SELECT round(avg(d), 9) AS mean, round(stddev_samp(d), 9) AS std FROM emd", _LABELS),
+    "simulated_distance": _q(
+        "SELECT round(avg(d), 9) AS mean, round(stddev_samp(d), 9) AS std FROM sd",
+        _LABELS,
+        """ hi AS MATERIALIZED (SELECT class, sum(mass) OVER (ORDER BY class) AS hi FROM tl),
+dr AS MATERIALIZED (SELECT i // 100 AS batch, coalesce((SELECT min(class) FROM hi WHERE (((i % 2147483648) * 2654435761) % 4294967296) / 4294967296.0::DOUBLE < hi.hi AND class < 4), 4) AS label FROM (SELECT range AS i FROM range((SELECT CAST(count(*) * 10 AS BIGINT) FROM train)))),
+db AS (SELECT b.batch, c.class, count(dr.label) / sum(count(dr.label)) OVER (PARTITION BY b.batch) AS mass FROM (SELECT DISTINCT batch FROM dr) b CROSS JOIN cls c LEFT JOIN dr ON dr.batch = b.batch AND dr.label = c.class GROUP BY b.batch, c.class),
+sd AS (SELECT a.batch, avg(abs(a.mass - b.mass)) AS d FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY mass) AS k FROM db) a JOIN (SELECT *, row_number() OVER (ORDER BY mass) AS k FROM tl) b ON a.k = b.k GROUP BY a.batch)""",
+    ),
     "distinct_ends": _q("SELECT count(DISTINCT src) AS src, count(DISTINCT dst) AS dst, count(*) AS nnz FROM edges"),
     "lazy_rw_k1": _q("SELECT id, round(s, 9) AS s FROM w1"),
     "lazy_rw_k3": _q("SELECT id, round(s, 9) AS s FROM w3"),
