@@ -329,10 +329,11 @@ def ranges_merge_degree(c):
     return m.select("dst", F.size("nbrs").cast("bigint").alias("n"), F.array_join(F.transform("nbrs", lambda x: x.cast("string")), ",").alias("nbrs"))
 
 
-@heavy
+@query
 def row_col_slice(c):
-    """Edges from training nodes into pivots, turned round."""
-    e = c.edges.join(c.train.select(F.col("id").alias("src")), "src", "left_semi").join(c.pivot_ids.select(F.col("id").alias("dst")), "dst", "left_semi")
+    """Edges from training nodes into nodes of the second kind, turned round."""
+    into = c.nodes.where("kind = 1").select(F.col("id").alias("dst"))
+    e = c.edges.join(c.train.select(F.col("id").alias("src")), "src", "left_semi").join(into, "dst", "left_semi")
     return e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 

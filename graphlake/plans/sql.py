@@ -408,7 +408,7 @@ b2 AS (SELECT bk.dst AS id, sum(b1.s / bd.deg) AS s FROM bk JOIN b1 ON b1.id = b
   UNION ALL SELECT src, dst FROM fr WHERE src % 2 = 0 AND pos < n // 16) GROUP BY dst""",
         " fr AS MATERIALIZED (SELECT src, dst, (row_number() OVER (ORDER BY dst, src) - 1) // 2 AS pos, count(*) OVER () AS n FROM edges)",
     ),
-    "row_col_slice": _q("SELECT dst AS src, src AS dst FROM edges SEMI JOIN pop ON pop.id = dst SEMI JOIN train ON train.id = src", " pop AS MATERIALIZED (SELECT id FROM pvt)"),
+    "row_col_slice": _q("SELECT dst AS src, src AS dst FROM edges SEMI JOIN train ON train.id = src SEMI JOIN nodes ON nodes.id = dst AND kind = 1"),
     "split_first": _q("SELECT id FROM train ORDER BY id LIMIT 100"),
     "split_test_is_valid": _q("SELECT id FROM nodes WHERE split = 'valid'"),
     "largest_parts": _q("SELECT part, n AS size FROM psize ORDER BY n DESC, part LIMIT 6"),
