@@ -1,7 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents meet benchmark items over shared seeds of a few tokens.  A pair whose seeds could cover
-enough of the item is tiled: the longest match between unmarked tokens is marked again and again,
+Documents meet benchmark items over shared seeds of a few tokens, those of an item that most documents hold
+left out as far as the others must then tell: a passage that covers enough of the item holds more seeds than were left out.
+A pair whose seeds could cover enough of the item is tiled: the longest match between unmarked tokens is marked again and again,
 found by a running Karp-Rabin hash, until no match of the least length is left.  Tiles may come in any
 order, so a passage whose sentences were moved is still found.
 """
@@ -17,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphlake.llm.common import Scratch, if_small, release_memory, table
 
@@ -173,10 +175,19 @@ def _hits(p: Tiling, held):
     return run
 
 
+def coverable(item: np.ndarray, doc: np.ndarray, least: int) -> int:
+    """Tokens of the item that lie in a seed which the document holds: no tiles cover more."""
+    at = np.flatnonzero(np.isin(window_hashes(item, least), window_hashes(doc, least)))
+    return int(np.minimum(np.diff(at), least).sum()) + least if at.size else 0
+
+
 def _tile(p: Tiling):
+    def tiles(item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int]]:
+        return tile(item, doc, p.least, p.first) if coverable(item, doc, p.least) >= p.coverage * item.size else []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [tile(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), p.least, p.first) for x, y in zip(b.column("item"), b.column("doc"), strict=True)]
+            got = [tiles(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column("item"), b.column("doc"), strict=True)]
             matched = [sum(k for *_, k in g) for g in got]
             yield pa.RecordBatch.from_arrays(
                 [b.column("rid"), b.column("item_id"), b.column("n"), pa.array(matched, pa.int64()), pa.array([len(g) for g in got], pa.int64()), pa.array([max((k for *_, k in g), default=0) for g in got], pa.int64())],
@@ -202,10 +213,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Tiling = Tiling()) -> Data
     rows = docs.where("doc_id is not null and text is not null").select(F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("body")).alias("rid"), F.col("text").cast("string").alias("text"))
     hit = rows.mapInArrow(_hits(p, held), f"rid {RID}, hits array<bigint>, tokens binary").dropDuplicates(["rid"])
     hit = scratch.write(hit, "hit")
-    # Where the seeds of a pair lie in the item bounds what tiles can cover.
-    met = hit.select("rid", F.explode("hits").alias("h")).join(seeds, "h").groupBy("rid", "iid").agg(F.array_sort(F.collect_set("pos")).alias("at"), F.first("n").alias("n"))
-    covered = F.expr(f"aggregate(at, named_struct('c', 0L, 'e', -1L), (x, q) -> named_struct('c', x.c + least({p.least}L, q + {p.least} - greatest(x.e, cast(q as bigint))), 'e', q + {p.least}L), x -> x.c)")
-    pairs = met.where(covered >= F.lit(p.coverage) * F.col("n")).select("rid", "iid")
+    # A tile of k tokens holds a seed for each ``least`` of them, so a pair that covers enough shares as many of the item's seeds,
+    # and one of them at least among the rarest.
+    held_by = hit.select(F.explode("hits").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("f"))
+    shared = F.ceil(F.ceil(F.col("n") * F.lit(p.coverage) - 1e-9) / p.least)
+    common = Window.partitionBy("iid").orderBy(F.desc("f"), "pos")  # the seeds of one item
+    telling = seeds.join(held_by, "h", "left").fillna(0, ["f"]).withColumn("k", F.row_number().over(common)).where((F.col("k") >= shared) & (F.col("f") > 0))
+    pairs = hit.select("rid", F.explode("hits").alias("h")).join(telling.select("h", "iid").distinct(), "h").select("rid", "iid").distinct()
     both = pairs.join(hit.select("rid", F.col("tokens").alias("doc")), "rid").join(items.select("iid", "item_id", "n", F.col("tokens").alias("item")), "iid")
     tiled = both.select("rid", "item_id", "n", "doc", "item").mapInArrow(_tile(p), f"rid {RID}, item_id bigint, item_tokens bigint, matched_tokens bigint, tiles bigint, longest_tile bigint")
     return tiled.withColumn("coverage", F.col("matched_tokens") / F.col("item_tokens")).where(F.col("coverage") >= p.coverage)

@@ -176,6 +176,34 @@ def test_contamination(spark):
     assert decontaminate.contaminated(docs_of(spark, []), bench).count() == 0
 
 
+def test_contamination_with_common_seeds(spark):
+    """Passages that most documents and many items share: the pairs are those of brute force, at any coverage."""
+    r = random.Random(7)
+    common = words(r, 12, 10_000)
+    items = [words(r, r.randrange(5, 25), 10_000) for _ in range(20)]
+    items = [common + i if k % 2 else i for k, i in enumerate(items)]
+    docs = []
+    for i in range(120):
+        t = words(r, r.randrange(5, 60), 10_000)
+        for _ in range(r.randrange(3)):
+            x = r.choice(items)
+            a, b = sorted(r.sample(range(len(x) + 1), 2))
+            at = r.randrange(len(t) + 1)
+            t = t[:at] + x[a:b] + t[at:]
+        docs.append((i, " ".join(t + common if r.random() < 0.7 else t)))
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id bigint, text string")
+    for coverage in (0.3, 0.5, 0.9):
+        want = set()
+        for i, t in docs:
+            tok = decontaminate.tokens(t)
+            for k, x in enumerate(items):
+                got = sum(n for *_, n in decontaminate.tile(decontaminate.tokens(" ".join(x)), tok))
+                if got >= coverage * len(x):
+                    want.add((i, k))
+        got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs_of(spark, docs), bench, decontaminate.Tiling(coverage=coverage)).collect()}
+        assert got == want and len(want) > 3
+
+
 def test_nearest(spark):
     g = np.random.default_rng(2)
     x = g.standard_normal((400, 24)) * g.uniform(0.2, 3, (400, 1))
