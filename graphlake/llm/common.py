@@ -50,10 +50,10 @@ class Scratch:
 SMALL = 16 << 20
 
 
-def if_small(written: DataFrame, size: Column | None = None, most: int = SMALL) -> DataFrame:
-    """A written table, marked for broadcast if its rows' sizes (16 bytes each, unless given) add up to ``most`` bytes at most."""
+def if_small(written: DataFrame, size: Column | None = None) -> DataFrame:
+    """A written table, marked for broadcast if its rows' sizes (16 bytes each, unless given) add up to SMALL at most."""
     got = written.agg(F.sum(F.lit(16) if size is None else size)).first()[0] or 0
-    return F.broadcast(written) if got <= most else written
+    return F.broadcast(written) if got <= SMALL else written
 
 
 def release_memory() -> None:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from graphlake.llm import decontaminate, langid, neardup, pii
+from graphlake.llm import common, decontaminate, langid, neardup, pii
 from graphlake.llm.common import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -73,6 +73,19 @@ def test_odd_rows_pass(spark):
     assert n["language_id"] >= 30 and n["near_duplicates"] <= 32
 
 
+def test_stages_that_shuffle_give_the_same(spark, monkeypatch):
+    """What a stage drops or redacts does not depend on whether its table is small enough to be sent to all executors."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(None, "call +1 234 567 8901", None, None, None), (7777, None, "en", "s", 0), (7777, None, "en", "s", 0)], docs.schema)
+    docs = docs.union(odd).union(docs.limit(3))
+    rows = lambda df: sorted(map(repr, df.collect()))
+    for stage in (pipeline.near_duplicates, pipeline.decontamination, pipeline.personal_data):
+        small = rows(stage(spark, docs, SF))
+        monkeypatch.setattr(common, "SMALL", -1)
+        assert rows(stage(spark, docs, SF)) == small
+        monkeypatch.undo()
+
+
 def test_repeated_ids_with_several_texts(spark):
     """Stages decide by row, so no text vanishes with another one of its id."""
     one, two, three = (" ".join(f"{w}{i}" for i in range(20)) for w in "abc")
