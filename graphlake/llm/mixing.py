@@ -134,7 +134,9 @@ def mix(docs: DataFrame, m: Mixture = Mixture(), tokens: Column | None = None, t
     if not texts:
         return placed.select(*out)
     placed = scratch.write(placed.select(*out, "body"), "placed")
-    held = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_body"), "text").groupBy("_id", "_body").agg(F.first("text").alias("text"))
+    held = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_body"), "text")
+    if base.groupBy("doc_id", "body").agg(F.sum("m").alias("m")).where("m > 1").limit(1).count():  # of equal rows one text is enough
+        held = held.groupBy("_id", "_body").agg(F.first("text").alias("text"))
     return placed.join(held, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_body"))).select(*out, "text")
 
 
