@@ -280,17 +280,23 @@ def judged(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     )
     scratch.drop("sets")
     scratch.drop("classes")
-    reps = scratch.write(members.where("sig is not null").select(F.col("rep").alias("node"), "sig").dropDuplicates(["node"]), "reps")
+    reps = members.where("sig is not null").select(F.col("rep").alias("node"), "sig")
+    # Rows with one doc_id and one text are one node.
+    repeated = reps.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1").limit(1).count()
+    one_each = lambda df: df.dropDuplicates(["node"]) if repeated else df
+    reps = scratch.write(one_each(reps), "reps")
     # A bucket: 4 values of 2 bytes at the band's place of the signature.
     width = 2 * p.rows
     banded = reps.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)), lambda i: F.substring(F.col("sig"), i * width + 1, F.lit(width)))).alias("band", "key"))
     banded = scratch.write(banded.select("node", "band", F.xxhash64("band", "key").alias("bk")), "banded")
     buckets = banded.groupBy("bk").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("leader")).where("m > 1")
+    buckets = scratch.write(buckets, "buckets")  # here and below, so that a hot bucket is split by the join
     rows = scratch.write(banded.join(buckets, "bk").select("bk", "band", "node", "leader", "m"), "rows")
     scratch.drop("banded")
+    scratch.drop("buckets")
     # The full sets of all that sit in some bucket, once.
     wanted = rows.select("node").distinct()
-    full = docs.select(own.alias("node"), "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    full = one_each(docs.select(own.alias("node"), "text").join(wanted, "node", "left_semi"))
     full = scratch.write(full.mapInArrow(_full(p), f"node {NODE}, n_shingles bigint, set binary"), "full")
     sig = reps
     pair = f"a {NODE}, b {NODE}"
@@ -311,14 +317,14 @@ def judged(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     named = rows.where("m > 2").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
     named = scratch.write(named, "named")
     scratch.drop("rows")
-    apart = named.groupBy("bk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bk")
-    apart = named.join(apart, "bk", "left_semi").join(full.join(sig, "node").select("node", "sig", "set", "n_shingles"), "node")
+    several = named.groupBy("bk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bk")
+    apart = named.join(scratch.write(several, "several"), "bk", "left_semi").join(full.join(sig, "node").select("node", "sig", "set", "n_shingles"), "node")
     # A bucket over the block size, in members or in bytes, is cut into parts by a hash; every two parts meet in one task.
     apart = scratch.write(apart, "apart")
     for table_name in ("named", "full", "reps"):
         scratch.drop(table_name)
     weigh = apart.groupBy("bk").agg(F.greatest(F.ceil(F.count(F.lit(1)) / p.block), F.ceil(F.sum("n_shingles") / (p.bytes / 8))).cast("int").alias("parts"))
-    apart = apart.join(weigh, "bk").withColumn("mine", F.pmod(F.xxhash64("node", "bk"), F.col("parts")).cast("int"))
+    apart = apart.join(scratch.write(weigh, "weigh"), "bk").withColumn("mine", F.pmod(F.xxhash64("node", "bk"), F.col("parts")).cast("int"))
     met = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = met.select(
         "bk", "band", "node.id", "node.body", F.col("comp.id").alias("comp_id"), F.col("comp.body").alias("comp_body"), (F.col("node") == F.col("leader")).alias("lead"), "sig", "set",
