@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from graphlake.llm.ann import op1_one_bit
 from graphlake.llm.chat import OP7_SQL, op7_typed_parts
 from graphlake.llm.decontaminate import op10_tiling
+from graphlake.llm.kmeans import OP11_SQL, op11_yinyang
 from graphlake.llm.langid import op9_language_filters
+from graphlake.llm.lines import OP12_SQL, op12_line_bitmaps
 from graphlake.llm.mixing import op8_temperature
+from graphlake.llm.negatives import OP13_SQL, op13_vantage_tree
 from graphlake.llm.neardup import OP3_SQL, op3_minhash
 from graphlake.llm.pii import op5_disclosure
 from graphlake.llm.quality import op2_resampling
@@ -28,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_temperature": op8_temperature,
     "op9_language_filters": op9_language_filters,
     "op10_tiling": op10_tiling,
+    "op11_yinyang": op11_yinyang,
+    "op12_line_bitmaps": op12_line_bitmaps,
+    "op13_vantage_tree": op13_vantage_tree,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -35,4 +41,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_range_sweep": OP4_SQL,
     "op6_zip_archives": OP6_SQL,
     "op7_typed_parts": OP7_SQL,
+    "op11_yinyang": OP11_SQL,
+    "op12_line_bitmaps": OP12_SQL,
+    "op13_vantage_tree": OP13_SQL,
 }
