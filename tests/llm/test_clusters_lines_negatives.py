@@ -204,7 +204,7 @@ def test_tree_opens_few_leaves():
     for i in range(50):
         s = np.where(labels == labels[i], -np.inf, x @ q[i])
         assert scores[at == i].tolist() == sorted(s)[::-1][:3]
-    assert opened < 50 * 128 / 4
+    assert opened < 50 * 128 / 3
 
 
 def test_no_vectors_no_negatives(spark):
