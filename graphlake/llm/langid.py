@@ -108,7 +108,7 @@ def training_rows(docs: DataFrame, train_rows: int) -> DataFrame:
 
     The fold is crc32(doc_id as text) mod 4 = 2.  The rows are shared out evenly over the languages: of one
     with fewer than its part all are taken, and what it leaves goes to the others.  The sample takes the rows whose
-    id hashes below their language's share of the hash range, so it is the same on every run.
+    id and text hash below their language's share of the hash range, so it is the same on every run.
     """
     labelled = docs.where("lang is not null and text is not null and pmod(crc32(cast(cast(doc_id as string) as binary)), 4) <> 2")
     sizes = sorted((r["count"], r["lang"]) for r in labelled.groupBy("lang").count().collect())
@@ -119,7 +119,7 @@ def training_rows(docs: DataFrame, train_rows: int) -> DataFrame:
             bounds.append((lang, int(take / n * (1 << 40)) + 1))
             left -= take
         bound = F.element_at(F.create_map(*(F.lit(x) for pair in bounds for x in pair)), F.col("lang"))  # an entry for each language
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < bound)
+        labelled = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < bound)
     return labelled.select("text", "lang")
 
 
@@ -127,14 +127,19 @@ def fit(docs: DataFrame, *, train_rows: int = 20_000, log2_bits: int = 20, hashe
     """Learns from a documented bound of ``train_rows`` labelled rows of docs(doc_id, text, lang).
 
     A language contains an n-gram if it uses it at least ``least`` times and at least ``share`` times as
-    often, per n-gram of its text, as the language that uses it most.  The filter is built in tasks; its
+    often, per n-gram of its text, as the language that uses it most.  Where n-grams used so often make up less than half
+    of a language's text, as with few or short rows, all of its n-grams count, so every labelled language with a letter in its rows can be predicted.  The filter is built in tasks; its
     words reach the driver, which are fixed in number.
     No labelled row gives a model without languages, which answers ``und``.
     """
     scratch = Scratch(docs.sparkSession, "langid")
     counts = training_rows(docs, train_rows).mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = scratch.write(counts.where(f"n >= {least}"), "counts")
-    totals = sorted((r.lang, r.total) for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).collect())
+    counts = scratch.write(counts, "counts")
+    often = F.sum(F.when(F.col("n") >= least, F.col("n")).otherwise(0)).alias("often")
+    sums = counts.groupBy("lang").agg(F.sum("n").alias("total"), often).collect()  # a row for each language
+    few = [r.lang for r in sums if 2 * r.often < r.total]
+    counts = counts.where((F.col("n") >= least) | F.col("lang").isin(few))
+    totals = sorted((r.lang, r.total if r.lang in few else r.often) for r in sums)
     langs = tuple(lang for lang, _ in totals)
     width = max(1, -(-len(langs) // 64))
     words = np.zeros((1 << log2_bits, width), np.uint64)
