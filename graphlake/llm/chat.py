@@ -20,6 +20,8 @@ PART = "struct<kind: string, text: string, ref: string, size: bigint>"
 #: Endings of files by kind, and a link to one; all others are documents.
 IMAGES, AUDIO, DOCUMENTS = ("png", "jpg", "jpeg", "gif", "webp"), ("mp3", "wav", "ogg", "flac"), ("pdf", "docx", "epub")
 LINK = rf"https?://[^\x00-\x20<>|]+?\.(?:{'|'.join(IMAGES + AUDIO + DOCUMENTS)})(?!\.?[A-Za-z0-9/?=&%#_-])"
+#: A link, or a run that begins like one and holds no ending: none of its later beginnings can be a link, so it is passed over whole, in one step.
+LINK_OR_RUN = rf"({LINK})|(https?://[^\x00-\x20<>|]*+)"
 
 
 @dataclass(frozen=True)
@@ -50,12 +52,13 @@ def parts_of(text: Column) -> Column:
     """array of PART: a text cut at the links to files that it holds; joined in order, texts and refs give the text again.  Null: one empty text."""
     text = F.coalesce(text, F.lit(""))
     none = F.lit(None)
-    links = F.regexp_extract_all(text, F.lit(LINK), F.lit(0))
+    # In an escaped text every < stands before a point, so <[ and <] mark the links' ends; runs without a link are left with empty marks.
+    marked = F.regexp_replace(escape(text), LINK_OR_RUN, "<[$1<]$2")
     ending = lambda ref: F.lower(F.regexp_extract(ref, r"([A-Za-z0-9]+)$", 1))
     kind = lambda ref: F.when(ending(ref).isin(*IMAGES), "image").when(ending(ref).isin(*AUDIO), "audio").otherwise("document")
     part = lambda kind, text, ref: F.struct(kind.alias("kind"), text.cast("string").alias("text"), ref.cast("string").alias("ref"), none.cast("bigint").alias("size"))
-    pair = lambda t, ref: F.when(ref.isNull(), F.array(part(F.lit("text"), t, none))).otherwise(F.array(part(F.lit("text"), t, none), part(kind(ref), none, ref)))
-    return F.flatten(F.zip_with(F.split(text, LINK), links, pair))
+    pieces = F.split(F.replace(marked, F.lit("<[<]"), F.lit("")), r"<[\[\]]")  # text, link, text, ...
+    return F.transform(pieces, lambda x, i: F.when(i % 2 == 0, part(F.lit("text"), unescape(x), none)).otherwise(part(kind(x), none, x)))
 
 
 def format_chats(turns: DataFrame, e: Expansion = Expansion()) -> DataFrame:
