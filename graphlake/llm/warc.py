@@ -24,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlake.llm.common import Scratch, table
+from graphlake.llm.common import Scratch, if_small, table
 
 INDEX, ARCHIVE = "indexes/index.cdxj", "archive/data.warc.gz"
 #: Fixed values of the ZIP format: signatures of the end record, ZIP64 locator and end record, directory entry, local header.
@@ -123,10 +123,16 @@ def content(f, m: Member) -> bytes:
 def _index_line(line: bytes, fields: list[str] | None) -> tuple[str, int, int | None]:
     """(file name, offset, length or None) of a line with JSON, or of a classic one whose header names its fields: g, V and S."""
     if fields is None:
-        if b"{" not in line:
-            raise ValueError(f"an index line without JSON and without a header before it: {line[:80]!r}")
-        x = json.loads(line[line.index(b"{") :])
-        return x["filename"], int(x["offset"]), int(x["length"])
+        # The JSON is the whole line, or follows a key, or a key and a timestamp; keys hold no blanks, but may hold braces.
+        for n in range(3):
+            rest = line.strip().split(None, n)[n:]
+            if rest and rest[0].startswith(b"{"):
+                try:
+                    x = json.loads(rest[0])
+                except ValueError:  # a key that begins like JSON
+                    continue
+                return x["filename"], int(x["offset"]), int(x["length"])
+        raise ValueError(f"an index line without JSON and without a header before it: {line[:80]!r}")
     values = dict(zip(fields, line.decode().split(), strict=False))
     if len(values) < len(fields) or not {"g", "V"} <= values.keys():
         raise ValueError(f"an index line that does not have the fields of its header: {line[:80]!r}")
@@ -264,7 +270,8 @@ def write_archives(pages: DataFrame, folder: str, p: Packing = Packing()) -> Dat
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")), 256))
     same = rows.where(F.octet_length("html") >= p.least).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
-    same = same.where("first < last").select("digest", "first")
+    # Written, so that the join has plain exchanges on both sides and a hot digest can be split.
+    same = if_small(Scratch(pages.sparkSession, "same").write(same.where("first < last").select("digest", "first"), "same"), F.lit(80))
     out = rows.join(same, "digest", "left").withColumn("refers_to", F.when(F.col("page_id") > F.col("first"), F.col("first")))
     return out.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(_write(folder, p), "path string, records bigint")
 
