@@ -210,9 +210,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Tiling = Tiling()) -> Data
     items = scratch.write(items.where(f"n >= {p.least}"), "items")
     seeds = scratch.write(items.select("iid", "n", F.posexplode("seeds").alias("pos", "h")), "seeds")
     held = spark.sparkContext.broadcast(seed_filter(seeds.select("h"), p.log2_bits))
-    rows = docs.where("doc_id is not null and text is not null").select(F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("body")).alias("rid"), F.col("text").cast("string").alias("text"))
+    rows = docs.where("text is not null").select(F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("body")).alias("rid"), F.col("text").cast("string").alias("text"))
     hit = rows.mapInArrow(_hits(p, held), f"rid {RID}, hits array<bigint>, tokens binary").dropDuplicates(["rid"])
     hit = scratch.write(hit, "hit")
+    held.destroy()
     # A tile of k tokens holds a seed for each ``least`` of them, so a pair that covers enough shares as many of the item's seeds,
     # and one of them at least among the rarest.
     held_by = hit.select(F.explode("hits").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("f"))
@@ -228,8 +229,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Tiling = Tiling()) -> Data
 def contaminated(docs: DataFrame, benchmark: DataFrame, p: Tiling = Tiling()) -> DataFrame:
     """One row per contaminated pair: doc_id, item_id, item_tokens, matched_tokens, tiles, longest_tile, coverage.
 
-    Null or empty texts and items of fewer than ``least`` tokens match nothing; a null doc_id or item_id
-    takes no part.  Repeated rows count once; where an id repeats with several texts its best pair
+    Null or empty texts and items of fewer than ``least`` tokens match nothing; a null item_id takes no part.
+    Texts with a null doc_id are judged like others, as texts of one id.  Repeated rows count once; where an id repeats with several texts its best pair
     counts.  An empty table on either side gives no rows.  Other columns are not read.
     """
     best = F.max(F.struct("coverage", "longest_tile", "matched_tokens", "item_tokens", F.negative("tiles").alias("less"))).alias("b")
@@ -238,11 +239,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Tiling = Tiling()) ->
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, p: Tiling = Tiling()) -> DataFrame:
-    """docs without the rows whose own text is contaminated; rows with a null doc_id stay, and so do other texts of the same id."""
-    gone = matches(docs, benchmark, p).select(F.col("rid.doc_id").alias("_gl_id"), F.col("rid.body").alias("_gl_body")).distinct()
+    """docs without the rows whose own text is contaminated; other texts of the same id, null or not, stay."""
+    gone = matches(docs, benchmark, p).select(F.col("rid.doc_id").alias("_gl_i"), F.col("rid.body").alias("_gl_b")).distinct()
     gone = if_small(Scratch(docs.sparkSession, "contaminated").write(gone, "gone"))
     keyed = docs.withColumn("_gl_id", F.col("doc_id").cast("bigint")).withColumn("_gl_body", F.xxhash64(F.col("text").cast("string")))
-    return keyed.join(gone, ["_gl_id", "_gl_body"], "left_anti").select(*docs.columns)
+    return keyed.join(gone, F.col("_gl_id").eqNullSafe(F.col("_gl_i")) & (F.col("_gl_body") == F.col("_gl_b")), "left_anti").select(*docs.columns)
 
 
 def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
