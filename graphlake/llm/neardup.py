@@ -261,15 +261,19 @@ def body_of(text: F.Column) -> F.Column:
     return F.xxhash64(text.cast("string"))
 
 
+#: Stands for a null doc_id inside: it comes after all others, so a group with ids is named by one of these.
+NO_ID = (1 << 63) - 1
+
+
 def judged(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """near_duplicates with ``body``, a hash of the row's text, and ``chosen``: whether the row is its component's least by doc_id and body (or in none)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), body_of(F.col("text")).alias("body"))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), body_of(F.col("text")).alias("body"))
     own = F.struct(F.col("doc_id").alias("id"), "body")
     sets = scratch.write(docs.mapInArrow(_sets(p), SETS), "sets")
     # Equal sets are counted before the shuffle: a class of any size is one row from each task.
-    full_rows = "n_shingles > 0 and doc_id is not null"
+    full_rows = "n_shingles > 0"
     classes = sets.where(full_rows).groupBy("d1", "d2").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("m"))
     # Written, so that the join below has plain exchanges on both sides and a hot class can be split.
     classes = scratch.write(classes.where("m > 1").select("d1", "d2", "first"), "classes")
@@ -335,9 +339,11 @@ def judged(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     labels = connected_components(spark, links.union(found), scratch, "last")
     out = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     component = F.coalesce("label.id", "doc_id")
+    chosen = F.coalesce(own == F.col("label"), F.lit(True))
+    id_ = lambda c: F.nullif(c, F.lit(NO_ID))
     return out.select(
-        "doc_id", "body", "n_shingles", F.coalesce("rep.id", "doc_id").alias("class_id"), component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.coalesce(own == F.col("label"), F.lit(True)).alias("chosen"),
+        id_(F.col("doc_id")).alias("doc_id"), "body", "n_shingles", id_(F.coalesce("rep.id", "doc_id")).alias("class_id"), id_(component).alias("component_id"),
+        F.when(component == NO_ID, chosen).otherwise(F.col("doc_id") == component).alias("kept"), chosen.alias("chosen"),
     )
 
 
@@ -345,8 +351,8 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, class_id, component_id, kept.
 
     class_id is the smallest doc_id with the same shingle set, component_id the smallest reachable over links.
-    Null or empty text: no shingles, linked with nothing.  Null doc_id: it takes no part, its component is
-    null and it is kept.  Repeated rows: each is judged by its own text, so equal ones share a class and
+    Null or empty text: no shingles, linked with nothing.  A row with a null doc_id is linked by its text like others and names no
+    group that holds an id; in a group without any, component_id is null and one of its texts is kept.  Repeated rows: each is judged by its own text, so equal ones share a class and
     each carries the smallest id; where an id repeats with several texts, each of them is linked with the copies of its
     own, and the id links none.  Other columns are not read.
     """
@@ -356,8 +362,8 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
 def deduplicate(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """docs with one row of each group of near duplicates: that of the smallest doc_id, and of several of its texts that of the least hash.
 
-    Of rows with one doc_id and one text one stays, also of those with a null doc_id or a null, empty or blank text, which are else
-    all kept.  Where an id repeats with several texts, no text goes but those whose copy stays.  All columns stay.
+    Of rows with one doc_id and one text one stays, also of those with a null, empty or blank text, which are else
+    all kept.  A null doc_id is an id that comes after all others.  Where an id repeats with several texts, no text goes but those whose copy stays.  All columns stay.
     """
     scratch = Scratch(docs.sparkSession, "deduplicate")
     key = [F.col("doc_id").alias("_gl_i"), F.col("body").alias("_gl_b")]
