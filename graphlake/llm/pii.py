@@ -16,7 +16,7 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -41,13 +41,14 @@ LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 
 @dataclass(frozen=True)
 class Sanitising:
-    """window: words on either side of an entity that count as near; chance: the greatest probability of as many documents with the pair if the two were independent; generalise, remove: disclosed shares from which a term is replaced or deleted; log2_bits: size of the term filter."""
+    """window: words on either side of an entity that count as near; chance: the greatest probability of as many documents with the pair if the two were independent; generalise, remove: disclosed shares from which a term is replaced or deleted; log2_bits, most_bits: least and greatest size of the filters, which have 16 bits or more for each pair between these."""
 
     window: int = 8
     chance: float = 0.01
     generalise: float = 0.8
     remove: float = 0.95
-    log2_bits: int = 24
+    log2_bits: int = 20
+    most_bits: int = 28
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -299,12 +300,17 @@ def find_spans(docs: DataFrame, p: Sanitising = Sanitising()) -> DataFrame:
     n_entity = found.select(F.explode("who").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
     pairs = scratch.write(near.join(n_entity, "e"), "pairs")
     send = spark.sparkContext.broadcast
+    p = replace(p, log2_bits=min(p.most_bits, max(p.log2_bits, (16 * pairs.count()).bit_length())))
     held = send(_filter(pairs.select("t"), p, False))
+    # Both counts are written, so that the joins have plain exchanges on both sides and a hot term can be split.
     n_term = docs.select("text").mapInArrow(_document_counts(p, held), "t bigint, n bigint").groupBy("t").agg(F.sum("n").alias("n_t"))
+    n_term = scratch.write(n_term, "n_term")
+    held.destroy()
     # An entity of one document meets all its near terms there and nowhere else.
     several = send(_filter(pairs.where("n_e > 1"), p, True))
     n_both = docs.select("text").mapInArrow(_pair_counts(p, several), "e bigint, t bigint, n bigint") if several.value.any() else spark.createDataFrame([], "e bigint, t bigint, n bigint")
-    n_both = n_both.groupBy("e", "t").agg(F.sum("n").alias("n_both"))
+    n_both = scratch.write(n_both.groupBy("e", "t").agg(F.sum("n").alias("n_both")), "n_both")
+    several.destroy()
     n = found.count()
     known = pairs.join(n_both, ["e", "t"], "left").withColumn("n_both", F.coalesce("n_both", F.lit(1))).join(n_term, "t")
     # An entity in every document has no information to disclose.
@@ -312,8 +318,10 @@ def find_spans(docs: DataFrame, p: Sanitising = Sanitising()) -> DataFrame:
     telling = known.where(F.col("n_e") < n).withColumn("share", share).where((F.col("share") >= p.generalise) & (_chance(n) <= p.chance)).select("e", "t", "share")
     telling = scratch.write(telling, "telling")
     # Repeated rows have the same terms.
-    once = docs.select("rid", "text").mapInArrow(_spots(p, send(_filter(telling, p, True))), SPOTS).dropDuplicates(["rid", "t"])
+    told_by = send(_filter(telling, p, True))
+    once = docs.select("rid", "text").mapInArrow(_spots(p, told_by), SPOTS).dropDuplicates(["rid", "t"])
     spots = scratch.write(once, "spots")
+    told_by.destroy()
     told = spots.select("rid", "t", F.explode("who").alias("e")).join(telling, ["e", "t"]).groupBy("rid", "t").agg(F.max("share").alias("share"))
     gone = F.col("share") >= p.remove
     marks = spots.join(told, ["rid", "t"]).select("rid", F.transform("at", lambda a: F.struct(a["s"].alias("s"), a["x"].alias("x"), gone.alias("gone"))).alias("at"))
