@@ -74,8 +74,11 @@ def test_near_duplicates_odd_rows(spark):
     text = "a b c d e f g h"
     rows = [(None, text), (5, text), (5, text), (3, text), (9, "other words stand here now and then"), (9, text)]
     got = sorted(((r.doc_id or -1), r.component_id, r.kept) for r in neardup.near_duplicates(docs_of(spark, rows)).collect())
-    assert got == [(-1, None, True), (3, 3, True), (5, 3, False), (5, 3, False), (9, 3, False), (9, 9, True)]
+    assert got == [(-1, 3, False), (3, 3, True), (5, 3, False), (5, 3, False), (9, 3, False), (9, 9, True)]
     assert neardup.near_duplicates(docs_of(spark, [])).count() == 0
+    alone = neardup.near_duplicates(docs_of(spark, [(None, text), (None, f"{text} i"), (None, None)])).collect()
+    assert sorted((r.n_shingles, r.component_id, r.kept) for r in alone)[0] == (0, None, True)
+    assert sorted((r.component_id is None, r.kept) for r in alone if r.n_shingles) == [(True, False), (True, True)]
 
 
 def test_near_duplicates_of_repeated_ids(spark):
@@ -91,8 +94,8 @@ def test_near_duplicates_of_repeated_ids(spark):
     for i, comps in want.items():
         assert sorted({got[i, ids[i, t]].component_id for j, t in rows if j == i}) == comps
     kept = sorted(((x.doc_id or 0), x.text) for x in neardup.deduplicate(docs_of(spark, rows)).where("text <> ''").collect())
-    assert kept == [(0, " ".join(a)), (1, " ".join(a)), (2, " ".join(b)), (4, " ".join(c))]
-    assert neardup.deduplicate(docs_of(spark, rows)).count() == 6 and neardup.deduplicate(docs_of(spark, [])).count() == 0
+    assert kept == [(1, " ".join(a)), (2, " ".join(b)), (4, " ".join(c))]
+    assert neardup.deduplicate(docs_of(spark, rows)).count() == 5 and neardup.deduplicate(docs_of(spark, [])).count() == 0
 
 
 def test_deduplicate_near_copies_under_one_id(spark):
@@ -169,7 +172,7 @@ def test_contamination(spark):
     rows = [*texts.items(), (1, texts[1])]
     bench = spark.createDataFrame([(7, " ".join(item)), (7, " ".join(item)), (8, "too short"), (9, None), (None, " ".join(item)), (10, " ".join(words(r, 30, 10_000)))], "item_id bigint, text string")
     got = {(x.doc_id, x.item_id): x for x in decontaminate.contaminated(docs_of(spark, rows), bench.withColumn("tokens", F.lit(1))).collect()}
-    assert set(got) == {(1, 7), (2, 7)}
+    assert set(got) == {(1, 7), (2, 7), (None, 7)}
     assert got[1, 7].tiles == 1 and got[1, 7].coverage == 1.0
     assert got[2, 7].tiles == 2 and got[2, 7].matched_tokens == 40
     assert decontaminate.contaminated(docs_of(spark, rows), bench.limit(0)).count() == 0

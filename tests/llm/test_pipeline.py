@@ -93,7 +93,7 @@ def test_repeated_ids_with_several_texts(spark):
     assert sorted((r.doc_id, r.text) for r in pipeline.near_duplicates(spark, docs, SF).collect()) == [(1, one), (2, two)]
     item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
     docs = spark.createDataFrame([(1, one), (1, f"{two} {item}"), (1, three), (None, item)], "doc_id bigint, text string")
-    assert sorted((r.doc_id or 0, r.text) for r in pipeline.decontamination(spark, docs, SF).collect()) == [(0, item), (1, one), (1, three)]
+    assert sorted((r.doc_id or 0, r.text) for r in pipeline.decontamination(spark, docs.union(docs.sparkSession.createDataFrame([(None, three)], docs.schema)), SF).collect()) == [(0, three), (1, one), (1, three)]
 
 
 def test_empty_table(spark):

@@ -282,6 +282,9 @@ def test_classic_indexes():
         assert got == order
     raw, size = zipped(lambda o, n: gzip.compress(full(o, n)), "indexes/x.cdx.gz")
     assert len(list(warc.index_ranges(raw, size))) == 3
+    odd = lambda o, n: b"".join(head + b'{"filename": "data.warc.gz", "offset": "%d", "length": "%d", "x": "{"}\n' % (o[i], n[i]) for i, head in enumerate((b"com,example)/a{b} 20240101000000 ", b"{key} ", b"")))
+    raw, size = zipped(odd, "indexes/index.cdxj")
+    assert len(list(warc.index_ranges(raw, size))) == 3
     for index, name in ((lambda o, n: b"a)/ 2024 http://a/ 0 data.warc.gz\n", "indexes/index.cdx"), (lambda o, n: b" CDX N b a\nx y z\n", "indexes/index.cdx"), (None, None)):
         raw, size = zipped(index, name)
         with pytest.raises(ValueError):
@@ -340,6 +343,18 @@ def test_chat_links(spark):
     assert [x.text for x in back if x.conv_id is None] == ["n"] * 4
 
 
+def test_chat_links_in_linear_time(spark):
+    """A megabyte of joined beginnings of links, without an ending and with one at its end."""
+    import time
+
+    runs = ["http://x" * 130_000, "http://x" * 130_000 + ".png", "http://x " * 100_000, "http://x.png" * 80_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(runs)], "i int, t string").withColumn("parts", chat.parts_of(F.col("t")))
+    began = time.time()
+    got = [(x.n, x.same) for x in df.orderBy("i").select(F.size("parts").alias("n"), (F.array_join(F.transform("parts", lambda p: F.coalesce(p["text"], p["ref"])), "") == F.col("t")).alias("same")).collect()]
+    assert got == [(1, True), (3, True), (1, True), (3, True)]
+    assert time.time() - began < 30
+
+
 def test_chat_query_with_links(spark, tmp_path):
     """The query against its SQL on rows with links, control strings and nulls."""
     import duckdb
@@ -453,6 +468,17 @@ def test_rare_language(spark):
     assert 1_800 < langid.training_rows(docs, 2_000).count() < 2_200
 
 
+def test_short_rows_make_a_language(spark):
+    """One short row of a language, beside hundreds of another one, is enough to be predicted."""
+    r = random.Random(8)
+    some = "the of and to in is that for it with as was on be by this are from or had not but what all were when we there can an your which".split()
+    rows = [(i, " ".join(r.choices(some, k=40)), "en") for i in range(300)] + [(next(i for i in range(400, 500) if not langid.held_out(i)), "zażółć gęślą jaźń", "pl"), (600, "123", "zz")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert model.langs == ("en", "pl")
+    assert langid.classify(model, "gęślą jaźń")[0] == "pl" and langid.classify(model, "zażółć")[1] > 0.3
+    assert langid.classify(model, "the of and to")[0] == "en"
+
+
 def test_scores_equal_exact_sets(spark):
     """Predictions against sets of n-grams, counted without filters, for all held-out texts."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
