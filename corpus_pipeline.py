@@ -1,5 +1,7 @@
 """The corpus pipeline: five stages over documents, each written as a table that the next one reads.
 
+A stage sets the session's Arrow batches to BATCH_ROWS rows, if they are larger.
+
 Every stage takes (spark, docs, sf_dir).  Nulls in any column, repeated rows and further columns pass through;
 an empty table stays empty.
 """
@@ -15,12 +17,22 @@ from graphlake.llm.common import Scratch, table
 #: Share of a text's n-grams that its language must hold; texts of clean prose hold nine tenths.
 LEAST_SCORE = 0.3
 
+#: Rows that go to a Python worker at once: texts can be long, and the executor's memory holds a few batches beside its heap.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are in no learned language: null or letterless texts, and n-grams that none holds.
 
     Where no row has a language label nothing can be learned, and only null and letterless texts go.
     """
+    _small_batches(spark)
     model = langid.fit(docs)
     if not model.langs:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
@@ -32,18 +44,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest doc_id of each group; of rows with one doc_id and one text one stays.
 
-    Rows with a null doc_id stay.  Where an id repeats with several texts, each is judged for itself.
+    A null doc_id is an id that comes after all others.  Where an id repeats with several texts, each is judged for itself.
     """
+    _small_batches(spark)
     return neardup.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold half or more of a benchmark item.  Rows with a null doc_id stay, and so do other texts of the same id."""
+    """Drops documents that hold half or more of a benchmark item.  Other texts of the same id, null or not, stay."""
+    _small_batches(spark)
     return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark", ["item_id", "text"]))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Redacts personal data and the terms that disclose it; n_chars follows the text.  All rows stay."""
+    _small_batches(spark)
     clean = pii.sanitise(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
