@@ -30,7 +30,16 @@ def cut(df: DataFrame) -> DataFrame:
     """df, written once and read back; a lost executor loses nothing of it.  The table goes when the process ends."""
     path = folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._gl_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Removes the table behind a df that cut() returned, once nothing reads it any more; what cut() did not return stays as it is."""
+    path = vars(df).pop("_gl_path", None)
+    if path:
+        delete(df.sparkSession, path)
 
 
 def folder(spark: SparkSession) -> str:

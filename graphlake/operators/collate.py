@@ -13,6 +13,7 @@ from graphlake.functions.store import cut
 from graphlake.model import PartitionedGraph, Pivots
 from graphlake.operators.layout import induced, scatter_append
 from graphlake.operators.scoring import pivot_edges
+from graphlake.operators.select import first_rows
 
 
 def bases(batches: DataFrame, parts: DataFrame) -> DataFrame:
@@ -128,8 +129,8 @@ def check_pivots(g: PartitionedGraph, p: Pivots, degrees: DataFrame) -> DataFram
 def popular_nodes(nodes: DataFrame, edges: DataFrame, share: float) -> DataFrame:
     """(id): the given share of all nodes, by in-degree, ties to the smaller id."""
     deg = edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("deg"))
-    full = nodes.select("id").join(deg, "id", "left").select("id", F.coalesce("deg", F.lit(0)).alias("deg"))
-    return full.orderBy(F.desc("deg"), "id").limit(int(nodes.count() * share)).select("id")
+    full = cut(nodes.select("id").join(deg, "id", "left").select("id", F.coalesce("deg", F.lit(0)).alias("deg")))
+    return first_rows(full, F.col("deg"), int(full.count() * share)).select("id")
 
 
 def cluster_batch(nodes: DataFrame, edges: DataFrame, assign: DataFrame, parts: list[int], share: float = 0.0) -> tuple[DataFrame, DataFrame]:

@@ -52,9 +52,10 @@ imp2 AS (
   SELECT w0.id, (w0.s * 0.5::DOUBLE + w1.s * 0.5::DOUBLE + w2.s - 0.25::DOUBLE * w0.s * coalesce(r.r, 0)) / nt.n AS s
   FROM w0 JOIN w1 ON w0.id = w1.id JOIN w2 ON w0.id = w2.id LEFT JOIN revisit r ON r.id = w0.id CROSS JOIN nt
 ),
-pvt AS (SELECT id, round(s, 12) AS s FROM w1 ORDER BY round(s, 12) DESC, id LIMIT (SELECT CAST(floor(count(*) * 0.05::DOUBLE) AS BIGINT) FROM nodes)),
-popular AS (SELECT id FROM indeg ORDER BY deg DESC, id LIMIT (SELECT CAST(floor(count(*) * 0.1::DOUBLE) AS BIGINT) FROM nodes)),
-popular5 AS (SELECT id FROM indeg ORDER BY deg DESC, id LIMIT (SELECT CAST(floor(count(*) * 0.05::DOUBLE) AS BIGINT) FROM nodes))
+pvt AS (SELECT id, round(s, 12) AS s FROM (SELECT id, s, row_number() OVER (ORDER BY round(s, 12) DESC, id) AS k, count(*) OVER () AS n FROM w1) WHERE k <= floor(n * 0.05::DOUBLE)),
+bydeg AS (SELECT id, row_number() OVER (ORDER BY deg DESC, id) AS k, count(*) OVER () AS n FROM indeg),
+popular AS (SELECT id FROM bydeg WHERE k <= floor(n * 0.1::DOUBLE)),
+popular5 AS (SELECT id FROM bydeg WHERE k <= floor(n * 0.05::DOUBLE))
 """
 
 
@@ -177,14 +178,14 @@ def _attend(shift: int, edges: str) -> list[str]:
 
 def _pushes(steps: int) -> str:
     """p<steps>(seed, id, p, r, due): so many supersteps of pushing, more than there is anything left to push."""
-    out = [" p0 AS (SELECT t.id AS seed, t.id, 0.0::DOUBLE AS p, 0.25::DOUBLE AS r, d.deg, true AS due FROM train t JOIN indeg d ON d.id = t.id)"]
+    out = [" p0 AS (SELECT t.id AS seed, t.id, CAST(0 AS BIGINT) AS p, CAST(250000000000000 AS BIGINT) AS r, d.deg, true AS due FROM train t JOIN indeg d ON d.id = t.id)"]
     for k in range(steps):
         out.append(
             f""" p{k + 1} AS MATERIALIZED (
-  SELECT g.seed, g.id, p, r, d.deg, r > 0 AND r >= 0.25::DOUBLE * 1e-4::DOUBLE * d.deg AS due FROM (
-    SELECT seed, id, sum(p) AS p, sum(r) AS r FROM (
+  SELECT g.seed, g.id, p, r, d.deg, r > 0 AND r >= 0.25::DOUBLE * 1e-4::DOUBLE * 1e15::DOUBLE * d.deg AS due FROM (
+    SELECT seed, id, CAST(sum(p) AS BIGINT) AS p, CAST(sum(r) AS BIGINT) AS r FROM (
       SELECT seed, id, CASE WHEN due THEN p + r ELSE p END AS p, CASE WHEN due THEN 0 ELSE r END AS r FROM p{k}
-      UNION ALL SELECT seed, e.dst, 0, 0.75::DOUBLE * r / deg FROM p{k} JOIN edges e ON e.src = p{k}.id WHERE due) GROUP BY seed, id) g JOIN indeg d ON d.id = g.id)"""
+      UNION ALL SELECT seed, e.dst, 0, CAST(floor(0.75::DOUBLE * r / deg) AS BIGINT) FROM p{k} JOIN edges e ON e.src = p{k}.id WHERE due) GROUP BY seed, id) g JOIN indeg d ON d.id = g.id)"""
         )
     return ",".join(out)
 
@@ -192,6 +193,11 @@ def _pushes(steps: int) -> str:
 _PUSH = _pushes(9)
 
 
+def _r9(x: str) -> str:
+    """x in steps of 1e-13 and these in steps of 1e-9, as the queries have it: what the order of sums changes does not reach a tie."""
+    return f"floor(floor(({x}) * 1e13::DOUBLE + 0.5::DOUBLE) / 1e13::DOUBLE * 1e9::DOUBLE + 0.5::DOUBLE) / 1e9::DOUBLE"
+
+
 def _q(body: str, *more: str) -> str:
     return "WITH " + ",".join((_GRAPH, *more)) + body
 
@@ -262,27 +268,27 @@ db AS (SELECT b.batch, c.class, count(dr.label) / sum(count(dr.label)) OVER (PAR
 sd AS (SELECT a.batch, avg(abs(a.mass - b.mass)) AS d FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY mass) AS k FROM db) a JOIN (SELECT *, row_number() OVER (ORDER BY mass) AS k FROM tl) b ON a.k = b.k GROUP BY a.batch)""",
     ),
     "distinct_ends": _q("SELECT count(DISTINCT src) AS src, count(DISTINCT dst) AS dst, count(*) AS nnz FROM edges"),
-    "lazy_rw_k1": _q("SELECT id, round(s, 9) AS s FROM w1"),
-    "lazy_rw_k3": _q("SELECT id, round(s, 9) AS s FROM w3"),
-    "node_importance_k0": _q("SELECT id, round(s / n, 9) AS s FROM w0 CROSS JOIN nt"),
-    "node_importance_k1": _q("SELECT id, round(s, 9) AS s FROM imp1"),
-    "node_importance_k2": _q("SELECT id, round(s, 9) AS s FROM imp2"),
-    "edge_importance_k3": _q("SELECT e.src, e.dst, round(a.s * 0.5::DOUBLE / c.deg + b.s * 0.5::DOUBLE / d.deg, 9) AS w FROM edges e JOIN imp2 a ON a.id = e.src JOIN imp2 b ON b.id = e.dst JOIN deg1 c ON c.id = e.src JOIN deg1 d ON d.id = e.dst"),
-    "walk_sum_influence": _q("SELECT w1.id, round(w1.s + w2.s, 9) AS s FROM w1 JOIN w2 ON w1.id = w2.id"),
-    "pivots_topk": _q("SELECT id, round(s, 9) AS s FROM pvt"),
+    "lazy_rw_k1": _q(f"SELECT id, {_r9('s')} AS s FROM w1"),
+    "lazy_rw_k3": _q(f"SELECT id, {_r9('s')} AS s FROM w3"),
+    "node_importance_k0": _q(f"SELECT id, {_r9('s / n')} AS s FROM w0 CROSS JOIN nt"),
+    "node_importance_k1": _q(f"SELECT id, {_r9('s')} AS s FROM imp1"),
+    "node_importance_k2": _q(f"SELECT id, {_r9('s')} AS s FROM imp2"),
+    "edge_importance_k3": _q(f"SELECT e.src, e.dst, {_r9('a.s * 0.5::DOUBLE / c.deg + b.s * 0.5::DOUBLE / d.deg')} AS w FROM edges e JOIN imp2 a ON a.id = e.src JOIN imp2 b ON b.id = e.dst JOIN deg1 c ON c.id = e.src JOIN deg1 d ON d.id = e.dst"),
+    "walk_sum_influence": _q(f"SELECT w1.id, {_r9('w1.s + w2.s')} AS s FROM w1 JOIN w2 ON w1.id = w2.id"),
+    "pivots_topk": _q(f"SELECT id, {_r9('s')} AS s FROM pvt"),
     "popular_nodes": _q("SELECT id FROM popular"),
     "pivot_inter_edges": _q("SELECT src, dst FROM edges WHERE dst IN (SELECT id FROM pvt)"),
     "pivot_intra_edges": _q("SELECT src, dst FROM edges WHERE dst IN (SELECT id FROM pvt) AND src IN (SELECT id FROM pvt)"),
     "seed_topk_influence": _q("SELECT seed, id, round(s, 11) AS s, CAST(rank AS INTEGER) AS rank FROM inf", _INFLUENCE),
     "coverage": _q(
-        """
-SELECT h.part, round(coalesce(g.got, 0) / h.n, 9) AS covered, round(coalesce(b.best, 0) / h.n, 9) AS best
+        f"""
+SELECT h.part, {_r9('coalesce(g.got, 0) / h.n')} AS covered, {_r9('coalesce(b.best, 0) / h.n')} AS best
 FROM (SELECT a.part, count(*) AS n FROM train t JOIN assign a ON a.id = t.id GROUP BY a.part) h
 LEFT JOIN (SELECT home.part, sum(CASE WHEN there.part = home.part OR i.id IN (SELECT id FROM pvt) THEN i.s ELSE 0 END) AS got FROM inf i JOIN assign home ON home.id = i.seed JOIN assign there ON there.id = i.id GROUP BY home.part) g ON g.part = h.part
 LEFT JOIN (SELECT part, sum(s) AS best FROM (SELECT a.part, i.id, sum(i.s) AS s, row_number() OVER (PARTITION BY a.part ORDER BY round(sum(i.s), 12) DESC, i.id) AS k FROM inf i JOIN assign a ON a.id = i.seed GROUP BY a.part, i.id) x JOIN psize USING (part) WHERE k <= n GROUP BY part) b ON b.part = h.part""",
         _INFLUENCE,
     ),
-    "revisit_probability": _q("SELECT id, round(r, 9) AS r FROM revisit"),
+    "revisit_probability": _q(f"SELECT id, {_r9('r')} AS r FROM revisit"),
     "collate_nodes": _q("SELECT 0 AS batch, CAST(base + new_id - s AS BIGINT) AS local_id, new_id, old_id, label FROM node_map m JOIN bases b ON b.part = m.part JOIN nodes ON nodes.id = old_id"),
     "collate_targets": _q("SELECT 0 AS batch, CAST(base + new_id - s AS BIGINT) AS local_id FROM node_map m JOIN bases b ON b.part = m.part WHERE old_id IN (SELECT id FROM train)"),
     "collate_edges": _q("SELECT 0 AS batch, CAST(src - a.s + a.base AS BIGINT) AS src, CAST(dst - b.s + b.base AS BIGINT) AS dst FROM ep JOIN bases a ON a.part = sp JOIN bases b ON b.part = dp"),
@@ -378,7 +384,7 @@ b2 AS (SELECT bk.dst AS id, sum(b1.s / bd.deg) AS s FROM bk JOIN b1 ON b1.id = b
     "neighbor_sum": _q("SELECT id, CAST(pos - 1 AS INTEGER) AS pos, round(sum(v), 6) + 0.0::DOUBLE AS v FROM ex GROUP BY id, pos", " ex AS (SELECT e.dst AS id, unnest(range(1, 65)) AS pos, unnest(list_transform(x, lambda v: CAST(v AS DOUBLE))) AS v FROM edges e JOIN feat f ON f.id = e.src)"),
     "neighbor_mean": _q("SELECT id, CAST(pos - 1 AS INTEGER) AS pos, round(avg(v), 6) + 0.0::DOUBLE AS v FROM ex GROUP BY id, pos", " ex AS (SELECT e.dst AS id, unnest(range(1, 65)) AS pos, unnest(list_transform(x, lambda v: CAST(v AS DOUBLE))) AS v FROM edges e JOIN feat f ON f.id = e.src)"),
     "edge_norm_weight": _q("SELECT src, dst, round(w * count(*) OVER (PARTITION BY dst) / sum(w) OVER (PARTITION BY dst), 9) AS w FROM (SELECT src, dst, CASE WHEN a.part <> b.part THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM edges JOIN assign a ON a.id = src JOIN assign b ON b.id = dst)"),
-    "attention_softmax": _q("SELECT src, dst, round(exp(e) / sum(exp(e)) OVER (PARTITION BY dst), 9) AS a FROM (SELECT src, dst, ((src * 7 + dst * 3) % 11) / 5.0::DOUBLE AS e FROM edges)"),
+    "attention_softmax": _q(f"SELECT src, dst, {_r9('exp(e) / sum(exp(e)) OVER (PARTITION BY dst)')} AS a FROM (SELECT src, dst, ((src * 7 + dst * 3) % 11) / 5.0::DOUBLE AS e FROM edges)"),
     "scatter_add_labels": _q("SELECT e.dst AS id, CAST(sum(coalesce(n.label, 0)) AS BIGINT) AS total FROM edges e JOIN nodes n ON n.id = e.src GROUP BY e.dst"),
     "acc_per_epoch": "SELECT CAST(o_orderkey % 10 AS INTEGER) AS epoch, round(sum(o_totalprice / 1000 * 32) / (count(*) * 32), 6) AS loss, round(sum(o_orderkey % 32) / (count(*) * 32), 6) AS acc, round(avg(o_custkey % 500), 6) AS nodes, round(avg(o_custkey % 2000), 6) AS edges FROM orders GROUP BY 1",
     "eval_full": _q("SELECT split, count(*) AS n, round(avg(CASE WHEN guess = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS acc, round(avg(nll), 9) AS nll FROM (SELECT split, label, (SELECT arg_min(k.range, ((id * 13 + k.range * 7) % 17) * 100 + k.range) FROM range(5) k) AS guess, ((id * 13 + label * 7) % 17) / 4.0::DOUBLE AS nll FROM nodes WHERE label IS NOT NULL AND split IS NOT NULL) GROUP BY split"),
@@ -399,7 +405,7 @@ b2 AS (SELECT bk.dst AS id, sum(b1.s / bd.deg) AS s FROM bk JOIN b1 ON b1.id = b
         ("metis_tb_balance", "fennel_lb_balance"),
         _q("SELECT train, n, greatest(CAST(floor(n / 16 * 1.1::DOUBLE) AS BIGINT), CAST(ceil(n / 16) AS BIGINT)) AS cap, CAST(0 AS BIGINT) AS over FROM (SELECT CAST(coalesce(split = 'train', false) AS INTEGER) AS train, count(*) AS n FROM nodes GROUP BY 1)"),
     ),
-    "ppr_push": _q("SELECT seed, id, round(p, 9) AS p FROM p9 WHERE p > 0", _PUSH),
+    "ppr_push": _q(f"SELECT seed, id, {_r9('p / 1e15::DOUBLE')} AS p FROM p9 WHERE p > 0", _PUSH),
     "ppr_mass": _q("SELECT id AS seed, 0.25::DOUBLE AS mass, CAST(0 AS BIGINT) AS due FROM train"),
     "ranges_merge_degree": _q(
         """SELECT dst, count(*) AS n, string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) AS nbrs FROM (
