@@ -18,10 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphlake.functions.hashing import bucket, rank_key
-from graphlake.functions.store import cut
+from graphlake.functions.store import cut, drop
 from graphlake.operators.batching import degree_order, hex_id, number
 from graphlake.operators.layout import degree, normalise_weights
-from graphlake.operators.scoring import edge_importance
 
 EDGE_LIMIT = 50_000_000
 
@@ -132,7 +131,7 @@ def streaming_partition(nodes: DataFrame, edges: DataFrame, p: Fennel = Fennel()
     """(id, part) by streaming.  order: 'degree' (descending, ties by id) or 'id'; edges may carry ``w``; strata and balance name
     integer columns of nodes (balance from 0, strata negative for none); start(id, part) is an assignment to begin from."""
     if edges.count() > EDGE_LIMIT:
-        raise ValueError(f"more than {EDGE_LIMIT} edges in one task: use block_streaming_partition or superstep_partition")
+        raise ValueError(f"more than {EDGE_LIMIT} edges in one task: use concurrent_partition, block_streaming_partition or superstep_partition")
     weighted = "w" in edges.columns
     if weighted:
         edges = normalise_weights(edges)
@@ -173,10 +172,19 @@ def streaming_partition(nodes: DataFrame, edges: DataFrame, p: Fennel = Fennel()
     return rows.withColumn("_all", F.lit(True)).groupBy("_all").applyInArrow(run, "id bigint, part int")
 
 
-def _ranked(moves: DataFrame, gain, by: list[str]) -> DataFrame:
-    """moves with ``rank`` from 0 within each group: greatest gain first (in 65,536 steps of its logarithm), then by a hash of the id.  No group is ordered in one task."""
-    step = F.least(F.floor(F.log2(1 + F.greatest(gain, F.lit(0.0))) * 2048), F.lit(65535))
-    return number(moves, F.concat(hex_id(F.lit(65535) - step, 4), rank_key(F.col("id"))), "rank", by, (4, 6))
+def admit(moves: DataFrame, room: DataFrame, names: list[str], by: list[str]) -> DataFrame:
+    """The moves(id, <by>, gain, <weights>) that room(<by>, <weights>) admits: the greatest gains first, in bins of a logarithm, and within a bin by a hash.
+
+    Sums of bins, at most 65,536 for a group, say which of them fit; no group's moves are ordered in one task, and none is overfilled.
+    """
+    cell = moves.withColumn("_bin", F.least(F.floor(F.log2(1 + F.greatest("gain", F.lit(0.0))) * 32), F.lit(1023)).cast("int")).withColumn("_sub", bucket(F.col("id"), 64))
+    sums = cell.groupBy(*by, "_bin", "_sub").agg(*(F.sum(c).alias(c) for c in names))
+    w = Window.partitionBy(*by).orderBy(F.desc("_bin"), "_sub")
+    upto = sums.select(*by, "_bin", "_sub", *(F.sum(c).over(w).alias(c) for c in names))
+    fits = upto.join(room.select(*by, *(F.col(c).alias(f"_r_{c}") for c in names)), by)
+    for c in names:
+        fits = fits.where(F.col(c) <= F.col(f"_r_{c}"))
+    return cell.join(fits.select(*by, "_bin", "_sub"), [*by, "_bin", "_sub"]).select(*moves.columns)
 
 
 def _fill(rows: DataFrame, room: DataFrame) -> DataFrame:
@@ -232,10 +240,13 @@ def superstep_partition(nodes: DataFrame, edges: DataFrame, p: Fennel = Fennel()
         stay = now.join(total, ["id", "part"], "left").join(sizes.select("part", "score"), "part").select("id", "part", F.coalesce("total", "score").alias("held"))
         # Half of the nodes may move in a step, by a hash, so that neighbours do not swap for ever.
         moves = stay.join(best, "id").where((F.col("to") != F.col("part")) & (F.col("total") > F.col("held"))).where(bucket(F.col("id") * 31 + step, 2) == 0)
-        moves = cut(moves.join(kinds, "id").select("id", "b", "to", (F.col("total") - F.col("held")).alias("gain")))
-        room = _room(now.join(kinds, "id"), caps, k).withColumnRenamed("part", "to")
-        moves = _ranked(moves, F.col("gain"), ["b", "to"]).join(room, ["b", "to"]).where("rank < room").select("id", "to")
-        now = cut(now.join(moves, "id", "left").select("id", F.coalesce("to", "part").cast("int").alias("part")))
+        moves = cut(moves.join(kinds, "id").select("id", "b", "to", (F.col("total") - F.col("held")).alias("gain"), F.lit(1).alias("n")))
+        room = _room(now.join(kinds, "id"), caps, k).select("b", F.col("part").alias("to"), F.col("room").alias("n"))
+        took = admit(moves, room, ["n"], ["b", "to"]).select("id", "to")
+        after = cut(now.join(took, "id", "left").select("id", F.coalesce("to", "part").cast("int").alias("part")))
+        drop(moves)
+        drop(now)
+        now = after
     return now
 
 
@@ -285,41 +296,14 @@ def block_streaming_partition(nodes: DataFrame, edges: DataFrame, p: Fennel = Fe
             fair = score.groupBy("s").agg(F.max("score").alias("fair"))
             wish = cut(best.join(fair, "s").where("total >= fair").select("id", "b", "part", (F.col("total") - F.col("fair")).alias("gain")))
             quota = mine.groupBy("b").agg(F.ceil(2 * F.count(F.lit(1)) / k).alias("quota"))
-            took = cut(_ranked(wish, F.col("gain"), ["b", "part"]).join(room, ["b", "part"]).join(quota, "b").where((F.col("rank") < F.col("room")) & (F.col("rank") < F.col("quota"))).select("id", "b", "part"))
+            most = room.join(quota, "b").select("b", "part", F.least("room", "quota").alias("n"))
+            took = cut(admit(wish.withColumn("n", F.lit(1)), most, ["n"], ["b", "part"]).select("id", "b", "part"))
             free = room.join(took.groupBy("b", "part").agg(F.count(F.lit(1)).alias("n")), ["b", "part"], "left").select("b", "part", (F.col("room") - F.coalesce("n", F.lit(0))).alias("room"))
             others = _fill(mine.select("id", "b").join(took.select("id"), "id", "left_anti"), free)
-            pieces[j] = cut(mine.select("id", "s", "b").join(took.select("id", "part").union(others), "id"))
+            before, pieces[j] = pieces[j], cut(mine.select("id", "s", "b").join(took.select("id", "part").union(others), "id"))
+            for x in (before, score, room, wish, took):
+                drop(x)
     out = pieces[0]
     for x in pieces[1:]:
         out = out.union(x)
     return out.select("id", "part")
-
-
-METHODS = ("rand", "metis", "metis-tb", "metis-w", "metis-wtb", "fennel", "fennel-w", "fennel-lb", "fennel-wlb")
-
-
-def partition(nodes: DataFrame, edges: DataFrame, method: str, k: int, runs: int = 3, slack: float = 1.1, blocks: int | None = None) -> DataFrame:
-    """(id, part) by name.  nodes(id, label, split).
-
-    ``metis*`` names give the superstep partitioner, which keeps the contract (an assignment, balance, few cut edges), not the
-    library's output.  -w weighs edges by their importance to the training nodes; -tb and -lb balance the training nodes; -lb also
-    stratifies by training label, other nodes being a class of their own.  blocks: stream so many blocks of nodes (see
-    block_streaming_partition) in place of one node at a time, which one task can do for up to EDGE_LIMIT edges only; beyond these it is 64.
-    """
-    if method not in METHODS:
-        raise ValueError(f"unknown method {method!r}; known: {', '.join(METHODS)}")
-    if method == "rand":
-        return hash_partition(nodes, k)
-    if method.endswith(("-w", "-wtb", "-wlb")):
-        edges = edge_importance(nodes, edges, nodes.where("split = 'train'").select("id"), 2)
-    train = F.coalesce(F.col("split") == "train", F.lit(False))
-    if method.startswith("metis"):
-        return superstep_partition(nodes.withColumn("_b", train.cast("int")), edges, Fennel(k=k, slack=slack), balance="_b" if method.endswith("tb") else None)
-    if blocks is None and edges.count() > EDGE_LIMIT:
-        blocks = 64
-    p, by = Fennel(k=k, runs=runs, slack=slack), {}
-    if method.endswith("lb"):
-        top = nodes.agg(F.coalesce(F.max("label"), F.lit(-1))).first()[0] + 1
-        nodes = nodes.withColumn("_s", F.when(train, F.coalesce("label", F.lit(top))).otherwise(top)).withColumn("_b", train.cast("int"))
-        p, by = Fennel(k=k, runs=runs, slack=slack, scan=1 / 4), {"strata": "_s", "balance": "_b"}
-    return block_streaming_partition(nodes, edges, p, blocks, **by) if blocks else streaming_partition(nodes, edges, p, **by)

@@ -28,14 +28,14 @@ def in_steps(score: Column) -> Column:
 def _narrow(rows: DataFrame, bounds: DataFrame, value: str) -> DataFrame:
     """(g, lo, hi, k, n): one bin of bounds(g, lo, hi, k), that of the k-th greatest value of rows(g, value) within these, its n rows, and how many of these are wanted."""
     wide = lambda c: F.col(c).cast("decimal(38, 0)")  # noqa: E731  values may span 64 bits
-    b = bounds.withColumn("width", F.greatest(F.lit(1), F.ceil((wide("hi") - wide("lo") + 1) / BINS)).cast("decimal(20, 0)"))
+    b = bounds.withColumn("width", F.expr(f"(cast(hi as decimal(38, 0)) - cast(lo as decimal(38, 0)) + {BINS}) div {BINS}"))
     inside = rows.join(b, "g").where(F.col(value).between(F.col("lo"), F.col("hi")))
-    counts = inside.groupBy("g", "lo", "hi", "k", "width", F.floor((wide(value) - wide("lo")) / F.col("width")).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = inside.groupBy("g", "lo", "hi", "k", "width", F.expr(f"(cast({value} as decimal(38, 0)) - cast(lo as decimal(38, 0))) div cast(width as decimal(38, 0))").cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     group = Window.partitionBy("g")  # BINS rows at most
     counts = counts.withColumn("upto", F.sum("n").over(group.orderBy(F.desc("bin")))).withColumn("last", F.min("bin").over(group))
     # The first bin that has enough; if all have too few, the last.
     hit = counts.where((F.col("upto") >= F.col("k")) | (F.col("bin") == F.col("last"))).withColumn("r", F.row_number().over(group.orderBy(F.desc("bin")))).where("r = 1")
-    lo = wide("lo") + F.col("bin") * F.col("width")
+    lo = wide("lo") + wide("bin") * wide("width")
     return hit.select("g", lo.cast("bigint").alias("lo"), F.least(wide("hi"), lo + F.col("width") - 1).cast("bigint").alias("hi"), (F.col("k") - F.col("upto") + F.col("n")).alias("k"), "n")
 
 

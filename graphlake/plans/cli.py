@@ -13,8 +13,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from graphlake.functions.store import cut
-from graphlake.operators import collate, layout, metrics, scoring
-from graphlake.operators import partition as parting
+from graphlake.operators import collate, layout, methods, metrics, scoring
 from graphlake.session import session
 from graphlake.sources import graphs
 
@@ -33,7 +32,7 @@ def partition(spark: SparkSession, a: argparse.Namespace) -> dict:
     where = graphs.partition_path(a.path, a.method, a.parts)
     out = {}
     if not a.pivots_only:
-        assign = cut(parting.partition(g.nodes, g.edges, a.method, a.parts, a.runs, blocks=a.blocks))
+        assign = cut(methods.partition(g.nodes, g.edges, a.method, a.parts, a.runs, streams=a.streams, blocks=a.blocks))
         pg = layout.partition_graph(g, assign, a.parts)
         graphs.write_partitioned(pg, where)
         sizes = layout.histogram(assign, "part", a.parts).agg(F.avg("n"), F.min("n"), F.max("n")).first()
@@ -78,11 +77,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     for f in (partition, check):
         x = sub.add_parser(f.__name__, help=f.__doc__)
         x.add_argument("path")
-        x.add_argument("--method", default="fennel-lb", choices=parting.METHODS)
+        x.add_argument("--method", default="fennel-lb", choices=methods.METHODS)
         x.add_argument("--parts", type=int, default=1024)
         if f is partition:
             x.add_argument("--runs", type=int, default=3)
-            x.add_argument("--blocks", type=int)
+            x.add_argument("--streams", default="blocks", choices=methods.STREAMS)
+            x.add_argument("--blocks", type=int, default=16)
             x.add_argument("--pivots", default="topk", choices=("topk", "train", "none"))
             x.add_argument("--pivots-only", action="store_true")
             x.add_argument("--share", type=float, default=0.01)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from graphlake.functions.store import cut, folder
 from graphlake.model import PartitionedGraph
-from graphlake.operators import aggregate, batching, collate, layout, metrics, runlog, sampling, scoring
+from graphlake.operators import aggregate, batching, collate, concurrent, layout, methods, metrics, multilevel, runlog, sampling, scoring
 from graphlake.operators import partition as parting
 from graphlake.plans import loaders
 from graphlake.sources import graphs
@@ -1036,7 +1036,7 @@ def fennel_weighted(c):
 
 @heavy
 def fennel_strata_balance(c):
-    return parting.partition(c.nodes, c.edges, "fennel-wlb", K, 2)
+    return methods.partition(c.nodes, c.edges, "fennel-wlb", K, 2, streams="one")
 
 
 @heavy
@@ -1096,13 +1096,13 @@ def _balanced(c, assign):
 
 @heavy
 def metis_tb_balance(c):
-    return _balanced(c, parting.partition(c.nodes, c.edges, "metis-tb", K))
+    return _balanced(c, methods.partition(c.nodes, c.edges, "metis-tb", K))
 
 
 @heavy
 def fennel_lb_balance(c):
     """The stratified and balanced stream, in blocks."""
-    return _balanced(c, parting.partition(c.nodes, c.edges, "fennel-lb", K, 1, blocks=4))
+    return _balanced(c, methods.partition(c.nodes, c.edges, "fennel-lb", K, 1, blocks=4))
 
 
 def _pushed(c):

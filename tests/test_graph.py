@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphlake.functions import config
 from graphlake.model import Graph
-from graphlake.operators import aggregate, batching, collate, layout, metrics, runlog, sampling, scoring
+from graphlake.operators import aggregate, batching, collate, concurrent, layout, methods, metrics, multilevel, runlog, sampling, scoring, select
 from graphlake.operators import partition as parting
 from graphlake.plans import loaders
 from graphlake.sources import graphs
@@ -200,11 +200,11 @@ def test_stream_golden(g):
 
 
 def test_partition_methods(g):
-    for m in parting.METHODS:
-        parts = col(parting.partition(g.nodes, g.edges, m, 2, 1), "part")
+    for m in methods.METHODS:
+        parts = col(methods.partition(g.nodes, g.edges, m, 2, 1, blocks=2), "part")
         assert len(parts) == 6 and set(parts) <= {0, 1}, m
     with pytest.raises(ValueError):
-        parting.partition(g.nodes, g.edges, "other", 2)
+        methods.partition(g.nodes, g.edges, "other", 2)
 
 
 def test_stream_respects_caps():
@@ -232,7 +232,7 @@ def test_training_nodes_are_balanced(spark):
         return parts.join(nodes.where("split = 'train'"), "id").groupBy("part").count().agg(F.max("count")).first()[0]
 
     for m in ("metis-tb", "metis-wtb"):
-        out = parting.partition(nodes, edges, m, 4)
+        out = methods.partition(nodes, edges, m, 4)
         assert out.count() == 120 and most(out) <= 11, m
     skew = nodes.select("id", F.when(F.col("id") < 40, 0).otherwise(F.col("id") % 4).cast("int").alias("part"))
     marked = nodes.withColumn("b", F.coalesce(F.col("split") == "train", F.lit(False)).cast("int"))
@@ -270,15 +270,82 @@ def test_block_streaming(spark):
     assert cuts < 0.8 * first
     again = parting.block_streaming_partition(nodes, edges, parting.Fennel(k=4), blocks=3, order="id", start=out)
     assert metrics.edge_cuts(edges, again).first().cuts <= 1.1 * cuts
-    lb = parting.partition(nodes, edges, "fennel-lb", 4, 1, blocks=3).join(nodes, "id")
+    lb = methods.partition(nodes, edges, "fennel-lb", 4, 1, blocks=3).join(nodes, "id")
     assert lb.count() == 400 and lb.where("split = 'train'").groupBy("part").count().agg(F.max("count")).first()[0] <= 27
 
 
+def grid(spark, side):
+    """A square grid, ids mixed."""
+    mix = lambda i: (i * 7919) % 10_007
+    pairs = [(mix(x * side + y), mix(x * side + y + d)) for x in range(side) for y in range(side) for d in (1, side) if (y + 1 < side if d == 1 else x + 1 < side)]
+    nodes = spark.createDataFrame([(mix(i),) for i in range(side * side)], "id bigint")
+    return nodes, graphs.symmetrise(spark.createDataFrame(pairs, "src bigint, dst bigint"))
+
+
+def test_matching_and_contraction(spark):
+    """Handshakes join disjoint pairs along edges, heavy ones first, within the weight allowed; contraction keeps all weight but that within."""
+    edges = graphs.symmetrise(spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 4), (5, 5)], "src bigint, dst bigint"))
+    edges = edges.withColumn("w", F.when(F.least("src", "dst") == 1, 5.0).otherwise(1.0))
+    nodes = spark.createDataFrame([(i, 1.0 + (i == 4) * 9) for i in range(7)], "id bigint, w double")
+    mates = multilevel.matching(nodes, edges, 3.0)
+    assert dict(map(tuple, mates.collect())) == {1: 2, 2: 1}  # 0, 3: no free neighbour or one too heavy
+    v, e, up = multilevel.contract(nodes, edges, mates)
+    assert sorted(map(tuple, v.collect())) == [(0, 1.0), (1, 2.0), (3, 1.0), (4, 10.0), (5, 1.0), (6, 1.0)]
+    assert sorted(map(tuple, e.collect())) == [(0, 1, 1.0), (1, 0, 1.0), (1, 3, 1.0), (3, 1, 1.0), (3, 4, 1.0), (4, 3, 1.0)]
+    nodes, edges = grid(spark, 20)
+    pairs = dict(map(tuple, multilevel.matching(nodes.withColumn("w", F.lit(1.0)), edges.withColumn("w", F.lit(1.0))).collect()))
+    near = {tuple(x) for x in edges.select("src", "dst").collect()}
+    assert all(pairs[b] == a and (a, b) in near for a, b in pairs.items()) and len(pairs) > 300
+
+
+def test_multilevel_cuts_fewer_edges_than_supersteps(spark):
+    nodes, edges = grid(spark, 32)
+    flat = metrics.edge_cuts(edges, parting.superstep_partition(nodes, edges, parting.Fennel(k=4))).first().cuts
+    out = multilevel.multilevel_partition(nodes, edges, parting.Fennel(k=4), coarsest=100)
+    assert metrics.edge_cuts(edges, out).first().cuts < 0.5 * flat
+    assert sorted(col(out, "id")) == sorted(col(nodes, "id")) and out.groupBy("part").count().agg(F.max("count")).first()[0] <= 281
+    alone = multilevel.multilevel_partition(nodes, edges.limit(0), parting.Fennel(k=4), coarsest=100)  # nothing to match, and no start in one task
+    assert alone.count() == 1024 and alone.groupBy("part").count().agg(F.max("count")).first()[0] <= 281
+
+
+@pytest.mark.parametrize(("shards", "rounds", "slack"), [(8, 8, 1.1), (3, 2, 1.0), (16, 1, 1.1)])
+def test_concurrent_streams(spark, shards, rounds, slack):
+    """Stale sizes cost little: cuts within a tenth of one stream's, every node placed, no part overfilled."""
+    nodes, edges = clustered(spark)
+    p = parting.Fennel(k=4, slack=slack)
+    one = metrics.edge_cuts(edges, parting.streaming_partition(nodes, edges, p)).first().cuts
+    out = concurrent.concurrent_partition(nodes, edges, type(p)(k=4, slack=slack, runs=2), shards, rounds)
+    assert col(out, "id") == list(range(400)) and out.groupBy("part").count().agg(F.max("count")).first()[0] <= int(100 * slack)
+    if rounds == 8:
+        assert metrics.edge_cuts(edges, out).first().cuts <= 1.1 * one
+    again = concurrent.concurrent_partition(nodes, edges, p, shards, rounds, "id", out)
+    assert again.count() == 400
+
+
+def test_first_rows(spark):
+    """Against sorting: ties, groups, extremes of 64 bits, more rows asked for than there are."""
+    r = np.random.default_rng(4)
+    rows = [(int(g), i, int(v)) for i, (g, v) in enumerate(zip(r.integers(0, 3, 3000), r.integers(0, 40, 3000) ** 3, strict=True))]
+    rows += [(1, 5000, 2**63 - 1), (1, 5001, -(2**63) + 1), (2, 5002, None), (None, 5003, 1), (7, 5004, 0)]
+    df = spark.createDataFrame(rows, "g int, id bigint, v bigint")
+    for few in (select.FEW, 10):
+        for k in (0, 1, 137, 2999, 4000):
+            want = sorted((x for x in rows if x[2] is not None), key=lambda x: (-x[2], x[1]))[:k]
+            assert sorted(map(repr, map(tuple, select.first_rows(df, F.col("v"), k, few=few).collect()))) == sorted(map(repr, want))
+        each = {0: 5, 1: 800, 2: 10_000, 7: 1}
+        want = [x for g, k in each.items() for x in sorted((x for x in rows if x[0] == g and x[2] is not None), key=lambda x: (-x[2], x[1]))[:k]]
+        got = select.first_rows(df, F.col("v"), spark.createDataFrame([*each.items(), (9, 3)], "g int, k int"), by="g", few=few)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert select.first_rows(df.limit(0), F.col("v"), 3).count() == 0
+
+
 def test_limits_name_the_way_out(g, monkeypatch):
     monkeypatch.setattr(parting, "EDGE_LIMIT", 5)
     with pytest.raises(ValueError, match="block_streaming"):
         parting.streaming_partition(g.nodes, g.edges)
-    assert parting.partition(g.nodes, g.edges, "fennel", 2, 1, blocks=2).count() == 6
+    with pytest.raises(ValueError, match="stream"):
+        methods.partition(g.nodes, g.edges, "fennel-lb", 2, streams="concurrent")
+    assert methods.partition(g.nodes, g.edges, "fennel", 2, 1, blocks=2).count() == 6
 
 
 def test_number_in_ranges(spark):
