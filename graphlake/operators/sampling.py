@@ -1,4 +1,4 @@
-"""Multi-hop neighbour sampling by rank of a hash: uniform, without replacement, and the same on every retry and engine."""
+"""Multi-hop neighbour sampling, the same on every retry and engine: without replacement by rank of a hash, with replacement by drawn positions; and lossy batches."""
 
 from __future__ import annotations
 
@@ -8,27 +8,49 @@ from pyspark.sql.window import Window
 
 from graphlake.functions.hashing import rank_key
 from graphlake.functions.store import cut
-from graphlake.operators.batching import number
+from graphlake.operators.batching import edge_order, number
 
 
-def sample(edges: DataFrame, seeds: DataFrame, fanouts: list[int], seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(nodes(batch, hop, id), edges(batch, hop, src, dst)) from seeds(batch, id).
+def positioned(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges(src, dst, eid), lists(dst, start, len)): edges numbered by target and source, which is their id, and where each target's list lies; both are written."""
+    placed = cut(edge_order(edges.select("src", "dst")).select("src", "dst", F.col("pos").alias("eid")))
+    return placed, cut(placed.groupBy("dst").agg(F.min("eid").alias("start"), F.count(F.lit(1)).alias("len")))
+
+
+def draws(lists: DataFrame, ids: DataFrame, n: int, hop: int, seed: int) -> DataFrame:
+    """(dst, draw, eid): n positions drawn with replacement, by hashes of the draw's number, from the lists(dst, start, len) of ids(dst)."""
+    each = lists.join(ids, "dst").select("dst", "start", "len", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
+    r = F.conv(F.substring(rank_key(F.col("dst"), hop, F.col("draw"), seed), 1, 8), 16, 10).cast("bigint")
+    return each.select("dst", "draw", (F.col("start") + F.pmod(r, F.col("len"))).alias("eid"))
+
+
+def sample(edges: DataFrame, seeds: DataFrame, fanouts: list[int], seed: int = 0, replace: bool = False, lists: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes(batch, hop, id), edges(batch, hop, src, dst[, eid])) from seeds(batch, id).
 
     At hop h every node found at hop h - 1 takes at most fanouts[h] of its in-neighbours (-1: all); a node counts at the
     hop that finds it first.  A hub's neighbours are ranked in two stages: by pieces of its list first.
+    edges may carry ``eid``, which is handed on.  replace: every node with neighbours draws fanouts[h] times, and an edge comes as often as it is
+    drawn; this wants edges and lists of ``positioned``, and looks drawn positions up by a join, whatever a node's degree.
     """
+    if replace and lists is None:
+        raise ValueError("drawing with replacement wants edges and lists of positioned()")
+    cols = ["src", "dst", *(["eid"] if "eid" in edges.columns else [])]
     frontier = cut(seeds.select("batch", "id").distinct())
     nodes = frontier.select("batch", F.lit(0).alias("hop"), "id")
     seen, out = frontier, None
     for hop, n in enumerate(fanouts):
         # What a node takes does not depend on the batch, so it is chosen once for all of them.
-        near = edges.select("src", "dst").join(frontier.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi")
-        if n >= 0:
+        ids = frontier.select(F.col("id").alias("dst")).distinct()
+        if replace and n > 0:
+            near = draws(lists, ids, n, hop, seed).drop("dst").join(edges.select(*cols), "eid")
+        else:
+            near = edges.select(*cols).join(ids, "dst", "left_semi")
+        if n == 0 or n > 0 and not replace:
             near = near.withColumn("key", rank_key(F.col("src"), F.col("dst"), hop, seed)).withColumn("piece", F.pmod(F.xxhash64("src"), F.lit(16)))
             order = [F.col("key"), F.col("src")]
             near = near.withColumn("r", F.row_number().over(Window.partitionBy("dst", "piece").orderBy(*order))).where(F.col("r") <= n)
             near = near.withColumn("r", F.row_number().over(Window.partitionBy("dst").orderBy(*order))).where(F.col("r") <= n)
-        took = cut(frontier.withColumnRenamed("id", "dst").join(near.select("src", "dst"), "dst").select("batch", F.lit(hop).alias("hop"), "src", "dst"))
+        took = cut(frontier.withColumnRenamed("id", "dst").join(near.select(*cols), "dst").select("batch", F.lit(hop).alias("hop"), *cols))
         out = took if out is None else out.union(took)
         frontier = took.select("batch", F.col("src").alias("id")).distinct().join(seen, ["batch", "id"], "left_anti")
         frontier = cut(frontier) if hop + 1 < len(fanouts) else frontier
@@ -37,6 +59,12 @@ def sample(edges: DataFrame, seeds: DataFrame, fanouts: list[int], seed: int = 0
     return nodes, out
 
 
+def induced_batches(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(batch, src, dst[, eid]): all edges between the sampled nodes of a batch, whether they were taken or not: an undirected subgraph."""
+    ids = nodes.select("batch", "id")
+    return edges.join(ids.withColumnRenamed("id", "dst"), "dst").join(ids.withColumnRenamed("id", "src"), ["batch", "src"]).select("batch", "src", "dst", *(["eid"] if "eid" in edges.columns else []))
+
+
 def hop_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(batch, hop, nodes, edges): nodes first found at a hop, edges taken to find them."""
     n = nodes.groupBy("batch", "hop").agg(F.count(F.lit(1)).alias("nodes"))
@@ -77,6 +105,27 @@ def drop_far(nodes: DataFrame, hop: int, share: float = 1.0, seed: int = 0) -> D
     return _without(nodes, nodes.where(F.col("hop") > hop), rank_key(F.col("batch"), F.col("id"), seed), share)
 
 
+def drop_hop(nodes: DataFrame, hop: int, share: float, seed: int = 0) -> DataFrame:
+    """(batch, hop, id) without a share of all nodes but the seeds, by rank of a hash within the batch: of those beyond a hop first, and of nearer ones when these are used up."""
+    near = F.when(F.col("hop") > hop, F.lit("0")).otherwise(F.lit("1"))
+    return _without(nodes, nodes.where("hop > 0"), F.concat(near, rank_key(F.col("batch"), F.col("id"), seed)), share)
+
+
+def seed_scores(nodes: DataFrame, influence: DataFrame) -> DataFrame:
+    """(batch, id, s): what the batch's seeds give each node, from their own top lists influence(seed, id, s)."""
+    seeds = nodes.where("hop = 0").select("batch", F.col("id").alias("seed"))
+    return seeds.join(influence.select("seed", "id", "s"), "seed").groupBy("batch", "id").agg(F.sum("s").alias("s"))
+
+
+def drop_by_influence(nodes: DataFrame, scores: DataFrame, share: float) -> DataFrame:
+    """(batch, hop, id) of the nodes of greatest scores(batch, id, s), ties to the smaller id, no score being 0: so many go as make up the share of
+    all but the seeds, but seeds are not spared.  A batch is a mini-batch, small enough for one task."""
+    w = Window.partitionBy("batch")
+    all_ = nodes.select("batch", "hop", "id").join(scores, ["batch", "id"], "left").withColumn("s", F.round(F.coalesce("s", F.lit(0.0)), 12))
+    all_ = all_.withColumn("r", F.row_number().over(w.orderBy(F.desc("s"), "id"))).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("rest", F.sum((F.col("hop") > 0).cast("bigint")).over(w))
+    return all_.where(F.col("r") <= F.col("n") - F.floor(F.col("rest") * share)).select("batch", "hop", "id")
+
+
 def retained(nodes: DataFrame, alive: DataFrame, scores: DataFrame) -> DataFrame:
     """(batch, nodes, alive, score): counts, and the share of the batch's scores(batch, id, s) that its alive nodes hold; 1 if there is none to hold."""
     held = nodes.select("batch", "id").join(alive.select("batch", "id").withColumn("_a", F.lit(1)), ["batch", "id"], "left").join(scores.select("batch", "id", "s"), ["batch", "id"], "left")
@@ -108,3 +157,31 @@ def batch_influence(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
         cur = back.join(sent, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("s").alias("s"))
         total = total.union(cur)
     return total.groupBy("id").agg(F.sum("s").alias("s"))
+
+
+def influence_by_layers(nodes: DataFrame, edges: DataFrame, layers: int, least: int = 2, times: int = 4) -> DataFrame:
+    """(batch, layers, top, near, top_sum, all_sum): how much of a batch's influence lies near its seeds, for ``least`` to ``layers`` layers.
+
+    Each batch of nodes(batch, hop, id) has a walk of its own over its edges(batch, src, dst), from targets to sources in equal parts, that
+    starts with 1 on every seed; a node's influence is the sum of what reaches it within so many steps, seeds not counted.  top: its
+    nodes of greatest influence, ``times`` as many as seeds, ties to the smaller id; near: those of them at hop 1; top_sum and all_sum: their
+    influence and all of it.  All batches go through one state; a batch is a mini-batch, small enough for one task.
+    """
+    deg = edges.groupBy("batch", F.col("dst").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("deg"))
+    cur = nodes.where("hop = 0").select("batch", "id", F.lit(1.0).alias("s"))
+    steps = None
+    for k in range(1, layers + 1):
+        sent = cur.join(deg, ["batch", "id"]).select("batch", F.col("id").alias("dst"), (F.col("s") / F.col("deg")).alias("s"))
+        cur = cut(edges.select("batch", "src", "dst").join(sent, ["batch", "dst"]).groupBy("batch", F.col("src").alias("id")).agg(F.sum("s").alias("s")))
+        step = cur.select("batch", "id", F.lit(k).alias("step"), "s")
+        steps = step if steps is None else steps.union(step)
+    # A step counts for all numbers of layers that reach it.
+    upto = F.explode(F.sequence(F.greatest("step", F.lit(least)), F.lit(layers))).alias("layers")
+    got = steps.select("batch", "id", upto, "s").groupBy("batch", "layers", "id").agg(F.sum("s").alias("s"))
+    rest = nodes.where("hop > 0").select("batch", "id", "hop", F.explode(F.sequence(F.lit(least), F.lit(layers))).alias("layers"))
+    rest = rest.join(got, ["batch", "layers", "id"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
+    seeds = nodes.where("hop = 0").groupBy("batch").agg(F.count(F.lit(1)).alias("seeds"))
+    rank = F.row_number().over(Window.partitionBy("batch", "layers").orderBy(F.desc(F.round("s", 12)), "id"))
+    rows = rest.withColumn("r", rank).join(seeds, "batch").withColumn("in_top", F.col("r") <= F.col("seeds") * times)
+    top = lambda x: F.sum(F.when(F.col("in_top"), x).otherwise(0))
+    return rows.groupBy("batch", "layers").agg(top(F.lit(1)).alias("top"), top((F.col("hop") == 1).cast("int")).alias("near"), top(F.col("s")).alias("top_sum"), F.sum("s").alias("all_sum"))

@@ -57,11 +57,25 @@ class Context:
         return scoring.pivots(self.nodes, self.edges, self.train, 0.05, 1)
 
     def runlog(self) -> DataFrame:
-        """Three runs of forty epochs, from arithmetic on ids."""
-        r = self.spark.range(120).select((F.col("id") % 3).cast("int").alias("run"), F.floor(F.col("id") / 3).cast("int").alias("iter"))
-        acc = lambda m, a: ((F.col("iter") * m + F.col("run") * a) % 101) / F.lit(101.0)
-        make = lambda name, c: r.select("run", F.lit(name).alias("label"), "iter", c.alias("value"))
-        return make("val/acc", acc(37, 13)).union(make("test/acc", acc(53, 29))).union(make("train/acc", acc(71, 7)))
+        """Six runs of forty epochs: the shares of an epoch's orders that are finished, dear and urgent stand for its accuracies."""
+        o = self.table("orders").select((F.col("o_orderkey") % 6).cast("int").alias("run"), F.floor(F.col("o_orderkey") / 6 % 40).cast("int").alias("iter"), "o_orderstatus", "o_totalprice", "o_orderpriority")
+        share = lambda c: (F.count(F.when(c, 1)) / F.count(F.lit(1)))
+        accs = {"val/acc": F.col("o_orderstatus") == "F", "test/acc": F.col("o_totalprice") > 150_000, "train/acc": F.col("o_orderpriority").startswith("1")}
+        return o.groupBy("run", "iter").agg(*(share(c).alias(k) for k, c in accs.items())).unpivot(["run", "iter"], list(accs), "label", "value").select("run", "label", "iter", "value")
+
+    def runs(self) -> DataFrame:
+        """A run for every clerk's remainder: its last order's day, and a configuration of one of three shapes."""
+        o = self.table("orders").groupBy((F.col("o_custkey") % 60).cast("int").alias("run")).agg(F.max("o_orderdate").alias("at"), F.count(F.lit(1)).alias("n"))
+        fanout, p = F.col("run") % 3, F.col("run") % 4
+        texts = ['{"sample": {"P": %d, "fanout": [%d, 10, 5]}, "model": "sage"}', '{"sample": {"P": "%d", "fanout": [%d]}, "lr": 1e-3}', '{"sample": {"P": %d.0, "fanout": [%d, 10]}, "model": "sage", "layers": {"n": 3}}']
+        config = F.when(F.col("run") % 5 == 0, F.format_string(texts[1], p, fanout)).when(F.col("run") % 5 == 1, F.format_string(texts[2], p, fanout)).otherwise(F.format_string(texts[0], p, fanout))
+        return runlog.with_configs(o.select("run", "at", config.alias("config")))
+
+    def stored(self, **kw) -> tuple[DataFrame, DataFrame]:
+        """The logs and runs, written to a store and read again."""
+        path = folder(self.spark)
+        runlog.write_store(self.runlog(), self.runs(), path)
+        return runlog.read_store(self.spark, path, **kw)
 
 
 def query(f):
@@ -271,15 +285,22 @@ def intervals(c):
     return _long(layout.intervalize(ends), "lo", "hi")
 
 
+def _largest(c, n: int) -> list[int]:
+    """The n parts with the most nodes, ties to the smaller number."""
+    return [r["part"] for r in layout.histogram(c.assign, "part", K).orderBy(F.desc("n"), "part").limit(n).collect()]
+
+
 @query
 def complement_runs(c):
-    parts = c.spark.createDataFrame([(p,) for p in BATCH], "part int")
+    """The runs of parts between the six largest ones."""
+    parts = c.spark.createDataFrame([(p,) for p in _largest(c, 6)], "part int")
     return layout.complement_runs(parts, "part", K)
 
 
 @query
 def block_pairs(c):
-    return c.spark.createDataFrame([(i, b) for i, b in enumerate(layout.block_ids(BATCH, K))], "pos int, block int")
+    """The blocks between the three largest parts, largest first."""
+    return c.spark.createDataFrame([(i, b) for i, b in enumerate(layout.block_ids(_largest(c, 3), K))], "pos int, block int")
 
 
 @query
@@ -621,7 +642,9 @@ def cached_batch_edges(c):
 
 @query
 def epoch_part_batches(c):
-    return _long(batching.part_batches(K, 5, c.spark, 1, 9), "batch", "seq")
+    """Batches of parts with the training nodes that each part brings."""
+    batches = batching.part_batches(K, 5, c.spark, 1, 9).join(layout.histogram(c.assign.join(c.train, "id"), "part", K), "part")
+    return _long(batches.select("batch", "part", "seq", "n"), "batch", "seq", "n")
 
 
 @query
@@ -756,6 +779,29 @@ def mfg_features_sum(c):
     return rows.groupBy("batch").agg(F.count(F.lit(1)).cast("bigint").alias("n"), (F.round(F.sum("x0"), 6) + 0.0).alias("total"))
 
 
+@heavy
+def sample_replace_edges(c):
+    """Positions drawn with replacement, more of them than most lists are long, with the ids of their edges and how often each was drawn."""
+    seeds = batching.global_batches(c.train, 100, 0, 3).select("batch", "id")
+    placed, lists = sampling.positioned(c.edges)
+    _, edges = sampling.sample(placed, seeds, [40, 3], 17, replace=True, lists=lists)
+    return _long(edges.groupBy("batch", "hop", "src", "dst", "eid").agg(F.count(F.lit(1)).alias("n")), "n")
+
+
+@heavy
+def sample_edge_ids(c):
+    """What is taken without replacement, with the ids of its edges."""
+    seeds = batching.global_batches(c.train, 100, 0, 3).select("batch", "id")
+    return sampling.sample(sampling.positioned(c.edges)[0], seeds, [5, 3], 17)[1].select("batch", "hop", "src", "dst", "eid")
+
+
+@heavy
+def sample_undirected(c):
+    """All edges between a batch's sampled nodes."""
+    e = sampling.induced_batches(_sampled(c, [5, 3])[0], c.edges)
+    return _long(e.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.sum("src").alias("src"), F.sum("dst").alias("dst")), "n", "src", "dst")
+
+
 @query
 def drop_random_alive(c):
     return sampling.drop_random(_sampled(c, [5, 3])[0], 0.3, 4)
@@ -797,6 +843,25 @@ def drop_far_share_alive(c):
     return sampling.drop_far(_sampled(c, [5, 3])[0], 1, 0.5, 6)
 
 
+@query
+def drop_hop_share_alive(c):
+    """Half of all nodes but the seeds go, the far ones first."""
+    return sampling.drop_hop(_sampled(c, [5, 3])[0], 1, 0.5, 6)
+
+
+@query
+def drop_hop_near_alive(c):
+    """Nine tenths go: all far ones, and of the near ones as many as it takes."""
+    return sampling.drop_hop(_sampled(c, [5, 3])[0], 1, 0.9, 6)
+
+
+@heavy
+def drop_seed_influence_alive(c):
+    """What the seeds of a batch influence least goes."""
+    nodes = cut(_sampled(c, [5, 3])[0])
+    return sampling.drop_by_influence(nodes, sampling.seed_scores(nodes, _influence(c)), 0.3)
+
+
 @query
 def drop_hop_alive(c):
     return sampling.drop_far(_sampled(c, [5, 3])[0], 1)
@@ -814,9 +879,26 @@ def batch_influence(c):
     return _score(sampling.batch_influence(edges, c.train, 2))
 
 
+@heavy
+def influence_by_layers(c):
+    """How much of each batch's influence lies near, by the number of layers."""
+    nodes, edges = _sampled(c, [5, 3])
+    out = sampling.influence_by_layers(cut(nodes), cut(edges), 4)
+    return _long(out.select("batch", "layers", "top", "near", _r9("top_sum"), _r9("all_sum")), "top", "near")
+
+
 # Aggregation
 
 
+@heavy
+def block_neighbor_mean(c):
+    """Neighbour means as a product of blocks of the partitioned graph."""
+    g = c.parted
+    s = aggregate.block_sums(g).join(g.nodes.select(F.col("new_id").alias("id"), "old_id"), "id")
+    s = s.select(F.col("old_id").alias("id"), F.posexplode(F.transform("sums", lambda x: x / F.col("total"))).alias("pos", "v"))
+    return s.select("id", "pos", (F.round("v", 6) + 0.0).alias("v"))
+
+
 @query
 def neighbor_sum(c):
     s = aggregate.neighbour_sums(c.edges, c.g.features)
@@ -965,30 +1047,31 @@ def eval_full(c):
 
 @query
 def best_epoch(c):
-    return runlog.best_epoch(c.runlog()).select("run", "iter", F.round("val", 9).alias("val"), F.round("test", 9).alias("test"))
+    return runlog.best_epoch(c.stored()[0]).select("run", "iter", F.round("val", 9).alias("val"), F.round("test", 9).alias("test"))
 
 
 @query
 def best_epoch_upto(c):
-    return runlog.best_epoch(c.runlog(), 19).select("run", "iter", F.round("val", 9).alias("val"), F.round("test", 9).alias("test"))
+    return runlog.best_epoch(c.stored()[0], 19).select("run", "iter", F.round("val", 9).alias("val"), F.round("test", 9).alias("test"))
 
 
 @query
 def run_stdmean(c):
-    m = runlog.mean_and_std(runlog.best_epoch(c.runlog()))
+    m = runlog.mean_and_std(runlog.best_epoch(c.stored()[0]))
     return m.select(*(F.round(x, 6).alias(x) for x in m.columns))
 
 
 @query
 def acc_curve(c):
-    m = runlog.curves(c.runlog(), "val/acc")
+    m = runlog.curves(c.stored()[0], "val/acc")
     return m.select("iter", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"), F.col("runs").cast("bigint").alias("runs"))
 
 
 @query
 def log_select(c):
-    runs = c.spark.range(60).select(F.col("id").cast("int").alias("run"), (F.col("id") * 10).alias("at"), F.struct(F.struct((F.col("id") % 4).cast("int").alias("P"), F.array((F.col("id") % 3).cast("int"), F.lit(10)).alias("fanout")).alias("sample"), F.lit("sage").alias("model")).alias("config"))
-    return runlog.select_runs(runs, {"sample": {"P": 1, "fanout": [2, 10]}, "model": "sage"}, 50, 500).select("run", "at")
+    """Runs by nested values, from configurations of unlike shape: a list that begins as asked for, numbers by value, texts not as numbers."""
+    _, runs = c.stored(filters={"sample": {"P": 1, "fanout": [2, 10]}, "model": "sage"}, until="2001-07-30")
+    return runs.select("run", F.to_date("at").cast("string").alias("day"))
 
 
 # Partitioners
@@ -1044,6 +1127,33 @@ def bsp_partition(c):
     return parting.superstep_partition(c.nodes, c.edges, parting.Fennel(k=K))
 
 
+def _unit(c):
+    return c.nodes.select("id", F.lit(1.0).alias("w")), c.edges.select("src", "dst", F.lit(1.0).alias("w"))
+
+
+@heavy
+def edge_matching(c):
+    """Nodes that three rounds of handshakes join."""
+    return multilevel.matching(*_unit(c))
+
+
+@heavy
+def contracted_edges(c):
+    """The graph one level up: joined nodes as one, with the sums of parallel edges."""
+    v, e = _unit(c)
+    return multilevel.contract(v, e, multilevel.matching(v, e))[1].select("src", "dst", F.col("w").cast("bigint").alias("w"))
+
+
+@heavy
+def multilevel_invariants(c):
+    return _sound(c, multilevel.multilevel_partition(c.nodes, c.edges, parting.Fennel(k=K)))
+
+
+@heavy
+def concurrent_invariants(c):
+    return _sound(c, concurrent.concurrent_partition(c.nodes, c.edges, parting.Fennel(k=K), rounds=4))
+
+
 @heavy
 def block_streaming(c):
     return parting.block_streaming_partition(c.nodes, c.edges, parting.Fennel(k=K), blocks=4)

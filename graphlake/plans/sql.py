@@ -115,9 +115,9 @@ main AS (SELECT m.new_id, m.old_id, m.part, sb.base + m.new_id - sb.s AS lid FRO
 """
 
 _RUNS = """
-r AS (SELECT CAST(range % 3 AS INTEGER) AS run, CAST(range // 3 AS INTEGER) AS iter FROM range(120)),
 rl AS (
-  SELECT run, iter, ((iter * 37 + run * 13) % 101) / 101.0::DOUBLE AS val, ((iter * 53 + run * 29) % 101) / 101.0::DOUBLE AS test FROM r
+  SELECT CAST(o_orderkey % 6 AS INTEGER) AS run, CAST(o_orderkey // 6 % 40 AS INTEGER) AS iter, count(*) FILTER (o_orderstatus = 'F') / count(*) AS val, count(*) FILTER (o_totalprice > 150000) / count(*) AS test
+  FROM orders GROUP BY 1, 2
 ),
 be AS (SELECT run, iter, val, test FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY val DESC, iter) AS k FROM rl) WHERE k = 1)
 """
@@ -176,6 +176,45 @@ def _attend(shift: int, edges: str) -> list[str]:
     ]
 
 
+#: Edges by position, lists of targets, and two hops of 40 and 3 draws from them.
+_DRAWS = """
+el AS MATERIALIZED (SELECT src, dst, row_number() OVER (ORDER BY dst, src) - 1 AS eid FROM edges),
+ls AS MATERIALIZED (SELECT dst, min(eid) AS s, count(*) AS n FROM el GROUP BY dst),
+d1 AS MATERIALIZED (SELECT g.batch, l.s + CAST('0x' || substr(md5(concat_ws(',', g.id, 0, j.range, 17)), 1, 8) AS BIGINT) % l.n AS eid FROM gb g JOIN ls l ON l.dst = g.id CROSS JOIN range(40) j),
+r1 AS MATERIALIZED (SELECT batch, src, dst, el.eid FROM d1 JOIN el ON el.eid = d1.eid),
+o1 AS (SELECT DISTINCT batch, src AS id FROM r1 EXCEPT SELECT batch, id FROM gb),
+d2 AS MATERIALIZED (SELECT g.batch, l.s + CAST('0x' || substr(md5(concat_ws(',', g.id, 1, j.range, 17)), 1, 8) AS BIGINT) % l.n AS eid FROM o1 g JOIN ls l ON l.dst = g.id CROSS JOIN range(3) j),
+r2 AS MATERIALIZED (SELECT batch, src, dst, el.eid FROM d2 JOIN el ON el.eid = d2.eid)
+"""
+
+
+def _dropped(share: str) -> str:
+    """SQL of sn without a share of all but the seeds, those beyond hop 1 first."""
+    return f"SELECT CAST(batch AS BIGINT) AS batch, hop, id FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY hop <= 1, md5(concat_ws(',', batch, id, 6))) AS k, count(*) OVER (PARTITION BY batch) AS n FROM sn WHERE hop > 0) WHERE k > floor(n * {share}::DOUBLE) UNION ALL SELECT batch, hop, id FROM sn WHERE hop = 0"
+
+
+def _layers(n: int) -> str:
+    """per(batch, layers, id, s) for 2 to n layers over sn and se."""
+    out = [" sd AS MATERIALIZED (SELECT batch, dst AS id, count(*)::DOUBLE AS deg FROM se GROUP BY batch, dst), k0 AS (SELECT batch, id, 1.0::DOUBLE AS s FROM sn WHERE hop = 0)"]
+    for i in range(n):
+        out.append(f" k{i + 1} AS MATERIALIZED (SELECT se.batch, se.src AS id, sum(k.s / sd.deg) AS s FROM k{i} k JOIN sd ON sd.batch = k.batch AND sd.id = k.id JOIN se ON se.batch = k.batch AND se.dst = k.id GROUP BY se.batch, se.src)")
+    steps = " UNION ALL ".join(f"SELECT {layers} AS layers, batch, id, s FROM k{i}" for layers in range(2, n + 1) for i in range(1, layers + 1))
+    out.append(f" per AS MATERIALIZED (SELECT layers, batch, id, sum(s) AS s FROM ({steps}) GROUP BY 1, 2, 3)")
+    return ",".join(out)
+
+
+#: Three rounds of handshakes: mates(id, mate).
+_MATES = ",".join(
+    [" t0 AS (SELECT CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS mate WHERE false)"]
+    + [
+        f""" n{r} AS MATERIALIZED (SELECT src AS id, arg_max(dst, md5(concat_ws(',', least(src, dst), greatest(src, dst), {r}, 0))) AS too FROM edges
+  ANTI JOIN t{r} a ON a.id = src ANTI JOIN t{r} b ON b.id = dst WHERE src <> dst GROUP BY src),
+ t{r + 1} AS MATERIALIZED (SELECT * FROM t{r} UNION ALL SELECT a.id, a.too FROM n{r} a JOIN n{r} b ON b.id = a.too AND b.too = a.id)"""
+        for r in range(3)
+    ]
+)
+
+
 def _pushes(steps: int) -> str:
     """p<steps>(seed, id, p, r, due): so many supersteps of pushing, more than there is anything left to push."""
     out = [" p0 AS (SELECT t.id AS seed, t.id, CAST(0 AS BIGINT) AS p, CAST(250000000000000 AS BIGINT) AS r, d.deg, true AS due FROM train t JOIN indeg d ON d.id = t.id)"]
@@ -240,8 +279,8 @@ r AS (
     "edge_blocks": _q("SELECT b.block, count(ep.src) AS n FROM (SELECT CAST(range AS INTEGER) AS block FROM range(256)) b LEFT JOIN ep ON ep.block = b.block GROUP BY b.block"),
     "block_offsets": _q('SELECT block, CAST(sum(n) OVER (ORDER BY block) - n AS BIGINT) AS start, CAST(sum(n) OVER (ORDER BY block) AS BIGINT) AS "end" FROM (SELECT b.block, count(ep.src) AS n FROM (SELECT CAST(range AS INTEGER) AS block FROM range(256)) b LEFT JOIN ep ON ep.block = b.block GROUP BY b.block)'),
     "intervals": _q("SELECT part, s AS lo, e AS hi FROM parts"),
-    "complement_runs": _q("SELECT CAST(min(part) AS BIGINT) AS lo, CAST(max(part) AS BIGINT) AS hi FROM (SELECT part, part - row_number() OVER (ORDER BY part) AS g FROM ids16 WHERE part NOT IN (SELECT part FROM batch)) GROUP BY g"),
-    "block_pairs": _q("SELECT CAST(a.seq * 3 + b.seq AS INTEGER) AS pos, CAST(a.part * 16 + b.part AS INTEGER) AS block FROM batch a CROSS JOIN batch b"),
+    "complement_runs": _q("SELECT CAST(min(part) AS BIGINT) AS lo, CAST(max(part) AS BIGINT) AS hi FROM (SELECT part, part - row_number() OVER (ORDER BY part) AS g FROM ids16 WHERE part NOT IN (SELECT part FROM (SELECT part, row_number() OVER (ORDER BY n DESC, part) AS k FROM psize) WHERE k <= 6)) GROUP BY g"),
+    "block_pairs": _q("SELECT CAST((a.k - 1) * 3 + b.k - 1 AS INTEGER) AS pos, CAST(a.part * 16 + b.part AS INTEGER) AS block FROM big a CROSS JOIN big b", " big AS (SELECT * FROM (SELECT part, row_number() OVER (ORDER BY n DESC, part) AS k FROM psize) WHERE k <= 3)"),
     "composite_keys": _q("SELECT src, dst, CAST(src * (SELECT count(*) FROM nodes) + dst AS BIGINT) AS key FROM edges"),
     "ranges_gather_nodes": _q("SELECT CAST(base + new_id - s AS BIGINT) AS out_pos, new_id, old_id FROM node_map m JOIN bases b ON b.part = m.part"),
     "ranges_add_shift": _q("SELECT new_id, CAST(new_id + coalesce((b.seq + 1) * 1000, 0) AS BIGINT) AS v FROM node_map m LEFT JOIN batch b ON b.part = m.part"),
@@ -319,9 +358,10 @@ l AS MATERIALIZED (SELECT new_id, row_number() OVER (ORDER BY side, new_id) - 1
   SELECT new_id, 0 AS side FROM nmap SEMI JOIN hot ON hot.id = old_id
   UNION ALL SELECT new_id, 1 FROM nmap SEMI JOIN batch ON batch.part = nmap.part ANTI JOIN hot ON hot.id = old_id))""",
     ),
-    "epoch_part_batches": f"""
-WITH q AS (SELECT CAST(range AS INTEGER) AS part, row_number() OVER (ORDER BY md5(concat_ws(',', range, 1, 9))) - 1 AS seq, 16 AS n FROM range(16))
-SELECT CAST({_chunk("seq", "n", "5")} AS BIGINT) AS batch, part, seq FROM q""",
+    "epoch_part_batches": _q(
+        f"SELECT CAST({_chunk('seq', 'm', '5')} AS BIGINT) AS batch, q.part, seq, t.n FROM q JOIN t ON t.part = q.part",
+        " q AS (SELECT CAST(range AS INTEGER) AS part, row_number() OVER (ORDER BY md5(concat_ws(',', range, 1, 9))) - 1 AS seq, 16 AS m FROM range(16)), t AS (SELECT i.part, count(t.id) AS n FROM ids16 i LEFT JOIN (SELECT a.* FROM assign a SEMI JOIN train t ON a.id = t.id) t ON t.part = i.part GROUP BY i.part)",
+    ),
     "epoch_collate_edges": _q(
         """
 SELECT a.batch, count(*) AS n, CAST(sum(src - a.s + a.base) AS BIGINT) AS src, CAST(sum(dst - b.s + b.base) AS BIGINT) AS dst
@@ -391,11 +431,32 @@ b2 AS (SELECT bk.dst AS id, sum(b1.s / bd.deg) AS s FROM bk JOIN b1 ON b1.id = b
     "best_epoch": f"WITH {_RUNS} SELECT run, iter, round(val, 9) AS val, round(test, 9) AS test FROM be",
     "run_stdmean": f"WITH {_RUNS} SELECT round(avg(val * 100), 6) AS val_mean, round(stddev_samp(val * 100), 6) AS val_std, round(avg(test * 100), 6) AS test_mean, round(stddev_samp(test * 100), 6) AS test_std FROM be",
     "acc_curve": f"WITH {_RUNS} SELECT iter, round(avg(val), 9) AS mean, round(stddev_samp(val), 9) AS std, count(*) AS runs FROM rl GROUP BY iter",
-    "log_select": 'SELECT CAST(range AS INTEGER) AS run, range * 10 AS "at" FROM range(60) WHERE range % 4 = 1 AND range % 3 = 2 AND range * 10 >= 50 AND range * 10 < 500',
+    "log_select": """SELECT CAST(o_custkey % 60 AS INTEGER) AS run, CAST(CAST(max(o_orderdate) AS DATE) AS VARCHAR) AS day FROM orders WHERE o_custkey % 60 % 4 = 1 AND o_custkey % 60 % 3 = 2 AND o_custkey % 5 <> 0 GROUP BY 1 HAVING max(o_orderdate) < TIMESTAMP '2001-07-30'""",
+    "sample_replace_edges": _q("SELECT CAST(batch AS BIGINT) AS batch, hop, src, dst, eid, count(*) AS n FROM (SELECT batch, 0 AS hop, src, dst, eid FROM r1 UNION ALL SELECT batch, 1, src, dst, eid FROM r2) GROUP BY ALL", _SEEDS, _DRAWS),
+    "sample_edge_ids": _q("SELECT CAST(batch AS BIGINT) AS batch, hop, se.src, se.dst, eid FROM se JOIN el ON el.src = se.src AND el.dst = se.dst", _SAMPLE, " el AS (SELECT src, dst, row_number() OVER (ORDER BY dst, src) - 1 AS eid FROM edges)"),
+    "sample_undirected": _q("SELECT CAST(a.batch AS BIGINT) AS batch, count(*) AS n, CAST(sum(src) AS BIGINT) AS src, CAST(sum(dst) AS BIGINT) AS dst FROM edges JOIN sn a ON a.id = src JOIN sn b ON b.id = dst AND b.batch = a.batch GROUP BY a.batch", _SAMPLE),
+    "drop_hop_share_alive": _q(_dropped("0.5"), _SAMPLE),
+    "drop_hop_near_alive": _q(_dropped("0.9"), _SAMPLE),
+    "drop_seed_influence_alive": _q(
+        """SELECT CAST(batch AS BIGINT) AS batch, hop, id FROM (
+  SELECT sn.*, row_number() OVER (PARTITION BY sn.batch ORDER BY round(coalesce(g.s, 0), 12) DESC, sn.id) AS k, count(*) OVER (PARTITION BY sn.batch) AS n, count(*) FILTER (hop > 0) OVER (PARTITION BY sn.batch) AS rest
+  FROM sn LEFT JOIN (SELECT gb.batch, inf.id, sum(s) AS s FROM inf JOIN gb ON gb.id = inf.seed GROUP BY 1, 2) g ON g.batch = sn.batch AND g.id = sn.id) WHERE k <= n - floor(rest * 0.3::DOUBLE)""",
+        _SAMPLE,
+        _INFLUENCE,
+    ),
+    "influence_by_layers": _q(
+        f"""SELECT CAST(batch AS BIGINT) AS batch, CAST(layers AS INTEGER) AS layers, count(*) FILTER (k <= 4 * seeds) AS top, count(*) FILTER (k <= 4 * seeds AND hop = 1) AS near, {_r9("sum(CASE WHEN k <= 4 * seeds THEN s ELSE 0 END)")} AS top_sum, {_r9("sum(s)")} AS all_sum FROM (
+  SELECT sn.batch, l.range AS layers, sn.hop, coalesce(p.s, 0) AS s, c.seeds, row_number() OVER (PARTITION BY sn.batch, l.range ORDER BY round(coalesce(p.s, 0), 12) DESC, sn.id) AS k
+  FROM sn CROSS JOIN range(2, 5) l LEFT JOIN per p ON p.batch = sn.batch AND p.layers = l.range AND p.id = sn.id JOIN (SELECT batch, count(*) AS seeds FROM gb GROUP BY batch) c ON c.batch = sn.batch WHERE hop > 0) GROUP BY batch, layers""",
+        _SAMPLE,
+        _layers(4),
+    ),
+    "edge_matching": _q("SELECT id, mate FROM t3", _MATES),
+    "contracted_edges": _q("SELECT a.up AS src, b.up AS dst, count(*) AS w FROM edges JOIN u a ON a.id = src JOIN u b ON b.id = dst WHERE a.up <> b.up GROUP BY 1, 2", _MATES, " u AS MATERIALIZED (SELECT n.id, least(n.id, coalesce(mate, n.id)) AS up FROM nodes n LEFT JOIN t3 ON t3.id = n.id)"),
     "fennel_alpha_table": _q("SELECT label, round(m.n / k.k * sqrt(16.0::DOUBLE) / pow(c.n, 1.5::DOUBLE), 9) AS alpha FROM (SELECT CASE WHEN split = 'train' THEN coalesce(label, 5) ELSE 5 END AS label, count(*)::DOUBLE AS n FROM nodes GROUP BY 1) c CROSS JOIN (SELECT count(*)::DOUBLE AS n FROM edges) m CROSS JOIN (SELECT count(DISTINCT CASE WHEN split = 'train' THEN coalesce(label, 5) ELSE 5 END)::DOUBLE AS k FROM nodes) k"),
     "weight_rescale": _q("SELECT id, CAST(round((w - lo + step) / step) AS BIGINT) AS rescaled FROM (SELECT id, deg * 0.5::DOUBLE AS w, min(deg * 0.5::DOUBLE) OVER () AS lo FROM indeg) x CROSS JOIN (SELECT min(deg) * 0.5::DOUBLE - (SELECT min(deg) * 0.5::DOUBLE FROM indeg) AS step FROM indeg WHERE deg > (SELECT min(deg) FROM indeg)) y"),
     **dict.fromkeys(
-        ("fennel_invariants", "restream_invariants", "bsp_invariants", "block_stream_invariants"),
+        ("fennel_invariants", "restream_invariants", "bsp_invariants", "block_stream_invariants", "multilevel_invariants", "concurrent_invariants"),
         _q(
             """SELECT n AS rows, n AS nodes, 0 AS first, 15 AS last, greatest(CAST(floor(n / 16 * 1.1::DOUBLE) AS BIGINT), CAST(ceil(n / 16) AS BIGINT)) AS cap, CAST(0 AS BIGINT) AS over,
  (SELECT count(*) FROM edges JOIN assign a ON a.id = src JOIN assign b ON b.id = dst WHERE a.part <> b.part) AS hash_cuts, true AS fewer_cuts FROM (SELECT count(*) AS n FROM nodes)"""
@@ -471,3 +532,4 @@ b2 AS (SELECT bk.dst AS id, sum(b1.s / bd.deg) AS s FROM bk JOIN b1 ON b1.id = b
 }
 
 SQL["pivot_store_edges"] = SQL["collate_pivot_edges"]
+SQL["block_neighbor_mean"] = SQL["neighbor_mean"]

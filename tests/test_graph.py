@@ -577,6 +577,11 @@ def test_run_log(spark, tmp_path):
 
 
 def test_config():
+    text = """{a: "x,]", 'b': "x, b: c", "c//d": 'it"s \\'q\\' /* no */', /* yes */ d: [+1, .5, 5., 0x1F, -0xa, 1e3, Infinity,], $e: true, f: 'a\\\nb\\u00e9\\x41'}"""
+    assert config.parse(text) == {"a": "x,]", "b": "x, b: c", "c//d": "it\"s 'q' /* no */", "d": [1, 0.5, 5.0, 31, -10, 1000.0, float("inf")], "$e": True, "f": "abéA"}
+    for bad in ("{a: 1,,}", "[,]", "{a: b}", '{"a" 1}', "{a: 'x}"):
+        with pytest.raises(ValueError):
+            config.parse(bad)
     c = config.parse("{a: 1, // one\n 'b': [1, 2,], \"u\": \"http://x\", }")
     assert c == {"a": 1, "b": [1, 2], "u": "http://x"}
     assert config.merge({"a": {"x": 1, "y": 2}}, {"a": {"y": 3, "x": None}, "b": 4}) == {"a": {"x": 1, "y": 3}, "b": 4}
@@ -584,3 +589,72 @@ def test_config():
     with pytest.raises(ValueError):
         config.expand({"k": [1, 2], "m": [1, 2, 3]}, ("k", "m"))
     assert config.flatten({"a": {"b": 1}, "c": 2}) == {"a/b": 1, "c": 2}
+
+
+def test_sampling_with_replacement(spark):
+    """Draws are positions of the target's list: as many as asked for, whatever the degree, and edge ids name the edges."""
+    pairs = [(s, d) for d, n in ((0, 1), (1, 3), (2, 50)) for s in range(100, 100 + n)] + [(0, 100), (1, 101)]
+    edges = spark.createDataFrame(pairs, "src bigint, dst bigint")
+    placed, lists = sampling.positioned(edges)
+    order = sorted(pairs, key=lambda e: (e[1], e[0]))
+    assert [(r.src, r.dst) for r in placed.orderBy("eid").collect()] == order
+    seeds = spark.createDataFrame([(0, 0), (0, 1), (0, 2), (1, 2), (1, 77)], "batch int, id bigint")
+    nodes, got = sampling.sample(placed, seeds, [20, -1], 5, replace=True, lists=lists)
+    rows = got.collect()
+    assert all(order[r.eid] == (r.src, r.dst) for r in rows)
+    first = [r for r in rows if r.hop == 0]
+    count = lambda b, d: sum(r.batch == b and r.dst == d for r in first)
+    assert (count(0, 0), count(0, 1), count(0, 2), count(1, 2), count(1, 77)) == (20, 20, 20, 20, 0)
+    assert len({r.src for r in first if r.dst == 2}) > 8 and {r.src for r in first if r.dst == 1} == {100, 101, 102}
+    assert sorted((r.batch, r.src) for r in first if r.dst == 2 and r.batch == 0) == sorted((0, r.src) for r in first if r.dst == 2 and r.batch == 1)  # as in any batch
+    assert {(r.src, r.dst) for r in rows if r.hop == 1} <= {(0, 100), (1, 101)}
+    both = {(r.batch, r.src, r.dst) for r in sampling.induced_batches(nodes, edges).collect()}
+    inside = {b: {r.id for r in nodes.where(F.col("batch") == b).collect()} for b in (0, 1)}
+    assert both == {(b, s, d) for b in (0, 1) for s, d in pairs if s in inside[b] and d in inside[b]}
+    with pytest.raises(ValueError):
+        sampling.sample(edges, seeds, [1], replace=True)
+
+
+def test_drop_hop_takes_near_nodes_last(spark):
+    nodes = spark.createDataFrame([(0, h, h * 100 + i) for h, n in ((0, 5), (1, 10), (2, 20)) for i in range(n)], "batch int, hop int, id bigint")
+    for share, left in ((0.0, (5, 10, 20)), (0.5, (5, 10, 5)), (0.8, (5, 6, 0)), (1.0, (5, 0, 0))):
+        hops = [r.hop for r in sampling.drop_hop(nodes, 1, share).collect()]
+        assert tuple(hops.count(h) for h in range(3)) == left
+    scores = spark.createDataFrame([(0, 0, 1.0), (0, 203, 5.0), (0, 100, 2.0), (9, 1, 3.0)], "batch int, id bigint, s double")
+    assert sorted(r.id for r in sampling.drop_by_influence(nodes, scores, 32 / 30 * 0.9).collect())[:1] == [0]
+    kept = sampling.drop_by_influence(nodes, scores, 1.0).collect()  # five are left: the three with scores, then the least ids
+    assert sorted(r.id for r in kept) == [0, 1, 2, 100, 203]
+
+
+def test_influence_of_each_batch_is_its_own(spark):
+    """A batch's walk uses its own edges only, from targets to sources."""
+    nodes = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (0, 1, 3), (0, 2, 4), (1, 0, 1), (1, 1, 2)], "batch int, hop int, id bigint")
+    edges = spark.createDataFrame([(0, 2, 1), (0, 3, 1), (0, 4, 2), (0, 1, 2), (1, 2, 1)], "batch int, src bigint, dst bigint")
+    got = {(r.batch, r.layers): (r.top, r.near, r.top_sum, r.all_sum) for r in sampling.influence_by_layers(nodes, edges, 3, times=2).collect()}
+    # Batch 0: 2 and 3 get 1/2; from 2 go 1/4 to 4 and to 1; then 1/8 to 2 and 3.  The two greatest are 2 and 3.
+    assert got == {(0, 2): (2, 2, 1.0, 1.25), (0, 3): (2, 2, 1.25, 1.5), (1, 2): (1, 1, 1.0, 1.0), (1, 3): (1, 1, 1.0, 1.0)}
+
+
+def test_block_sums(spark):
+    """Sums by blocks equal sums by edges, also where a block is dealt to several tasks."""
+    nodes, edges = clustered(spark)
+    edges = edges.withColumn("w", (F.col("src") % 3 + 1).cast("double"))
+    x = nodes.where("id <> 5").select("id", F.array(*((F.col("id") * (i + 1) % 7).cast("double") for i in range(3))).alias("x"))
+    g = layout.partition_graph(Graph(nodes.withColumn("kind", F.lit(0)), edges, x), parting.hash_partition(nodes, 4), 4)
+    want = {r.id: (r.n, r.total, r.sums) for r in aggregate.neighbour_sums(edges, x, "w").collect()}
+    for most in (10**6, 100):
+        got = aggregate.block_sums(g, "w", most).join(g.nodes.select(F.col("new_id").alias("id"), "old_id"), "id")
+        assert {r.old_id: (r.n, r.total, r.sums) for r in got.collect()} == want
+
+
+def test_run_store(spark, tmp_path):
+    """Configurations of unlike shape in one table; filters are paths, by value and by type."""
+    configs = ['{"a": {"b": 1, "c": [2, 3]}, "m": "x"}', '{"a": {"b": "1", "c": [2, 3]}, "m": "x"}', '{"a": {"b": 1.0, "c": [2, 3, 4]}, "m": "x", "z": null}', '{"a": 5, "m": "x"}', '{"m": "it\\"s"}']
+    runs = runlog.with_configs(spark.createDataFrame([(i, i, c) for i, c in enumerate(configs)], "run int, at int, config string"))
+    log = spark.createDataFrame([(i, l, e, i + e / 10) for i in range(5) for l in ("val/acc", "test/acc") for e in range(3)], "run int, label string, iter int, value double")
+    runlog.write_store(log, runs, f"{tmp_path}/s")
+    take = lambda f, *at: sorted(r.run for r in runlog.read_store(spark, f"{tmp_path}/s", f, *at)[1].collect())
+    assert take({"a": {"b": 1}}) == [0, 2] and take({"a": {"b": "1"}}) == [1] and take({"a": {"c": [2, 3]}}) == [0, 1, 2] and take({"a": {"c": [2, 3, 4]}}) == [2]
+    assert take({"m": 'it"s'}) == [4] and take({"a": 5}) == [3] and take({"q": 1}) == [] and take({}, 1, 3) == [1, 2] and take({"m": "x"}, 3) == [3]
+    assert runlog.read_store(spark, f"{tmp_path}/s", {"a": 5})[0].count() == 6
+    assert [r.iter for r in runlog.best_epoch(runlog.read_store(spark, f"{tmp_path}/s")[0]).collect()] == [2] * 5
