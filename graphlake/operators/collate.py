@@ -31,8 +31,11 @@ def batch_nodes(g: PartitionedGraph, batches: DataFrame, split: str = "train") -
 
 
 def batch_edges(g: PartitionedGraph, batches: DataFrame) -> DataFrame:
-    """(batch, src, dst) in local ids: the edge blocks between every two parts of a batch."""
-    b = bases(batches, g.parts)
+    """(batch, src, dst) in local ids: the edge blocks between every two parts of a batch.
+
+    The parts' places are written first: a row for each part of a batch, whose size is then known, so edges meet them where they lie and are not shuffled.
+    """
+    b = cut(bases(batches, g.parts))
     side = lambda c, p: b.select("batch", F.col("part").alias(p), (F.col("base") - F.col("start")).alias(f"_{c}"))
     e = g.edges.select("src", "dst", "sp", "dp").join(side("src", "sp"), "sp").join(side("dst", "dp"), ["batch", "dp"])
     return e.select("batch", (F.col("src") + F.col("_src")).alias("src"), (F.col("dst") + F.col("_dst")).alias("dst"))

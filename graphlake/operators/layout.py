@@ -58,10 +58,11 @@ def gather(df: DataFrame, index: str, table: DataFrame, key: str = "id") -> Data
 
 
 def partition_graph(g: Graph, assign: DataFrame, k: int) -> PartitionedGraph:
-    """Relabels nodes so that each part's ids are contiguous, and sorts edges into k * k blocks, source part first."""
+    """Relabels nodes so that each part's ids are contiguous, and sorts edges into k * k blocks, source part first.  Further columns of nodes and edges come along."""
     placed, off = scatter_append(assign.select("id", "part"), "part", "id", k, "new_id")
     node_map = cut(placed.select(F.col("id").alias("old_id"), "new_id", "part"))  # both ends of the edges, nodes and features read it
-    nodes = g.nodes.join(node_map, F.col("id") == F.col("old_id")).select("new_id", "old_id", "part", "label", "split")
+    more = [c for c in g.nodes.columns if c not in ("id", "kind", "label", "split", "new_id", "old_id", "part")]
+    nodes = g.nodes.join(node_map, F.col("id") == F.col("old_id")).select("new_id", "old_id", "part", "label", "split", *more)
     at = lambda c, p: node_map.select(F.col("old_id").alias(c), F.col("new_id").alias(f"_{c}"), F.col("part").alias(p))
     rest = [c for c in g.edges.columns if c not in ("src", "dst")]
     edges = g.edges.join(at("src", "sp"), "src").join(at("dst", "dp"), "dst")

@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphlake.functions import user
 from graphlake.functions.store import cut, folder
 from graphlake.model import PartitionedGraph
 from graphlake.operators import aggregate, batching, collate, concurrent, layout, methods, metrics, multilevel, runlog, sampling, scoring
@@ -618,6 +619,15 @@ def popular_pivots(c):
     return c.pivot_ids.select("id").intersect(collate.popular_nodes(c.nodes, c.edges, 0.1).select("id"))
 
 
+@heavy
+def partition_store_blocks(c):
+    """A partitioned graph written, and the blocks between the batch's parts read again: only these parts' directories are planned."""
+    path = graphs.partition_path(folder(c.spark), "rand", K)
+    graphs.write_partitioned(c.parted, path)
+    e = graphs.read_partitioned(c.spark, path, BATCH).edges
+    return _long(e.groupBy("sp", "dp").agg(F.count(F.lit(1)).alias("n"), F.sum("src").alias("src"), F.sum("dst").alias("dst")), "n", "src", "dst")
+
+
 @heavy
 def layout_check(c):
     return _long(collate.check_layout(c.parted, c.edges, c.assign), "bad")
@@ -1038,6 +1048,37 @@ def acc_per_epoch(c):
     return m.select("epoch", *(F.round(x, 6).alias(x) for x in ("loss", "acc", "nodes", "edges")))
 
 
+@query
+def epoch_plateaus(c):
+    """By a user's table function: each run's epochs at which validation accuracy rises over all before, and for how many epochs it had not."""
+    log = c.runlog().where("label = 'val/acc'").select("run", "iter", "value")
+
+    def step(state, row):
+        if row["value"] > state.get("best", -1.0):
+            yield row["run"], row["iter"], row["value"], row["iter"] - state.get("at", row["iter"])
+            state.update(best=row["value"], at=row["iter"])
+
+    out = user.table_function(log, dict, step, lambda _: iter(()), "run int, iter int, best double, waited int", ["run"], ["iter"])
+    return out.select("run", "iter", _r9("best"), "waited")
+
+
+@query
+def epoch_spread(c):
+    """By a user's aggregate with partial states: count, mean and deviation of the nodes of an epoch's iterations, from exact sums."""
+    rows = _iterations(c).select("epoch", F.col("nodes").cast("bigint").alias("nodes"))
+
+    def update(s, b):
+        x = b.column("nodes").to_pylist()
+        return s[0] + len(x), s[1] + sum(x), s[2] + sum(v * v for v in x)
+
+    def finish(s):
+        n, total, squares = s
+        return n, total / n, ((n * squares - total * total) / (n * (n - 1))) ** 0.5 if n > 1 else None
+
+    out = user.aggregate_function(rows, ["epoch"], ["nodes"], lambda: (0, 0, 0), update, lambda a, b: tuple(x + y for x, y in zip(a, b)), finish, "n bigint, mean double, std double")
+    return out.select("epoch", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
 @query
 def eval_full(c):
     scores = c.nodes.select("split", "label", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: -((F.col("id") * 13 + k * 7) % 17) / F.lit(4.0)).alias("logp"))

@@ -164,6 +164,22 @@ _SAGE = [
 ]
 
 
+_LEAKY = "CASE WHEN v > 0 THEN v ELSE 0.01::DOUBLE * v END"
+#: Two residual layers, whose outputs and the input all reach the head.
+_RESIDUAL = [
+    " m1 AS MATERIALIZED (SELECT dst AS id, i, avg(v) AS v FROM edges JOIN x ON x.id = src GROUP BY dst, i)",
+    _dense("a1", "x", "m1", 8),
+    _dense("s1", "x", None, 8),
+    f" y1 AS MATERIALIZED (SELECT id, i, {_LEAKY} AS v FROM a1), x2 AS MATERIALIZED (SELECT id, i, sum(v) AS v FROM (SELECT * FROM y1 UNION ALL SELECT * FROM s1) GROUP BY id, i)",
+    " m2 AS MATERIALIZED (SELECT dst AS id, i, avg(v) AS v FROM edges JOIN x2 ON x2.id = src GROUP BY dst, i)",
+    _dense("a2", "x2", "m2", 8),
+    f" held AS MATERIALIZED (SELECT id, i, v FROM x UNION ALL SELECT id, i + 64, v FROM y1 UNION ALL SELECT id, i + 72, {_LEAKY} FROM a2)",
+    _dense("h1", "held", None, 8),
+    _dense("h2", "h1", None, 4),
+    " z2 AS (SELECT id, i, v - max(v) OVER (PARTITION BY id) - ln(sum(exp(v)) OVER (PARTITION BY id) / exp(max(v) OVER (PARTITION BY id))) AS v FROM h2)",
+]
+
+
 def _attend(shift: int, edges: str) -> list[str]:
     """o<shift>(id, v): what one head gives over some edges."""
     k = shift
@@ -453,6 +469,15 @@ b2 AS (SELECT bk.dst AS id, sum(b1.s / bd.deg) AS s FROM bk JOIN b1 ON b1.id = b
     ),
     "edge_matching": _q("SELECT id, mate FROM t3", _MATES),
     "contracted_edges": _q("SELECT a.up AS src, b.up AS dst, count(*) AS w FROM edges JOIN u a ON a.id = src JOIN u b ON b.id = dst WHERE a.up <> b.up GROUP BY 1, 2", _MATES, " u AS MATERIALIZED (SELECT n.id, least(n.id, coalesce(mate, n.id)) AS up FROM nodes n LEFT JOIN t3 ON t3.id = n.id)"),
+    "partition_store_blocks": _q("SELECT sp, dp, count(*) AS n, CAST(sum(src) AS BIGINT) AS src, CAST(sum(dst) AS BIGINT) AS dst FROM ep WHERE sp IN (SELECT part FROM batch) AND dp IN (SELECT part FROM batch) GROUP BY sp, dp"),
+    "epoch_plateaus": f"""WITH {_RUNS}, pk AS (SELECT run, iter, val FROM (SELECT *, max(val) OVER (PARTITION BY run ORDER BY iter ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM rl) WHERE before IS NULL OR val > before)
+SELECT run, iter, {_r9("val")} AS best, iter - coalesce(lag(iter) OVER (PARTITION BY run ORDER BY iter), iter) AS waited FROM pk""",
+    "epoch_spread": "SELECT CAST(o_orderkey % 10 AS INTEGER) AS epoch, count(*) AS n, round(avg(o_custkey % 500), 6) AS mean, round(stddev_samp(o_custkey % 500), 6) AS std FROM orders GROUP BY 1",
+    "sage_ri_forward": _q(
+        "SELECT id, round(sum(v), 5) AS total FROM z2 GROUP BY id",
+        _X,
+        *_RESIDUAL,
+    ),
     "fennel_alpha_table": _q("SELECT label, round(m.n / k.k * sqrt(16.0::DOUBLE) / pow(c.n, 1.5::DOUBLE), 9) AS alpha FROM (SELECT CASE WHEN split = 'train' THEN coalesce(label, 5) ELSE 5 END AS label, count(*)::DOUBLE AS n FROM nodes GROUP BY 1) c CROSS JOIN (SELECT count(*)::DOUBLE AS n FROM edges) m CROSS JOIN (SELECT count(DISTINCT CASE WHEN split = 'train' THEN coalesce(label, 5) ELSE 5 END)::DOUBLE AS k FROM nodes) k"),
     "weight_rescale": _q("SELECT id, CAST(round((w - lo + step) / step) AS BIGINT) AS rescaled FROM (SELECT id, deg * 0.5::DOUBLE AS w, min(deg * 0.5::DOUBLE) OVER () AS lo FROM indeg) x CROSS JOIN (SELECT min(deg) * 0.5::DOUBLE - (SELECT min(deg) * 0.5::DOUBLE FROM indeg) AS step FROM indeg WHERE deg > (SELECT min(deg) FROM indeg)) y"),
     **dict.fromkeys(

@@ -229,12 +229,13 @@ def partition_path(root: str, method: str, k: int, pivots: bool = False) -> str:
 
 
 def write_partitioned(g: PartitionedGraph, path: str) -> None:
-    """Edges cluster by block, so row-group statistics skip the blocks that a batch does not need.
+    """A directory for each part of nodes and for each source part of edges, so a batch's parts are planned from their directories alone.
 
-    Not a directory for each block: k**2 of these would be too many.
+    Within, edges cluster by target part, so row-group statistics skip the blocks that a batch does not need; a directory for each block
+    would be k**2 of them.  Further node columns are stored with the nodes.
     """
-    g.nodes.repartitionByRange("part", "new_id").sortWithinPartitions("part", "new_id").write.parquet(f"{path}/nodes.parquet")
-    g.edges.repartitionByRange("sp", "dp", "dst").sortWithinPartitions("sp", "dp", "dst", "src").write.parquet(f"{path}/edges.parquet")
+    g.nodes.repartitionByRange("part", "new_id").sortWithinPartitions("part", "new_id").write.partitionBy("part").parquet(f"{path}/nodes.parquet")
+    g.edges.repartitionByRange("sp", "dp", "dst").sortWithinPartitions("sp", "dp", "dst", "src").write.partitionBy("sp").parquet(f"{path}/edges.parquet")
     g.parts.write.parquet(f"{path}/parts.parquet")
     if g.features is not None:
         g.features.write.parquet(f"{path}/features.parquet")

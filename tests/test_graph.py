@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphlake.functions import config
+from graphlake.functions import config, user
 from graphlake.model import Graph
 from graphlake.operators import aggregate, batching, collate, concurrent, layout, methods, metrics, multilevel, runlog, sampling, scoring, select
 from graphlake.operators import partition as parting
@@ -658,3 +658,46 @@ def test_run_store(spark, tmp_path):
     assert take({"m": 'it"s'}) == [4] and take({"a": 5}) == [3] and take({"q": 1}) == [] and take({}, 1, 3) == [1, 2] and take({"m": "x"}, 3) == [3]
     assert runlog.read_store(spark, f"{tmp_path}/s", {"a": 5})[0].count() == 6
     assert [r.iter for r in runlog.best_epoch(runlog.read_store(spark, f"{tmp_path}/s")[0]).collect()] == [2] * 5
+
+
+def test_user_functions(spark):
+    """A table function sees a group's rows in order, an aggregate's states merge from many batches; nulls are groups like others."""
+    rows = [(k, i, (i * 7) % 11) for k in ("a", "b", None) for i in range(50)]
+    df = spark.createDataFrame(rows, "k string, i int, v int").repartition(7)
+
+    def step(s, r):
+        s.append(r["v"])
+        if len(s) % 25 == 0:
+            yield r["k"], len(s), sum(s)
+
+    out = user.table_function(df, list, step, lambda s: iter([(None, -1, len(s))]), "k string, n int, total int", ["k"], ["i"])
+    v = [(i * 7) % 11 for i in range(50)]
+    want = [(k, n, sum(v[:n])) for k in ("a", "b", None) for n in (25, 50)] + [(None, -1, 50)] * 3
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        spread = lambda by: user.aggregate_function(df, by, ["v", "i"], set, lambda s, b: s | {(x, y) for x, y in zip(b.column("v").to_pylist(), b.column("i").to_pylist())}, lambda a, b: a | b, lambda s: (len(s), max(s)[0]), "n bigint, most bigint").collect()
+        assert sorted(map(repr, map(tuple, spread(["k"])))) == sorted(repr((k, 50, 10)) for k in ("a", "b", None))
+        assert [tuple(r) for r in spread([])] == [(50, 10)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_partitioned_store_plans_its_parts_only(spark, tmp_path):
+    """Reading some parts plans their directories only, collation from a store moves no edges, and further columns come back."""
+    nodes, edges = clustered(spark)
+    g = layout.partition_graph(Graph(nodes.withColumn("kind", F.lit(0)).withColumn("age", F.col("id") * 2), edges, None), parting.hash_partition(nodes, 8), 8)
+    graphs.write_partitioned(g, f"{tmp_path}/g")
+    some = graphs.read_partitioned(spark, f"{tmp_path}/g", [1, 5, 6])
+    assert {f.split("/sp=")[1].split("/")[0] for f in some.edges.inputFiles()} >= {"1", "5", "6"}
+    plan = some.edges._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "sp#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    want = sorted(map(tuple, g.edges.where("sp in (1, 5, 6) and dp in (1, 5, 6)").select("src", "dst", "sp", "dp", "block").collect()))
+    assert sorted(map(tuple, some.edges.select("src", "dst", "sp", "dp", "block").collect())) == want
+    assert sorted(map(tuple, some.nodes.select("old_id", "age").collect())) == sorted((r.old_id, r.old_id * 2) for r in g.nodes.where("part in (1, 5, 6)").collect())
+    batch = spark.createDataFrame([(0, 1, 0), (0, 5, 1)], "batch int, part int, seq int")
+    e = collate.batch_edges(some, batch)
+    e.count()
+    plan = e._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning(sp" not in plan
