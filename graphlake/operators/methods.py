@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ def partition(nodes: DataFrame, edges: DataFrame, method: str, k: int, runs: int
     ``metis*`` names give the multilevel partitioner, which keeps the contract (an assignment, balance, few cut edges), not the
     library's output.  -w weighs edges by their importance to the training nodes; -tb and -lb balance the training nodes; -lb also
     stratifies by training label, other nodes being a class of their own.  streams: how fennel names stream, at any size of the graph:
-    ``blocks`` of the stream at once (see block_streaming_partition), ``concurrent`` streams (concurrent_partition; not for -lb, whose strata it
+    ``blocks`` of the stream at once (see block_streaming_partition; its caps are kept), ``concurrent`` streams (concurrent_partition; not for -lb, whose strata it
     does not know), or ``one`` node at a time, in one task, which refuses graphs beyond its limit; blocks: how many, or rounds of concurrent streams.
     """
     if method not in METHODS:
@@ -41,4 +43,7 @@ def partition(nodes: DataFrame, edges: DataFrame, method: str, k: int, runs: int
         p, by = Fennel(k=k, runs=runs, slack=slack, scan=1 / 4), {"strata": "_s", "balance": "_b"}
     if streams == "concurrent":
         return concurrent_partition(nodes, edges, p, rounds=blocks)
-    return streaming_partition(nodes, edges, p, **by) if streams == "one" else block_streaming_partition(nodes, edges, p, blocks, **by)
+    if streams == "one":
+        # One stream with classes goes by id, and its caps are soft: the least penalised part takes a node, full or not.
+        return streaming_partition(nodes, edges, replace(p, strict=False), "id", **by) if by else streaming_partition(nodes, edges, p)
+    return block_streaming_partition(nodes, edges, p, blocks, **by)

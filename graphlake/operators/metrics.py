@@ -28,6 +28,12 @@ def cut_matrix(edges: DataFrame, assign: DataFrame, sources: DataFrame | None =
     return with_parts(edges, assign).groupBy("dp", "sp").agg(F.count(F.lit(1)).alias("n"))
 
 
+def moved(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(moved, nodes): how many nodes of two assignments (id, part) changed their part, nodes of only one of them included."""
+    both = before.select("id", F.col("part").alias("a")).join(after.select("id", F.col("part").alias("b")), "id", "full")
+    return both.agg(F.coalesce(F.sum((~F.col("a").eqNullSafe(F.col("b"))).cast("bigint")), F.lit(0)).alias("moved"), F.count(F.lit(1)).alias("nodes"))
+
+
 def cut_flags(edges: DataFrame, assign: DataFrame, cached: DataFrame) -> DataFrame:
     """(src, dst, cut): whether an edge is cut, edges that leave the cached set never being so."""
     e = with_parts(edges, assign).join(cached.select(F.col("id").alias("src")).distinct().withColumn("_c", F.lit(True)), "src", "left")

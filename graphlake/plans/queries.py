@@ -413,6 +413,14 @@ def cut_flags(c):
     return metrics.cut_flags(c.edges, c.assign, collate.popular_nodes(c.nodes, c.edges, 0.1))
 
 
+@query
+def moved_nodes(c):
+    """Nodes that change their part when the graph is split by ranges of ids in place of a hash."""
+    n = c.nodes.count()
+    other = c.nodes.select("id", F.least(F.floor(F.col("id") * K / n), F.lit(K - 1)).cast("int").alias("part"))
+    return _long(metrics.moved(c.assign, other), "moved", "nodes")
+
+
 @query
 def load_ratio(c):
     return metrics.load_ratio(c.assign, K)

@@ -469,6 +469,7 @@ b2 AS (SELECT bk.dst AS id, sum(b1.s / bd.deg) AS s FROM bk JOIN b1 ON b1.id = b
     ),
     "edge_matching": _q("SELECT id, mate FROM t3", _MATES),
     "contracted_edges": _q("SELECT a.up AS src, b.up AS dst, count(*) AS w FROM edges JOIN u a ON a.id = src JOIN u b ON b.id = dst WHERE a.up <> b.up GROUP BY 1, 2", _MATES, " u AS MATERIALIZED (SELECT n.id, least(n.id, coalesce(mate, n.id)) AS up FROM nodes n LEFT JOIN t3 ON t3.id = n.id)"),
+    "moved_nodes": _q("SELECT count(*) FILTER (part <> least(id * 16 // n, 15)) AS moved, count(*) AS nodes FROM assign CROSS JOIN (SELECT count(*) AS n FROM nodes)"),
     "partition_store_blocks": _q("SELECT sp, dp, count(*) AS n, CAST(sum(src) AS BIGINT) AS src, CAST(sum(dst) AS BIGINT) AS dst FROM ep WHERE sp IN (SELECT part FROM batch) AND dp IN (SELECT part FROM batch) GROUP BY sp, dp"),
     "epoch_plateaus": f"""WITH {_RUNS}, pk AS (SELECT run, iter, val FROM (SELECT *, max(val) OVER (PARTITION BY run ORDER BY iter ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM rl) WHERE before IS NULL OR val > before)
 SELECT run, iter, {_r9("val")} AS best, iter - coalesce(lag(iter) OVER (PARTITION BY run ORDER BY iter), iter) AS waited FROM pk""",
