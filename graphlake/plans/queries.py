@@ -106,9 +106,9 @@ def _long(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("bigint") for c in cols})
 
 
-def _r9(c: str):
+def _r9(c: str, step: float = 1e9):
     """A column in steps of 1e-13 and these in steps of 1e-9: what the order of sums changes does not reach a tie."""
-    return (F.floor(F.floor(F.col(c) * 1e13 + 0.5) / 1e13 * 1e9 + 0.5) / 1e9).alias(c)
+    return (F.floor(F.floor(F.col(c) * 1e13 + 0.5) / 1e13 * step + 0.5) / step).alias(c)
 
 
 # Sources
@@ -545,7 +545,7 @@ def _influence(c):
 
 @heavy
 def seed_topk_influence(c):
-    return _influence(c).select("seed", "id", F.round("s", 11).alias("s"), "rank")
+    return _influence(c).select("seed", "id", _r9("s", 1e11), "rank")
 
 
 @heavy

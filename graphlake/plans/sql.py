@@ -248,9 +248,9 @@ def _pushes(steps: int) -> str:
 _PUSH = _pushes(9)
 
 
-def _r9(x: str) -> str:
+def _r9(x: str, step: str = "1e9") -> str:
     """x in steps of 1e-13 and these in steps of 1e-9, as the queries have it: what the order of sums changes does not reach a tie."""
-    return f"floor(floor(({x}) * 1e13::DOUBLE + 0.5::DOUBLE) / 1e13::DOUBLE * 1e9::DOUBLE + 0.5::DOUBLE) / 1e9::DOUBLE"
+    return f"floor(floor(({x}) * 1e13::DOUBLE + 0.5::DOUBLE) / 1e13::DOUBLE * {step}::DOUBLE + 0.5::DOUBLE) / {step}::DOUBLE"
 
 
 def _q(body: str, *more: str) -> str:
@@ -334,7 +334,7 @@ sd AS (SELECT a.batch, avg(abs(a.mass - b.mass)) AS d FROM (SELECT *, row_number
     "popular_nodes": _q("SELECT id FROM popular"),
     "pivot_inter_edges": _q("SELECT src, dst FROM edges WHERE dst IN (SELECT id FROM pvt)"),
     "pivot_intra_edges": _q("SELECT src, dst FROM edges WHERE dst IN (SELECT id FROM pvt) AND src IN (SELECT id FROM pvt)"),
-    "seed_topk_influence": _q("SELECT seed, id, round(s, 11) AS s, CAST(rank AS INTEGER) AS rank FROM inf", _INFLUENCE),
+    "seed_topk_influence": _q(f"SELECT seed, id, {_r9('s', '1e11')} AS s, CAST(rank AS INTEGER) AS rank FROM inf", _INFLUENCE),
     "coverage": _q(
         f"""
 SELECT h.part, {_r9('coalesce(g.got, 0) / h.n')} AS covered, {_r9('coalesce(b.best, 0) / h.n')} AS best
@@ -430,7 +430,7 @@ ez AS (SELECT part, seq, CAST({_chunk("seq", "n", "5")} AS BIGINT) AS batch FROM
     "drop_hop_alive": _q("SELECT CAST(batch AS BIGINT) AS batch, hop, id FROM sn WHERE hop <= 1", _SAMPLE),
     "lossy_edges": _q("SELECT CAST(e.batch AS BIGINT) AS batch, e.hop, e.src, e.dst FROM se e SEMI JOIN (SELECT * FROM sn WHERE hop <= 1) a ON a.batch = e.batch AND a.id = e.src SEMI JOIN (SELECT * FROM sn WHERE hop <= 1) b ON b.batch = e.batch AND b.id = e.dst", _SAMPLE),
     "batch_influence": _q(
-        "SELECT id, round(sum(s), 9) AS s FROM (SELECT id, s FROM b0 UNION ALL SELECT id, s FROM b1 UNION ALL SELECT id, s FROM b2) GROUP BY id",
+        f"SELECT id, {_r9('sum(s)')} AS s FROM (SELECT id, s FROM b0 UNION ALL SELECT id, s FROM b1 UNION ALL SELECT id, s FROM b2) GROUP BY id",
         _SAMPLE,
         """ bk AS (SELECT DISTINCT dst AS src, src AS dst FROM se), bd AS (SELECT src AS id, count(*)::DOUBLE AS deg FROM bk GROUP BY src),
 b0 AS (SELECT id, CASE WHEN id IN (SELECT id FROM train) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS s FROM (SELECT src AS id FROM bk UNION SELECT dst FROM bk UNION SELECT id FROM train)),
