@@ -211,8 +211,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, p: OneBit = OneB
     rows = rows.where(F.size("vector") == dim)
 
     counted = rows.groupBy("vector", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("n"))
-    first = counted.withColumn("at", F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))).where(F.col("at") <= k + 1)
-    items = first.groupBy("vector").agg(F.sort_array(F.collect_list(F.struct("vec_id", "n"))).alias("ids")).withColumn("row", F.monotonically_increasing_id())
+    alike = Window.partitionBy("vector")  # of one partitioning, so the second window shuffles nothing
+    first = counted.withColumn("at", F.row_number().over(alike.orderBy("vec_id"))).where(F.col("at") <= k + 1)
+    items = first.withColumn("ids", F.collect_list(F.struct("vec_id", "n")).over(alike)).where(F.col("at") == 1).select("vector", F.sort_array("ids").alias("ids"), F.monotonically_increasing_id().alias("row"))
     items = scratch.write(items, "items")  # row numbers stay as written
     asked = clean(queries, "query_id", "double").where(F.size("vector") == dim).groupBy("query_id", "vector").agg(F.count(F.lit(1)).alias("times"))
     asked = scratch.write(asked.withColumn("q", F.monotonically_increasing_id()), "queries")
