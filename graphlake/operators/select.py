@@ -54,20 +54,63 @@ def _settle(rows: DataFrame, wanted: DataFrame, value: str, few: int) -> DataFra
         bounds = found.where(more).drop("n")
 
 
+def _narrow_one(rows: DataFrame, value: str, k: int, few: int) -> tuple[int, int, int, int] | None:
+    """(lo, hi, k, n) of _settle for one group, None where no row is wanted.
+
+    The bounds are numbers of the plan, so a pass is one job without a join, and its filter reaches the scan of a written table; the driver gets
+    the counts of BINS bins at most.
+    """
+    lo, hi, n = rows.agg(F.min(value), F.max(value), F.count(value)).first()
+    if not n or k <= 0:
+        return None
+    while lo < hi and few < n and k < n:
+        width = -(-(hi - lo + 1) // BINS)
+        # The distance of two values may span 64 bits.
+        kind = "bigint" if hi - lo < 1 << 62 else "decimal(38, 0)"
+        at = F.expr(f"cast((cast({value} as {kind}) - cast({lo} as {kind})) div cast({width} as {kind}) as int)")
+        counts = rows.where(F.col(value).between(F.lit(lo).cast("bigint"), F.lit(hi).cast("bigint"))).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+        for r in sorted(counts.collect(), reverse=True):
+            if k <= r["n"]:
+                break
+            k -= r["n"]
+        lo, n = lo + r["bin"] * width, r["n"]
+        hi = min(hi, lo + width - 1)
+    return lo, hi, k, n
+
+
+def _first_of_all(rows: DataFrame, value: Column, k: int, id_: str, few: int) -> DataFrame:
+    """first_rows of one group."""
+    marked = rows.withColumns({"_v": value.cast("bigint"), "_i": -F.col(id_).cast("bigint")}).where("_v is not null and _i is not null")
+    found = _narrow_one(marked, "_v", k, few)
+    if found is None:
+        return rows.limit(0)
+    lo, hi = (F.lit(x).cast("bigint") for x in found[:2])
+    above, inside = F.col("_v") > hi, F.col("_v").between(lo, hi)
+    if found[2] < found[3] and found[3] > few:  # one value of too many rows: these are cut by id
+        found = _narrow_one(marked.where(inside), "_i", found[2], few)
+        ilo, ihi = (F.lit(x).cast("bigint") for x in found[:2])
+        above, inside = above | (inside & (F.col("_i") > ihi)), inside & F.col("_i").between(ilo, ihi)
+    if found[2] >= found[3]:
+        return marked.where(above | inside).select(*rows.columns)
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("_v"), F.desc("_i")))  # ``few`` rows at most
+    edge = marked.where(inside).withColumn("_r", rank).where(F.col("_r") <= found[2])
+    return marked.where(above).select(*rows.columns).union(edge.select(*rows.columns))
+
+
 def first_rows(rows: DataFrame, value: Column, k: int | DataFrame, id_: str = "id", by: str | None = None, few: int = FEW) -> DataFrame:
     """The k rows of greatest ``value`` (a bigint), ties to the smaller ``id_`` (a bigint, unique within its group).
 
     by: the column of groups, in each of which k rows are taken; k: a number, or a table (by, k) with one for each group.  Rows with a
     null value, id or group are not taken; where there are fewer than k, all are.  rows should be a written table: each pass reads it.
     """
-    marked = rows.withColumns({"_v": value.cast("bigint"), "_i": -F.col(id_).cast("bigint"), "_g": F.col(by) if by else F.lit(0)}).where("_v is not null and _i is not null and _g is not null")
+    if by is None:
+        return _first_of_all(rows, value, k, id_, few)
+    marked = rows.withColumns({"_v": value.cast("bigint"), "_i": -F.col(id_).cast("bigint"), "_g": F.col(by)}).where("_v is not null and _i is not null and _g is not null")
     flat = marked.select(F.col("_g").alias("g"), "_v", "_i")
     if isinstance(k, DataFrame):
         wanted = k.select(F.col(by).alias("g"), F.col("k").cast("bigint").alias("k"))
-    elif by:
-        wanted = flat.select("g").distinct().withColumn("k", F.lit(k).cast("bigint"))
     else:
-        wanted = rows.sparkSession.range(1).select(F.lit(0).alias("g"), F.lit(k).cast("bigint").alias("k"))
+        wanted = flat.select("g").distinct().withColumn("k", F.lit(k).cast("bigint"))
     top = cut(_settle(flat, wanted, "_v", few))
     # One value of too many rows: these are cut by id.
     heavy = top.where((F.col("k") < F.col("n")) & (F.col("n") > few)).select("g", F.col("lo").alias("at"), "k")
