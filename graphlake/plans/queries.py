@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from graphlake.functions import user
 from graphlake.functions.store import cut, folder
 from graphlake.model import PartitionedGraph
-from graphlake.operators import aggregate, batching, collate, concurrent, layout, methods, metrics, multilevel, runlog, sampling, scoring
+from graphlake.operators import aggregate, batching, chain, collate, concurrent, layout, methods, metrics, multilevel, runlog, sampling, scoring
 from graphlake.operators import partition as parting
 from graphlake.plans import loaders
 from graphlake.sources import graphs
@@ -696,6 +696,14 @@ def even_split_chunks(c):
     return _positions(c).select("id", "pos", batching.even_chunk(F.col("pos"), n, 64).alias("chunk"))
 
 
+@query
+def chained_chunks(c):
+    """Training ids shuffled, split without a short tail, zipped with shuffled validation ids and repeated, as one chain."""
+    valid = chain.chain(c.g.split("valid")).shuffle("id", 2, 5).select("pos", F.col("id").alias("other"))
+    made = chain.chain(c.train).shuffle("id", epoch=2, seed=5).split(64, keep=0.5).where("chunk is not null").zip(valid).repeats(2)
+    return made.select("id", "other", "pos", "chunk", "repeat").table
+
+
 @query
 def tensor_batch_chunks(c):
     n = c.train.count()

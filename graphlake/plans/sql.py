@@ -402,6 +402,10 @@ ez AS (SELECT part, seq, CAST({_chunk("seq", "n", "5")} AS BIGINT) AS batch FROM
     ),
     "shuffled_seeds": _q("SELECT id, row_number() OVER (ORDER BY md5(concat_ws(',', id, 2, 5))) - 1 AS pos FROM train"),
     "split_chunks": _q("SELECT id, pos, CASE WHEN pos // 64 = n // 64 AND n % 64 < 32 THEN NULL ELSE pos // 64 END AS chunk FROM (SELECT id, row_number() OVER (ORDER BY md5(concat_ws(',', id, 2, 5))) - 1 AS pos, count(*) OVER () AS n FROM train)"),
+    "chained_chunks": _q("""SELECT a.id, b.id AS other, a.pos, a.pos // 64 AS chunk, CAST(r.range AS INTEGER) AS "repeat"
+        FROM (SELECT id, row_number() OVER (ORDER BY md5(concat_ws(',', id, 2, 5))) - 1 AS pos, count(*) OVER () AS n FROM train) a
+        JOIN (SELECT id, row_number() OVER (ORDER BY md5(concat_ws(',', id, 2, 5))) - 1 AS pos FROM nodes WHERE split = 'valid') b ON a.pos = b.pos
+        CROSS JOIN range(2) r WHERE NOT (a.pos // 64 = a.n // 64 AND a.n % 64 < 32)"""),
     "even_split_chunks": _q(f"SELECT id, pos, CAST({_chunk('pos', 'n', '64')} AS BIGINT) AS chunk FROM (SELECT id, row_number() OVER (ORDER BY md5(concat_ws(',', id, 2, 5))) - 1 AS pos, count(*) OVER () AS n FROM train)"),
     "tensor_batch_chunks": _q("SELECT id, pos, pos // 50 AS chunk, CASE WHEN pos // 50 = (n - 1) // 50 AND n % 50 <> 0 THEN NULL ELSE pos // 50 END AS dropped, CASE WHEN pos // 50 = (n - 1) // 50 THEN NULL ELSE pos // 50 END AS quirk FROM (SELECT id, row_number() OVER (ORDER BY md5(concat_ws(',', id, 2, 5))) - 1 AS pos, count(*) OVER () AS n FROM train)"),
     "repeat_targets": _q('SELECT id, CAST(r.range AS INTEGER) AS "repeat" FROM train CROSS JOIN range(3) r'),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphlake.functions import config, user
 from graphlake.model import Graph
-from graphlake.operators import aggregate, batching, collate, concurrent, layout, methods, metrics, multilevel, runlog, sampling, scoring, select
+from graphlake.operators import aggregate, batching, chain, collate, concurrent, layout, methods, metrics, multilevel, runlog, sampling, scoring, select
 from graphlake.operators import partition as parting
 from graphlake.plans import loaders
 from graphlake.sources import graphs
@@ -322,6 +322,33 @@ def test_concurrent_streams(spark, shards, rounds, slack):
     assert again.count() == 400
 
 
+def test_chain(spark, monkeypatch):
+    """A chain gives what its functions give, steps and DataFrame's own methods mixed; taken and private names are refused."""
+    monkeypatch.setattr(chain, "STEPS", dict(chain.STEPS))
+    df = spark.range(150)
+
+    @chain.step("doubled")
+    def doubled(rows, column, times=2):
+        return rows.withColumn(column, F.col(column) * times)
+
+    c = chain.chain(df).doubled("id", times=3).shuffle(seed=4)
+    plain = batching.shuffle(doubled(df, "id", 3), "id", 0, 4)
+    lists = c.batch("pos", "id", 40, drop_last=True)
+    assert sorted(lists.collect()) == sorted(batching.batch_rows(plain, "pos", "id", 40, True).collect())
+    assert lists.unbatch().count() == 120 and lists.columns == ["batch", "items"]
+    assert [r["count"] for r in c.split_evenly(70).groupBy("chunk").count().orderBy("chunk").collect()] == [75, 75]
+    assert c.zip(chain.chain(df).shuffle().select("pos", F.col("id").alias("b"))).repeats(2).count() == 300
+    assert chain.chain(df.limit(0)).shuffle().split(8).count() == 0
+    assert "pos: bigint" in repr(c) and {"doubled", "where"} <= set(dir(c))
+    for name in ("doubled", "where", "table", "_own", "no name"):
+        with pytest.raises(ValueError, match="cannot name a step"):
+            chain.step(name)(doubled)
+    chain.step("doubled", replace=True)(lambda rows: rows)
+    assert chain.chain(df).doubled().table is not None
+    with pytest.raises(AttributeError):
+        chain.chain(df).unknown_step()
+
+
 def test_first_rows(spark):
     """Against sorting: ties, groups, extremes of 64 bits, more rows asked for than there are."""
     r = np.random.default_rng(4)
