@@ -728,3 +728,49 @@ def test_partitioned_store_plans_its_parts_only(spark, tmp_path):
     e.count()
     plan = e._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "Exchange hashpartitioning(sp" not in plan
+
+
+def test_layers_send_the_narrower_side(spark, monkeypatch):
+    """A layer from 64 to 8 numbers sends 8 along the edges, one that widens what it has; the results are those of sums and products by hand."""
+    edges = spark.createDataFrame([(0, 1), (2, 1), (1, 0), (1, 2), (3, 2)], "src bigint, dst bigint")
+    r = np.random.default_rng(0)
+    x = r.normal(size=(4, 64))
+    feats = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, x array<double>")
+    widths, sums = [], aggregate.neighbour_sums
+
+    def seen(e, f, weight=None):
+        widths.append(len(f.first().x))
+        return sums(e, f, weight)
+
+    monkeypatch.setattr(aggregate, "neighbour_sums", seen)
+    adj = np.zeros((4, 4))
+    for s, d in edges.collect():
+        adj[d, s] = 1
+    mean = adj / np.maximum(adj.sum(1, keepdims=True), 1)
+    w = [r.normal(size=s) for s in ((64, 8), (64, 8), (8, 16), (8, 16))]
+    got = lambda df: np.array([v.x for v in sorted(df.collect())])
+    h = np.maximum(x @ w[0] + mean @ x @ w[1], 0)
+    want = h @ w[2] + mean @ h @ w[3]
+    assert np.allclose(got(aggregate.sage(edges, feats, [(w[0], w[1], np.zeros(8)), (w[2], w[3], np.zeros(16))])), want)
+    assert np.allclose(got(aggregate.gin(edges, feats, [(0.5, w[0], np.ones(8)), (0.5, w[2], np.ones(16))])), (1.5 * np.eye(4) + adj) @ np.maximum((1.5 * np.eye(4) + adj) @ x @ w[0] + 1, 0) @ w[2] + 1)
+    loops = adj + np.eye(4)
+    norm = loops / np.sqrt(np.outer(loops.sum(1), loops.sum(1)))
+    assert np.allclose(got(aggregate.gcn(edges, feats, [(w[0], np.ones(8)), (w[2], np.ones(16))])), norm @ np.maximum(norm @ x @ w[0] + 1, 0) @ w[2] + 1)
+    assert widths == [8] * 6
+
+
+def test_neighbour_sums_send_lists(spark, monkeypatch):
+    """A source goes to a block of targets as one row, whatever its edges; small steps, hubs, sparse ids and sources without features make no difference."""
+    rows = [(s, d) for s in range(40) for d in range(100, 160) if (s * d) % 3 or d == 101] + [(7, 8), (9, 8)]
+    monkeypatch.setattr(aggregate, "HELD", 64)
+    for scale in (1, 10**12):
+        edges = spark.createDataFrame([(s * scale, d * scale, float(s % 4)) for s, d in rows], "src bigint, dst bigint, w double")
+        feats = spark.createDataFrame([(i * scale, [float(i), 1.0]) for i in [*range(39), *range(100, 160)]], "id bigint, x array<float>")
+        want = {}
+        for s, d in rows:
+            if s < 39:
+                n, t, a, b = want.get(d * scale, (0, 0, 0, 0))
+                want[d * scale] = n + 1, t + s % 4, a + s * (s % 4), b + s % 4
+        assert {r.id: (r.n, r.total, *r.sums) for r in aggregate.neighbour_sums(edges, feats, "w").collect()} == want
+        plan = aggregate.neighbour_sums(edges, feats)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("MapInArrow") < plan.index("Repartition") and "Aggregate" not in plan[: plan.index("MapInArrow")]
