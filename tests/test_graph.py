@@ -1,5 +1,8 @@
 """Tiny goldens and invariants of the graph operators."""
 
+import inspect
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +11,7 @@ from graphlake.functions import config, user
 from graphlake.model import Graph
 from graphlake.operators import aggregate, batching, chain, collate, concurrent, layout, methods, metrics, multilevel, runlog, sampling, scoring, select
 from graphlake.operators import partition as parting
-from graphlake.plans import loaders
+from graphlake.plans import loaders, queries
 from graphlake.sources import graphs
 
 UND = [(0, 1), (0, 2), (1, 2), (2, 3), (3, 4), (4, 5)]
@@ -774,3 +777,10 @@ def test_neighbour_sums_send_lists(spark, monkeypatch):
         assert {r.id: (r.n, r.total, *r.sums) for r in aggregate.neighbour_sums(edges, feats, "w").collect()} == want
         plan = aggregate.neighbour_sums(edges, feats)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.index("MapInArrow") < plan.index("Repartition") and "Aggregate" not in plan[: plan.index("MapInArrow")]
+
+
+def test_pushed_mass_of_seeds_without_edges(spark):
+    """A seed without neighbours keeps all of its mass."""
+    nodes = spark.createDataFrame([(0, "train"), (1, "train"), (2, None)], "id bigint, split string")
+    c = SimpleNamespace(nodes=nodes, edges=spark.createDataFrame([(0, 2), (2, 0)], "src bigint, dst bigint"), train=nodes.where("split = 'train'").select("id"))
+    assert sorted(map(tuple, inspect.unwrap(queries.ppr_mass)(c).collect())) == [(0, 0.25, 0), (1, 0.25, 0)]
