@@ -781,6 +781,26 @@ def test_neighbour_sums_send_lists(spark, monkeypatch):
 
 def test_pushed_mass_of_seeds_without_edges(spark):
     """A seed without neighbours keeps all of its mass."""
-    nodes = spark.createDataFrame([(0, "train"), (1, "train"), (2, None)], "id bigint, split string")
+    nodes = spark.createDataFrame([(0, None), (1, "train"), (2, None)], "id bigint, split string")
     c = SimpleNamespace(nodes=nodes, edges=spark.createDataFrame([(0, 2), (2, 0)], "src bigint, dst bigint"), train=nodes.where("split = 'train'").select("id"))
-    assert sorted(map(tuple, inspect.unwrap(queries.ppr_mass)(c).collect())) == [(0, 0.25, 0), (1, 0.25, 0)]
+    assert sorted(map(tuple, inspect.unwrap(queries.ppr_mass)(c).collect())) == [(1, 0.25, 0)]
+
+
+def test_edge_order_cuts_what_is_long(spark, monkeypatch):
+    """Positions follow (dst, src) across ranges, hubs and repeated edges; keys are whole numbers, not texts."""
+    r = np.random.default_rng(1)
+    rows = [(int(s), int(d)) for s, d in zip(r.integers(0, 200_000, 500), r.integers(0, 3_000_000, 500), strict=True)] + [(i * 700, 5000) for i in range(200)] + [(3, 5000)] * 3
+    edges = spark.createDataFrame(rows, "src bigint, dst bigint")
+    want = sorted(rows, key=lambda e: (e[1], e[0]))
+    for most in (batching.EDGE_ROWS, 50):
+        monkeypatch.setattr(batching, "EDGE_ROWS", most)
+        out = batching.edge_order(edges)
+        got = sorted(out.collect(), key=lambda e: e.pos)
+        assert [(e.src, e.dst) for e in got] == want and [e.pos for e in got] == list(range(len(want)))
+        assert "hex(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sampling_reads_written_edges():
+    """Queries that read the edges at every hop write them first."""
+    for name in ("sample_nodes", "mfg_hop_counts", "mfg_trimmed", "mfg_features_sum", "drop_random_alive", "drop_hop_share_alive", "drop_hop_alive"):
+        assert "cut" in queries.ALL[name].__code__.co_names, name
