@@ -804,3 +804,24 @@ def test_sampling_reads_written_edges():
     """Queries that read the edges at every hop write them first."""
     for name in ("sample_nodes", "mfg_hop_counts", "mfg_trimmed", "mfg_features_sum", "drop_random_alive", "drop_hop_share_alive", "drop_hop_alive"):
         assert "cut" in queries.ALL[name].__code__.co_names, name
+
+
+def test_stream_goes_through_a_task_in_batches(spark):
+    """The stream's task gets nodes, then lists, in batches, and does as the kernel over the whole graph does; the limit admits 72 million edges."""
+    r = np.random.default_rng(2)
+    n, k = 60, 4
+    both = {(int(a), int(b)) for a, b in r.integers(0, n - 2, (300, 2)) if a != b}
+    pairs = sorted(both | {(b, a) for a, b in both})
+    edges, nodes = spark.createDataFrame([(a * 10, b * 10) for a, b in pairs], "src bigint, dst bigint"), spark.range(0, n * 10, 10)
+    src, dst = np.array(sorted(pairs, key=lambda e: (e[1], e[0]))).T
+    ptr = np.r_[0, np.cumsum(np.bincount(dst, minlength=n))]
+    p, want = parting.Fennel(k=k, runs=2), None
+    for _ in range(2):
+        want = parting.stream(ptr, src, np.lexsort((np.arange(n), -np.diff(ptr))), p, start=want)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert col(parting.streaming_partition(nodes, edges, p), "part") == want.tolist()
+        plan = parting.streaming_partition(nodes, edges, p)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroups" not in plan and parting.EDGE_LIMIT > 72_000_000
