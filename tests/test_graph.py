@@ -825,3 +825,33 @@ def test_stream_goes_through_a_task_in_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert "FlatMapGroups" not in plan and parting.EDGE_LIMIT > 72_000_000
+
+
+def _random_graph(spark, n=60, m=240, hub=0):
+    rng = np.random.default_rng(5)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, n, (m, 2)) if a != b} | {(hub, i) for i in range(n) if i != hub}
+    pairs |= {(b, a) for a, b in pairs}
+    return spark.range(n), spark.createDataFrame(sorted(pairs), "src bigint, dst bigint"), pairs
+
+
+def test_influence_of_a_step_is_not_shuffled_by_node(spark, monkeypatch):
+    """Top lists equal a dense walk's, hubs' lists coming in pieces; the last step's sums are not an aggregate of (seed, node)."""
+    monkeypatch.setattr(layout, "PIECE", 7)
+    nodes, edges, pairs = _random_graph(spark)
+    a = np.zeros((60, 60))
+    for s, d in pairs:
+        a[s, d] = 1
+    walk = 0.5 * np.eye(60) + 0.5 * a / a.sum(1)[:, None]
+    want = {}
+    for k in (1, 2, 3):
+        df = scoring.seed_influence(edges, nodes, nodes.where("id % 3 = 0"), k, 10)
+        rows = {(r.seed, r["rank"]): (r.id, r.s) for r in df.collect()}
+        p = np.linalg.matrix_power(walk, k)
+        want = {}
+        for s in range(0, 60, 3):
+            best = sorted((i for i in range(60) if p[s, i] > 0), key=lambda i: (-np.floor(p[s, i] * 1e12 + 0.5), i))[:10]
+            want |= {(s, r + 1): (i, p[s, i]) for r, i in enumerate(best)}
+        assert {x: v[0] for x, v in rows.items()} == {x: v[0] for x, v in want.items()}
+        assert all(abs(rows[x][1] - want[x][1]) < 1e-12 for x in want)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "Window" not in plan and "Aggregate" not in plan
