@@ -855,3 +855,29 @@ def test_influence_of_a_step_is_not_shuffled_by_node(spark, monkeypatch):
         assert all(abs(rows[x][1] - want[x][1]) < 1e-12 for x in want)
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" in plan and "Window" not in plan and "Aggregate" not in plan
+
+
+def test_push_writes_no_residuals(spark, monkeypatch):
+    """Scores equal the supersteps', and rows that are written do not count the nodes that a seed reaches without pushing."""
+    monkeypatch.setattr(layout, "PIECE", 7)
+    nodes, edges, pairs = _random_graph(spark)
+    near = {i: [d for s, d in pairs if s == i] for i in range(60)}
+    written, cut_ = [], scoring.cut
+    monkeypatch.setattr(scoring, "cut", lambda df: written.append(cut_(df)) or written[-1])
+    eps, unit = 0.02, scoring.UNIT
+    got = {(r.seed, r.id): r.p for r in scoring.ppr(nodes, edges, nodes, 0.25, eps).collect()}
+    want = {}
+    for seed in range(60):
+        p, r, due = dict.fromkeys(range(60), 0), {seed: round(0.25 * unit)}, {seed}
+        while due:
+            sent = {u: r[u] for u in due}
+            for u in due:
+                p[u], r[u] = p[u] + r[u], 0
+            for u, x in sent.items():
+                for v in near[u]:
+                    r[v] = r.get(v, 0) + int(np.floor(0.75 * x / len(near[u])))
+            due = {v for v, x in r.items() if x > 0 and x >= 0.25 * eps * unit * len(near[v])}
+        want |= {(seed, v): x / unit for v, x in p.items() if x}
+    assert got == want
+    rounds = [t for t in written if "seed" in t.columns]
+    assert sum(t.where("not ask").count() for t in rounds) == len(want) and sum(t.where("ask").count() for t in rounds) <= len(rounds) * len(want)
