@@ -881,3 +881,17 @@ def test_push_writes_no_residuals(spark, monkeypatch):
     assert got == want
     rounds = [t for t in written if "seed" in t.columns]
     assert sum(t.where("not ask").count() for t in rounds) == len(want) and sum(t.where("ask").count() for t in rounds) <= len(rounds) * len(want)
+
+
+def test_small_graphs_take_no_jobs_for_their_levels(spark, monkeypatch):
+    """Once contracted and small, a graph goes through its levels in one task: few tables are written, and the parts are as good as those of levels by tables."""
+    n = 32
+    at = lambda i, j: i * n + j
+    pairs = [(at(i, j), at(i + 1, j)) for i in range(n - 1) for j in range(n)] + [(at(i, j), at(i, j + 1)) for i in range(n) for j in range(n - 1)]
+    nodes, edges = spark.range(n * n), spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "src bigint, dst bigint")
+    written, cut_ = [], multilevel.cut
+    monkeypatch.setattr(multilevel, "cut", lambda df: written.append(1) or cut_(df))
+    parts = {r.id: r.part for r in multilevel.multilevel_partition(nodes, edges, parting.Fennel(k=4), coarsest=32).collect()}
+    sizes = np.bincount(list(parts.values()), minlength=4)
+    assert len(parts) == n * n and sizes.max() <= 1.1 * n * n / 4
+    assert sum(parts[a] != parts[b] for a, b in pairs) < 250 and len(written) < 40
