@@ -915,3 +915,37 @@ def test_sampling_tasks_do_not_grow(spark, monkeypatch):
     df = sampling.induced_batches(got, edges)
     assert sorted((r.batch, r.src, r.dst) for r in df.collect()) == sorted((b, s, d) for b, ids in held.items() for s, d in pairs if s in ids and d in ids)
     assert "MapInArrow" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stream_is_written_once(spark, monkeypatch):
+    """What a stream returns is a table: to read it again does not run the one task again.  Tables of earlier turns and the lists go."""
+    nodes, edges, _ = _random_graph(spark)
+    written, gone = [], []
+    cut_, drop_ = parting.cut, parting.drop
+    monkeypatch.setattr(parting, "cut", lambda df: written.append(cut_(df)) or written[-1])
+    monkeypatch.setattr(parting, "drop", lambda df: gone.append(df) or drop_(df))
+    out = parting.streaming_partition(nodes, edges, parting.Fennel(k=4, runs=3))
+    assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString() and out is written[-1]
+    assert [any(x is y for y in gone) for x in written] == [True, True, True, False] and out.count() == 60
+
+
+def test_stream_with_full_parts_as_by_the_rule(spark):
+    """Parts open and close as nodes leave and come: each node's part is the best one with room, also in restreams with classes."""
+    r = np.random.default_rng(3)
+    n, k = 90, 3
+    dst = np.sort(r.integers(0, n, 900))
+    ptr, idx = np.r_[0, np.cumsum(np.bincount(dst, minlength=n))], r.integers(0, n, 900)
+    balance, part = r.integers(0, 2, n), None
+    p = parting.Fennel(k=k, slack=1.0, scan=0.0, alpha=0.5)
+    cap, caps = -(-n // k), np.ceil(np.bincount(balance) / k)
+    for _ in range(3):
+        want = np.full(n, k) if part is None else part.copy()
+        for v in range(n):
+            want[v] = k
+            size = np.bincount(want, minlength=k + 1)[:k]
+            held = np.bincount(want[balance == balance[v]], minlength=k + 1)[:k]
+            total = np.bincount(want[idx[ptr[v] : ptr[v + 1]]], minlength=k + 1)[:k] - 0.75 * size**0.5
+            ok = (size < cap) & (held < caps[balance[v]])
+            want[v] = np.argmax(np.where(ok, total, -np.inf)) if ok.any() else np.argmin(size)
+        part = parting.stream(ptr, idx, np.arange(n), p, balance=balance, start=part)
+        assert part.tolist() == want.tolist()
