@@ -949,3 +949,25 @@ def test_stream_with_full_parts_as_by_the_rule(spark):
             want[v] = np.argmax(np.where(ok, total, -np.inf)) if ok.any() else np.argmin(size)
         part = parting.stream(ptr, idx, np.arange(n), p, balance=balance, start=part)
         assert part.tolist() == want.tolist()
+
+
+def test_equal_features_are_sent_once(spark, monkeypatch):
+    """Sources with equal features go to a task together, by edges and by blocks, with weights and without, in small steps; sources without features count for nothing."""
+    monkeypatch.setattr(aggregate, "PACKED", 50)
+    monkeypatch.setattr(aggregate, "HELD", 256)
+    nodes, edges, pairs = _random_graph(spark, 120, 500)
+    for kinds in (1, 2):
+        x = nodes.where("id <> 5").select("id", F.array(*((F.col("id") % kinds + i).cast("float") for i in range(3))).alias("x"))
+        weights = edges.withColumn("w", (F.col("src") % 3).cast("double"))
+        for e, weight, w in ((edges, None, lambda s: 1), (weights, "w", lambda s: s % 3)):
+            want = {}
+            for s, d in pairs:
+                if s != 5:
+                    n, t, *v = want.get(d, (0, 0, 0, 0, 0))
+                    want[d] = (n + 1, t + w(s), *(v[i] + (s % kinds + i) * w(s) for i in range(3)))
+            g = layout.partition_graph(Graph(nodes.select("id", F.lit(0).alias("kind"), F.lit(0).alias("label"), F.lit(None).cast("string").alias("split")), e, x), parting.hash_partition(nodes, 4), 4)
+            a, b = aggregate.neighbour_sums(e, x, weight), aggregate.block_sums(g, weight)
+            assert {r.id: (r.n, r.total, *r.sums) for r in a.collect()} == want
+            assert {r.old_id: (r.n, r.total, *r.sums) for r in b.join(g.nodes.select(F.col("new_id").alias("id"), "old_id"), "id").collect()} == want
+            plans = [y._jdf.queryExecution().optimizedPlan().toString() for y in (a, b)]
+            assert (kinds > 1 or plans[0].count("MapInArrow") == 2) and plans[1].count("MapInArrow") == 2 and "Aggregate" not in plans[1]
