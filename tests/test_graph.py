@@ -588,8 +588,7 @@ def test_typed_graph(spark, tmp_path):
 
 
 def test_validation_doubles_as_test(g):
-    from dataclasses import replace
-
+    
     assert col(g.split("test"), "id") == [1, 2, 3, 4]
     assert g.split("valid").count() == 0 == replace(g, attrs={"test_is_valid": True}).split("test").count()
 
@@ -971,3 +970,26 @@ def test_equal_features_are_sent_once(spark, monkeypatch):
             assert {r.old_id: (r.n, r.total, *r.sums) for r in b.join(g.nodes.select(F.col("new_id").alias("id"), "old_id"), "id").collect()} == want
             plans = [y._jdf.queryExecution().optimizedPlan().toString() for y in (a, b)]
             assert (kinds > 1 or plans[0].count("MapInArrow") == 2) and plans[1].count("MapInArrow") == 2 and "Aggregate" not in plans[1]
+
+
+def test_stream_goes_on_in_other_tasks(spark, monkeypatch):
+    """A long stream is cut into pieces of a set number of edges, each placed by a task of its own, and comes out as in one; ids need not be
+    dense, and an edge from no node counts for nothing.  Its tasks are sent small batches, and the session's setting stays."""
+    nodes, edges, _ = _random_graph(spark, 90, 700, 40)
+    wide = lambda c: (F.col(c) * F.col(c) * 7 + 3).alias(c)
+    kinds = nodes.select(wide("id"), (F.col("id") % 4 - 1).cast("int").alias("s"), (F.col("id") % 2).cast("int").alias("b"))
+    lost = edges.select(wide("src"), wide("dst")).union(spark.createDataFrame([(-5, 3), (10**6, 3), (10**6, 10)], "src bigint, dst bigint"))
+    p, by = parting.Fennel(k=4, runs=2, beta=0.7, strict=False), {"order": "id", "strata": "s", "balance": "b"}
+    weighted = lost.withColumn("w", F.lit(1.0) + F.col("src") % 7 / 3)
+    steps, cut_ = [], parting.cut
+    for e, kw in ((lost, {}), (weighted, by)):
+        monkeypatch.undo()
+        whole = dict(parting.streaming_partition(kinds, e, p, **kw).collect())
+        steps.clear()
+        monkeypatch.setattr(parting, "cut", lambda df: steps.append((df.columns, spark.conf.get(parting.BATCH))) or cut_(df))
+        monkeypatch.setattr(parting, "PIECE_EDGES", 600)
+        monkeypatch.setattr(parting, "STEP", 3)
+        assert dict(parting.streaming_partition(kinds, e, p, **kw).collect()) == whole and set(whole.values()) <= {0, 1, 2, 3} and len(whole) == 90
+        state = [rows for names, rows in steps if "ids" in names]
+        assert len(state) >= 3 and set(state) == {str(parting.BATCH_ROWS)} and steps[-1][0] == ["id", "part"]
+        assert spark.conf.get(parting.BATCH, None) != str(parting.BATCH_ROWS)
