@@ -1006,3 +1006,24 @@ def test_sampling_sends_nothing_through_the_driver(spark, monkeypatch):
         nodes, got = sampling.sample(placed, seeds, [4, 2], 5, replace=replace, lists=lists)
         assert got.where("hop = 0").count() == 12 and nodes.where("hop = 0").count() == 3
     assert len(plans) == 8 and sum("SortMergeJoin" in x for x in plans) == 6 and not any("Broadcast" in x for x in plans)
+
+
+def test_stream_is_sent_short_rows_of_state_and_packed_lists(spark, monkeypatch):
+    """A batch is cleared to the length that its longest list ever had, so no row of nodes is long; lists are sorted once, for all runs."""
+    nodes, edges, _ = _random_graph(spark, 400, 3000, 41)
+    kept, cut_ = {}, parting.cut
+    monkeypatch.setattr(parting, "drop", lambda df: None)
+    monkeypatch.setattr(parting, "PIECE_EDGES", 2500)
+    monkeypatch.setattr(parting, "cut", lambda df: _keep(kept, cut_(df)))
+    out = parting.streaming_partition(nodes, edges, parting.Fennel(k=4, runs=2))
+    assert out.count() == 400
+    lists = kept["src"]
+    assert len(lists) == 1 and lists[0].agg(F.sum(F.size("ids"))).first()[0] == 400 and lists[0].count() < 40
+    assert kept["part"] and all(x.agg(F.max(F.size("ids"))).first()[0] <= 128 for x in kept["part"])
+
+
+def _keep(kept, df):
+    for c in ("src", "part"):
+        if "ids" in df.columns and c in df.columns:
+            kept.setdefault(c, []).append(df)
+    return df
