@@ -1027,3 +1027,22 @@ def _keep(kept, df):
         if "ids" in df.columns and c in df.columns:
             kept.setdefault(c, []).append(df)
     return df
+
+
+def test_push_sums_in_its_task(spark, monkeypatch):
+    """A seed's sums are those of all its rows, of which none is written; lists go as plain arrays."""
+    nodes, edges, _ = _random_graph(spark, 60, 300, 42)
+    nodes = nodes.select("id").union(spark.createDataFrame([(999,)], "id bigint"))
+    edges = edges.union(spark.createDataFrame([(3, 999)], "src bigint, dst bigint"))
+    want = {}
+    for r in scoring.ppr(nodes, edges, nodes, 0.25, 1e-3, left=True).collect():
+        x = want.setdefault(r.seed, [0.0, 0.0, 0.0, 0])
+        x[0 if r.d else 1] += r.p
+        x[2] += r.r
+        x[3] += r.r > 0 and r.r >= 0.25 * 1e-3 * r.d
+    written, cut_ = [], scoring.cut
+    monkeypatch.setattr(scoring, "cut", lambda df: written.append(cut_(df)) or written[-1])
+    got = {r.seed: [r.p, r.off, r.r, r.due] for r in scoring.ppr_sums(nodes, edges, nodes, 0.25, 1e-3).collect()}
+    assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k], strict=True)) and got[999][1] > 0
+    assert sum(x.where("not ask").count() for x in written if "ask" in x.columns) == len(got)
+    assert [x.schema["dst"].dataType.simpleString() for x in written if "dst" in x.columns] == ["array<bigint>"]
