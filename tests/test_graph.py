@@ -1046,3 +1046,33 @@ def test_push_sums_in_its_task(spark, monkeypatch):
     assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k], strict=True)) and got[999][1] > 0
     assert sum(x.where("not ask").count() for x in written if "ask" in x.columns) == len(got)
     assert [x.schema["dst"].dataType.simpleString() for x in written if "dst" in x.columns] == ["array<bigint>"]
+
+
+def test_vectors_are_sent_once_to_a_block(spark, monkeypatch):
+    """However many lists name a vector, its block is sent it once: rows with a vector are its blocks times the vectors, not the lists."""
+    monkeypatch.setattr(aggregate, "PACKED", 20)
+    monkeypatch.setattr(aggregate, "HELD", 256)
+    nodes, edges, _ = _random_graph(spark, 120, 500)
+    x = nodes.select("id", F.array(*((F.lit(1.0) + i).cast("float") for i in range(3))).alias("x"))
+    run_ = aggregate._named_sums
+    both = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counted(width, weighted):
+        inner = run_(width, weighted)
+
+        def run(batches):
+            def count():
+                for b in batches:
+                    both[0].add(b.num_rows - b.column("x").null_count)
+                    both[1].add(b.column("x").null_count)
+                    yield b
+
+            return inner(count())
+
+        return run
+
+    monkeypatch.setattr(aggregate, "_named_sums", counted)
+    got = aggregate.neighbour_sums(edges, x).collect()
+    assert sum(r.n for r in got) == edges.count() and all(r.sums == [r.n * (1.0 + i) for i in range(3)] for r in got)
+    blocks = max(spark.sparkContext.defaultParallelism, -(-120 * 5 // 256))
+    assert both[0].value == blocks and both[1].value > 2 * blocks
