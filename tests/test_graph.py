@@ -1076,3 +1076,19 @@ def test_vectors_are_sent_once_to_a_block(spark, monkeypatch):
     assert sum(r.n for r in got) == edges.count() and all(r.sums == [r.n * (1.0 + i) for i in range(3)] for r in got)
     blocks = max(spark.sparkContext.defaultParallelism, -(-120 * 5 // 256))
     assert both[0].value == blocks and both[1].value > 2 * blocks
+
+
+def test_large_graphs_are_joined_in_stars(spark, monkeypatch):
+    """All who name a leader join it along an edge, as far as it has room, so a graph of many edges takes few levels."""
+    nodes, edges, _ = _random_graph(spark, 600, 9000, 43)
+    v, e = nodes.select("id", F.lit(1.0).alias("w")), edges.select("src", "dst", F.lit(1.0).alias("w"))
+    mates = {r.id: r.mate for r in multilevel.stars(v, e, 12.0, 0.15).collect()}
+    near = {tuple(x) for x in edges.select("src", "dst").collect()}
+    assert len(mates) > 400 and not set(mates) & set(mates.values()) and all((a, b) in near for a, b in mates.items())
+    assert max(np.unique(list(mates.values()), return_counts=True)[1]) <= 11
+    calls, contract = [], multilevel.contract
+    monkeypatch.setattr(multilevel, "SMALL_EDGES", 2500)
+    monkeypatch.setattr(multilevel, "contract", lambda *a: calls.append(1) or contract(*a))
+    out = multilevel.multilevel_partition(nodes, edges, parting.Fennel(k=4), coarsest=16)
+    assert sorted(col(out, "id")) == sorted(col(nodes, "id")) and out.groupBy("part").count().agg(F.max("count")).first()[0] <= 165
+    assert len(calls) <= 3
